@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from strataflow.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from strataflow.llm.near_dup import op8_near_dup
+from strataflow.llm.source_mix import OP3_SQL, op3_source_mix
+from strataflow.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op3_source_mix": op3_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_near_dup": op8_near_dup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op3_source_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
