@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strataflow.llm.decontaminate import OP6_SQL, op6_decontaminate
 from strataflow.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from strataflow.llm.near_dup import op8_near_dup
 from strataflow.llm.source_mix import OP3_SQL, op3_source_mix
@@ -10,6 +11,7 @@ from strataflow.llm.token_counts import op10_token_counts
 QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op8_near_dup": op8_near_dup,
     "op10_token_counts": op10_token_counts,
 }
@@ -17,4 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_source_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_decontaminate": OP6_SQL,
 }
