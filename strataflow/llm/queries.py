@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from strataflow.llm.decontaminate import OP6_SQL, op6_decontaminate
 from strataflow.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from strataflow.llm.html_text import op9_html_text
 from strataflow.llm.near_dup import op8_near_dup
 from strataflow.llm.source_mix import OP3_SQL, op3_source_mix
 from strataflow.llm.token_counts import op10_token_counts
+from strataflow.llm.tool_calls import op2_tool_calls
+from strataflow.llm.toxicity import op4_toxicity
+from strataflow.llm.warc import op7_warc_derivatives
 
 QUERIES = {
+    "op2_tool_calls": op2_tool_calls,
     "op3_source_mix": op3_source_mix,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_near_dup": op8_near_dup,
+    "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
 }
 
+#: Where a query is missing here, SQL cannot express it; tests/llm holds it against brute force.
 ORACLE_SQL = {
     "op3_source_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
