@@ -6,6 +6,7 @@ from strataflow.llm.decontaminate import OP6_SQL, op6_decontaminate
 from strataflow.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from strataflow.llm.html_text import op9_html_text
 from strataflow.llm.near_dup import op8_near_dup
+from strataflow.llm.pii import op1_pii
 from strataflow.llm.source_mix import OP3_SQL, op3_source_mix
 from strataflow.llm.token_counts import op10_token_counts
 from strataflow.llm.tool_calls import op2_tool_calls
@@ -13,6 +14,7 @@ from strataflow.llm.toxicity import op4_toxicity
 from strataflow.llm.warc import op7_warc_derivatives
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_tool_calls": op2_tool_calls,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
