@@ -9,8 +9,10 @@
    Nodes of one document are dropped, small ones are leaves, large ones branch again.
 3. Leaves are compared exhaustively on sizes and MinHash estimates. First the estimate's spanning forest of
    each leaf of a few trees is verified on the full sets and contracted into components; then all candidate
-   pairs of all leaves that still lie in different components are verified. Pairs inside a component can
-   add nothing, so groups of near copies cost as their size, not its square.
+   pairs of all leaves that still lie in different components are held against samples of their sets (the
+   whole sets up to ``SAMPLE`` shingles) inside the leaf, and what passes is verified. Pairs inside a component
+   can add nothing, and pairs that only resemble each other end inside their leaf, so groups of near copies
+   send on as much as their size, not its square.
 4. A node that stays large at the last level (thousands of near copies) is split: into blocks for the
    forest, and then into pairs of (block, block of the members outside its largest component).
 
@@ -41,6 +43,7 @@ COORDS = 1 << COORD_BITS
 LEVELS = 3  # levels that one round descends
 ROUNDS = 3  # rounds at most: nodes that are large after them are split
 LEAF = 64
+SAMPLE = 256  # fingerprints at most in a set's sample
 FIRST_TREES = 4  # trees whose leaves give the first forest
 FEATURES = "doc_id bigint, n_shingles bigint, set_digest binary, minhash binary"
 _EDGES = (np.arange(COORDS, dtype=np.uint64) << np.uint64(64 - COORD_BITS)).astype(np.uint64)
@@ -153,17 +156,62 @@ def _forest(percent: int):
     return run
 
 
+def sample_level(n: np.ndarray) -> np.ndarray:
+    """The power of two by which a set of n shingles is thinned so that at most about ``SAMPLE`` are left."""
+    return np.ceil(np.log2(np.maximum(n, SAMPLE) / SAMPLE)).astype(np.int64)
+
+
+def thinned(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints below 2**(64 - level), without their last 8 bits."""
+    level = int(sample_level(np.array([len(shingles)]))[0])
+    return (shingles[: np.searchsorted(shingles, np.uint64(1) << np.uint64(64 - level))] if level else shingles) >> np.uint64(8)
+
+
+def _thin(k: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in parts:
+            yield pd.DataFrame({"rep": part["rep"], "sample": [thinned(shingle_set(t, k, hashes)).tobytes() for t in part["text"]]})
+
+    return run
+
+
+def sample_survivors(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, samples: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs the samples do not rule out: exact where both are whole sets, else with five standard errors of slack."""
+    keep, t = np.zeros(len(i), bool), percent / 100
+    sets, level = [np.frombuffer(b, np.uint64) for b in samples], sample_level(sizes)
+    pair_level = np.maximum(level[i], level[j])
+    for at in np.unique(pair_level):
+        now = np.nonzero(pair_level == at)[0]
+        members = np.unique(np.concatenate((i[now], j[now])))
+        top = np.uint64(1) << np.uint64(56 - int(at))
+        parts = [sets[m][: np.searchsorted(sets[m], top)] for m in members]
+        n = np.array([len(x) for x in parts])
+        _, column = np.unique(np.concatenate(parts), return_inverse=True)
+        table = np.zeros((len(members), int(column.max(initial=-1)) + 1), np.float32)
+        table[np.repeat(np.arange(len(members)), n), column] = 1
+        x, y = np.searchsorted(members, i[now]), np.searchsorted(members, j[now])
+        common = (table @ table.T)[x, y]
+        union = np.maximum(n[x] + n[y] - common, 1)
+        slack = 5 * np.sqrt(t * (1 - t) / union) if at else 0.0
+        keep[now] = common / union >= t - slack - 1e-6
+    return keep
+
+
 def _across(percent: int):
-    """All candidates of a leaf (or of two blocks) that lie in different components."""
+    """Candidates of a leaf (or of two blocks) that lie in different components and pass on the samples."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for reps, sizes, minima, labels, sides in zip(part["reps"], part["sizes"], part["minima"], part["labels"], part["sides"], strict=True):
-                reps, labels, sides = np.asarray(reps), np.asarray(labels), np.asarray(sides)
-                i, j, _ = candidate_pairs(reps, np.asarray(sizes), _minima(minima), percent)
+            for reps, sizes, minima, labels, sides, samples in zip(part["reps"], part["sizes"], part["minima"], part["labels"], part["sides"], part["samples"], strict=True):
+                reps, sizes, labels, sides = np.asarray(reps), np.asarray(sizes), np.asarray(labels), np.asarray(sides)
+                i, j, _ = candidate_pairs(reps, sizes, _minima(minima), percent)
                 ok = (labels[i] != labels[j]) & ((sides[i] == 0) | (sides[i] != sides[j]))
-                out.append(np.stack((np.minimum(reps[i], reps[j])[ok], np.maximum(reps[i], reps[j])[ok]), 1))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    ok = sample_survivors(i, j, sizes, list(samples), percent)
+                    out.append(np.stack((np.minimum(reps[i], reps[j])[ok], np.maximum(reps[i], reps[j])[ok]), 1))
             pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -206,7 +254,7 @@ def leaves(reps: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFr
 
 def _gather(rows: DataFrame, keys: list[str], reps: DataFrame, more: list[str]) -> DataFrame:
     lists = [F.collect_list(c).alias(n) for c, n in (("rep", "reps"), ("n_shingles", "sizes"), ("minhash", "minima"), *((m, f"{m}s") for m in more))]
-    return rows.join(reps.select("rep", "n_shingles", "minhash").hint("merge"), "rep").groupBy(*keys).agg(*lists)
+    return rows.join(reps.hint("merge"), "rep").groupBy(*keys).agg(*lists)
 
 
 def link_classes(reps: DataFrame, texts_of: DataFrame, k: int, percent: int, trees: int = 12) -> DataFrame:
@@ -242,7 +290,10 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, k: int, percent: int, tre
         ones = parts.select("node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others").cast("int") - 1)).alias("other"), "rep", "label", F.lit(1).alias("side"))
         twos = parts.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), other.alias("other"), "rep", "label", F.lit(2).alias("side"))
         rows = rows.unionByName(ones).unionByName(twos)
-    more = _gather(rows, ["node", "block", "other"], reps, ["label", "side"]).mapInPandas(_across(percent), pairs_type).distinct()
+    rows = stage(rows, "mixed")
+    samples = texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInPandas(_thin(k), "rep bigint, sample binary")
+    members = stage(reps.join(samples.hint("merge"), "rep"), "members")
+    more = _gather(rows, ["node", "block", "other"], members, ["label", "side", "sample"]).mapInPandas(_across(percent), pairs_type).distinct()
     more = stage(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
     added = stage(verify(more), "links")
     return components(links.unionByName(added))
