@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.near_dup import drop_near_copies, near_groups
 
-DATA = "/root/testdata/sf0.01/documents.parquet"
+DATA = "/root/testdata/{}/documents.parquet"
 
 
 def plain_set(text, k):
@@ -53,9 +53,9 @@ def result(df):
 
 
 def test_given_documents_match_all_pairs(spark):
-    docs = spark.read.parquet(DATA)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    for k, percent in ((3, 85), (5, 80)):
+    for k, percent, sf in ((3, 85, "sf0.01"), (5, 80, "sf0.001")):
+        docs = spark.read.parquet(DATA.format(sf))
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         assert result(near_groups(docs, k, percent)) == brute(rows, k, percent)
 
 
