@@ -33,14 +33,28 @@ def _local_forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(pairs[i : i + 50_000], columns=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task may join on its own (a few tens of MB); a smaller graph needs no rounds.
+EDGES_A_TASK = 100_000
+
+
+def _labels_at_once(edges: DataFrame) -> DataFrame:
+    """(id, component) of a graph of at most ``EDGES_A_TASK`` edges, in one task."""
+    roots = edges.coalesce(1).mapInPandas(_local_forest, "a bigint, b bigint").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
+
+
+def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(id, component) for each end of an edge (a, b); component is the least id of the connected component.
 
     Each round every node points at the neighbour (or itself) whose hash is least, and the graph is
     contracted along the pointers. Nodes of the contracted graph fall by a constant share a round, and
-    edges inside what is joined already disappear, so large groups cost no more than small ones.
+    edges inside what is joined already disappear, so large groups cost no more than small ones. Once no
+    more than ``edges_a_task`` edges are left, one task joins the rest.
     """
-    left = stage(edges.select("a", "b").mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges")
+    left = stage(edges.select("a", "b"), "cc-edges")
+    if left.count() <= edges_a_task:
+        return stage(_labels_at_once(left), "cc-labels")
+    left = stage(left.mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges")
     labels = stage(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("label", F.col("id")), "cc-labels")
     for _ in range(rounds):
         both = left.select("a", "b").union(left.select("b", "a"))
@@ -52,9 +66,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         to_a, to_b = points.select(F.col("old").alias("a"), F.col("new").alias("x")), points.select(F.col("old").alias("b"), F.col("new").alias("y"))
         moved = left.join(to_a.hint("merge"), "a").join(to_b.hint("merge"), "b").filter("x <> y")
         left = stage(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges")
-        if left.isEmpty():
+        if left.count() <= edges_a_task:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    least = labels.groupBy("label").agg(F.min("id").alias("component"))
-    return labels.join(stage(least, "cc-least").hint("merge"), "label").select("id", "component")
+    rest = _labels_at_once(left)
+    joined = labels.join(rest.select(F.col("id").alias("label"), "component").hint("merge"), "label", "left").select("id", F.coalesce("component", "label").alias("label"))
+    joined = stage(joined, "cc-labels")
+    least = stage(joined.groupBy("label").agg(F.min("id").alias("component")), "cc-least")
+    return joined.join(least.hint("merge"), "label").select("id", "component")

@@ -63,7 +63,11 @@ def _is_noise(name: str, raw: str, in_article: bool) -> bool:
     attrs = _attributes(raw)
     if "hidden" in attrs or attrs.get("role", "").lower() in ROLES:
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    if name in ("html", "body") or name in ARTICLE:
+        return False
+    # "has-sidebar" and the like speak of the page around, not of the element
+    names = re.sub(r"\b(?:has|no|with|without)[-_][a-z0-9]+", "", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    words = set(re.split(r"[^a-z0-9]+", names))
     return bool(words & NOISE_WORDS) or "header" in words and not in_article
 
 
