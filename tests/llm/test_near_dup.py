@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from strataflow.llm.components import components
 from strataflow.llm.near_dup import drop_near_copies, near_groups
 
 DATA = "/root/testdata/{}/documents.parquet"
@@ -90,3 +91,23 @@ def test_edge_cases(spark):
     assert kept.columns == ["doc_id", "text", "rep", "near_key"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 6, 7, 9]
     assert near_groups(docs.limit(0)).count() == 0
+
+
+def test_components_by_rounds_and_at_once(spark):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    for most in (0, 30, 100_000):
+        assert {r.id: r.component for r in components(frame, edges_a_task=most).collect()} == want
+    assert components(frame.limit(0)).count() == 0

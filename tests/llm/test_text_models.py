@@ -49,6 +49,7 @@ PAGES = {
     "<body><div id='menu'><p>Home</p></div><div class='content'><p>A long text of the page itself.</p><p>It goes on here.</p></div><div class='sidebar'>x</div><div class=\"cookie-notice\">We use cookies</div></body>": "A long text of the page itself.\nIt goes on here.",
     "<p>a<script>if (1 < 2) document.write('<p>no</p>')</script>b</p>": "a\nb",
     "<!-- <p>no</p> --><p title=\"a > b\">yes": "yes",
+    "<body class='has-sidebar menu'><div class='wrap with-sidebar'><p>Text</p></div><div role=navigation><p>Go</p></div></body>": "Text",
     "": "", "no markup at  all": "no markup at all", "<p>  </p>": "", "<": "<", "a < b": "a < b",
 }
 
