@@ -4,12 +4,16 @@
 2. Generators of high recall propose overlapping candidates: spelled-out emails, dotted numbers, digit
    groups of any separators, phone shapes without a plus, IBAN and identity-number shapes.
 3. Boosted trees score each candidate from its format (length, digits, groups, separators, checksum) and
-   its context (neighbouring signs, trigger words before it). They are fitted on a sample of candidates that
-   is bounded by ``sample`` (taken by hash), labelled by whether a base check accepts them; candidates of
-   kinds without a check are never training rows.
-4. A second sample calibrates one threshold per generator: the least score whose precision reaches
-   ``precision``; generators without a check use the greatest of these. Candidates that reach it are added
-   where they overlap nothing stronger.
+   its context (neighbouring signs, trigger words before it). Format is read from the normal form, which
+   hides how the strict patterns spell: no plus or 00 before phones, ``@`` and ``.`` for their names in
+   brackets, spaces for dots in cards. The trees are fitted on a sample of labelled candidates that is
+   bounded by ``sample`` (taken by hash).
+4. Labels: what a base check accepts and IBANs whose checksum is right are positive; what fails the check of
+   its kind or stands among numbers (versions, ISBNs, dates, columns of figures; a bare ``@`` between spaces)
+   is negative. Other candidates have no label: that only a generator finds them says nothing against them.
+5. One threshold per kind, from the scores of all labelled candidates: the least score from which on
+   ``precision`` of them are positive; kinds without labels use the greatest of the base kinds. Candidates
+   that reach it are added where they overlap nothing stronger, unless they are labelled negative.
 
 Defined cases: null text counts as empty; documents without spans have zeros and the digest of the empty
 string; matches that fail their check are dropped and not tried again from a later start; repeated rows are
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,9 +56,13 @@ GENERATORS = (
 NUMERIC = re.compile(r"[+(]?[0-9](?:[ .()+-]{0,2}[0-9]){6,}|[A-Z]{2}[0-9]{2}[ 0-9A-Z]{8}")
 TRIGGERS = (re.compile(r"(?i)e-?mail|correo|courriel|contact|write|kontakt"), re.compile(r"(?i)\bip\b|server|host|adress"), re.compile(r"(?i)card|karte|carte|tarjeta|visa|credit"),
             re.compile(r"(?i)phone|tel|call|mobil|fax|anruf"), re.compile(r"(?i)iban|bank|konto|account|ssn|social"), re.compile(r"(?i)version|release|isbn|license|§"))
-FEATURES = ("length", "digits", "letters", "groups", "longest_group", "plus", "at", "dots", "spaces", "dashes", "parens", "luhn", "octets", "before_letter", "after_letter", "upper",
+NUMBERS = TRIGGERS[5]
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-. ][0-1]?[0-9][-. ][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-. ][0-1]?[0-9][-. ](?:19|20)[0-9]{2}(?![0-9])")
+AT, DOT, PREFIX = re.compile(r" ?(?:@|\(at\)|\[at\]) ?"), re.compile(r" ?(?:\.|\(dot\)|\[dot\]) ?"), re.compile(r"^(?:\+|00)?")
+FEATURES = ("length", "digits", "letters", "groups", "longest_group", "dots", "spaces", "dashes", "parens", "luhn", "octets", "check", "before_letter", "after_letter", "near_number", "upper",
             *(f"trigger{i}" for i in range(len(TRIGGERS))), *(f"is_{k}" for k, _ in GENERATORS))
-CANDIDATE = "struct<kind:string, s:int, e:int, accepted:boolean, features:array<float>>"
+CHECK = FEATURES.index("check")
+CANDIDATE = "struct<kind:string, s:int, e:int, accepted:boolean, label:double, features:array<float>>"
 ROW = f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<s:int, e:int, kind:string>>, candidates array<{CANDIDATE}>"
 
 
@@ -124,26 +133,72 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def normal(kind: str, m: str) -> str:
+    """A candidate without what only tells the spelling of the strict pattern from others."""
+    if kind == "email":
+        return DOT.sub(".", AT.sub("@", m))
+    if kind == "card":
+        return m.replace(".", " ")
+    return PREFIX.sub("", m) if kind == "phone" else m
+
+
+def passes(kind: str, form: str) -> bool:
+    """The check of any kind on a candidate's normal form."""
+    if kind == "email":
+        last = form.rpartition(".")[2]
+        return len(last) > 1 and last.isalpha()
+    if kind == "iban":
+        m = form.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in m[4:] + m[:4])) % 97 == 1
+    if kind == "national_id":
+        return form[:3] not in ("000", "666") and form[0] != "9" and form[4:6] != "00" and form[7:] != "0000"
+    return valid(kind, form)
+
+
+def near_number(text: str, a: int, b: int) -> bool:
+    """Whether a figure stands next to the span on its line, as in columns of numbers."""
+    return any(c.isdigit() for c in (*text[max(0, a - 2) : a].rpartition("\n")[2], *text[b : b + 2].partition("\n")[0]))
+
+
+def label(text: str, kind: str, a: int, b: int, check: bool) -> float | None:
+    """What is known of a candidate that no strict pattern accepts: 0 if it is none, 1 if its checksum tells, else nothing."""
+    m, before = text[a:b], text[max(0, a - 30) : a]
+    if not check or NUMBERS.search(before) or kind == "email" and " @" in m and "@ " in m and not TRIGGERS[0].search(before):
+        return 0.0
+    if kind == "iban":
+        return 1.0
+    return 0.0 if kind != "email" and (near_number(text, a, b) or DATE.match(m)) else None
+
+
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
-    m, d = text[a:b], digits_of(text[a:b])
-    groups = re.findall(r"[0-9]+", m)
+    m = normal(kind, text[a:b])
+    d, groups = digits_of(m), re.findall(r"[0-9]+", m)
     before = text[max(0, a - 30) : a]
-    out = [b - a, len(d), sum(c.isalpha() for c in m), len(groups), max(map(len, groups), default=0), m.count("+"), m.count("@"), m.count("."), m.count(" "), m.count("-"), m.count("("),
-           float(bool(d) and luhn(d)), float(all(len(g) < 4 and int(g) < 256 for g in groups)), float(text[a - 1 : a].isalpha()), float(text[b : b + 1].isalpha()), sum(c.isupper() for c in m)]
+    out = [len(m), len(d), sum(c.isalpha() for c in m), len(groups), max(map(len, groups), default=0), m.count("."), m.count(" "), m.count("-"), m.count("("),
+           float(bool(d) and luhn(d)), float(all(len(g) < 4 and int(g) < 256 for g in groups)), float(passes(kind, m)), float(text[a - 1 : a].isalpha()), float(text[b : b + 1].isalpha()),
+           float(near_number(text, a, b)), sum(c.isupper() for c in m)]
     return [*map(float, out), *(float(bool(t.search(before))) for t in TRIGGERS), *(float(kind == k) for k, _ in GENERATORS)]
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Generated spans and the base spans, once each; accepted: whether a base span of that kind covers the same digits or sign."""
-    strict = {(a, b, k) for a, b, k in base}
-    spans = set(strict)
+    """Base spans (accepted, label 1) and the generated spans that overlap none of them, once each."""
+    strict, ends = set(base), [0]
+    for _, e, _ in base:
+        ends.append(max(ends[-1], e))
+    starts = [a for a, _, _ in base]
+    spans = set()
     if "@" in text or "at)" in text or "at]" in text:
         spans.update((m.start(), m.end(), "email") for m in GENERATORS[0][1].finditer(text))
     for run in NUMERIC.finditer(text):
         for kind, pattern in GENERATORS[1:]:
             start, end = (max(0, run.start() - 4), run.end() + 40) if kind == "iban" else (max(0, run.start() - 2), run.end() + 1)
-            spans.update((m.start(), m.end(), kind) for m in pattern.finditer(text, start, end))
-    return [{"kind": k, "s": a, "e": b, "accepted": (a, b, k) in strict, "features": features(text, k, a, b)} for a, b, k in sorted(spans)]
+            # an optional separator before the first group is none of the number
+            spans.update((m.end() - len(m[0].lstrip(" .-")), m.end(), kind) for m in pattern.finditer(text, start, end))
+    out = []
+    for a, b, k in sorted(strict | {(a, b, k) for a, b, k in spans if ends[bisect_left(starts, b)] <= a}):
+        known, x = (a, b, k) in strict, features(text, k, a, b)
+        out.append({"kind": k, "s": a, "e": b, "accepted": known, "label": 1.0 if known else label(text, k, a, b, bool(x[CHECK])), "features": x})
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -165,10 +220,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
-    """Per checked kind the least score (in steps of 1/200) from which on the share of accepted candidates is ``precision``; 2 if none."""
-    bins = scored.groupBy("kind", F.floor(F.col("p") * 200).alias("bin")).agg(F.sum(F.col("accepted").cast("int")).alias("yes"), F.count(F.lit(1)).alias("n")).collect()
+    """Per kind the least score (in steps of 1/200) from which on the share of positive labels is ``precision``; 2 if none."""
+    bins = scored.filter("label IS NOT NULL").groupBy("kind", F.floor(F.col("p") * 200).alias("bin")).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect()
     out = {}
-    for kind in KINDS:
+    for kind in (*KINDS, *MORE):
         yes = n = 0
         best = 2.0
         for r in sorted((r for r in bins if r.kind == kind), key=lambda r: -r.bin):
@@ -176,28 +231,29 @@ def thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
             if yes >= precision * n and yes:
                 best = r.bin / 200
         out[kind] = best
-    checked = [x for x in out.values() if x < 2]
-    return out | {k: max(checked, default=2.0) for k in MORE}
+    checked = [out[k] for k in KINDS if out[k] < 2]
+    labelled = {r.kind for r in bins if r.yes}
+    return out | {k: max(checked, default=2.0) for k in MORE if k not in labelled}
 
 
 def find_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.99, trees: int = 12, depth: int = 4) -> DataFrame:
     """For every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     scanned = stage(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*").withColumn("h", F.pmod(F.xxhash64("row", "s", "e", "kind"), F.lit(1 << 20)))
-    checked = each.filter(F.col("kind").isin(*KINDS))
-    n = checked.count()
-    share = (1 << 20) * min(1.0, 2.0 * sample / max(n, 1))
-    part = checked.filter(F.col("h") < int(share)).withColumn("label", F.col("accepted").cast("double")).withColumn("vector", array_to_vector("features"))
-    fit_on = stage(part.filter("h % 2 = 0").select("label", "vector"), "pii-fit")
+    labelled = each.filter("label IS NOT NULL")
+    n = labelled.count()
+    share = (1 << 20) * min(1.0, sample / max(n, 1))
+    fit_on = stage(labelled.filter(F.col("h") < int(share)).select("label", array_to_vector("features").alias("vector")), "pii-fit")
     columns = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
     if fit_on.select("label").distinct().count() < 2:
         ready = scanned.select("row", *columns, "base", F.array().cast("array<struct<p:double, s:int, e:int, kind:string>>").alias("added"))
     else:
         model = GBTClassifier(labelCol="label", featuresCol="vector", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(fit_on)
-        limit = thresholds(model.transform(part.filter("h % 2 = 1")).withColumn("p", vector_to_array("probability")[1]), precision)
+        scored = model.transform(each.withColumn("vector", array_to_vector("features"))).select("row", "s", "e", "kind", "accepted", "label", vector_to_array("probability")[1].alias("p"))
+        scored = stage(scored, "pii-scored")
+        limit = thresholds(scored, precision)
         table = F.create_map(*(x for k, v in limit.items() for x in (F.lit(k), F.lit(float(v)))))
-        scored = model.transform(each.filter("NOT accepted").withColumn("vector", array_to_vector("features"))).withColumn("p", vector_to_array("probability")[1])
-        taken = scored.filter(F.col("p") >= table[F.col("kind")]).groupBy("row").agg(F.collect_list(F.struct("p", "s", "e", "kind")).alias("added"))
+        taken = scored.filter("NOT accepted AND coalesce(label, 1) > 0").filter(F.col("p") >= table[F.col("kind")]).groupBy("row").agg(F.collect_list(F.struct("p", "s", "e", "kind")).alias("added"))
         ready = scanned.select("row", *columns, "base").join(taken, "row", "left")
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -69,3 +69,33 @@ def test_edge_cases(spark):
     assert got == [(0, 0, 1, "ip:0:7"), (1, 0, 0, ""), (2, 0, 0, ""), (3, 1, 0, "email:0:5"), (3, 1, 0, "email:0:5")]
     assert find_pii(docs.limit(0)).count() == 0
     assert redact("mail x@y.z now", "email:5:10") == "mail [email] now"
+
+
+def iban(country, rest):
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
+    return f"{country}{check:02d}{rest}"
+
+
+def test_other_spellings_are_added_and_number_contexts_are_not(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = []
+    for _ in range(300):
+        rows += [f"call {rng.choice(['phone', 'tel'])} +{rng.choice(['', number(2) + ' '])}{number(3)} {number(3)} {number(4)} now", f"mail: contact bob{number(2)}@host{number(1)}.org today",
+                 f"version {rng.choice(['', number(2) + ' '])}{number(3)} {number(3)} {number(4)} of it", f"table {number(2)} {number(2)} {number(3)} {number(2)} {number(2)} {number(3)} {number(3)} {number(2)} end", f"see phone {number(2)} {number(2)} {number(2)} here",
+                 f"pay to iban {iban('DE', number(18))} soon", f"part list ref XY{number(18)} soon"]
+    planted = {len(rows): ("please call phone 555 123 4567 now", "phone"), len(rows) + 1: ("contact alice(at)example.org today", "email"),
+               len(rows) + 2: ("please contact alice (at) example (dot) org today", "email"), len(rows) + 3: (f"pay to iban {iban('FR', number(23))} soon", "iban"),
+               len(rows) + 4: ("version 555 123 4567 of it", None), len(rows) + 5: ("isbn 978 123 456 7890", None), len(rows) + 6: ("on 2024-01-02 10 30 at noon", None)}
+    table = [(i, t) for i, t in enumerate(rows)] + [(i, t) for i, (t, _) in planted.items()]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    for i, (text, kind) in planted.items():
+        assert [x.split(":")[0] for x in got[i].spans.split(",") if x] == ([kind] if kind else []), (text, got[i].spans)
+
+
+def test_thresholds_cover_all_candidates(spark):
+    """Rare negatives that no small sample holds still set the threshold."""
+    from strataflow.llm.pii import thresholds
+
+    scored = spark.createDataFrame([("phone", 0.9, 1.0)] * 98 + [("phone", 0.5, 0.0)] * 2 + [("phone", 0.5, None)] * 50, "kind string, p double, label double")
+    assert thresholds(scored, 0.99)["phone"] == 0.9 and thresholds(scored, 0.9)["phone"] == 0.5
