@@ -9,9 +9,10 @@ ordinary one; a document's are the means of these differences over the words of
 most telling runs of words. A logistic regression over
 them, fitted on labelled rows that the models have not seen, calibrates the score.
 
-Counts cover every labelled training row and come from Spark aggregations; the finished model is a sorted
-table of at most ``MAX_KEYS`` 64-bit keys (48 MB) that is broadcast. Only if there were more n-grams, those
-seen least often would be left to the backoff, as language models are pruned.
+Counts cover every labelled training row and come from Spark aggregations, and no n-gram is pruned. A model
+of up to ``MAX_KEYS`` 64-bit keys (48 MB) is broadcast as a sorted table; a larger one stays a distributed
+table: the distinct words' n-grams are joined with it, and the words' evidence with each text's word
+positions. Both ways give the same evidence.
 
 Defined cases: null, empty and wordless texts have no evidence (all features 0) and get the score that
 calibration gives to that; repeated rows are scored each; labels of a doc_id that occurs several times
@@ -38,7 +39,7 @@ from strataflow.llm.common import fresh_name, stage, text_of
 from strataflow.llm.shingles import mix64
 
 ORDER, DISCOUNT = 6, 0.75
-MAX_KEYS = 4_000_000
+MAX_KEYS = 4_000_000  # of a model that is broadcast; a larger one is joined
 PRIOR = 4.0  # log-odds against toxicity where nothing calibrates
 RUNS = (1, 3, 8)  # lengths, in words, of the runs whose best one is a feature
 FEATURES = ("whole", *(f"best{n}" for n in RUNS), "second", "third")
@@ -135,7 +136,7 @@ def shared_model(grams: DataFrame, order: int) -> DataFrame:
 
 
 def evidence_rows(grams: DataFrame, order: int) -> DataFrame:
-    """(key, is_context, v, n): log-likelihood differences of known n-grams, and of known contexts with an unknown sign."""
+    """(key, is_context, v): log-likelihood differences of known n-grams, and of known contexts with an unknown sign."""
     grams = stage(grams, "grams")
     shared = shared_model(grams, order).select(F.col("g").alias("suffix"), F.col("p"))
     kinds = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
@@ -152,13 +153,13 @@ def evidence_rows(grams: DataFrame, order: int) -> DataFrame:
 
     known = (grams.withColumn("context", _context()).withColumn("suffix", F.expr("substring(g, 2)"))
              .join(context, "context").join(shared, "suffix").withColumn("both", both)
-             .select(F.col("g").alias("key"), F.lit(False).alias("is_context"), F.log(p(1) / p(0)).alias("v"), (F.col("c0") + F.col("c1")).alias("n")))
-    unknown = context.select(F.col("context").alias("key"), F.lit(True), F.log(rest(1) / rest(0)).alias("v"), (F.col("s0") + F.col("s1")).alias("n"))
+             .select(F.col("g").alias("key"), F.lit(False).alias("is_context"), F.log(p(1) / p(0)).alias("v")))
+    unknown = context.select(F.col("context").alias("key"), F.lit(True), F.log(rest(1) / rest(0)).alias("v"))
     return stage(known.union(unknown), "evidence")
 
 
-def keyed_model(evidence: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values), sorted by key; at most ``MAX_KEYS`` rows reach the driver."""
+def hashed(evidence: DataFrame, order: int) -> DataFrame:
+    """(k, v): the evidence by 64-bit key."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -168,18 +169,20 @@ def keyed_model(evidence: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray
             place = np.arange(len(signs)) - np.repeat(ends + 1 - lengths, lengths)
             h = _gram_hashes(signs, place, order)[0][ends]
             h = np.where(part["is_context"].to_numpy(), mix64(h ^ _A), h)
-            yield pd.DataFrame({"k": [h.tobytes()], "v": [part["v"].to_numpy(np.float32).tobytes()]})
-
-    least = 1
-    if evidence.count() > MAX_KEYS:
-        sizes = sorted((r.n, r["count"]) for r in evidence.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect())
-        left = sum(c for _, c in sizes)
-        for n, c in sizes:
-            if left <= MAX_KEYS:
-                break
-            least, left = n + 1, left - c
+            yield pd.DataFrame({"k": h.view(np.int64), "v": part["v"].to_numpy(np.float32)})
+
+    return evidence.mapInPandas(run, "k bigint, v float")
+
+
+def keyed_model(evidence: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values), sorted by key; for evidence of at most ``MAX_KEYS`` rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"k": [part["k"].to_numpy(np.int64).tobytes()], "v": [part["v"].to_numpy(np.float32).tobytes()]})
+
     # a batch comes as one row of two packed arrays: 12 bytes a key on the driver
-    packed = evidence.filter(F.col("n") >= least).mapInPandas(run, "k binary, v binary").collect()
+    packed = hashed(evidence, order).mapInPandas(run, "k binary, v binary").collect()
     keys, values = np.frombuffer(b"".join(r.k for r in packed), np.uint64), np.frombuffer(b"".join(r.v for r in packed), np.float32)
     order_ = np.argsort(keys)
     return keys[order_], values[order_]
@@ -242,6 +245,55 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int)
     return docs.mapInPandas(run, "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def evidence_by_join(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """What ``evidence`` gives, for a model of any size: ``rows`` are joined with the n-grams of the distinct words."""
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["row", "doc_id", "word", "at"]
+        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"row": "int64", "doc_id": "Int64"})
+        for part in parts:
+            out = []
+            ids = [None if pd.isna(x) else int(x) for x in part["doc_id"]]
+            for row, doc_id, text in zip(part["row"], ids, part["text"], strict=True):
+                at: dict[str | None, list[int]] = {}
+                for i, word in enumerate(words_of(text)):
+                    at.setdefault(word, []).append(i)
+                out += [(row, doc_id, word, places) for word, places in (at or {None: []}).items()]
+                if len(out) > 50_000:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
+
+    def letters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            signs, place = _signs(list(part["word"]))
+            g, c = _gram_hashes(signs, place, order)[0], _context_hashes(signs, place, order)
+            words = np.repeat(part["word"].to_numpy(object), part["word"].str.len() + 2)
+            yield pd.DataFrame({"word": words[place > 0], "g": g[place > 0].view(np.int64), "c": c[place > 0].view(np.int64)})
+
+    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for xs, sizes, at in zip(part["xs"], part["sizes"], part["at"], strict=True):
+                x = np.zeros(len(at))
+                x[np.asarray(at, np.int64)] = np.repeat(np.asarray(xs, np.float64), np.asarray(sizes, np.int64))
+                rows.append(doc_features(x))
+            out = pd.DataFrame(rows, columns=list(FEATURES), dtype="float64")
+            out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy() if part["doc_id"].notna().all() else pd.array(part["doc_id"], dtype="Int64"))
+            yield out
+
+    places = stage(docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(spread, "row bigint, doc_id bigint, word string, at array<int>"), "places")
+    model = stage(hashed(rows, order).groupBy("k").agg(F.min("v").alias("v")), "keys")
+    of_words = places.filter("word IS NOT NULL").select("word").distinct().mapInPandas(letters, "word string, g bigint, c bigint")
+    known, back = model.select(F.col("k").alias("g"), F.col("v").alias("known")), model.select(F.col("k").alias("c"), F.col("v").alias("back"))
+    signs = of_words.join(known.hint("merge"), "g", "left").join(back.hint("merge"), "c", "left")
+    words = stage(signs.groupBy("word").agg(F.sum(F.coalesce("known", "back", F.lit(0.0)).cast("double")).alias("x")), "words")
+    texts = (places.join(words.hint("merge"), "word", "left").groupBy("row")
+             .agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.coalesce("x", F.lit(0.0))).alias("xs"), F.collect_list(F.size("at")).alias("sizes"), F.flatten(F.collect_list("at")).alias("at")))
+    return texts.drop("row").mapInPandas(features, "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
 def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string"))
 
@@ -259,8 +311,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibra
     for_counts = known.filter("part <> 0").select("doc_id", "toxic")
     few = for_counts.count() <= BROADCAST_LABELS
     train = texts.join(F.broadcast(for_counts) if few else for_counts.hint("merge"), "doc_id").select("text", "toxic")
-    model = keyed_model(evidence_rows(count_grams(train, order), order), order)
-    found = stage(evidence(texts, model, order), "evidence")
+    rows = evidence_rows(count_grams(train, order), order)
+    scored = evidence(texts, keyed_model(rows, order), order) if rows.count() <= MAX_KEYS else evidence_by_join(texts, rows, order)
+    found = stage(scored, "evidence")
     fit_on = found.join(known.filter("part = 0").select("doc_id", "toxic").hint("merge"), "doc_id")
     found = found.withColumn("held_out", F.coalesce(fold() % 5 == 0, F.lit(False)))
     vector, score = "features_vector", F.col("score")

@@ -125,3 +125,14 @@ def test_every_user_turn_of_the_conversations_is_a_call(spark):
         assert line["call"]["arguments"]["query"] == users[conv, turn].text and r.line == json.dumps(line, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         assert line["result"] == (answer.text if answer and answer.role == "assistant" else None)
     assert link_calls(as_tool_messages(table.limit(0)), TOOLS).count() == 0
+
+
+def test_models_of_any_size_give_the_same_scores(spark, monkeypatch):
+    from strataflow.llm import toxicity as module
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "1 2"), (None, "word"), (-5, None)], "doc_id bigint, text string"))
+    score = lambda: sorted((r.doc_id or 0, round(r.score, 9)) for r in toxicity(docs, labels).collect())
+    held = score()
+    monkeypatch.setattr(module, "MAX_KEYS", 1000)
+    assert score() == held and len(held) == docs.count()
