@@ -12,7 +12,8 @@
 Prefix sums and ranks are made in two levels (hash ranges, then rows; slot chunks, then slots), so no
 source, however large, is gathered in one task.
 
-Defined cases: null text has size 0; null source is one source, last; documents without words take 0;
+Defined cases: null text has size 0; null source is one source, last; rows without doc_id end the line of their
+source, by size; documents without words take 0;
 repeated rows are separate documents; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -39,7 +40,10 @@ def word_count(text="text"):
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the shuffle key; the only pass over the texts."""
-    return docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h"))
+    size, any_of_16 = word_count(), F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, 1)
+    # "z" is beyond every digest; rows of one size without doc_id are alike, so any order of them will do
+    unnamed = F.concat(F.lit("z"), F.lpad(size.cast("string"), 19, "0"), any_of_16)
+    return docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), unnamed).alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), volume: float = 1.5, cap: int = 2) -> DataFrame:
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), volume: float = 1.5
     per_source = targets.select("source_no", F.col("source").alias("of"), "source_size", "target", "need")
     per_source = F.broadcast(per_source) if small else per_source.hint("merge")
     numbered = (sizes.join(per_source, sizes.source.eqNullSafe(per_source["of"])).drop("of")
-                .withColumn("bucket", F.substring("h", 1, 3)))
+                .withColumn("bucket", F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(F.substring("h", 1, 3))))
     starts = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
                .select("source_no", "bucket", F.coalesce(F.sum("words").over(starts), F.lit(0)).alias("start")))

@@ -153,3 +153,17 @@ def test_containment_against_plain_sets(spark):
 def test_sketches_exceed_what_a_contained_item_may_lack():
     for n in range(1, 500):
         assert n - -(-80 * n // 100) < sketch_size(n, 80) <= n
+
+
+def test_rows_without_doc_id_are_mixed_as_in_sql(spark):
+    import duckdb
+
+    from strataflow.llm.source_mix import OP3_SQL
+
+    rows = [(None if i % 3 == 0 else i, "w " * (i * 7 % 90), f"s{i % 2}") for i in range(300)]
+    got = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).drop("source").collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert len(got) == 300 and sorted(map(tuple, got), key=key) == sorted(db.execute(OP3_SQL).fetchall(), key=key)
