@@ -6,12 +6,14 @@ depends on each call whose result its arguments quote as ``"$result:ID"``; calls
 of their longest chain of dependencies, then by turn and position. Arguments are checked against a schema
 per tool, and each linked call becomes one line of canonical JSON (sorted keys, no spaces, no escapes).
 
-Conversations are never gathered: a line carries its sort key (level, turn, position).
+Conversations are never gathered: a line carries its sort key (level, turn, position, then the line itself).
 
 Defined cases: text that is not such JSON holds no calls; calls without result keep a null result; of
 several results the earliest turn counts; results without call are left out; calls in or after a cycle have
-a null level and status ``cyclic``; references to unknown calls make status ``unresolved``; repeated rows
-count once; a null conversation is one of its own; an empty table gives an empty result.
+a null level and status ``cyclic``; references to unknown calls make status ``unresolved``; calls equal
+in all fields count once; other calls with one identifier all stay, with status ``ambiguous``, the level of their
+longest chain and the identifier's result; calls without identifier stay, with status ``no id`` and no result; a
+null conversation is one of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,10 +52,15 @@ def canonical(value) -> str:
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, id, name, arguments (JSON text) of each call."""
+    """conv_id, turn, pos, id, name, arguments (JSON text) and node of each call.
+
+    The node is the identifier, or for calls without one a text that no reference can name.
+    """
     parsed = messages.filter("role = 'assistant'").select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv_id"), "turn", F.from_json("text", CALLS_JSON).alias("j"))
-    return (parsed.select("conv_id", "turn", F.posexplode("j.tool_calls").alias("pos", "c")).select("conv_id", "turn", "pos", "c.*")
-            .filter("id IS NOT NULL").dropDuplicates(["conv_id", "id"]))
+    calls = (parsed.select("conv_id", "turn", F.posexplode("j.tool_calls").alias("pos", "c")).filter("c IS NOT NULL")
+             .select("conv_id", "turn", "pos", "c.*").distinct())
+    unnamed = F.concat(F.lit('"'), F.sha2(F.to_json(F.struct("turn", "pos", "name", "arguments")), 256))
+    return calls.withColumn("node", F.coalesce("id", unnamed))
 
 
 def parse_results(messages: DataFrame) -> DataFrame:
@@ -65,9 +72,13 @@ def parse_results(messages: DataFrame) -> DataFrame:
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id, level (0: no dependency; null: cyclic), unresolved: whether a reference names no call."""
+    """conv_id, id, level (0: no dependency; null: cyclic), unresolved: whether a reference names no call.
+
+    One row per identifier: calls that share one have all their dependencies in common.
+    """
     refs = F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$result:([^"]+)"'), 1))
-    edges = calls.select("conv_id", "id", F.explode(refs).alias("needs"))
+    edges = calls.select("conv_id", "id", F.explode(refs).alias("needs")).distinct()
+    calls = stage(calls.select("conv_id", "id").distinct(), "call-ids")
     known = calls.select("conv_id", F.col("id").alias("needs"), F.lit(True).alias("known"))
     edges = stage(edges.join(known, ["conv_id", "needs"], "left"), "call-edges")
     lost = edges.filter("known IS NULL").select("conv_id", "id").distinct().withColumn("unresolved", F.lit(True))
@@ -90,7 +101,10 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call: conv_id, level, turn, pos, call_id, result_turn, status, errors, line."""
     calls = stage(parse_calls(messages), "calls")
-    joined = calls.join(parse_results(messages).hint("shuffle_hash"), ["conv_id", "id"], "left").join(call_levels(calls), ["conv_id", "id"])
+    results = parse_results(messages).withColumnRenamed("id", "node")
+    levels = call_levels(calls.drop("id").withColumnRenamed("node", "id")).withColumnRenamed("id", "node")
+    shared = calls.groupBy("conv_id", "node").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
+    joined = calls.join(results.hint("shuffle_hash"), ["conv_id", "node"], "left").join(levels, ["conv_id", "node"]).join(shared, ["conv_id", "node"]).drop("node")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -106,7 +120,7 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             yield part.assign(line=lines, errors=errors)[[f.name for f in out.fields]]
 
     out = T.StructType([*(f for f in joined.schema.fields if f.name not in ("name", "arguments", "result")), T.StructField("errors", T.StringType()), T.StructField("line", T.StringType())])
-    status = (F.when(F.col("level").isNull(), "cyclic").when(F.col("unresolved"), "unresolved").when(F.col("errors") != "", "invalid")
+    status = (F.when(F.col("id").isNull(), "no id").when(F.col("ambiguous"), "ambiguous").when(F.col("level").isNull(), "cyclic").when(F.col("unresolved"), "unresolved").when(F.col("errors") != "", "invalid")
               .when(F.col("result_turn").isNull(), "pending").otherwise("linked"))
     conv = F.when(F.col("conv_id") != NO_ID, F.col("conv_id")).alias("conv_id")
     return joined.mapInPandas(run, out).select(conv, "level", "turn", "pos", F.col("id").alias("call_id"), "result_turn", status.alias("status"), "errors", "line")

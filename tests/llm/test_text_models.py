@@ -136,3 +136,14 @@ def test_models_of_any_size_give_the_same_scores(spark, monkeypatch):
     held = score()
     monkeypatch.setattr(module, "MAX_KEYS", 1000)
     assert score() == held and len(held) == docs.count()
+
+
+def test_calls_with_shared_or_no_identifier_stay(spark):
+    from strataflow.llm.tool_calls import TOOLS
+
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "x"), (1, None, "user", "d"), (1, 0, "user", "e"), (1, 1, "assistant", "y"),
+            (2, 0, "user", "f"), (2, 0, "user", "f"), (2, 2, "user", "g"), (2, 2, "user", "h")]
+    got = link_calls(as_tool_messages(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")), TOOLS).collect()
+    said = sorted((r.conv_id or 0, json.loads(r.line)["call"]["arguments"]["query"], r.call_id, r.level, r.status) for r in got)
+    assert said == [(0, "a", "0", 0, "ambiguous"), (0, "b", "0", 0, "ambiguous"), (0, "c", "0", 0, "ambiguous"), (1, "d", None, 0, "no id"), (1, "e", "0", 0, "linked"),
+                    (2, "f", "0", 0, "pending"), (2, "g", "2", 1, "ambiguous"), (2, "h", "2", 1, "ambiguous")]
