@@ -5,7 +5,9 @@ of menus, page headers, footers, sidebars, notices, adverts, forms and reader co
 a page marks its article (``article``, ``main``), only lines in it have weight, else text outside links has.
 The weights are summed over sliding windows of ``WINDOW`` lines; the text surges where the sum rises above
 nothing and dives where it falls back, and what lies between is kept. Without a marked article the stretch
-with most text is kept, and others with at least ``SHARE`` of its text.
+with most text names the container, the innermost element around all its paragraphs: all lines of that element
+from its first surge to its last dive are kept, with the lists of links between. Only outside it do stretches
+with less than ``SHARE`` of the main stretch's text go.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; truncated pages end all
 open elements; ``br`` is white space; white space is what ``str.split`` splits on; repeated rows are kept;
@@ -33,6 +35,8 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "picture", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+#: Blocks of running text: a line's container is the innermost open element that is none of these.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "address", "center"}
 ARTICLE = {"article", "main"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 NOISE_WORDS = {
@@ -44,11 +48,27 @@ NOISE_WORDS = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form"}
 
 
+class Element:
+    """An open element that contains lines, with the one around it."""
+
+    __slots__ = ("depth", "parent")
+
+    def __init__(self, parent: Element | None) -> None:
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+    def up(self, depth: int) -> Element:
+        found = self
+        while found.depth > depth:
+            found = found.parent
+        return found
+
+
 class Line(NamedTuple):
     text: str
     in_article: bool
     in_noise: bool
     link_chars: int
+    container: Element
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -77,7 +97,11 @@ def lines_of(page: str) -> list[Line]:
     pieces: list[str] = []
     linked = 0
     article = noise = links = 0  # open elements of each kind
-    stack: list[tuple[str, str]] = []  # open elements: (name, kind)
+    page_element = Element(None)
+    stack: list[tuple[str, str, Element]] = []  # open elements: (name, kind, container of lines in it)
+
+    def container() -> Element:
+        return stack[-1][2] if stack else page_element
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -91,7 +115,7 @@ def lines_of(page: str) -> list[Line]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Line(text, article > 0, noise > 0, linked))
+                out.append(Line(text, article > 0, noise > 0, linked, container()))
             pieces.clear()
         linked = 0
 
@@ -113,9 +137,9 @@ def lines_of(page: str) -> list[Line]:
         if name not in INLINE:
             end_line()
         if m["close"] or m["close2"]:
-            if any(n == name for n, _ in reversed(stack)):
+            if any(n == name for n, *_ in reversed(stack)):
                 while stack:
-                    n, kind = stack.pop()
+                    n, kind, _ = stack.pop()
                     drop(kind)
                     if n == name:
                         break
@@ -130,7 +154,7 @@ def lines_of(page: str) -> list[Line]:
         if name == "p":  # a paragraph ends at the next one, with the inline elements left open in it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    for _, kind in stack[i:]:
+                    for _, kind, _ in stack[i:]:
                         drop(kind)
                     del stack[i:]
                     break
@@ -140,7 +164,7 @@ def lines_of(page: str) -> list[Line]:
         article += kind == "article"
         noise += kind == "noise"
         links += kind == "link"
-        stack.append((name, kind))
+        stack.append((name, kind, container() if name in FLOW or name in INLINE else Element(container())))
     add(page[at:])
     end_line()
     return out
@@ -167,11 +191,28 @@ def main_text(page: str | None) -> str:
     marked = any(x.in_article for x in lines)
     weights = [len(x.text) * x.in_article if marked else max(len(x.text) - 2 * x.link_chars, 0) for x in lines]
     found = stretches(weights)
-    if not marked and found:
-        size = {s: sum(weights[s[0] : s[1]]) for s in found}
-        found = [s for s in found if size[s] >= SHARE * max(size.values())]
-    keep = [x.text for a, b in found for x in lines[a:b] if x.in_article or not marked]
-    return "\n".join(keep)
+    if marked or not found:
+        return "\n".join(x.text for a, b in found for x in lines[a:b] if x.in_article)
+    size = {s: sum(weights[s[0] : s[1]]) for s in found}
+    most = max(size.values())
+    main = next(s for s in found if size[s] == most)
+    around = common_container([x.container for x, w in zip(lines[main[0] : main[1]], weights[main[0] : main[1]], strict=True) if w])
+    inside = [x.container.up(around.depth) is around for x in lines]
+    full = [i for a, b in found for i in range(a, b) if inside[i] and weights[i]]
+    kept = {i for i in range(full[0], full[-1] + 1) if inside[i]}
+    kept |= {i for s in found if size[s] >= SHARE * most for i in range(*s)}
+    return "\n".join(lines[i].text for i in sorted(kept))
+
+
+def common_container(elements: list[Element]) -> Element:
+    """The innermost element around all."""
+    found = elements[0]
+    for other in elements[1:]:
+        depth = min(found.depth, other.depth)
+        found, other = found.up(depth), other.up(depth)
+        while found is not other:
+            found, other = found.parent, other.parent
+    return found
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

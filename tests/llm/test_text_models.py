@@ -147,3 +147,10 @@ def test_calls_with_shared_or_no_identifier_stay(spark):
     said = sorted((r.conv_id or 0, json.loads(r.line)["call"]["arguments"]["query"], r.call_id, r.level, r.status) for r in got)
     assert said == [(0, "a", "0", 0, "ambiguous"), (0, "b", "0", 0, "ambiguous"), (0, "c", "0", 0, "ambiguous"), (1, "d", None, 0, "no id"), (1, "e", "0", 0, "linked"),
                     (2, "f", "0", 0, "pending"), (2, "g", "2", 1, "ambiguous"), (2, "h", "2", 1, "ambiguous")]
+
+
+def test_unmarked_article_that_a_link_list_divides():
+    links = "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(4))
+    prose, end = "Prose of the page. " * 100, "The closing paragraph. " * 13
+    page = f"<body><div><a href=x>Home</a></div><div class=text><p>{prose}</p><ul>{links}</ul><p>{end}</p></div><div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div><div><p>Small print</p></div></body>"
+    assert main_text(page) == "\n".join([prose.strip(), *(f"Link number {i}" for i in range(4)), end.strip()])
