@@ -1,13 +1,18 @@
 """Main text of web pages by their line-block distribution.
 
-Markup is stripped into lines, one per block element (white space inside a line becomes one space). Lines
-of menus, page headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing; where
-a page marks its article (``article``, ``main``), only lines in it have weight, else text outside links has.
-The weights are summed over sliding windows of ``WINDOW`` lines; the text surges where the sum rises above
-nothing and dives where it falls back, and what lies between is kept. Without a marked article the stretch
-with most text names the container, the innermost element around all its paragraphs: all lines of that element
-from its first surge to its last dive are kept, with the lists of links between. Only outside it do stretches
-with less than ``SHARE`` of the main stretch's text go.
+1. Markup is stripped into lines, one per block element (white space inside a line becomes one space).
+2. Each line gets a weight: its length plus ``LINE``, less twice the length of its links. Markup only scales it: lines
+   in an element that is named for adverts, notices, comments and the like weigh ``NAMED`` of it, lines outside
+   a marked article (``article``, ``main``) weigh ``OUTSIDE`` of it, lines inside weigh ``MARKED`` more. Copyright lines
+   count as named. Lines in navigation, page headers and footers, sidebars, forms and hidden elements weigh nothing.
+3. Weights are summed over sliding windows of ``WINDOW`` lines; where the page enters or leaves a container (an element
+   that is no running text) stand as many empty lines. The text surges where the sum rises above nothing and
+   dives where it falls back to it. A stretch between surge and dive counts as text if its greatest window
+   reaches ``SURGE`` of the page's greatest one, and ``LEAST`` at least.
+4. The stretch with most weight names the article: its marked element, else the innermost container around it,
+   widened while all further lines of the next container are plain text. Lines of that container between its first
+   surge and its last dive are kept, however short; stretches elsewhere, and named ones anywhere, are
+   kept only if they count as text.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; truncated pages end all
 open elements; ``br`` is white space; white space is what ``str.split`` splits on; repeated rows are kept;
@@ -25,7 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, SHARE = 3, 0.25
+WINDOW = 3
+SURGE, LEAST = 1 / 2, 8.0
+LINE, MARKED = 8, 40
+NAMED = OUTSIDE = 0.02
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -39,35 +47,38 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "address", "center"}
 ARTICLE = {"article", "main"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
+#: An element is named for noise if each part of one of its names is in NOISE_WORDS or, beside one, in GENERIC.
 NOISE_WORDS = {
     "nav", "navbar", "navigation", "menu", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising",
     "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "breadcrumb",
     "breadcrumbs", "social", "share", "sharing", "related", "recommended", "comment", "comments", "disqus", "newsletter", "subscribe",
     "login", "signup", "search", "pagination", "pager", "copyright",
 }
+GENERIC = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "buttons", "container", "content", "form", "group", "holder", "inner", "item", "items", "left", "link", "links",
+    "list", "main", "outer", "page", "panel", "post", "posts", "right", "section", "site", "slot", "text", "the", "thread", "top", "unit", "widget", "wrap", "wrapper", "article", "articles",
+}
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form"}
 
 
 class Element:
     """An open element that contains lines, with the one around it."""
 
-    __slots__ = ("depth", "parent")
-
-    def __init__(self, parent: Element | None) -> None:
-        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+    __slots__ = ("article", "depth", "parent", "top", "unlike")
 
-    def up(self, depth: int) -> Element:
-        found = self
-        while found.depth > depth:
-            found = found.parent
-        return found
+    def __init__(self, parent: Element | None, top: bool = False, article: bool = False) -> None:
+        self.parent, self.depth, self.top = parent, parent.depth + 1 if parent else 0, top
+        #: the marked article that it lies in, or None
+        self.article = self if article else parent.article if parent else None
+        self.unlike = 0  # lines in it that are no plain text
 
 
 class Line(NamedTuple):
     text: str
-    in_article: bool
-    in_noise: bool
     link_chars: int
+    dead: bool  # in navigation, header, footer, sidebar, form or hidden
+    named: bool  # in an element named for adverts, notices, comments and the like
     container: Element
 
 
@@ -75,20 +86,21 @@ def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(raw)}
 
 
-def _is_noise(name: str, raw: str, in_article: bool) -> bool:
+def _kind(name: str, raw: str, in_article: bool) -> str:
+    """Whether an element's lines are ``dead``, ``named`` for noise or neither."""
     if name in BOILERPLATE or name == "header" and not in_article:
-        return True
+        return "dead"
     if not raw.strip():
-        return False
+        return ""
     attrs = _attributes(raw)
     if "hidden" in attrs or attrs.get("role", "").lower() in ROLES:
-        return True
+        return "dead"
     if name in ("html", "body") or name in ARTICLE:
-        return False
-    # "has-sidebar" and the like speak of the page around, not of the element
-    names = re.sub(r"\b(?:has|no|with|without)[-_][a-z0-9]+", "", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    words = set(re.split(r"[^a-z0-9]+", names))
-    return bool(words & NOISE_WORDS) or "header" in words and not in_article
+        return ""
+    names = [{x for x in re.split(r"[^a-z]+", one) if x} for one in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
+    noise = [bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | GENERIC or "header" in parts and not in_article for parts in names]
+    # a paragraph of the article needs all its names to be of that kind
+    return "named" if noise and (all(noise) if in_article and name in FLOW else any(noise)) else ""
 
 
 def lines_of(page: str) -> list[Line]:
@@ -96,8 +108,8 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     pieces: list[str] = []
     linked = 0
-    article = noise = links = 0  # open elements of each kind
-    page_element = Element(None)
+    dead = named = links = 0  # open elements of each kind
+    page_element = Element(None, top=True)
     stack: list[tuple[str, str, Element]] = []  # open elements: (name, kind, container of lines in it)
 
     def container() -> Element:
@@ -115,14 +127,15 @@ def lines_of(page: str) -> list[Line]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Line(text, article > 0, noise > 0, linked, container()))
+                around = container()
+                out.append(Line(text, linked, dead > 0, named > 0 or around.article is None and COPYRIGHT.match(text) is not None, around))
             pieces.clear()
         linked = 0
 
     def drop(kind: str) -> None:
-        nonlocal article, noise, links
-        article -= kind == "article"
-        noise -= kind == "noise"
+        nonlocal dead, named, links
+        dead -= kind == "dead"
+        named -= kind == "named"
         links -= kind == "link"
 
     at = 0
@@ -160,58 +173,108 @@ def lines_of(page: str) -> list[Line]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        kind = "article" if name in ARTICLE else "noise" if _is_noise(name, raw, article > 0) else "link" if name == "a" else ""
-        article += kind == "article"
-        noise += kind == "noise"
+        around = container()
+        kind = _kind(name, raw, around.article is not None) or ("link" if name == "a" else "")
+        dead += kind == "dead"
+        named += kind == "named"
         links += kind == "link"
-        stack.append((name, kind, container() if name in FLOW or name in INLINE else Element(container())))
+        inline = name in INLINE or name in FLOW and not kind
+        stack.append((name, kind, around if inline else Element(around, name in ("html", "body"), name in ARTICLE)))
     add(page[at:])
     end_line()
     return out
 
 
-def stretches(weights: list[int]) -> list[tuple[int, int]]:
-    """Line ranges [surge, dive) in which the windowed sum of weights stays above nothing, trimmed to lines with weight."""
+def weights_of(lines: list[Line]) -> list[float]:
+    """Each line's weight; a line that is mostly links, or dead, has none."""
+    marked = any(x.container.article for x in lines if not x.dead)
+    out = []
+    for x in lines:
+        inside = x.container.article is not None
+        w = 0.0 if x.dead else len(x.text) - 2 * x.link_chars * (not inside)
+        if w > 0:
+            w = (w + LINE + MARKED * inside) * (NAMED if x.named else 1.0) * (OUTSIDE if marked and not inside else 1.0)
+        out.append(max(w, 0.0))
+    return out
+
+
+class Stretch(NamedTuple):
+    start: int
+    end: int
+    peak: float  # the greatest window
+    total: float
+
+
+def stretches(lines: list[Line], weights: list[float]) -> list[Stretch]:
+    """Ranges of lines from surge to dive: the windowed sum stays above nothing inside. Empty lines stand between containers."""
+    places: list[int | None] = []
+    for i, line in enumerate(lines):
+        if i and (line.container is not lines[i - 1].container or line.named != lines[i - 1].named):
+            places += [None] * WINDOW
+        places.append(i)
     half = WINDOW // 2
-    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(weights))]
-    out, start = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total > 0 and start is None:
-            start = i
-        elif total <= 0 and start is not None:
-            first = next((j for j in range(start, i) if weights[j]), None)
-            if first is not None:
-                out.append((first, next(j for j in range(i - 1, start - 1, -1) if weights[j]) + 1))
-            start = None
+    padded = [0.0] * half + [0.0 if i is None else weights[i] for i in places] + [0.0] * half
+    out: list[Stretch] = []
+    held: list[int] = []
+    peak = 0.0
+    for at, i in enumerate([*places, None]):
+        total = sum(padded[at : at + WINDOW]) if at < len(places) else 0.0
+        if total > 0:
+            peak = max(peak, total)
+            if i is not None and weights[i] > 0:
+                held.append(i)
+        elif held:
+            out.append(Stretch(held[0], held[-1] + 1, peak, sum(weights[held[0] : held[-1] + 1])))
+            held, peak = [], 0.0
     return out
 
 
 def main_text(page: str | None) -> str:
-    lines = [x for x in lines_of(page or "") if not x.in_noise]
-    marked = any(x.in_article for x in lines)
-    weights = [len(x.text) * x.in_article if marked else max(len(x.text) - 2 * x.link_chars, 0) for x in lines]
-    found = stretches(weights)
-    if marked or not found:
-        return "\n".join(x.text for a, b in found for x in lines[a:b] if x.in_article)
-    size = {s: sum(weights[s[0] : s[1]]) for s in found}
-    most = max(size.values())
-    main = next(s for s in found if size[s] == most)
-    around = common_container([x.container for x, w in zip(lines[main[0] : main[1]], weights[main[0] : main[1]], strict=True) if w])
-    inside = [x.container.up(around.depth) is around for x in lines]
-    full = [i for a, b in found for i in range(a, b) if inside[i] and weights[i]]
-    kept = {i for i in range(full[0], full[-1] + 1) if inside[i]}
-    kept |= {i for s in found if size[s] >= SHARE * most for i in range(*s)}
+    lines = lines_of(page or "")
+    weights = weights_of(lines)
+    found = stretches(lines, weights)
+    least = max(LEAST, SURGE * max((s.peak for s in found), default=0.0))
+    full = [s for s in found if s.peak >= least]
+    if not full:
+        return ""
+    # a peak that counts need not belong to the stretch with most weight, which is the main one
+    main = max(full, key=lambda s: (s.total, -s.start))
+    around = article_around(lines, weights, lines[main.start].container)
+    within: dict[Element, bool] = {around: True}
+    inside = [not x.dead and not x.named and (w > 0 or x.link_chars > 0) and is_within(x.container, around.depth, within) for x, w in zip(lines, weights, strict=True)]
+    own = [s for s in found if inside[s.start] and (not around.top or lines[s.start].container is around)]
+    kept = {i for i in range(min(s.start for s in own), max(s.end for s in own)) if inside[i]} if own else set()
+    kept |= {i for s in full for i in range(s.start, s.end) if not lines[i].dead}
     return "\n".join(lines[i].text for i in sorted(kept))
 
 
-def common_container(elements: list[Element]) -> Element:
-    """The innermost element around all."""
-    found = elements[0]
-    for other in elements[1:]:
-        depth = min(found.depth, other.depth)
-        found, other = found.up(depth), other.up(depth)
-        while found is not other:
-            found, other = found.parent, other.parent
+def is_within(element: Element, depth: int, known: dict[Element, bool]) -> bool:
+    """Whether an element lies in the one of that depth that ``known`` starts with; answers are remembered in it."""
+    path = []
+    while element not in known and element.depth > depth:
+        path.append(element)
+        element = element.parent
+    found = known.get(element, False)
+    known.update(dict.fromkeys(path, found))
+    return found
+
+
+def article_around(lines: list[Line], weights: list[float], found: Element) -> Element:
+    """The element whose lines a stretch in ``found`` stands for: see 4. above."""
+    if found.article:
+        return found.article
+    around: set[Element] = set()
+    for line, w in zip(lines, weights, strict=True):
+        element: Element | None = line.container
+        element.unlike += line.dead or line.named or line.link_chars > 0 or w <= 0
+        while element and element not in around:
+            around.add(element)
+            element = element.parent
+    for element in sorted(around, key=lambda e: -e.depth):
+        if element.parent:
+            element.parent.unlike += element.unlike
+    while not found.top and found.parent and not found.parent.top and found.parent.unlike == found.unlike:
+        found = found.parent
     return found
 
 
