@@ -99,8 +99,9 @@ def _kind(name: str, raw: str, in_article: bool) -> str:
         return ""
     names = [{x for x in re.split(r"[^a-z]+", one) if x} for one in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
     noise = [bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | GENERIC or "header" in parts and not in_article for parts in names]
-    # a paragraph of the article needs all its names to be of that kind
-    return "named" if noise and (all(noise) if in_article and name in FLOW else any(noise)) else ""
+    # running text of the article needs all its names to be of that kind
+    told = any(noise) and (not (in_article and name in FLOW) or all(bad or parts <= GENERIC for bad, parts in zip(noise, names, strict=True)))
+    return "named" if told else ""
 
 
 def lines_of(page: str) -> list[Line]:
