@@ -13,13 +13,14 @@ Prefix sums and ranks are made in two levels (hash ranges, then rows; slot chunk
 source, however large, is gathered in one task.
 
 Defined cases: null text has size 0; null source is one source, last; rows without doc_id end the line of their
-source, by size; documents without words take 0;
+source, by size; documents without words take 0, and tables without any word have targets of 0;
 repeated rows are separate documents; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ from strataflow.llm.common import WORD, stage, text_of
 
 #: 2**31 divided by the golden ratio, rounded to an odd number: its multiples mod 2**31 are a permutation.
 GOLDEN, CIRCLE_BITS, CELL_BITS = 1327217885, 31, 10
-SLOTS_A_CHUNK = 4096
 #: Sources up to this number are broadcast (a row is under 200 bytes); beyond it they are shuffled.
 BROADCAST_SOURCES = 20_000
 
@@ -70,7 +70,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), volume:
               .withColumn("need", F.floor("target").cast("bigint")))
     upto = W.orderBy("source_no")
     before = F.coalesce(F.sum("need").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    point = lambda words: F.floor(words * float(1 << CIRCLE_BITS) / F.col("need_total")).cast("bigint")
+    # without words there is no circle: all stretches are empty
+    point = lambda words: F.coalesce(F.floor(words * float(1 << CIRCLE_BITS) / F.nullif("need_total", F.lit(0))), F.lit(0)).cast("bigint")
     return (shared.withColumn("need_total", F.sum("need").over(whole)).withColumn("before", before)
             .withColumn("lo", point(F.col("before"))).withColumn("hi", point(F.col("before") + F.col("need")))
             .select("source_no", "source", "source_size", "target", "need", "need_total", "lo", "hi"))
@@ -79,11 +80,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), volume:
 def schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> DataFrame:
     """One row per slot: source_no, slot and rank (from 0) among its source's slots."""
     shift = CIRCLE_BITS - CELL_BITS
+    a_chunk = max(4096, isqrt(n_slots))  # slots in a chunk and chunks: both levels grow with the root of the volume
     circle = 1 << CIRCLE_BITS
     cells = targets.filter("hi > lo").select("source_no", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))).alias("cell"))
     slots = (spark.range(n_slots).select(F.col("id").alias("slot"), ((F.col("id") % circle) * GOLDEN % circle).alias("point"))
              .withColumn("cell", F.shiftright("point", shift)))
-    drawn = slots.join(cells, "cell").filter("point >= lo AND point < hi").select("source_no", "slot", F.floor(F.col("slot") / SLOTS_A_CHUNK).alias("chunk"))
+    drawn = slots.join(cells, "cell").filter("point >= lo AND point < hi").select("source_no", "slot", F.floor(F.col("slot") / a_chunk).alias("chunk"))
     base = W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = (drawn.groupBy("source_no", "chunk").count()
               .select("source_no", "chunk", F.coalesce(F.sum("count").over(base), F.lit(0)).alias("base")))
@@ -100,10 +102,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), volume: float = 1.5
     small = targets.count() <= BROADCAST_SOURCES
     total = targets.agg(F.max("need_total")).first()[0] or 0
     n_slots = -(-total // block_words)
+    # hash ranges of a source, and rows in one: both levels grow with the root of the number of rows
+    digits = max(3, (isqrt(sizes.count()).bit_length() + 3) // 4)
     per_source = targets.select("source_no", F.col("source").alias("of"), "source_size", "target", "need")
     per_source = F.broadcast(per_source) if small else per_source.hint("merge")
     numbered = (sizes.join(per_source, sizes.source.eqNullSafe(per_source["of"])).drop("of")
-                .withColumn("bucket", F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(F.substring("h", 1, 3))))
+                .withColumn("bucket", F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(F.substring("h", 1, digits))))
     starts = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
                .select("source_no", "bucket", F.coalesce(F.sum("words").over(starts), F.lit(0)).alias("start")))
@@ -142,7 +146,7 @@ s6 AS (SELECT *, CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE)
               ELSE CAST(w * (3 * total - 2 * coalesce(sum(2 * source_size) FILTER (capped) OVER (), 0)) AS DOUBLE) / (2.0 * sum(w) FILTER (NOT capped) OVER ()) END AS target FROM s5),
 s7 AS (SELECT source_no, source, source_size, target, CAST(floor(target) AS BIGINT) AS need FROM s6),
 s8 AS (SELECT *, CAST(sum(need) OVER () AS BIGINT) AS need_total, CAST(coalesce(sum(need) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef FROM s7),
-targets AS (SELECT *, CAST(floor(bef * 2147483648.0::DOUBLE / need_total) AS BIGINT) AS lo, CAST(floor((bef + need) * 2147483648.0::DOUBLE / need_total) AS BIGINT) AS hi FROM s8),
+targets AS (SELECT *, CAST(floor(bef * 2147483648.0::DOUBLE / nullif(need_total, 0)) AS BIGINT) AS lo, CAST(floor((bef + need) * 2147483648.0::DOUBLE / nullif(need_total, 0)) AS BIGINT) AS hi FROM s8),
 slots AS (SELECT k AS slot, ((k % 2147483648) * 1327217885) % 2147483648 AS point FROM range(CAST((SELECT (max(need_total) + 255) // 256 FROM targets) AS BIGINT)) t(k)),
 ranked AS (SELECT source_no, slot, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank FROM slots JOIN targets ON point >= lo AND point < hi),
 placed AS (SELECT d.doc_id, t.source_no, d.size, t.source_size, t.target, t.need,
