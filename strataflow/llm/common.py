@@ -42,24 +42,36 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    atexit.register(_remove, spark, path)
+    return path
 
-    def remove() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            return
 
-    atexit.register(remove)
-    return path
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone already
+        return
+
 
+def stage(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The same rows written once as Parquet in the shared folder and read again (columnar, compressed).
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The same rows written once as Parquet in the shared folder and read again (columnar, compressed)."""
+    ``done`` are staged frames that nothing reads any more once these rows are written: their files go.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    release(*done)
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the files of staged frames whose readers have all been written."""
+    for df in staged:
+        if path := getattr(df, "staged_at", None):
+            _remove(df.sparkSession, path)
 
 
 def text_of(column: str | Column = "text") -> Column:

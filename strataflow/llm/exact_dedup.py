@@ -2,16 +2,21 @@
 
 The index is a table with one row per distinct normalised text, bucketed and sorted by its SHA-256, so
 that each new batch meets it in a sort-merge anti-join without moving the index; what is new is appended.
+Texts of a later batch that the index knows are appended to a second table (digest, best row, count); readers
+reduce both by digest, so the row that stays and the size of a group are exact over all batches so far.
+A batch that is given twice counts twice.
 
 Defined cases: null text counts as empty; texts are equal when identical after deleting the ASCII white
 space ``[\\x20\\x09-\\x0D]``; of equal texts the longest original (in code points), then the smallest
 ``doc_id`` (null first), stays; repeated rows with one ``doc_id`` and text count as copies of each other;
 an empty table gives an empty result; extra columns are ignored by ``dedup_groups`` and kept by
-``drop_copies``.
+``drop_copies``. ``drop_copies`` passes a text on once: what an earlier batch passed on does not pass again, even if a
+later copy is longer.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +43,25 @@ class DigestIndex:
         self.spark, self.buckets = spark, buckets
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or scratch_path(spark, "digest-index")
-        if not spark.catalog.tableExists(self.table):
-            self._write(spark.createDataFrame([], INDEX_SCHEMA))
-
-    def _write(self, rows: DataFrame) -> None:
+        if not table:
+            atexit.register(self._forget)
+        for name, where in self._tables():
+            if not spark.catalog.tableExists(name):
+                self._write(spark.createDataFrame([], INDEX_SCHEMA), name, where)
+
+    def _tables(self) -> tuple[tuple[str, str], tuple[str, str]]:
+        return (self.table, self.path), (f"{self.table}_more", f"{self.path}-more")
+
+    def _forget(self) -> None:
+        try:
+            for name, _ in self._tables():
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the JVM may be gone already
+            return
+
+    def _write(self, rows: DataFrame, table: str, path: str) -> None:
         (rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-         .option("path", self.path).mode("append").saveAsTable(self.table))
+         .option("path", path).mode("append").saveAsTable(table))
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (distinct digests) that the index lacks: a sort-merge anti-join on the buckets."""
@@ -51,12 +69,26 @@ class DigestIndex:
         return batch.join(known, "digest", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
-        """Add what is new of ``batch``; rows that are known already leave the index as it is."""
-        self._write(self.unseen(batch).repartition(self.buckets, "digest"))
+        """Add a staged batch of distinct digests: what is new to the index, the rest to its second table."""
+        (table, path), (more, more_path) = self._tables()
+        if not self.spark.table(table).isEmpty():
+            known = self.spark.table(table).select("digest").hint("merge")
+            self._write(batch.join(known, "digest", "left_semi").repartition(self.buckets, "digest"), more, more_path)
+        self._write(self.unseen(batch).repartition(self.buckets, "digest"), table, path)
 
     def rows(self) -> DataFrame:
-        """The index as plain files: a join with a hot digest may then be dealt anew by adaptive execution."""
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
+        """One row per digest, as plain files: a join with a hot digest may then be dealt anew by adaptive execution."""
+        first, more = (self.spark.read.schema(INDEX_SCHEMA).parquet(path) for _, path in self._tables())
+        if more.isEmpty():
+            return first
+        return stage(reduced(first.unionByName(more)), "digest-index-now")
+
+
+def reduced(rows: DataFrame) -> DataFrame:
+    """One row per digest of index rows from several batches: the best row and the size of the whole group."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("keep_id")))
+    return (rows.groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size"))
+            .select("digest", "best.keep_id", (-F.col("best.longest")).alias("n_chars"), "group_size"))
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -72,10 +104,10 @@ def digest_batch(digested: DataFrame) -> DataFrame:
 
 
 def dedup_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """For every row: doc_id, keep_id, group_size, kept, text_sha256. Texts that ``index`` had before keep its row."""
+    """For every row: doc_id, keep_id, group_size, kept, text_sha256; groups count all batches that ``index`` has seen."""
     index = index or DigestIndex(docs.sparkSession)
     digested = stage(digest_rows(docs), "digests")
-    index.append(digest_batch(digested))
+    index.append(stage(digest_batch(digested), "digest-batch"))
     found = index.rows().select("digest", "keep_id", "group_size")
     return digested.join(found.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -86,8 +118,9 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows that stay, one per distinct text, with all columns of ``docs``."""
     index = index or DigestIndex(docs.sparkSession)
     digested = stage(digest_rows(docs), "digests")
-    fresh = stage(index.unseen(digest_batch(digested)), "fresh-digests")
-    index.append(fresh)
+    batch = stage(digest_batch(digested), "digest-batch", done=(digested,))
+    fresh = stage(index.unseen(batch), "fresh-digests")
+    index.append(batch)
     key_id, key_digest = fresh_name(docs, "dedup_key"), fresh_name(docs, "dedup_digest")
     stays = fresh.select(F.coalesce("keep_id", F.lit(NO_ID)).alias(key_id), F.col("digest").alias(key_digest))
     keyed = docs.withColumns({key_id: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), key_digest: text_digest()})

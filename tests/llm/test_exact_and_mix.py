@@ -167,3 +167,18 @@ def test_rows_without_doc_id_are_mixed_as_in_sql(spark):
     db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     key = lambda r: tuple((x is None, x) for x in r)
     assert len(got) == 300 and sorted(map(tuple, got), key=key) == sorted(db.execute(OP3_SQL).fetchall(), key=key)
+
+
+def test_groups_are_exact_over_batches(spark):
+    index = DigestIndex(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup_groups(frame(rows), index).collect())
+    assert groups([(5, "a b"), (9, "c")]) == [(5, 5, 1, True), (9, 9, 1, True)]
+    assert groups([(6, "a  b"), (7, "ab")]) == [(6, 6, 3, True), (7, 6, 3, False)]
+    assert groups([(4, "a  b"), (8, "d"), (9, "c")]) == [(4, 4, 4, True), (8, 8, 1, True), (9, 9, 2, True)]
+    assert index.rows().count() == 3 and groups([]) == []
+
+
+def test_mix_of_documents_without_words(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, " \n", "a"), (None, None, "b")], "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r.size, r.target, r.taken, r.first_slot) for r in mix(docs).collect()} == {(i, 0, 0.0, 0, None) for i in (1, 2, 3, None)}
