@@ -53,8 +53,8 @@ def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_T
     """
     left = stage(edges.select("a", "b"), "cc-edges")
     if left.count() <= edges_a_task:
-        return stage(_labels_at_once(left), "cc-labels")
-    left = stage(left.mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges")
+        return stage(_labels_at_once(left), "cc-labels", done=(left,))
+    left = stage(left.mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges", done=(left,))
     labels = stage(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("label", F.col("id")), "cc-labels")
     for _ in range(rounds):
         both = left.select("a", "b").union(left.select("b", "a"))
@@ -62,10 +62,10 @@ def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_T
         me = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x"))
         points = stage(both.groupBy("a").agg(best).select(F.col("a").alias("old"), F.least("best", me)["x"].alias("new")), "cc-points")
         moved = labels.join(points.hint("merge"), labels.label == points.old, "left")
-        labels = stage(moved.select("id", F.coalesce("new", "label").alias("label")), "cc-labels")
+        labels = stage(moved.select("id", F.coalesce("new", "label").alias("label")), "cc-labels", done=(labels,))
         to_a, to_b = points.select(F.col("old").alias("a"), F.col("new").alias("x")), points.select(F.col("old").alias("b"), F.col("new").alias("y"))
         moved = left.join(to_a.hint("merge"), "a").join(to_b.hint("merge"), "b").filter("x <> y")
-        left = stage(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges")
+        left = stage(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().mapInPandas(_local_forest, "a bigint, b bigint"), "cc-edges", done=(left, points))
         if left.count() <= edges_a_task:
             break
     else:

@@ -20,9 +20,13 @@ No pair is capped or sampled. By the branching model, with the noise of its MinH
 threshold is missed by all 12 trees with a chance of 4.1e-06, 4.4e-04, 3.5e-03 at 0.85 and
 2.1e-05, 1.4e-03, 8.9e-03 at 0.80, where its nodes descend 3, 6 and 9 levels.
 
+Classes have numbers of their own, so one doc_id may carry several texts: its classes count as linked.
+
 Defined cases: null or wordless text has an empty set and is linked with nothing; fewer than k words give
 one shingle, the whole sequence; equal sets are always linked; repeated rows with one doc_id are one
-document with several rows; an empty table gives an empty result; extra columns are ignored or kept.
+document, with different texts too; rows without doc_id are linked like others, each for itself, and take the least
+doc_id of their component, null if it has none (such rows all count as kept); an empty table gives an empty result; extra columns are
+ignored by ``near_groups`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -46,7 +50,9 @@ ROUNDS = 3  # rounds at most: nodes that are large after them are split
 LEAF = 64
 SAMPLE = 256  # fingerprints at most in a set's sample
 FIRST_TREES = 4  # trees whose leaves give the first forest
-FEATURES = "doc_id bigint, n_shingles bigint, set_digest binary, minhash binary"
+#: Stands for a missing doc_id.
+LAST_ID = 2**63 - 1
+FEATURES = "doc_id bigint, text_hash bigint, n_shingles bigint, set_digest binary, minhash binary"
 _EDGES = (np.arange(COORDS, dtype=np.uint64) << np.uint64(64 - COORD_BITS)).astype(np.uint64)
 _PROBE = (mix64(np.arange(COORDS * 96, dtype=np.uint64)) % np.uint64(COORDS)).astype(np.int64).reshape(COORDS, 96)
 _K, _S1, _S2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0x1B873593A2F4C6D1), np.uint64(0x2545F4914F6CDD1D)
@@ -71,14 +77,13 @@ def _features(k: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for part in parts:
-            ids, n, digests, minima = [], [], [], []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+            n, digests, minima = [], [], []
+            for text in part["text"]:
                 s = shingle_set(text, k, hashes)
-                ids.append(doc_id)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 minima.append(minhash(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": n, "set_digest": digests, "minhash": minima})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n_shingles": n, "set_digest": digests, "minhash": minima})
 
     return run
 
@@ -233,24 +238,26 @@ def _verified(k: int, percent: int):
     return run
 
 
-def leaves(reps: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, rep) of leaves, and (tree, node, rep, members) of nodes that stay large."""
+def leaves(reps: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(tree, node, rep) of leaves, (tree, node, rep, members) of nodes that stay large, and the staged frames behind both."""
     extra = 100 / percent - 1
     paths = reps.select("rep", "minhash").mapInPandas(_from_roots(trees, extra), "tree smallint, node bigint, rep bigint")
-    small = None
+    small, held = None, []
     for turn in range(ROUNDS):
         if turn:
             with_minima = large.join(reps.select("rep", "minhash").hint("merge"), "rep")
             paths = with_minima.mapInPandas(_deeper(extra), "tree smallint, node bigint, rep bigint")
             paths = stage(paths, "paths")
+            held.append(paths)
         counts = paths.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         found = stage(paths.join(counts.hint("merge"), "node"), "nodes")
+        held.append(found)
         now = found.filter(F.col("members") <= LEAF).select("tree", "node", "rep")
         small = now if small is None else small.unionByName(now)
         large = found.filter(F.col("members") > LEAF)
         if large.isEmpty():
             break
-    return small, large
+    return small, large, held
 
 
 def _gather(rows: DataFrame, keys: list[str], reps: DataFrame, more: list[str]) -> DataFrame:
@@ -258,23 +265,23 @@ def _gather(rows: DataFrame, keys: list[str], reps: DataFrame, more: list[str])
     return rows.join(reps.hint("merge"), "rep").groupBy(*keys).agg(*lists)
 
 
-def link_classes(reps: DataFrame, texts_of: DataFrame, k: int, percent: int, trees: int = 12) -> DataFrame:
-    """(id, component) of the class representatives that are linked with another one."""
-    small, large = leaves(reps, percent, trees)
+def link_classes(reps: DataFrame, texts_of: DataFrame, known: DataFrame, k: int, percent: int, trees: int = 12) -> DataFrame:
+    """(id, component) of the classes that are linked with another one; ``known`` holds links (a, b) besides."""
+    small, large, held = leaves(reps, percent, trees)
     pairs_type, n_blocks = "a bigint, b bigint", F.ceil(F.col("members") / LEAF)
     first = small.select("tree", "node", F.lit(0).alias("block"), "rep").unionByName(
         large.select("tree", "node", F.pmod(F.xxhash64("rep", "tree"), n_blocks).cast("int").alias("block"), "rep")).filter(F.col("tree") < FIRST_TREES)
     tried = stage(_gather(first, ["node", "block"], reps, []).mapInPandas(_forest(percent), pairs_type).distinct(), "tried")
     # any further candidate may join two of these or others, so texts are kept for all that share a node
     shared = small.select("rep").union(large.select("rep")).distinct()
-    texts = stage(texts_of.join(shared.hint("merge"), "rep", "left_semi"), "texts")
+    texts = stage(texts_of.join(shared.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "texts")  # repeated rows are alike
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(_verified(k, percent), pairs_type)
 
-    links = stage(verify(tried), "links")
-    labels = stage(components(links), "labels")
+    links = stage(verify(tried).unionByName(known), "links")
+    labels = components(links)
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels.select(F.col("id").alias("rep"), F.col("component")).hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
@@ -284,6 +291,7 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, k: int, percent: int, tre
     rows = open_leaves.join(mixed.hint("merge"), "node", "left_semi").select("node", F.lit(0).alias("block"), F.lit(0).alias("other"), "rep", "label", "side")
     if not large.isEmpty():
         split = stage(labelled(large), "split")
+        held.append(split)
         shares = split.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         main = shares.groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")).filter("outside > 0")
         parts = split.join(main.hint("merge"), "node").withColumn("others", F.ceil(F.col("outside") / LEAF)).withColumn("blocks", n_blocks)
@@ -291,36 +299,55 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, k: int, percent: int, tre
         ones = parts.select("node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others").cast("int") - 1)).alias("other"), "rep", "label", F.lit(1).alias("side"))
         twos = parts.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), other.alias("other"), "rep", "label", F.lit(2).alias("side"))
         rows = rows.unionByName(ones).unionByName(twos)
-    rows = stage(rows, "mixed")
+    rows = stage(rows, "mixed", done=(*held, labels))
     samples = texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInPandas(_thin(k), "rep bigint, sample binary")
     members = stage(reps.join(samples.hint("merge"), "rep"), "members")
     more = _gather(rows, ["node", "block", "other"], members, ["label", "side", "sample"]).mapInPandas(_across(percent), pairs_type).distinct()
-    more = stage(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
-    added = stage(verify(more), "links")
+    more = stage(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more", done=(tried, rows, members))
+    added = stage(verify(more), "links", done=(more, texts))
     return components(links.unionByName(added))
 
 
+def _grouped(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
+    """For every row: doc_id (``LAST_ID`` where it has none), text_hash, n_shingles, component (the like)."""
+    text = text_of()
+    # rows without doc_id sort last, so a class has the least doc_id of its rows if there is any
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    features = stage(rows.mapInPandas(_features(k), FEATURES), "features")
+    full = features.filter("n_shingles > 0")
+    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("least"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    mine = full.join(classes.hint("merge"), "set_digest").filter("doc_id = least")
+    reps = stage(mine.select("rep", "doc_id", "text_hash", "n_shingles", "minhash").dropDuplicates(["rep"]), "reps")  # rows of a class have one set
+    h = F.xxhash64("set_digest")
+    several = stage(full.filter(F.col("doc_id") < LAST_ID).groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo < hi").select("doc_id"), "several-texts")
+    same_id = full.sparkSession.createDataFrame([], "a bigint, b bigint")
+    if not several.isEmpty():
+        theirs = stage(full.join(several.hint("merge"), "doc_id").select("doc_id", "set_digest").join(classes.hint("merge"), "set_digest").select("doc_id", "rep"), "several-texts")
+        same_id = theirs.groupBy("doc_id").agg(F.min("rep").alias("a")).join(theirs.hint("merge"), "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    texts_of = rows.join(reps.select("doc_id", "text_hash", "rep").hint("merge"), ["doc_id", "text_hash"]).select("rep", "text")
+    found = link_classes(reps.select("rep", "n_shingles", "minhash"), texts_of, same_id, k, percent, trees)
+    named = classes.join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("set_digest", "least", F.coalesce("component", "rep").alias("label"))
+    named = stage(named, "named", done=(reps,))
+    best = named.groupBy("label").agg(F.min("least").alias("component"))
+    named = stage(named.join(best.hint("merge"), "label").select("set_digest", "component"), "named", done=(named,))
+    out = features.select("doc_id", "text_hash", "n_shingles", "set_digest").join(named.hint("merge"), "set_digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id (least doc_id that links reach), kept."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    features = stage(rows.mapInPandas(_features(k), FEATURES), "features")
-    classes = stage(features.filter("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
-    mine = features.join(classes.hint("merge"), "set_digest").filter("doc_id = rep")
-    reps = stage(mine.select("rep", "n_shingles", "minhash").dropDuplicates(["rep"]), "reps")
-    found = link_classes(reps, rows.select(F.col("doc_id").alias("rep"), "text"), k, percent, trees)
-    named = stage(classes.join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-                  .select("set_digest", F.coalesce("component", "rep").alias("component")), "named")
-    out = features.join(named.hint("merge"), "set_digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
+    return _grouped(docs, k, percent, trees).select(real("doc_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12) -> DataFrame:
     """The rows of one document of each group (the least doc_id), with all columns of ``docs``."""
-    key = fresh_name(docs, "near_key")
-    dropped = near_groups(docs, k, percent, trees).filter("NOT kept").select(F.col("doc_id").alias(key))
+    key, text_key = fresh_name(docs, "near_key"), fresh_name(docs, "near_text")
+    dropped = _grouped(docs, k, percent, trees).filter("doc_id <> component").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key))
     gone = stage(dropped.distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left_anti").select(*docs.columns)
+    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST_ID)) == gone[key]) & (F.xxhash64(text_of(docs["text"])) == gone[text_key])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

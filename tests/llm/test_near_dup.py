@@ -93,6 +93,18 @@ def test_edge_cases(spark):
     assert near_groups(docs.limit(0)).count() == 0
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rng = random.Random(6)
+    texts = [[f"{c}{rng.randrange(10**5)}" for _ in range(80)] for c in "abc"]
+    near = lambda i: " ".join(edited(texts[i], rng, 1))
+    rows = [(1, near(0)), (1, near(1)), (2, near(0)), (3, near(1)), (4, near(2)), (None, near(2)), (None, near(2)), (None, "alone in this"), (None, "alone in this"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_groups(docs, 3, 85).collect()))
+    assert got == [(0, 0, True)] * 3 + [(0, 4, False)] * 2 + [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    kept = drop_near_copies(docs, 3, 85).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 0, 1, 1, 4] and near_groups(docs.repartition(7), 3, 85).filter("NOT kept").count() == 4
+
+
 def test_components_by_rounds_and_at_once(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)]
