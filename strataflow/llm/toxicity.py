@@ -16,7 +16,7 @@ positions. Both ways give the same evidence.
 
 Defined cases: null, empty and wordless texts have no evidence (all features 0) and get the score that
 calibration gives to that; repeated rows are scored each; labels of a doc_id that occurs several times
-count for each row; without labelled rows of both classes in the calibration part every score is the
+count for each row; a doc_id with labels that differ is toxic; without labelled rows of both classes in the calibration part every score is the
 logistic of the best word's evidence less ``PRIOR``, so that texts without evidence pass; empty tables give
 empty results; extra columns are ignored or kept.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ RUNS = (1, 3, 8)  # lengths, in words, of the runs whose best one is a feature
 FEATURES = ("whole", *(f"best{n}" for n in RUNS), "second", "third")
 #: Labels up to this number are broadcast to the texts (9 bytes each); more are shuffled.
 BROADCAST_LABELS = 2_000_000
+#: Words are looked up for groups of texts of this many characters, and remembered up to this many bytes (a word beside its letters takes WORD_BYTES).
+GROUP_CHARS, HELD_BYTES, WORD_BYTES = 1 << 18, 24 << 20, 190
 WORDS = re.compile(r"[^\W\d_]+")
 _A, _N = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +102,7 @@ def count_grams(train: DataFrame, order: int) -> DataFrame:
         for part in parts:
             for text, y in zip(part["text"], part["toxic"], strict=True):
                 held[y].update(words_of(text))
-                if len(held[y]) > 100_000:
+                if len(held[y]) > 50_000:
                     yield flush(y)
         for y in held:
             if held[y]:
@@ -220,6 +223,19 @@ def doc_features(x: np.ndarray) -> list[float]:
     return [*out, float(top[min(1, len(top) - 1)]), float(top[min(2, len(top) - 1)])]
 
 
+def groups(texts: pd.Series, chars: int) -> Iterator[list[str]]:
+    """Texts in order, in lists of about ``chars`` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
     """doc_id and the features of every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -227,17 +243,19 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, values = shared.value
         known: dict[str, float] = {}
+        size = 0
         for part in parts:
             rows = []
-            for text in part["text"]:
-                words = words_of(text)
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                if len(known) > 150_000:
+            for texts in groups(part["text"], GROUP_CHARS):
+                split = [words_of(text) for text in texts]
+                new = list(set(chain.from_iterable(split)).difference(known))
+                size += sum(map(len, new)) + WORD_BYTES * len(new)
+                if size > HELD_BYTES:
                     known.clear()
-                    new = list(dict.fromkeys(words))
+                    new = list(set(chain.from_iterable(split)))
+                    size = sum(map(len, new)) + WORD_BYTES * len(new)
                 known.update(zip(new, word_evidence(new, keys, values, order).tolist(), strict=True))
-                x = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                rows.append(doc_features(x))
+                rows += [doc_features(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in split]
             out = pd.DataFrame(rows, columns=list(FEATURES), dtype="float64")
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy() if part["doc_id"].notna().all() else pd.array(part["doc_id"], dtype="Int64"))
             yield out
@@ -306,7 +324,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibra
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .filter(F.col("toxic").isin(0, 1) & (fold() % 5 != 0)).dropDuplicates(["doc_id"]))
+             .filter(F.col("toxic").isin(0, 1) & (fold() % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = stage(known.withColumn("part", F.floor(fold() / 5) % for_calibration), "labels")
     for_counts = known.filter("part <> 0").select("doc_id", "toxic")
     few = for_counts.count() <= BROADCAST_LABELS

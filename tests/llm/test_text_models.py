@@ -182,3 +182,69 @@ def test_unmarked_article_that_a_link_list_divides():
     prose, end = "Prose of the page. " * 100, "The closing paragraph. " * 13
     page = f"<body><div><a href=x>Home</a></div><div class=text><p>{prose}</p><ul>{links}</ul><p>{end}</p></div><div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div><div><p>Small print</p></div></body>"
     assert main_text(page) == "\n".join([prose.strip(), *(f"Link number {i}" for i in range(4)), end.strip()])
+
+
+def plain_evidence(texts, word, order, discount=0.75):
+    """The word's log-likelihood under the toxic model less that under the ordinary one, by the formulas of interpolated Kneser-Ney."""
+    import math
+
+    from strataflow.llm.toxicity import words_of
+
+    counts = {0: {}, 1: {}}
+    for text, y in texts:
+        for w in words_of(text):
+            signs = f"^{w}$"
+            for i in range(1, len(signs)):
+                g = signs[max(0, i + 1 - order) : i + 1]
+                counts[y][g] = counts[y].get(g, 0) + 1
+    every = set(counts[0]) | set(counts[1])
+    # continuation counts: different signs before a shorter n-gram; those that begin a word have been seen as such
+    kinds, levels = {g for g in every if len(g) == order}, {}
+    for m in range(order - 1, 0, -1):
+        levels[m] = {}
+        for g in kinds:
+            levels[m][g[1:]] = levels[m].get(g[1:], 0) + 1
+        kinds = set(levels[m]) | {g for g in every if len(g) == m}
+
+    def low(g):
+        if len(g) == 1:
+            return levels[1][g] / sum(levels[1].values())
+        same = {k: c for k, c in levels[len(g)].items() if k[:-1] == g[:-1]}
+        return (max(same[g] - discount, 0) + discount * len(same) * low(g[1:])) / sum(same.values())
+
+    def both(g):
+        same = {k for k in every if k[:-1] == g[:-1]}
+        total = sum(counts[y].get(k, 0) for y in (0, 1) for k in same)
+        return (max(sum(counts[y].get(g, 0) for y in (0, 1)) - discount, 0) + discount * len(same) * low(g[1:])) / total
+
+    def log_p(y, g):
+        same = {k: c for k, c in counts[y].items() if k[:-1] == g[:-1]}
+        s = sum(same.values())
+        if g not in every:  # the shared estimate is the same in both classes; its weight is not
+            return math.log(discount * len(same) / s) if s else 0.0
+        return math.log((max(counts[y].get(g, 0) - discount, 0) + discount * len(same) * both(g)) / s if s else both(g))
+
+    signs = f"^{word}$"
+    grams = [signs[max(0, i + 1 - order) : i + 1] for i in range(1, len(signs))]
+    return sum(log_p(1, g) - log_p(0, g) for g in grams)
+
+
+def test_word_evidence_against_the_formulas(spark):
+    from strataflow.llm import toxicity as module
+
+    texts = [("bad badly sad", 1), ("sad sandy band bad", 0), ("vile vile bad", 1), ("fine ände ok a", 0), ("", 1), ("ok", 0)]
+    train = spark.createDataFrame(texts, "text string, toxic int")
+    for order in (3, 4):
+        model = module.keyed_model(module.evidence_rows(module.count_grams(train, order), order), order)
+        words = ["bad", "badly", "vile", "ände", "xyz", "band", "a", "sadness"]
+        got = module.word_evidence(words, *model, order)
+        want = [plain_evidence(texts, w, order) for w in words]
+        assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-5, (got, want)
+
+
+def test_labels_that_differ_count_as_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")).filter("doc_id % 3 = 0"))
+    worst = labels.withColumn("toxic", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("toxic")))
+    score = lambda x: {(r.doc_id, round(r.score, 9)) for r in toxicity(docs, x).collect()}
+    assert score(both.repartition(5)) == score(both.repartition(1)) == score(worst)
