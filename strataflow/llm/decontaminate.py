@@ -4,19 +4,21 @@ An item is contained in a document when at least ``percent`` per cent of the ite
 shingles occur in the document, however long that is.
 
 1. Items are partitioned by size (powers of two of their shingle count). An item's sketch is its bottom-s
-   MinHash: its s least fingerprints, with s fixed by the partition's largest size so that s exceeds the
-   share that a contained item may lack. A contained item therefore always has a sketch value in the
-   document: the search loses nothing.
-2. Sketches and item shingles fill two bitmaps of fixed size, built by an aggregation; tasks test every
-   shingle of every document against them. Documents without a sketch value end there.
-3. The rest sends the fingerprints that pass the second bitmap; a shuffle join with the items' shingles
-   and a distinct count give the exact containment.
-
-The bitmaps take 2 MB whatever the number of items: with very many items they only let more through.
+   MinHash: its s least fingerprints, with s fixed by the partition's largest size. At most so many of them
+   can be missing as a contained item may lack, so an item's ``need`` is the number of sketch values that its
+   documents must have; it is one at least: the search loses nothing.
+2. Each partition has two bitmaps, of its sketches and of all its shingles, built by an aggregation. A document is
+   searched partition by partition: it goes on only with those whose least ``need`` its shingles meet in the sketch
+   bitmap, and sends its shingles that pass the other one.
+3. A shuffle join on (partition, fingerprint) counts sketch values and shingles by document and item: items
+   below their ``need`` are no candidates, the others are verified by exact shingle containment.
+
+A bitmap has about 16 bits per shingle of its partition, and ``MOST_BITS`` (8 MB) at most: with more items it only lets
+more through to the join.
 
 Defined cases: null or wordless texts match nothing; fewer than k words are one shingle, the whole
-sequence; repeated rows with one ``doc_id`` are one document; repeated items with one ``item_id`` are one
-item; empty tables give empty results; extra columns are ignored or kept.
+sequence; repeated rows with one ``doc_id`` are one document; rows without ``doc_id`` are told apart by their text; repeated
+items with one ``item_id`` are one item, items without it are ignored; empty tables give empty results; extra columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import fresh_name, stage, text_of
+from strataflow.llm.common import NO_ID, fresh_name, stage, text_of
 from strataflow.llm.shingles import WordHashes, shingle_set, shingle_stream
 
-BITMAP_BITS = 23
-ITEM_ROWS = "item_id bigint, h bigint, n_item bigint, in_sketch boolean"
+MOST_BITS = 26  # of a bitmap's address
+ITEM_ROWS = "item_id bigint, part int, h bigint, n_item bigint, need bigint, in_sketch boolean"
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -41,6 +43,11 @@ def sketch_size(n: int, percent: int) -> int:
     return min(n, largest * (100 - percent) // 100 + 1)
 
 
+def sketch_need(n: int, percent: int) -> int:
+    """Sketch values that a document must have if it contains ``percent`` per cent of an item of ``n`` shingles."""
+    return sketch_size(n, percent) - n * (100 - percent) // 100
+
+
 def item_rows(items: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per item and distinct shingle."""
 
@@ -51,58 +58,80 @@ def item_rows(items: DataFrame, k: int, percent: int) -> DataFrame:
                 s = shingle_set(text, k, hashes)
                 if len(s):
                     first = np.arange(len(s)) < sketch_size(len(s), percent)
-                    yield pd.DataFrame({"item_id": item_id, "h": s.view(np.int64), "n_item": len(s), "in_sketch": first})
+                    yield pd.DataFrame({"item_id": item_id, "part": len(s).bit_length(), "h": s.view(np.int64), "n_item": len(s), "need": sketch_need(len(s), percent), "in_sketch": first})
 
     return items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of().alias("text")).filter("item_id IS NOT NULL").mapInPandas(run, ITEM_ROWS)
 
 
-def bitmap(hashes: DataFrame) -> bytes:
-    """A bitmap of ``2**BITMAP_BITS`` bits with the low bits of column h; at most 256 rows reach the driver."""
-    cell = F.col("h").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the low bits of column h, sized for ``n`` of them; its cells reach the driver in pieces of 4 KB."""
+    bits = min(max((16 * n).bit_length(), 15), MOST_BITS)
+    cell = F.col("h").bitwiseAND((1 << bits) - 1) + 1
     rows = (hashes.groupBy(F.bitmap_bucket_number(cell).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect())
-    out = bytearray(1 << (BITMAP_BITS - 3))
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for row in rows:
         start = (row.bucket - 1) * 4096
-        out[start : start + 4096] = row.bits
-    return bytes(out)
+        out[start : start + 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Pairs (doc_id, item_id, n_item, n_common, containment) of items contained in documents."""
-    spark = docs.sparkSession
-    known = stage(item_rows(items, k, percent), "items")
-    maps = spark.sparkContext.broadcast((bitmap(known.filter("in_sketch").select("h")), bitmap(known.select("h"))))
+def meets(bitmap: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+    """Which fingerprints a bitmap lets through."""
+    cell = (fingerprints & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[cell >> 3] & np.left_shift(1, cell & 7)) > 0
+
+
+def size_partitions(known: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(part, least need, sketch bitmap, bitmap) of each size partition; there are as many as an item's size has bits."""
+    sizes = known.groupBy("part").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n"), F.sum(F.col("in_sketch").cast("bigint")).alias("n_sketch")).orderBy("part").collect()
+    return [(r.part, r.need, bitmap(known.filter((F.col("part") == r.part) & F.col("in_sketch")).select("h"), r.n_sketch), bitmap(known.filter(F.col("part") == r.part).select("h"), r.n)) for r in sizes]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (``NO_ID`` where it is missing), text_hash (0 where it is not) and text."""
+    text, doc_id = text_of(), F.col("doc_id").cast("bigint")
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(0).alias("text_hash"), text.alias("text"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
+    known = stage(item_rows(items, k, percent).distinct(), "items")
+    searched = docs.sparkSession.sparkContext.broadcast(size_partitions(known))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        sketch, every = (np.frombuffer(b, np.uint8) for b in maps.value)
-        for part in parts:
-            ids, hits = [], []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+        for rows in parts:
+            out = []
+            for doc_id, text_hash, text in zip(rows["doc_id"], rows["text_hash"], rows["text"], strict=True):
                 s = shingle_stream(text, k, hashes)
-                cell = (s & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                bit = np.left_shift(1, cell & 7)
-                if (sketch[cell >> 3] & bit).any():
-                    found = np.unique(s[(every[cell >> 3] & bit) > 0]).view(np.int64)
-                    ids.append(np.full(len(found), doc_id))
-                    hits.append(found)
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "h": np.concatenate(hits)})
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).filter("doc_id IS NOT NULL")
-    hits = rows.mapInPandas(run, "doc_id bigint, h bigint").join(known, "h")
-    return (hits.groupBy("doc_id", "item_id", "n_item")
-            .agg(F.count_distinct("h").alias("n_common"), F.max("in_sketch").alias("by_sketch"))
-            .filter(F.col("by_sketch") & (F.col("n_common") * 100 >= F.col("n_item") * percent))
-            .select("doc_id", "item_id", "n_item", "n_common", F.round(F.col("n_common") / F.col("n_item"), 4).alias("containment")))
+                for part, need, sketch, every in searched.value:
+                    of_part = s[meets(every, s)]
+                    if len(of_part) and len(np.unique(of_part[meets(sketch, of_part)])) >= need:
+                        out.append((doc_id, text_hash, part, np.unique(of_part).view(np.int64)))
+            if out:
+                ids, texts, of, found = zip(*out, strict=True)
+                n = [len(x) for x in found]
+                yield pd.DataFrame({"doc_id": np.repeat(ids, n), "text_hash": np.repeat(texts, n), "part": np.repeat(of, n), "h": np.concatenate(found)})
+
+    hits = keyed(docs).mapInPandas(run, "doc_id bigint, text_hash bigint, part int, h bigint").join(known, ["part", "h"])
+    in_sketch = F.count_distinct(F.when(F.col("in_sketch"), F.col("h")))
+    return (hits.groupBy("doc_id", "text_hash", "item_id", "n_item", "need").agg(in_sketch.alias("met"), F.count_distinct("h").alias("n_common"))
+            .filter((F.col("met") >= F.col("need")) & (F.col("n_common") * 100 >= F.col("n_item") * percent)))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Pairs (doc_id, item_id, n_item, n_common, containment) of items contained in documents."""
+    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return _contained(docs, items, k, percent).select(doc_id, "item_id", "n_item", "n_common", F.round(F.col("n_common") / F.col("n_item"), 4).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that contain no item, with all columns of ``docs``; rows without doc_id stay."""
-    key = fresh_name(docs, "leak_key")
-    leaks = stage(contained_items(docs, items, k, percent).select(F.col("doc_id").alias(key)).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].cast("bigint") == leaks[key], "left_anti").select(*docs.columns)
+    """The documents that contain no item, with all columns of ``docs``."""
+    key, text_key = fresh_name(docs, "leak_key"), fresh_name(docs, "leak_text")
+    leaks = stage(_contained(docs, items, k, percent).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key)).distinct(), "leaks")
+    doc_id = docs["doc_id"].cast("bigint")
+    same = (F.coalesce(doc_id, F.lit(NO_ID)) == leaks[key]) & (F.when(doc_id.isNull(), F.xxhash64(text_of(docs["text"]))).otherwise(0) == leaks[text_key])
+    return docs.join(leaks, same, "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

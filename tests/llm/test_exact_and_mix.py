@@ -9,7 +9,7 @@ import re
 import public_tokenizers as public
 import pytest
 
-from strataflow.llm.decontaminate import contained_items, drop_contaminated, sketch_size
+from strataflow.llm.decontaminate import contained_items, drop_contaminated, sketch_need, sketch_size
 from strataflow.llm.exact_dedup import DigestIndex, dedup_groups, drop_copies
 from strataflow.llm.source_mix import mix
 from strataflow.llm.token_counts import TokenCache, json_counter, token_counts, tokenizer_version
@@ -152,7 +152,18 @@ def test_containment_against_plain_sets(spark):
 
 def test_sketches_exceed_what_a_contained_item_may_lack():
     for n in range(1, 500):
-        assert n - -(-80 * n // 100) < sketch_size(n, 80) <= n
+        assert n - -(-80 * n // 100) < sketch_size(n, 80) <= n and 1 <= sketch_need(n, 80) == sketch_size(n, 80) - (n - -(-80 * n // 100))
+
+
+def test_contamination_of_rows_without_doc_id(spark):
+    rng = random.Random(7)
+    passage = " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    docs = spark.createDataFrame([(None, f"so {passage} it is", 1), (None, "clean words of a text", 2), (3, passage, 3), (4, "x " * 200_000 + passage, 4), (None, None, 5), (3, "other text of that id", 6)], "doc_id bigint, text string, part int")
+    items = spark.createDataFrame([(1, passage), (1, passage), (None, "clean words of a text"), (2, None)], "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.n_common) for r in contained_items(docs, items).collect())
+    assert got == [(0, 1, 36), (3, 1, 36), (4, 1, 36)]
+    assert sorted(r.part for r in drop_contaminated(docs, items).collect()) == [2, 5] and drop_contaminated(docs, items).columns == docs.columns
+    assert contained_items(docs, items.limit(0)).count() == 0 == contained_items(docs.limit(0), items).count()
 
 
 def test_rows_without_doc_id_are_mixed_as_in_sql(spark):
