@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,18 +84,19 @@ def call_levels(calls: DataFrame) -> DataFrame:
     edges = stage(edges.join(known, ["conv_id", "needs"], "left"), "call-edges")
     lost = edges.filter("known IS NULL").select("conv_id", "id").distinct().withColumn("unresolved", F.lit(True))
     edges = edges.filter("known").select("conv_id", "id", "needs")
-    done = stage(calls.select("conv_id", "id").join(edges, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    waiting, level = edges, 0
-    while not waiting.isEmpty():  # one round per link of the longest chain
+    ready = stage(calls.join(edges, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    done, waiting, level = [ready], stage(edges, "call-edges"), 0
+    while not waiting.isEmpty():  # one round per link of the longest chain; each reads only what still waits
         level += 1
-        open_ = waiting.join(done.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_anti").select("conv_id", "id").distinct()
-        open_ = stage(open_, "open")
-        ready = stage(waiting.select("conv_id", "id").distinct().join(open_, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)), "levels")
+        left = stage(waiting.join(ready.select("conv_id", F.col("id").alias("needs")).hint("merge"), ["conv_id", "needs"], "left_anti"), "call-edges")
+        ready = waiting.select("conv_id", "id").distinct().join(left.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level))
+        ready = stage(ready, "levels", done=(waiting,))
         if ready.isEmpty():
             break
-        done = done.unionByName(ready)
-        waiting = stage(waiting.join(open_, ["conv_id", "id"], "left_semi"), "call-edges")
-    return (calls.select("conv_id", "id").join(done, ["conv_id", "id"], "left").join(lost, ["conv_id", "id"], "left")
+        done.append(ready)
+        waiting = left
+    levels = stage(reduce(DataFrame.unionByName, done), "levels", done=tuple(done))
+    return (calls.select("conv_id", "id").join(levels, ["conv_id", "id"], "left").join(lost, ["conv_id", "id"], "left")
             .withColumn("unresolved", F.coalesce("unresolved", F.lit(False))))
 
 
@@ -126,12 +128,21 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return joined.mapInPandas(run, out).select(conv, "level", "turn", "pos", F.col("id").alias("call_id"), "result_turn", status.alias("status"), "errors", "line")
 
 
+def format_chats(calls: DataFrame, path: str) -> None:
+    """The lines of ``link_calls`` as text files, in order of conversation, level, turn and position.
+
+    A sort by range of all keys: the lines of a long conversation are spread over several files that follow each other.
+    """
+    ordered = calls.orderBy("conv_id", F.col("level").asc_nulls_last(), "turn", "pos", "line")
+    ordered.select(F.to_json(F.struct("conv_id", "level", "status", "line")).alias("value")).write.text(path)
+
+
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool traffic: a user turn is a call, the next turn's answer its result.
 
-    Later calls quote the result of the conversation's call at turn 0, so that there is an order to find.
+    A call quotes the result of the call two turns before it; every fourth one begins a new chain.
     """
-    later = F.when(F.col("turn") > 1, F.lit("$result:0"))
+    later = F.when(F.col("turn") % 8 > 1, F.concat(F.lit("$result:"), (F.col("turn") - 2).cast("string")))
     arguments = F.to_json(F.struct(F.col("text").alias("query"), later.alias("context"), F.when(F.col("turn") % 5 == 4, F.col("turn")).alias("depth")))
     call = F.to_json(F.struct(F.array(F.struct(F.col("turn").cast("string").alias("id"), F.when(F.col("turn") % 7 == 6, "lookup").otherwise("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
     result = F.to_json(F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.col("text").alias("content")))
