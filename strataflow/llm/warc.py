@@ -1,16 +1,22 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
 Each response gives two records that refer to it by its identifier: ``metadata`` (warc-fields: title,
-outlinks, the source's HTTP status and content type and its payload digest) and ``conversion`` (the visible
-text as text/plain). Identifiers are urn:uuid values made from the response's identifier, so reruns agree.
-Digests are SHA-256 of the block in lowercase hex.
-
-Defined cases: a null payload counts as empty, a null URL leaves its headers out; repeated responses give
-repeated records; an empty table gives an empty result; extra columns are ignored.
+outlinks, the source's status line, every header line of it as ``source-header`` and its payload digest) and
+``conversion`` (the visible text as text/plain). Identifiers are urn:uuid values made from the response's identifier, so reruns agree.
+Digests are SHA-256 of the block in lowercase hex. ``read_responses`` takes responses from WARC files; ``response_records``
+makes them of a table of pages, which has neither headers nor dates, so both are the same for all pages there.
+
+Defined cases: a null payload counts as empty, a null URL leaves its headers out; control signs and spaces in a URL
+are percent-encoded and those in header values are spaces, so that no field can forge another; continued header
+lines are joined; null headers give no header fields, a null date is the Unix epoch, a null digest is made from the
+payload and a null identifier from URL and digest; repeated responses give repeated records; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import html
 import re
 from collections.abc import Iterator
 
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.html_text import TAG, lines_of
 
-CRLF = "\r\n"
+CRLF, EPOCH = "\r\n", "1970-01-01T00:00:00Z"
 _TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 _HREF = re.compile(r"\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
@@ -40,16 +46,54 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
         payload.alias("payload"), F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("payload_digest"))
 
 
-def page_title(page: str) -> str:
-    import html
+#: A record as Spark's text reader gives it: what separates records ends in the middle of the next version line.
+SEPARATOR = f"{CRLF}{CRLF}WARC/1."
+_RECORD = re.compile(r"\A(?P<head>.*?)\r\n\r\n(?P<block>.*)\Z", re.S)
+
+
+def parse_record(raw: str) -> dict | None:
+    """The fields of one response record (without its version line); None if it is of another type or broken."""
+    m = _RECORD.match(raw)
+    if not m:
+        return None
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in unfolded(m["head"]))}
+    if fields.get("warc-type", "").lower() != "response":
+        return None
+    block = m["block"].encode("utf-8", "surrogatepass")
+    if fields.get("content-length", "").isdigit():
+        block = block[: int(fields["content-length"])]
+    headers, _, payload = block.decode("utf-8", "replace").partition("\r\n\r\n")
+    return {"record_id": fields.get("warc-record-id", "").strip("<>"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "date": fields.get("warc-date"),
+            "http_headers": headers, "payload": payload, "payload_digest": fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(payload.encode("utf-8", "surrogatepass")).hexdigest()}
+
+
+def unfolded(head: str) -> list[str]:
+    """Header lines, each with its continuation lines."""
+    return re.sub(r"\r?\n[ \t]+", " ", head).strip("\r\n").replace("\r\n", "\n").split("\n")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of uncompressed WARC/1.0 or 1.1 files in UTF-8, as ``response_records`` gives them; page_id is null.
+
+    Spark splits the files between records, so a large file is read by several tasks. A payload that holds
+    two line ends and a version line ends there.
+    """
+    schema = "page_id bigint, record_id string, url string, date string, http_headers string, payload string, payload_digest string"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [r for raw in part["value"] if (r := parse_record(raw.partition(CRLF)[2]))]
+            yield pd.DataFrame([{"page_id": None} | r for r in found], columns=[c.split()[0] for c in schema.split(", ")]).astype({"page_id": "Int64"})
 
+    return spark.read.option("lineSep", SEPARATOR).text(path).mapInPandas(run, schema)
+
+
+def page_title(page: str) -> str:
     m = _TITLE.search(page)
     return " ".join(html.unescape(m[1]).split()) if m else ""
 
 
 def outlinks(page: str) -> list[str]:
-    import html
-
     out = []
     for m in TAG.finditer(page):
         if (m["name"] or m["name2"] or "").lower() == "a" and (h := _HREF.search(m["attrs"] or m["attrs2"] or "")):
@@ -57,20 +101,42 @@ def outlinks(page: str) -> list[str]:
     return out
 
 
+def clean_url(url: str | None) -> str | None:
+    return None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def clean_value(value: str) -> str:
+    return re.sub(r"[\x00-\x1f\x7f]+", " ", value).strip()
+
+
+def header_fields(http_headers: str | None) -> str:
+    """Status line and headers of a response as warc-fields."""
+    lines = unfolded(http_headers or "")
+    status, headers = (lines[0], lines[1:]) if lines[0].upper().startswith("HTTP/") else ("", lines)
+    out = [f"source-status: {clean_value(status)}"] if status else []
+    out += [f"source-header: {clean_value(line)}" for line in headers if line.strip()]
+    return "".join(f"{line}{CRLF}" for line in out)
+
+
 def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
+        part["url"] = [clean_url(u) for u in part["url"]]
+        part["http_headers"] = [header_fields(h) for h in part["http_headers"]]
         part["title"] = [page_title(p) for p in part["payload"]]
-        part["links"] = ["".join(f"outlink: {u}{CRLF}" for u in outlinks(p)) for p in part["payload"]]
+        part["links"] = ["".join(f"outlink: {clean_url(u)}{CRLF}" for u in outlinks(p)) for p in part["payload"]]
         part["plain"] = ["\n".join(x.text for x in lines_of(p)) for p in part["payload"]]
+        part["page_id"] = pd.array(part["page_id"], dtype="Int64")
         yield part.drop(columns="payload")
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response: page_id, record_type, record_id, refers_to, url, content_type, content_length, block_digest, source_digest, record."""
     schema = "page_id bigint, record_id string, url string, date string, http_headers string, payload_digest string, title string, links string, plain string"
-    rows = responses.select("page_id", "record_id", "url", "date", "http_headers", "payload_digest", "payload").mapInPandas(_blocks, schema)
-    fields = F.concat(F.lit("title: "), F.col("title"), F.lit(CRLF), F.lit("http-status: "), F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit(CRLF),
-                      F.lit("http-content-type: "), F.regexp_extract("http_headers", r"(?im)^Content-Type: *([^\r\n]*)", 1), F.lit(CRLF),
+    payload = F.coalesce("payload", F.lit(""))
+    digest = F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2(payload, 256)))
+    rows = responses.select("page_id", F.coalesce("record_id", uuid_of(F.concat_ws("|", "url", digest))).alias("record_id"), "url", F.coalesce("date", F.lit(EPOCH)).alias("date"),
+                            "http_headers", digest.alias("payload_digest"), payload.alias("payload")).mapInPandas(_blocks, schema)
+    fields = F.concat(F.lit("title: "), F.col("title"), F.lit(CRLF), F.col("http_headers"),
                       F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit(CRLF), F.col("links"))
     kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
                     F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=UTF-8").alias("content_type"), F.col("plain").alias("block")))

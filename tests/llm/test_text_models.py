@@ -6,13 +6,14 @@ import hashlib
 import html
 import json
 import re
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from strataflow.llm.html_text import extract_text, lines_of, main_text, weights_of
 from strataflow.llm.tool_calls import as_tool_messages, link_calls
 from strataflow.llm.toxicity import drop_toxic, fold, toxicity
-from strataflow.llm.warc import derive, response_records, write_warc
+from strataflow.llm.warc import CRLF, derive, read_responses, response_records, write_warc
 
 SF = "/root/testdata/sf0.1"
 
@@ -248,3 +249,86 @@ def test_labels_that_differ_count_as_toxic(spark):
     worst = labels.withColumn("toxic", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("toxic")))
     score = lambda x: {(r.doc_id, round(r.score, 9)) for r in toxicity(docs, x).collect()}
     assert score(both.repartition(5)) == score(both.repartition(1)) == score(worst)
+
+
+class Links(HTMLParser):
+    """Title and link targets by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.title, self.links, self.inside = "", [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = tag == "title"
+        self.links += [dict(attrs)["href"]] if tag == "a" and "href" in dict(attrs) else []
+
+    def handle_data(self, data):
+        self.title += data if self.inside else ""
+
+    def handle_endtag(self, tag):
+        self.inside = False
+
+
+def test_derivatives_of_all_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r.page_id, r.record_type): r for r in derive(response_records(pages)).collect()}
+    rows = pages.collect()
+    assert len(got) == 2 * len(rows)
+    for r in rows:
+        parser = Links()
+        parser.feed(r.html)
+        digest = "sha256:" + hashlib.sha256(r.html.encode()).hexdigest()
+        block = f"title: {' '.join(parser.title.split())}{CRLF}source-status: HTTP/1.1 200 OK{CRLF}source-header: Content-Type: text/html; charset=utf-8{CRLF}source-payload-digest: {digest}{CRLF}"
+        block += "".join(f"outlink: {link}{CRLF}" for link in parser.links)
+        meta, plain = got[r.page_id, "metadata"], got[r.page_id, "conversion"]
+        assert meta.record.partition(CRLF * 2)[2] == block and meta.refers_to == plain.refers_to and meta.block_digest == "sha256:" + hashlib.sha256(block.encode()).hexdigest()
+        text = plain.record.partition(CRLF * 2)[2]
+        assert plain_article(r.html) in text and "<" not in text and plain.content_length == len(text.encode()) and f"WARC-Target-URI: {r.url}{CRLF}" in plain.record
+
+
+def test_headers_are_kept_and_nothing_forges_a_field(spark, tmp_path):
+    headers = CRLF.join(["HTTP/1.1 404 Not Found", "Content-Type: text/html", "ETag: \"x\"", "X-Long: a", "  b", "Server: s"])
+    rows = [(1, "urn:uuid:1", f"http://a/{CRLF}WARC-Type: response{CRLF}{CRLF}x y", "2024-05-06T07:08:09Z", headers, "<p>\u00dc " + "long " * 100_000 + "</p>", None, "extra"), (1, "urn:uuid:1", None, None, None, None, None, None), (1, None, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id bigint, record_id string, url string, date string, http_headers string, payload string, payload_digest string, record string")
+    got = derive(frame).collect()
+    assert len(got) == 6 and all(r.record and r.refers_to for r in got)
+    for r in got:
+        assert r.record.partition(CRLF * 2)[0].count("WARC-Type: ") == 1
+    meta = next(r for r in got if r.record_type == "metadata" and r.url)
+    assert "WARC-Target-URI: http://a/%0D%0AWARC-Type:%20response%0D%0A%0D%0Ax%20y" in meta.record and "WARC-Date: 2024-05-06T07:08:09Z" in meta.record
+    for line in ("source-status: HTTP/1.1 404 Not Found", "source-header: Content-Type: text/html", 'source-header: ETag: "x"', "source-header: X-Long: a b", "source-header: Server: s"):
+        assert f"{line}{CRLF}" in meta.record
+    assert derive(frame.limit(0)).count() == 0
+
+
+def test_responses_are_read_from_warc_files(spark, tmp_path):
+    payloads = ["<title>A</title>\u00fc\r\n\r\nmore <a href=x>x</a>", "", "see\r\nWARC/1.0 is a format"]
+    out = b""
+    for i, payload in enumerate(payloads):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-N: {i}\r\n\r\n{payload}".encode()
+        out += f"WARC/1.{i % 2}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nWARC-Date: 2024-01-0{i + 1}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        out += b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:uuid:r>\r\nContent-Length: 3\r\n\r\nGET\r\n\r\n"
+    (tmp_path / "in.warc").write_bytes(out)
+    responses = read_responses(spark, str(tmp_path / "in.warc"))
+    got = {r.record_id: r for r in responses.collect()}
+    assert {k: (r.url, r.payload, r.date[:10], r.http_headers.split("\r\n")[-1]) for k, r in got.items()} == {f"urn:uuid:{i}": (f"http://h/{i}", p, f"2024-01-0{i + 1}", f"X-N: {i}") for i, p in enumerate(payloads)}
+    write_warc(derive(responses), str(tmp_path / "out"))
+    assert {r.refers_to for r in derive(responses).collect()} == set(got) and "source-header: X-N: 2" in "".join(p.read_bytes().decode() for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_long_chains_and_orders(spark, tmp_path):
+    from strataflow.llm.tool_calls import format_chats
+
+    call = lambda i, needs: json.dumps({"tool_calls": [{"id": str(i), "name": "get", "arguments": json.dumps({"key": f"$result:{needs}" if needs is not None else "k"})}]})
+    rows = [(7, 100 - i, "assistant", call(i, i - 1 if i else None), 0) for i in range(25)] + [(7, 200, "tool", json.dumps({"tool_call_id": "3", "content": "x " * 200_000}), 0)]
+    rows += [(8, 1, "assistant", call("a", None), 0), (8, 1, "assistant", call("a", "b"), 0), (8, None, "assistant", call("b", None), 0)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, level int")
+    schemas = {"get": {"properties": {"key": "string"}, "required": ["key"]}}
+    found = link_calls(frame, schemas)
+    got = sorted((r.conv_id, int(r.call_id, 36), r.level, r.status) for r in found.collect())
+    assert got == sorted([(7, int(str(i), 36), i, "linked" if i == 3 else "pending") for i in range(25)] + [(8, 10, 1, "ambiguous")] * 2 + [(8, 11, 0, "pending")])
+    for n in (1, 3, 7):
+        assert sorted(map(str, link_calls(frame.repartition(n), schemas).collect())) == sorted(map(str, found.collect()))
+    format_chats(found, str(tmp_path / "chats"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "chats").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x["level"] for x in lines if x["conv_id"] == 7] == list(range(25)) and len(lines) == 28
