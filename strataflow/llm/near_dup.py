@@ -250,6 +250,8 @@ def leaves(reps: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFr
             paths = stage(paths, "paths")
             held.append(paths)
         counts = paths.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        counts = stage(counts, "members")  # an aggregate in the join itself would keep adaptive execution from splitting hot nodes
+        held.append(counts)
         found = stage(paths.join(counts.hint("merge"), "node"), "nodes")
         held.append(found)
         now = found.filter(F.col("members") <= LEAF).select("tree", "node", "rep")
@@ -294,6 +296,8 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, known: DataFrame, k: int,
         held.append(split)
         shares = split.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         main = shares.groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside")).filter("outside > 0")
+        main = stage(main, "main")
+        held.append(main)
         parts = split.join(main.hint("merge"), "node").withColumn("others", F.ceil(F.col("outside") / LEAF)).withColumn("blocks", n_blocks)
         block, other = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.pmod(F.xxhash64("rep"), "others").cast("int")
         ones = parts.select("node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others").cast("int") - 1)).alias("other"), "rep", "label", F.lit(1).alias("side"))
