@@ -74,6 +74,17 @@ def release(*staged: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+#: Arrow batches of a session whose sizes are Spark's own: a worker holds a batch several times over, as Arrow, as objects and in results.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches small; sizes that its owner has set stay."""
+    for key, (default, small) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import NO_ID, fresh_name, stage, text_of
+from strataflow.llm.common import NO_ID, bound_batches, fresh_name, stage, text_of
 from strataflow.llm.shingles import WordHashes, shingle_set, shingle_stream
 
 MOST_BITS = 26  # of a bitmap's address
@@ -95,6 +95,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
+    bound_batches(docs.sparkSession)
     known = stage(item_rows(items, k, percent).distinct(), "items")
     searched = docs.sparkSession.sparkContext.broadcast(size_partitions(known))
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import bound_batches
+
 WINDOW = 3
 SURGE, LEAST = 1 / 2, 8.0
 LINE, MARKED = 8, 40
@@ -287,6 +289,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(page) for page in part["html"]]
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
 

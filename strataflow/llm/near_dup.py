@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import fresh_name, stage, text_of
+from strataflow.llm.common import bound_batches, fresh_name, stage, text_of
 from strataflow.llm.components import components
 from strataflow.llm.shingles import WordHashes, mix64, shingle_set, similar
 
@@ -314,6 +314,7 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, known: DataFrame, k: int,
 
 def _grouped(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
     """For every row: doc_id (``LAST_ID`` where it has none), text_hash, n_shingles, component (the like)."""
+    bound_batches(docs.sparkSession)
     text = text_of()
     # rows without doc_id sort last, so a class has the least doc_id of its rows if there is any
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

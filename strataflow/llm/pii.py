@@ -39,7 +39,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import stage
+from strataflow.llm.common import bound_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -263,6 +263,7 @@ def thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
 
 def find_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.99, trees: int = 12, depth: int = 4) -> DataFrame:
     """For every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    bound_batches(docs.sparkSession)
     scanned = stage(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = scanned.select("row", F.pmod(F.xxhash64("doc_id", "base_sha256"), F.lit(2)).alias("half"), "doc_id", F.explode("candidates").alias("c")).select("row", "half", "doc_id", "c.*")
     each = each.withColumn("h", F.pmod(F.xxhash64("doc_id", "s", "e", "kind"), F.lit(1 << 20)))

@@ -20,7 +20,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to ``limit`` words; then it starts anew."""
 
-    def __init__(self, limit: int = 150_000) -> None:
+    def __init__(self, limit: int = 32_768) -> None:
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

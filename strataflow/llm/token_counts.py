@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import scratch_path, stage, text_of
+from strataflow.llm.common import bound_batches, scratch_path, stage, text_of
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
@@ -110,6 +110,7 @@ class TokenCache:
 
 def token_counts(docs: DataFrame, version: str, count: Callable[[list[str]], list[int]], cache: TokenCache | None = None, limit: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
+    bound_batches(docs.sparkSession)
     cache = cache or TokenCache(docs.sparkSession)
     text = text_of()
     digested = stage(docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes")), "text-digests")

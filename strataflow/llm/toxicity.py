@@ -36,7 +36,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import fresh_name, stage, text_of
+from strataflow.llm.common import bound_batches, fresh_name, stage, text_of
 from strataflow.llm.shingles import mix64
 
 ORDER, DISCOUNT = 6, 0.75
@@ -47,7 +47,7 @@ FEATURES = ("whole", *(f"best{n}" for n in RUNS), "second", "third")
 #: Labels up to this number are broadcast to the texts (9 bytes each); more are shuffled.
 BROADCAST_LABELS = 2_000_000
 #: Words are looked up for groups of texts of this many characters, and remembered up to this many bytes (a word beside its letters takes WORD_BYTES).
-GROUP_CHARS, HELD_BYTES, WORD_BYTES = 1 << 18, 24 << 20, 190
+GROUP_CHARS, HELD_BYTES, WORD_BYTES = 1 << 18, 12 << 20, 190
 WORDS = re.compile(r"[^\W\d_]+")
 _A, _N = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -322,6 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibra
     Labels are read only where crc32(doc_id) % 5 is not 0; of these rows one in ``for_calibration`` fits
     the logistic regression and the others the models.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & (fold() % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import bound_batches
 from strataflow.llm.html_text import TAG, lines_of
 
 CRLF, EPOCH = "\r\n", "1970-01-01T00:00:00Z"
@@ -132,6 +133,7 @@ def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response: page_id, record_type, record_id, refers_to, url, content_type, content_length, block_digest, source_digest, record."""
     schema = "page_id bigint, record_id string, url string, date string, http_headers string, payload_digest string, title string, links string, plain string"
+    bound_batches(responses.sparkSession)
     payload = F.coalesce("payload", F.lit(""))
     digest = F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2(payload, 256)))
     rows = responses.select("page_id", F.coalesce("record_id", uuid_of(F.concat_ws("|", "url", digest))).alias("record_id"), "url", F.coalesce("date", F.lit(EPOCH)).alias("date"),
