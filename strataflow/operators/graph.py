@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +20,20 @@ def graph_nodes(ent: DataFrame) -> DataFrame:
     return modules.unionByName(entities, allowMissingColumns=True)
 
 
-def graph_edges(ent: DataFrame, calls: DataFrame, module_edges: DataFrame) -> DataFrame:
-    """contains, call and imports edges as a bag; imports of a module by itself are dropped."""
+def graph_edges(ent: DataFrame, calls: DataFrame, module_edges: DataFrame, inheritance: DataFrame | None = None) -> DataFrame:
+    """contains, call, imports, inherits and implements edges as a bag; imports of a module by itself are dropped.
+
+    ``inheritance`` (entity_id, parent_id, kind) has the parents that are known, by id or by a name that is unique.
+    """
     contains = ent.select(F.concat_ws("/", "repository_id", "module").alias("source"), F.col("entity_id").alias("target"), F.lit("contains").alias("kind"))
     call = edges(calls).select("source", "target", F.lit("call").alias("kind"))
     name = lambda c: F.concat(F.lit("nation_"), F.col(c).cast("string"))
     imports = module_edges.filter("src <> dst").select(name("src").alias("source"), name("dst").alias("target"), F.lit("imports").alias("kind"))
-    return contains.unionByName(call).unionByName(imports)
+    found = contains.unionByName(call).unionByName(imports)
+    if inheritance is None:
+        return found
+    kind = F.when(F.col("kind") == "extends", "inherits").otherwise("implements")
+    return found.unionByName(inheritance.filter("entity_id IS NOT NULL AND parent_id IS NOT NULL").select(F.col("entity_id").alias("source"), F.col("parent_id").alias("target"), kind.alias("kind")))
 
 
 def module_dependency_graph(calls: DataFrame, ent: DataFrame) -> DataFrame:
@@ -32,70 +43,138 @@ def module_dependency_graph(calls: DataFrame, ent: DataFrame) -> DataFrame:
     return pairs.filter("src <> dst").select("src", "dst").distinct()
 
 
-def module_cycles(edge: DataFrame, max_length: int = 4) -> DataFrame:
-    """Simple cycles of at most ``max_length`` modules, one per set of members: (length, members).
+def module_cycles(edge: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Simple cycles of modules, one per set of members: (length, members); of any length unless ``max_length`` is given.
 
-    Paths start at their least node and grow by an equi-join, so a cycle is found once per direction.
+    Only edges inside a strong component can lie on a cycle. Paths start at their least node and grow by an equi-join,
+    so a cycle is found once per direction. A dense graph has exponentially many cycles, as many as this returns.
     """
-    step = edge.select(F.col("src").alias("tip"), F.col("dst").alias("next"))
-    paths = edge.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("tip"), F.array("src", "dst").alias("path"))
-    found = None
-    for _ in range(2, max_length + 1):
-        grown = paths.join(step, "tip")
-        closed = grown.filter("next = start").select(F.size("path").alias("length"), F.array_join(F.sort_array("path"), ",").alias("members"))
-        found = closed if found is None else found.unionByName(closed)
+    parts = cyclic_components(edge)
+    at = lambda end, out: parts.select(F.col("node").alias(end), F.col("component").alias(out))
+    step = cut(edge.filter("src <> dst").select("src", "dst").distinct().join(at("src", "a"), "src").join(at("dst", "b"), "dst").filter("a = b").select("src", "dst"))
+    paths = step.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("tip"), F.array("src", "dst").alias("path"))
+    onward = step.select(F.col("src").alias("tip"), F.col("dst").alias("next"))
+    found = [edge.limit(0).select(F.lit(0).alias("length"), F.lit("").alias("members"))]
+    length = 2
+    while max_length is None or length <= max_length:
+        grown = cut(paths.join(onward, "tip"))
+        if grown.isEmpty():
+            break
+        found.append(grown.filter("next = start").select(F.size("path").alias("length"), F.array_join(F.sort_array("path"), ",").alias("members")))
         paths = grown.filter(F.expr("next > start AND NOT array_contains(path, next)")).select("start", F.col("next").alias("tip"), F.concat("path", F.array("next")).alias("path"))
-    return found.distinct()
+        length += 1
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a table in the shared folder; a local session may go without that folder."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, so that lineage ends there; only a local session may go without that folder."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="strataflow-")
+    path = f"{shared.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cyclic_components(edge: DataFrame, rounds: int = 50) -> DataFrame:
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Edges that one task may search on its own (some tens of MB).
+EDGES_A_TASK = 100_000
+
+
+def _strong(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of the nodes on cycles of a small graph, by two depth-first passes without recursion."""
+    onward: dict = {}
+    back: dict = {}
+    for part in parts:
+        for a, b in zip(part["src"].tolist(), part["dst"].tolist(), strict=True):
+            onward.setdefault(a, []).append(b)
+            onward.setdefault(b, [])
+            back.setdefault(b, []).append(a)
+    left, seen = [], set()
+    for root in onward:
+        if root in seen:
+            continue
+        seen.add(root)
+        path = [(root, iter(onward[root]))]
+        while path:
+            node, rest = path[-1]
+            for other in rest:
+                if other not in seen:
+                    seen.add(other)
+                    path.append((other, iter(onward[other])))
+                    break
+            else:
+                left.append(node)
+                path.pop()
+    out, seen = [], set()
+    for root in reversed(left):
+        members, waiting = [], [root] if root not in seen else []
+        seen.add(root)
+        while waiting:
+            node = waiting.pop()
+            members.append(node)
+            for other in back.get(node, ()):
+                if other not in seen:
+                    seen.add(other)
+                    waiting.append(other)
+        if len(members) > 1:
+            out += [(node, min(members)) for node in members]
+    yield pd.DataFrame(out, columns=["node", "component"])
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Edges whose source is entered and whose target is left: the others lie on no cycle."""
+    return cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+
+
+def cyclic_components(edge: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(node, component) of every node on a cycle of any length; component is the least node of its strong component.
 
-    Colouring: the least node that reaches each node spreads forward; then what reaches its colour's root
-    backwards inside the colour is that root's strong component and leaves the graph.
+    A graph of at most ``edges_a_task`` edges is searched in one task. A larger one loses, round by round, the edges that
+    are entered or left by nothing, and is coloured: the least node that reaches each node spreads forward, then what
+    reaches its colour's root backwards inside the colour is that root's strong component and leaves the graph.
     """
-    left = _cut(edge.filter("src <> dst").select("src", "dst").distinct())
-    out = None
-    for _ in range(rounds):
-        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colour = _cut(nodes.withColumn("colour", F.col("node")))
+    left = cut(edge.filter("src <> dst").select("src", "dst").distinct())
+    kind = left.schema["src"].dataType.simpleString()
+    out = []
+    while left.count() > edges_a_task:
+        before = left.count()
+        left = _trimmed(left)
+        if left.count() < before:
+            continue
+        colour = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
         while True:
             seen = left.join(colour, left.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("via"))
-            after = _cut(colour.join(seen, "node", "left").select("node", F.least("colour", F.coalesce("via", "colour")).alias("colour")))
-            if colour.join(after.withColumnRenamed("colour", "new"), "node").filter("colour <> new").isEmpty():
+            after = cut(colour.join(seen, "node", "left").select("node", F.least("colour", F.coalesce("via", "colour")).alias("colour"), (F.col("via") < F.col("colour")).alias("moved")))
+            colour = after.select("node", "colour")
+            if after.filter("moved").isEmpty():
                 break
-            colour = after
-        ends = (left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst"))
-        inner = _cut(ends.filter("a = b").select("src", "dst", "a"))
-        back = _cut(colour.filter("node = colour"))
-        while True:
-            more = inner.join(back.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct().join(back.select("node"), "node", "left_anti")
-            more = _cut(more)
-            if more.isEmpty():
-                break
-            back = _cut(back.unionByName(more))
-        sizes = back.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
-        part = back.join(sizes, "colour").filter("n > 1").select("node", F.col("colour").alias("component"))
-        out = part if out is None else out.unionByName(part)
-        gone = back.select("node")
-        left = _cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        if left.isEmpty():
-            return out
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def graph_filter(nodes: DataFrame, edge: DataFrame, kind: str, text: str) -> DataFrame:
-    """Edges of a kind between nodes whose label contains a text: the induced subgraph by two semi-joins."""
-    wanted = nodes.filter(F.lower("label").contains(text.lower())).select("id")
-    return (edge.filter(F.col("kind") == kind).join(wanted.withColumnRenamed("id", "source"), "source", "left_semi")
+        ends = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        inner = cut(ends.filter("a = b").select("src", "dst", "a"))
+        back = [colour.filter("node = colour")]
+        newest, known = back[0], back[0].select("node")
+        while not newest.isEmpty():
+            newest = cut(inner.join(newest.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct().join(known, "node", "left_anti"))
+            back.append(newest)
+            known = cut(known.unionByName(newest.select("node")))
+        part = cut(reduce(DataFrame.unionByName, back))
+        sizes = part.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("colour")
+        out.append(part.join(sizes, "colour", "left_semi").select("node", F.col("colour").alias("component")))
+        left = cut(left.join(known.withColumnRenamed("node", "src"), "src", "left_anti").join(known.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    out.append(left.coalesce(1).mapInPandas(_strong, f"node {kind}, component {kind}"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def graph_filter(nodes: DataFrame, edge: DataFrame, kind: str | None = None, text: str = "", high_risk: DataFrame | None = None, circular: DataFrame | None = None) -> DataFrame:
+    """The induced subgraph as edges, by semi-joins: of one kind, between nodes whose label or id contains a text.
+
+    ``high_risk`` (id) keeps edges between risky nodes, ``circular`` (id) those between nodes on a cycle.
+    """
+    wanted = nodes.filter(F.lower("label").contains(text.lower()) | F.lower("id").contains(text.lower())).select("id")
+    for more in (high_risk, circular):
+        wanted = wanted if more is None else wanted.join(more.select("id"), "id", "left_semi")
+    rows = edge if kind is None else edge.filter(F.col("kind") == kind)
+    return (rows.join(wanted.withColumnRenamed("id", "source"), "source", "left_semi")
             .join(wanted.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "kind"))

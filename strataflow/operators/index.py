@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataflow.functions.paths import is_test_file
-from strataflow.functions.text import words
+from strataflow.functions.text import identifier_tokens
 from strataflow.operators import extract as X
+from strataflow.operators.graph import cut
 
 CLASS_KINDS = ("class", "interface", "enum", "record", "annotation")
 #: Queries that one block of a search holds.
@@ -54,22 +57,45 @@ def chunk_levels(code: DataFrame) -> DataFrame:
 
 
 def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
-    """Sparse unit vectors (id, bucket, weight) of texts (id, text): each distinct word adds a signed one to its bucket."""
-    token = texts.select("id", F.explode(F.array_distinct(words("text"))).alias("token"))
+    """Sparse unit vectors (id, bucket, weight) of texts (id, text).
+
+    Each distinct token (identifiers and their parts) adds a signed one to its bucket: the first four bytes of its
+    MD5 name the bucket, an odd fifth byte adds, an even one takes away.
+    """
+    token = texts.select("id", F.explode(F.array_distinct(identifier_tokens("text"))).alias("token"))
     h = F.md5("token")
     bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dims
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sign = F.when(F.substring(h, 10, 1).isin(*"13579bdf"), 1).otherwise(-1)
     sums = token.groupBy("id", bucket.alias("bucket")).agg(F.sum(sign).alias("s")).filter("s <> 0")
     norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
     return sums.join(norm, "id").select("id", "bucket", (F.col("s") / F.col("norm")).alias("weight"))
 
 
-def embed_incremental(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(content_hash, was_cached) of all distinct texts, and the texts that must be embedded, once each."""
-    hashed = texts.select("id", "text", F.sha2("text", 256).alias("content_hash"))
-    missing = hashed.dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
-    known = hashed.select("content_hash").distinct().join(cache.select("content_hash", F.lit(True).alias("known")).distinct(), "content_hash", "left")
-    return known.select("content_hash", F.coalesce("known", F.lit(False)).alias("was_cached")), missing
+CACHE_SCHEMA = "content_hash string, dims int, buckets array<struct<bucket: bigint, weight: double>>"
+
+
+class EmbeddingCache:
+    """Vectors by content hash and number of dimensions: Parquet files below ``path`` to which runs only append."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
+
+    def rows(self, dims: int) -> DataFrame:
+        return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path).filter(F.col("dims") == dims).select("content_hash", "buckets")
+
+
+def embed_incremental(texts: DataFrame, cache: EmbeddingCache, dims: int = 256) -> DataFrame:
+    """(content_hash, was_cached, buckets) of all distinct texts; only those that the cache lacks are embedded, once each, and appended."""
+    texts = texts.filter("text IS NOT NULL").select("text", F.sha2("text", 256).alias("content_hash"))
+    distinct = texts.groupBy("content_hash").agg(F.min("text").alias("text"))
+    known = cut(cache.rows(dims).select("content_hash").join(texts.select("content_hash").distinct(), "content_hash", "left_semi").distinct())
+    missing = distinct.join(known, "content_hash", "left_anti").select(F.col("content_hash").alias("id"), "text")
+    vectors = hash_embed(missing, dims).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("buckets"))
+    found = missing.select("id").join(vectors, "id", "left")  # texts without tokens are cached as empty
+    found.select(F.col("id").alias("content_hash"), F.lit(dims).alias("dims"), F.coalesce("buckets", F.array().cast(vectors.schema["buckets"].dataType)).alias("buckets")).write.mode("append").parquet(cache.path)
+    rows = cache.rows(dims).dropDuplicates(["content_hash"]).join(known.withColumn("known", F.lit(True)), "content_hash", "left")
+    return texts.select("content_hash").distinct().join(rows, "content_hash").select("content_hash", F.coalesce("known", F.lit(False)).alias("was_cached"), "buckets")
 
 
 def _unit(v: str = "embedding") -> F.Column:
@@ -78,34 +104,82 @@ def _unit(v: str = "embedding") -> F.Column:
     return F.transform(x, lambda e: e / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The k chunks of greatest cosine per query, ties by id. Queries meet the chunks in blocks, and each block keeps its best."""
+def _dealt(queries: DataFrame, rows: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (block, salt): blocks of queries, and salts that spread the rows over all tasks.
+
+    Each row meets each block of queries once; a query goes to every salt of its block, so no task holds more than
+    a block of queries and its share of the rows, whatever the sizes.
+    """
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.col("chunk_id").alias("query_id"), _unit().alias("q"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks)).cast("int").alias("block"))
-    c = chunks.select("chunk_id", _unit().alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = q.join(c, "block").filter("query_id <> chunk_id").select("query_id", "chunk_id", F.round(dot, 4).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    c = rows.withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    return q, c
+
+
+def _best(scored: DataFrame, row_id: str, k: int) -> DataFrame:
+    """The k best rows per query, ties by id: first within each salt, then over all."""
+    order = [F.desc("score"), F.col(row_id)]
+    some = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(*order))).filter(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).drop("salt")
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, tables: int = 24, bucket: float = 1.2, radius: float = 1.5) -> DataFrame:
-    """Approximate neighbours by random-projection hashing of all chunks, ranked again by true distance."""
-    rows = lambda df: df.select("chunk_id", array_to_vector(_unit()).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(rows(chunks))
-    pairs = model.approxSimilarityJoin(rows(queries), rows(chunks), radius, "distance")
-    scored = pairs.select(F.col("datasetA.chunk_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 4).alias("score")).filter("query_id <> chunk_id")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _dot(a: str, b: str) -> F.Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The k chunks of greatest cosine per query, ties by id: every query against every chunk, in blocks."""
+    q, c = _dealt(queries.select(F.col("chunk_id").alias("query_id"), _unit().alias("q")), chunks.select("chunk_id", _unit().alias("c")), "chunk_id")
+    scored = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").select("query_id", "salt", "chunk_id", F.round(_dot("q", "c"), 4).alias("score"))
+    return _best(scored, "chunk_id", k)
+
+
+def signed(rows: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(id, v, s): unit vectors and the signs of their products with ``bits`` random directions, 64 to a number."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            v = np.stack(part["v"].to_numpy())
+            directions = np.random.default_rng(seed).standard_normal((v.shape[1], bits))
+            packed = np.packbits(v @ directions > 0, axis=1).reshape(len(v), -1).view(">i8").astype(np.int64)
+            yield part.assign(s=list(packed))
+
+    return rows.mapInPandas(run, "id bigint, v array<double>, s array<bigint>")
+
+
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, bits: int = 256, share: float = 0.1, sample: int = 2000, seed: int = 11) -> DataFrame:
+    """Approximate neighbours by sign sketches of all chunks, ranked again by true cosine.
+
+    Pairs whose sketches differ in few enough places are candidates; that number is the ``share`` quantile over at most
+    about ``sample`` chunks (by hash) and as many queries. A query with less than k candidates is searched in full.
+    """
+    unit = lambda df: signed(df.filter("embedding IS NOT NULL").select(F.col("chunk_id").alias("id"), _unit().alias("v")), bits, seed)
+    words = range(bits // 64)
+    apart = sum((F.bit_count(F.col("qs")[i].bitwiseXOR(F.col("cs")[i])) for i in words), F.lit(0))
+    q_rows = cut(unit(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("s").alias("qs")))
+    c_rows = cut(unit(chunks).select(F.col("id").alias("chunk_id"), F.col("v").alias("c"), F.col("s").alias("cs")))
+    few = lambda df, key: df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(df.count(), 1))))
+    q, c = _dealt(few(q_rows, "query_id").select("query_id", "qs"), few(c_rows, "chunk_id").select("chunk_id", "cs"), "chunk_id")
+    limit = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").agg(F.percentile_approx(apart, share, 1000)).first()[0]
+    q, c = _dealt(q_rows, c_rows, "chunk_id")
+    near = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").filter(apart <= F.lit(limit if limit is not None else bits))
+    best = cut(_best(near.select("query_id", "salt", "chunk_id", F.round(_dot("q", "c"), 4).alias("score")), "chunk_id", k))
+    short = queries.join(best.filter(F.col("rank") == k).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_anti")
+    full = short.select(F.col("chunk_id").alias("query_id")).distinct()
+    if full.isEmpty():
+        return best
+    return best.join(full, "query_id", "left_anti").unionByName(cosine_topk(short, chunks, k))
 
 
 def text_search(queries: DataFrame, texts: DataFrame, k: int = 10, dims: int = 256) -> DataFrame:
-    """Top k texts per query text by the dot product of hashed embeddings: a join on buckets."""
-    q = hash_embed(queries, dims).select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    c = hash_embed(texts, dims).select(F.col("id").alias("file_id"), "bucket", "weight")
-    scored = q.join(c, "bucket").filter("query_id <> file_id").groupBy("query_id", "file_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 4).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "file_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """Top k texts per query text by the dot product of hashed embeddings; texts that share no bucket are none."""
+    vectors = lambda df: hash_embed(df, dims).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), "weight"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.try_element_at("m", i))
+    q, c = _dealt(vectors(queries).select(F.col("id").alias("query_id"), dense.alias("q")), vectors(texts).select(F.col("id").alias("file_id"), F.map_entries("m").alias("c")), "file_id")
+    products = F.transform("c", lambda x: F.get("q", x["key"]) * x["value"])
+    pairs = q.join(c, ["block", "salt"]).filter("query_id <> file_id").select("query_id", "salt", "file_id", F.filter(products, lambda x: x.isNotNull()).alias("p")).filter("size(p) > 0")
+    return _best(pairs.select("query_id", "salt", "file_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 4).alias("score")), "file_id", k)
 
 
 def search_enrich(hits: DataFrame, chunks: DataFrame, ent: DataFrame) -> DataFrame:

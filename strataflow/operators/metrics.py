@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataflow.operators.resolve import callers_of
+from strataflow.operators.resolve import callees_of, callers_of
 
 
 def edges(calls: DataFrame) -> DataFrame:
@@ -65,15 +65,17 @@ def capped_callers(calls: DataFrame, ent: DataFrame, k: int = 20) -> DataFrame:
 
 
 def impact_report(calls: DataFrame, ent: DataFrame) -> DataFrame:
-    """Callers, distinct caller modules, impact level and reason of every entity in one pass."""
+    """Callers, distinct caller modules, callees, impact level and reason of every entity."""
+    made = callees_of(calls, ent).groupBy("repository_id", "entity_id").agg(F.count(F.lit(1)).alias("callees"))
     per = callers_of(calls, ent).groupBy("repository_id", "entity_id").agg(F.count(F.lit(1)).alias("callers"), F.count_distinct("caller_module").alias("modules"))
-    all_ = ent.join(per, ["repository_id", "entity_id"], "left").select("repository_id", "entity_id", "complexity", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("modules", F.lit(0)).alias("modules"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    all_ = ent.join(per, ["repository_id", "entity_id"], "left").join(made, ["repository_id", "entity_id"], "left").select("repository_id", "entity_id", "complexity", none("callers"), none("modules"), none("callees"))
     high = (F.col("callers") >= 3) | (F.col("modules") >= 2) | (F.col("callers") >= 1) & (F.col("complexity") >= 10)
     medium = (F.col("callers") >= 1) | (F.col("complexity") >= 5)
     reason = (F.when(high, F.format_string("%d callers across %d modules depend on this function's behavior and error semantics.", "callers", "modules"))
               .when(medium, F.concat(F.format_string("%d caller in %d ", "callers", "modules"), F.when(F.col("modules") == 1, "module").otherwise("modules"), F.lit(" depends on this function.")))
               .otherwise("No callers in this repository depend on this function; low impact risk."))
-    return all_.select("repository_id", "entity_id", "callers", "modules", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW").alias("impact"), reason.alias("reason"))
+    return all_.select("repository_id", "entity_id", "callers", "modules", "callees", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW").alias("impact"), reason.alias("reason"))
 
 
 def distinct_modules(calls: DataFrame, ent: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def distinct_modules(calls: DataFrame, ent: DataFrame) -> DataFrame:
 
 
 def impact_level(calls: DataFrame, ent: DataFrame) -> DataFrame:
-    return impact_report(calls, ent).select("repository_id", "entity_id", "callers", "modules", "impact")
+    return impact_report(calls, ent).select("repository_id", "entity_id", "callers", "modules", "impact")  # callees are pruned
 
 
 def test_run_stats(cases: DataFrame, target: float = 60.0) -> DataFrame:
@@ -146,5 +148,6 @@ def coverage_progress(runs: DataFrame, target: float = 60.0, max_iterations: int
 def coupling_issues(ent: DataFrame, limit: int = 8, k: int = 10) -> DataFrame:
     """Up to k entities per repository whose complexity is at least ``limit``, in order of id."""
     w = W.partitionBy("repository_id").orderBy("entity_id")
+    # Fixed value: the text of an issue.
     detail = F.format_string("%s.%s couples execution with high complexity (%d)", "module", "name", "complexity")
-    return ent.filter(F.col("complexity") >= limit).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("repository_id", F.lit("coupling").alias("kind"), F.lit("medium").alias("severity"), detail.alias("detail"))
+    return ent.filter(F.col("complexity") >= limit).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("repository_id", F.lit("coupling").alias("kind"), F.lit("medium").alias("severity"), detail.alias("detail"), "entity_id")

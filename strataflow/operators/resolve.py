@@ -62,7 +62,7 @@ def callers_of(calls: DataFrame, ent: DataFrame) -> DataFrame:
 
     The disjunction is a union of two equi-joins; a caller counts once per (name, module, line).
     """
-    who = with_caller(calls, ent).join(ent.select(F.col("entity_id").alias("caller_id"), F.col("name").alias("caller")), "caller_id")
+    who = calls.join(ent.select(F.col("entity_id").alias("caller_id"), F.col("name").alias("caller"), F.col("module").alias("caller_module")), "caller_id")
     by_id = who.filter("callee_id IS NOT NULL").select("repository_id", F.col("callee_id").alias("entity_id"), "caller", "caller_module", "call_line")
     targets = ent.select("repository_id", F.col("name").alias("tail"), "entity_id")
     by_name = (who.withColumn("tail", last("callee_name")).join(targets, ["repository_id", "tail"])

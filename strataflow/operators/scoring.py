@@ -28,11 +28,20 @@ def breaking_changes(versions: DataFrame, calls: DataFrame, ent: DataFrame) -> D
     return found.join(capped_callers(calls, ent), "entity_id", "left").select("proposal_id", "entity_id", F.lit("HIGH").alias("impact"), "reason", F.coalesce("callers", F.lit("")).alias("affected_callers"))
 
 
-def api_compatibility(versions: DataFrame) -> DataFrame:
-    """100 less 40 for a breaking change."""
+# Fixed value: what a breaking change costs by its impact.
+PENALTIES = {"HIGH": 40, "MEDIUM": 20, "LOW": 5}
+
+
+def api_compatibility(versions: DataFrame, reported: DataFrame | None = None) -> DataFrame:
+    """100 less the penalties of all breaking changes: of the signature (HIGH), and ``reported`` ones (proposal_id, impact, reason), each reason once."""
     old, new = params("old_params"), params("new_params")
     breaks = (F.size(old) != F.size(new)) | (F.size(F.array_except(old, new)) > 0)
-    return versions.select("proposal_id", F.greatest(F.lit(0), F.lit(100) - F.when(breaks, 40).otherwise(0)).alias("api_compatibility"))
+    rows = versions.select("proposal_id", F.when(breaks, PENALTIES["HIGH"]).otherwise(0).alias("own"))
+    if reported is None:
+        return rows.select("proposal_id", F.greatest(F.lit(0), F.lit(100) - F.col("own")).alias("api_compatibility"))
+    cost = F.coalesce(F.create_map(*(F.lit(x) for pair in PENALTIES.items() for x in pair))[F.col("impact")], F.lit(PENALTIES["LOW"]))
+    more = reported.groupBy("proposal_id", "reason").agg(F.max(cost).alias("cost")).groupBy("proposal_id").agg(F.sum("cost").alias("cost"))
+    return rows.join(more, "proposal_id", "left").select("proposal_id", F.greatest(F.lit(0), (F.lit(100) - F.col("own") - F.coalesce("cost", F.lit(0))).cast("int")).alias("api_compatibility"))
 
 
 def test_compatibility(versions: DataFrame, runs: DataFrame, target: float = 60.0) -> DataFrame:
@@ -107,7 +116,14 @@ def scored_claims(claims: DataFrame) -> DataFrame:
     """Both evaluators on (expected, response): accuracy, completeness, clarity and overall of A and B."""
     # words are made once per row, not once per category
     rows = claims.select("file_id", "item_id", "response", X.normalize("response").alias("norm"), X.normal_words("response").alias("found"), *(c.alias(f"e{i}") for i, c in enumerate(_categories("expected"))))
-    covered = sum(((X.cover_ratio(F.col(f"e{i}"), F.col("found")) >= 0.5).cast("int") for i in range(6)), F.lit(0))
+    # the long list of a response's words is met twice, not twice per category
+    want = F.array_distinct(F.flatten(F.array(*(f"e{i}" for i in range(6)))))
+    start = lambda ws: F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
+    rows = rows.withColumn("want", want).withColumn("starts", start("found"))
+    rows = rows.withColumn("exact", F.array_intersect("want", "found")).withColumn("begun", F.array_intersect(start(F.filter("want", lambda w: F.length(w) > 4)), "starts"))
+    hit = lambda w: F.array_contains("exact", w) | (F.length(w) > 4) & F.array_contains("begun", F.substring(w, 1, 4))
+    ratio = lambda e: F.when(F.size(e) == 0, 1.0).otherwise(F.size(F.filter(e, hit)) / F.size(e))
+    covered = sum(((ratio(f"e{i}") >= 0.5).cast("int") for i in range(6)), F.lit(0))
     anchored = sum((X.has_any(F.col("norm"), a).cast("int") for a in ANCHORS), F.lit(0))
     blank, marked, n = F.col("response") == "", X.has_any(F.lower("response"), X.PLACEHOLDERS), F.length("response")
     clarity_a = 5 - F.when(blank, 2).otherwise(0) - F.when(marked, 6).otherwise(0) - F.when((n < 15) | (n > 300), 1).otherwise(0)

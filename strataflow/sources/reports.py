@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JUNIT = "testcase array<struct<_name: string, _time: double, failure: string, error: string>>"
+JUNIT = "_tests bigint, testcase array<struct<_name: string, _time: double, failure: string, error: string>>"
 JACOCO = "counter array<struct<_type: string, _missed: bigint, _covered: bigint>>, line array<struct<_nr: int, _mi: int>>"
 
 
 def parse_test_report(reports: DataFrame) -> DataFrame:
-    """Cases of JUnit texts (run_id, report): name, status (failure or error: failed), duration in ms."""
-    case = reports.select("run_id", F.explode(F.from_xml("report", JUNIT)["testcase"]).alias("c"))
+    """Cases of JUnit texts (run_id, report): name, status (failure or error: failed), duration in ms, and the suite's declared number of tests (its cases where none is declared).
+
+    A report without cases has one row without name.
+    """
+    x = reports.select("run_id", F.from_xml("report", JUNIT).alias("x"))
+    declared = F.when(F.col("x._tests") > 0, F.col("x._tests")).otherwise(F.greatest(F.size("x.testcase"), F.lit(0)).cast("bigint"))
+    case = x.select("run_id", declared.alias("generated"), F.explode_outer("x.testcase").alias("c"))
     bad = F.col("c.failure").isNotNull() | F.col("c.error").isNotNull()
-    return case.select("run_id", F.col("c._name").alias("name"), F.when(bad, "failed").otherwise("passed").alias("status"), F.round(F.col("c._time") * 1000).cast("bigint").alias("duration_ms"))
+    return case.select("run_id", "generated", F.col("c._name").alias("name"), F.when(F.col("c").isNull(), None).when(bad, "failed").otherwise("passed").alias("status"), F.bround(F.col("c._time") * 1000).cast("bigint").alias("duration_ms"))
 
 
 def parse_coverage_json(reports: DataFrame) -> DataFrame:
-    """(run_id, line_coverage, file, line) of coverage JSON: a row per missing line."""
-    j = F.from_json("report", "totals struct<percent_covered: double>, files map<string, struct<missing_lines: array<int>>>")
-    files = reports.select("run_id", j.alias("j")).select("run_id", F.round("j.totals.percent_covered", 4).alias("line_coverage"), F.explode("j.files").alias("file", "f"))
-    return files.select("run_id", "line_coverage", "file", F.explode("f.missing_lines").alias("line"))
+    """(run_id, line_coverage, branch_coverage, file, line) of coverage JSON: a row per missing line, one without line for a file that misses none, one without file for a run without files."""
+    j = F.from_json("report", "totals struct<percent_covered: double, percent_branches_covered: double>, files map<string, struct<missing_lines: array<int>>>")
+    files = reports.select("run_id", j.alias("j")).select("run_id", *(F.bround(F.coalesce(f"j.totals.{a}", F.lit(0.0)), 2).alias(b) for a, b in (("percent_covered", "line_coverage"), ("percent_branches_covered", "branch_coverage"))), F.explode_outer("j.files").alias("file", "f"))
+    return files.select("run_id", "line_coverage", "branch_coverage", "file", F.explode_outer("f.missing_lines").alias("line"))
 
 
 def parse_jacoco_xml(reports: DataFrame) -> DataFrame:
@@ -32,11 +37,12 @@ def parse_jacoco_xml(reports: DataFrame) -> DataFrame:
 
 
 def coverage_from_log(logs: DataFrame) -> DataFrame:
-    """Coverage of the last line of a log that is JSON once colours are removed."""
+    """Coverage of the last line of a log that is JSON once colours are removed; null for a log without one."""
     lines = logs.select("run_id", F.posexplode(F.split("log", "\n")).alias("i", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "\u001b\\[[0-9;]*m", "")))
     good = lines.filter(F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
-    return good.groupBy("run_id").agg(F.max_by("line", "i").alias("line")).select("run_id", F.get_json_object("line", "$.line_coverage").cast("double").alias("line_coverage"))
+    last = good.groupBy("run_id").agg(F.max_by("line", "i").alias("line"))
+    return logs.select("run_id").distinct().join(last, "run_id", "left").select("run_id", F.get_json_object("line", "$.line_coverage").cast("double").alias("line_coverage"))
 
 
 def uncovered_lines_by_file(coverage: DataFrame) -> DataFrame:
-    return coverage.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("line")), ",").alias("lines"))
+    return coverage.filter("line IS NOT NULL").groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("line")), ",").alias("lines"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from strataflow.functions import paths as P
 from strataflow.functions import text as X
-from strataflow.operators import extract, graph, metrics, resolve, scoring
+from strataflow.operators import extract, graph, index, metrics, resolve, scoring
 from strataflow.sources import files as S
 
 
@@ -86,3 +89,94 @@ def test_plans_have_no_cartesian_product(spark):
 def test_safety_scores_round_half_to_even(spark):
     row = spark.range(1).select(F.bround(F.lit(62.5), 0).alias("a"), F.bround(F.lit(63.5), 0).alias("b")).first()
     assert (row.a, row.b) == (62, 64) and scoring.COMPLETENESS[6] == 5.0
+
+
+def test_chains_and_long_cycles(spark):
+    """A chain of 60 modules, a cycle of 7, and random graphs; in one task and in rounds."""
+    rng = random.Random(4)
+
+    def strong(edges):
+        """By the definition: two nodes that reach each other."""
+        reach = {x: {x} for e in edges for x in e}
+        moved = True
+        while moved:
+            moved = False
+            for a, b in edges:
+                if not reach[b] <= reach[a]:
+                    reach[a] |= reach[b]
+                    moved = True
+        return {(x, min(y for y in reach[x] if x in reach[y])) for x in reach if any(y != x and x in reach[y] for y in reach[x])}
+
+    chain = [(i, i + 1) for i in range(60)]
+    ring = [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
+    edge = spark.createDataFrame(chain + ring + [(59, 100)], "src int, dst int")
+    assert {(r.node, r.component) for r in graph.cyclic_components(edge).collect()} == {(100 + i, 100) for i in range(7)}
+    assert [(r.length, r.members) for r in graph.module_cycles(edge).collect()] == [(7, ",".join(str(100 + i) for i in range(7)))]
+    assert graph.module_cycles(spark.createDataFrame(chain, "src int, dst int")).count() == 0
+    pairs = [(rng.randrange(14), rng.randrange(14)) for _ in range(20)] + [(20, 21), (21, 22), (22, 23)]
+    frame = spark.createDataFrame(pairs, "src int, dst int")
+    want = strong([p for p in pairs if p[0] != p[1]])
+    for most in (0, 100_000):
+        assert {(r.node, r.component) for r in graph.cyclic_components(frame, most).collect()} == want
+
+
+def test_hashed_vectors_of_known_tokens(spark):
+    """md5("get") = b5eda0a74558a342..., md5("user") = ee11cbb19052e40b..., md5("getuser") and md5("id") are worked out here from the digests."""
+    tokens = ["getuser", "get", "user", "id", "user_id"]
+    digests = {t: hashlib.md5(t.encode()).digest() for t in tokens}
+    assert digests["get"][:5].hex() == "b5eda0a745" and digests["user"][:5].hex() == "ee11cbb190"
+    assert digests["get"][4] % 2 == 1 and digests["user"][4] % 2 == 0  # so +1 in bucket 0xa7, -1 in bucket 0xb1
+    want = {}
+    for t in tokens:
+        want[digests[t][3]] = want.get(digests[t][3], 0) + (1 if digests[t][4] & 1 else -1)
+    norm = sum(v * v for v in want.values()) ** 0.5
+    got = {r.bucket: r.weight for r in index.hash_embed(spark.createDataFrame([(1, "getUser user_id getUser")], "id int, text string")).collect()}
+    assert {b: round(v, 9) for b, v in got.items()} == {b: round(v / norm, 9) for b, v in want.items() if v} and got[0xA7] > 0 > got[0xB1]
+
+
+def test_cached_embeddings(spark, tmp_path):
+    cache = index.EmbeddingCache(spark, f"file://{tmp_path}/cache")
+    texts = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "+"), (4, None)], "id int, text string")
+    first = index.embed_incremental(texts, cache).collect()
+    assert len(first) == 2 and not any(r.was_cached for r in first) and sorted(len(r.buckets) for r in first) == [0, 2]
+    again = index.embed_incremental(texts.unionByName(spark.createDataFrame([(5, "c")], "id int, text string")), cache).collect()
+    assert sorted(r.was_cached for r in again) == [False, True, True] and cache.rows(256).count() == 3
+    assert all(r.was_cached for r in index.embed_incremental(texts, cache).collect()) and cache.rows(256).count() == 3
+    assert cache.rows(64).count() == 0
+
+
+def test_approximate_search_is_approximate_and_finds_nine_in_ten(spark):
+    """Recall at sf0.1, and the share of pairs that the sketches let through; few rows are searched in full."""
+    from strataflow.plans.bindings import bind
+
+    chunks = bind(spark, "/root/testdata/sf0.1", "chunks")
+    queries = chunks.filter("chunk_id % 50 = 0")
+    key = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact, near = key(index.cosine_topk(queries, chunks)), key(index.ann_topk(queries, chunks))
+    assert len(exact & near) >= 0.9 * len(exact) and len(near) == len(exact)
+    few = chunks.filter("chunk_id < 60")
+    assert key(index.ann_topk(few.filter("chunk_id % 50 = 0"), few, k=30)) == key(index.cosine_topk(few.filter("chunk_id % 50 = 0"), few, k=30))
+    assert index.ann_topk(queries.limit(0), chunks).count() == 0
+    s = {r.id: r.s for r in index.signed(chunks.select(F.col("chunk_id").alias("id"), index._unit().alias("v")), 256, 11).collect()}
+    ids = sorted(s)[:400]
+    apart = sorted(sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(s[i], s[j], strict=True)) for i in ids for j in ids if i < j)
+    assert 90 < apart[len(apart) // 10] < 128  # a tenth of all pairs is nearer than that
+
+
+def test_reports_without_cases_lines_or_results(spark):
+    from strataflow.sources import reports
+
+    xml = spark.createDataFrame([("a", '<testsuite tests="3"><testcase name="x" time="0.0125"/><testcase name="y" time="1"><error>e</error></testcase></testsuite>'), ("b", '<testsuite tests="2"></testsuite>')], "run_id string, report string")
+    assert {tuple(r) for r in reports.parse_test_report(xml).select("run_id", "generated", "name", "status", "duration_ms").collect()} == {("a", 3, "x", "passed", 12), ("a", 3, "y", "failed", 1000), ("b", 2, None, None, None)}
+    text = '{"totals": {"percent_covered": 71.428571, "percent_branches_covered": 50.0}, "files": {"a.py": {"missing_lines": [3, 5]}, "b.py": {"missing_lines": []}}}'
+    got = {tuple(r) for r in reports.parse_coverage_json(spark.createDataFrame([("a", text), ("b", '{"totals": {}}')], "run_id string, report string")).collect()}
+    assert got == {("a", 71.43, 50.0, "a.py", 3), ("a", 71.43, 50.0, "a.py", 5), ("a", 71.43, 50.0, "b.py", None), ("b", 0.0, 0.0, None, None)}
+    logs = spark.createDataFrame([("a", 'x\n{"line_coverage": 7}\n{"line_coverage": 8}\n'), ("b", "nothing")], "run_id string, log string")
+    assert {(r.run_id, r.line_coverage) for r in reports.coverage_from_log(logs).collect()} == {("a", 8.0), ("b", None)}
+
+
+def test_penalties_by_impact(spark):
+    versions = spark.createDataFrame([(1, "a", "a"), (2, "a,b", "a"), (3, "a", "a")], "proposal_id int, old_params string, new_params string")
+    reported = spark.createDataFrame([(1, "MEDIUM", "x"), (1, "MEDIUM", "x"), (1, "LOW", "y"), (2, "HIGH", "z"), (2, "HIGH", "v")], "proposal_id int, impact string, reason string")
+    assert {tuple(r) for r in scoring.api_compatibility(versions, reported).collect()} == {(1, 75), (2, 0), (3, 100)}
+    assert {tuple(r) for r in scoring.api_compatibility(versions).collect()} == {(1, 100), (2, 60), (3, 100)}
