@@ -1,8 +1,9 @@
 """Source facts at line grain: definitions, names, complexity, calls, imports, inheritance.
 
-A files table is exploded to lines once; every fact is a column expression, window or keyed join over them.
-String literals and comments are blanked before code is matched. Supported: Python and Java in the usual
-layout (one definition a line, a body indented deeper than its head).
+``analysed`` explodes a files table to lines once and finds the definitions around each line; every fact is a projection
+of its result, which callers may store and hand to several of the functions below instead of the files. String literals and
+comments are blanked before code is matched. Supported: Python and Java in the usual layout (a body indented deeper
+than its head, one definition a line; signatures may span up to ``SIGNATURE_LINES`` lines).
 """
 
 from __future__ import annotations
@@ -12,52 +13,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 KEY = ["repository_id", "path"]
+SIGNATURE_LINES = 6
 PY_DEF = r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"
-JAVA_TYPE = r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)"
-JAVA_METHOD = r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:[A-Za-z_][\w<>\[\], ]*\s+)([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws [\w, .]+)?\{"
-NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "new", "else")
+_MODIFIERS = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|sealed)\s+)*(?:<[^(){}]+>\s+)?"
+_TYPE = r"(?!(?:return|new|throw|else|case|assert)\b)[A-Za-z_][\w<>\[\]., ?]*"
+JAVA_TYPE = _MODIFIERS + r"(class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)"
+JAVA_METHOD = _MODIFIERS + rf"(?:{_TYPE}\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws [\w., ]+)?\{{"
+JAVA_ABSTRACT = _MODIFIERS + rf"{_TYPE}\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws [\w., ]+|default [^;]*)?;\s*$"
+NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "new", "else", "try", "synchronized", "do")
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "elif", "and", "or", "not", "in")
+QUOTES = '"""'
 
 
-def lines(code: DataFrame) -> DataFrame:
-    """One row per line: n from 1, raw text, code without literals and comments, indent."""
-    rows = code.select(*KEY, "file_id", "language", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    bare = F.regexp_replace(F.regexp_replace("raw", r'"""[^"]*"""|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'', '""'), r"(#|//).*$|^\s*/?\*.*$", "")
-    return rows.select(*KEY, "file_id", "language", (F.col("i") + 1).alias("n"), "raw", bare.alias("code"), (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"))
+def _one_line_signatures(text: str, language: str) -> F.Column:
+    """The text with signatures that span lines on their first line; as many empty lines follow, so that numbers stay."""
+    out = F.col(text)
+    for lang, start in (("python", r"^[ \t]*(?:async +)?(?:def|class) +\w+\("), ("java", r"^[ \t]*(?:@\w+(?:\([^)\n]*\))? +)*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]*\(")):
+        broken = rf"(?m)({start}[^()\n]*)(\n+)([^\n]+)"
+        joined = F.col(text)
+        for _ in range(SIGNATURE_LINES - 1):
+            joined = F.regexp_replace(joined, broken, "$1 $3$2")
+        out = F.when((F.col(language) == lang) & F.col(text).rlike(broken), joined).otherwise(out)
+    return out
 
 
-def heads(rows: DataFrame) -> DataFrame:
-    """Lines that open a definition: kind, name, indent, line_start, and line_end by the next line that is not deeper."""
+def lines(code: DataFrame) -> DataFrame:
+    """One row per line: n from 1, raw text, code without literals and comments, indent, and the number of text blocks opened or closed before."""
+    rows = code.select(*KEY, "file_id", "language", F.posexplode(F.split(_one_line_signatures("text", "language"), "\n")).alias("i", "raw")).repartition(*KEY)
+    quotes = (F.length("raw") - F.length(F.replace("raw", F.lit(QUOTES), F.lit("")))) / 3
+    rows = rows.withColumn("quotes", quotes.cast("int"))
+    rows = rows.withColumn("blocks", F.coalesce(F.sum("quotes").over(W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside, odd = F.col("blocks") % 2 == 1, F.col("quotes") % 2 == 1
+    seen = (F.when(inside & odd, F.regexp_replace("raw", r'^.*?"""', "")).when(inside, "").when(odd, F.regexp_replace("raw", r'"""(?!.*""").*$', '""')).otherwise(F.col("raw")))
+    bare = F.regexp_replace(F.regexp_replace(seen, r'"""[^"]*"""|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'', '""'), r"(#|//).*$|^\s*/?\*.*$", "")
+    return rows.select(*KEY, "file_id", "language", (F.col("i") + 1).alias("n"), "raw", bare.alias("code"), (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"), "blocks", "quotes")
+
+
+def analysed(code: DataFrame) -> DataFrame:
+    """Lines with what they define (name, kind, line_end; empty and null elsewhere) and the chain of open definitions around them.
+
+    A line closes every definition that is indented as deep or deeper. For each indent at which a file has definitions,
+    one window finds the last closing line before each line (a definition there is still open) and the next one after, so
+    the work grows with the lines of a file times its few indents. ``code`` that is analysed already comes back.
+    """
+    if "chain" in code.columns:
+        return code
+    rows = lines(code)
     py, java = F.col("language") == "python", F.col("language") == "java"
-    t, m = F.regexp_extract("code", JAVA_TYPE, 2), F.regexp_extract("code", JAVA_METHOD, 1)
+    t, m, bare_ = F.regexp_extract("code", JAVA_TYPE, 2), F.regexp_extract("code", JAVA_METHOD, 1), F.regexp_extract("code", JAVA_ABSTRACT, 1)
     word, kind = F.regexp_extract("code", PY_DEF, 1), F.regexp_extract("code", JAVA_TYPE, 1)
-    name = F.when(py, F.regexp_extract("code", PY_DEF, 2)).when(java & (t != ""), t).when(java & ~m.isin(*NOT_METHODS), m).otherwise("")
+    name = F.when(py, F.regexp_extract("code", PY_DEF, 2)).when(java & (t != ""), t).when(java & (m != "") & ~m.isin(*NOT_METHODS), m).when(java & ~bare_.isin(*NOT_METHODS), bare_).otherwise("")
     what = F.when(py, F.when(word == "class", "class").otherwise("function")).when(t != "", F.when(kind == "@interface", "annotation").otherwise(kind)).otherwise("method")
-    found = rows.withColumn("name", name).withColumn("kind", what)
-    starts = found.filter("name <> ''").select(*KEY, "file_id", "language", "name", "kind", "indent", F.col("n").alias("line_start"), "code", "raw")
-    after = rows.filter("trim(raw) <> ''").select(*KEY, F.col("n").alias("m"), F.col("indent").alias("d"), F.trim("code").alias("c"))
-    # a closing brace at the head's own indent still belongs to a Java body
-    ends = (starts.join(after, KEY).filter("m > line_start AND d <= indent").groupBy(*KEY, "line_start")
-            .agg(F.min(F.struct("m", "c")).alias("e")).select(*KEY, "line_start", F.when(F.col("e.c") == "}", F.col("e.m")).otherwise(F.col("e.m") - 1).alias("end")))
-    last = rows.groupBy(*KEY).agg(F.max("n").alias("last"))
-    return starts.join(ends, [*KEY, "line_start"], "left").join(last, KEY).withColumn("line_end", F.coalesce("end", "last")).drop("end", "last")
+    rows = rows.withColumn("name", name).withColumn("kind", F.when(F.col("name") != "", what)).withColumn("bodiless", java & (t == "") & (m == "") & (F.col("name") != ""))
+    file, in_order = W.partitionBy(*KEY), W.partitionBy(*KEY).orderBy("n")
+    solid = rows.filter((F.trim("code") != "") | (F.col("blocks") % 2 == 1) | (F.col("quotes") > 0) | F.col("raw").rlike(r"^\s*/?\*"))
+    text = (F.trim("code") != "") | (F.col("blocks") % 2 == 1) | (F.col("quotes") > 0)  # a comment ends nothing and belongs to nothing
+    solid = (solid.withColumn("previous", F.last(F.when(text, F.col("n")), True).over(in_order.rowsBetween(W.unboundedPreceding, -1))).withColumn("last", F.max(F.when(text, F.col("n"))).over(file))
+             .withColumn("levels", F.collect_set(F.when(F.col("name") != "", F.col("indent"))).over(file)))
+    each = solid.withColumn("level", F.explode_outer("levels")).drop("levels")
+    by = W.partitionBy(*KEY, "level")
+    closes, heads_here = (F.trim("code") != "") & (F.col("indent") <= F.col("level")), (F.col("name") != "") & (F.col("indent") == F.col("level"))
+    opened = F.last(F.when(closes, F.struct(heads_here.alias("is_open"), "level", F.col("n").alias("line_start"), "name", "kind")), True).over(by.orderBy("n").rowsBetween(W.unboundedPreceding, -1))
+    closed = F.last(F.when(closes, F.struct("n", F.trim("code").alias("c"), "previous")), True).over(by.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
+    each = each.withColumn("around", opened).withColumn("next", F.when(heads_here, closed))
+    one = lambda c: F.first(c).alias(c)
+    link = F.when(F.col("around.is_open") & (F.col("indent") > F.col("level")), F.struct("around.level", "around.line_start", "around.name", "around.kind"))
+    out = each.groupBy(*KEY, "n").agg(*map(one, ("file_id", "language", "raw", "code", "indent", "blocks", "quotes", "name", "kind", "bodiless", "previous", "last")), F.max("next").alias("next"), F.sort_array(F.collect_list(link)).alias("chain"))
+    # without a body, only members of interfaces and annotations and abstract methods are definitions
+    top = F.try_element_at("chain", F.lit(-1))["kind"]
+    real = ~F.col("bodiless") | top.isin("interface", "annotation") | top.isin("class", "enum", "record") & F.col("code").rlike(r"\babstract\b")
+    end = F.when(F.col("bodiless"), F.col("n")).when((F.col("language") == "java") & F.col("next.c").startswith("}"), F.col("next.n")).otherwise(F.coalesce("next.previous", "last"))
+    is_head = (F.col("name") != "") & F.coalesce(real, F.lit(False))
+    return (out.withColumn("line_end", F.when(is_head, end)).withColumn("name", F.when(is_head, F.col("name")).otherwise("")).withColumn("kind", F.when(is_head, F.col("kind")))
+            .withColumn("owner", F.concat_ws(".", F.transform("chain", lambda x: x["name"]), F.when(F.col("name") != "", F.col("name")))).drop("bodiless", "last", "next"))
 
 
 def definitions(code: DataFrame) -> DataFrame:
     """Definitions with parent and dotted qualified name; a function right under a class is a method."""
-    return named(heads(lines(code)))
-
-
-def named(found: DataFrame) -> DataFrame:
-    inner = found.select(*KEY, F.col("line_start").alias("s"), F.col("line_end").alias("e"), F.col("indent").alias("d"))
-    outer = found.select(*KEY, F.col("line_start").alias("ps"), F.col("line_end").alias("pe"), F.col("indent").alias("pd"), F.col("name").alias("pname"), F.col("kind").alias("pkind"))
-    up = inner.join(outer, KEY).filter("ps < s AND pe >= e AND pd < d")
-    chain = up.groupBy(*KEY, F.col("s").alias("line_start")).agg(F.sort_array(F.collect_list(F.struct("ps", "pname", "pkind"))).alias("chain"))
-    rows = found.join(chain, [*KEY, "line_start"], "left")
-    top = F.element_at("chain", -1)
-    return (rows.withColumn("qualified_name", F.concat_ws(".", F.transform("chain", lambda x: x["pname"]), "name"))
-            .withColumn("parent", F.concat_ws(".", F.transform("chain", lambda x: x["pname"])))
-            .withColumn("kind", F.when((F.col("kind") == "function") & (top["pkind"] == "class"), "method").otherwise(F.col("kind"))).drop("chain"))
+    rows = analysed(code).filter("name <> ''")
+    top = F.try_element_at("chain", F.lit(-1))
+    return rows.select(*KEY, "file_id", "language", "name", F.when((F.col("kind") == "function") & (top["kind"] == "class"), "method").otherwise(F.col("kind")).alias("kind"), "indent", F.col("n").alias("line_start"), "line_end",
+                       "code", "raw", F.col("owner").alias("qualified_name"), F.concat_ws(".", F.transform("chain", lambda x: x["name"])).alias("parent"))
 
 
 def extract_definitions(code: DataFrame) -> DataFrame:
@@ -85,51 +121,44 @@ def visibility_flag(code: DataFrame) -> DataFrame:
 
 
 def cyclomatic_complexity(code: DataFrame) -> DataFrame:
-    """1 + decisions in the lines of a function: branches, loops, handlers, conditional and logical operators."""
-    rows = lines(code)
+    """1 + decisions in the lines of a function, those of functions in it included: branches, loops, handlers, conditional and logical operators."""
+    rows = analysed(code)
     py = F.regexp_count("code", F.lit(r"\b(if|elif|for|while|except|and|or|case)\b"))
     java = F.regexp_count("code", F.lit(r"\b(if|for|while|do|catch|case|switch)\b|&&|\|\||\?"))
-    points = rows.select(*KEY, F.col("n").alias("at"), F.when(F.col("language") == "python", py).otherwise(java).alias("points"))
-    found = named(heads(rows)).filter(F.col("kind").isin("function", "method"))
-    per = found.join(points, KEY).filter("at >= line_start AND at <= line_end").groupBy(*KEY, "qualified_name").agg((F.sum("points") + 1).alias("complexity"))
-    return per.select("path", "qualified_name", "complexity")
+    points = F.when(F.col("language") == "python", py).otherwise(java)
+    # each line counts for every definition around it and for the one that it opens
+    upto = lambda i: F.concat_ws(".", F.transform(F.slice("chain", F.lit(1), i), lambda x: x["name"]))
+    around = F.transform("chain", lambda x, i: F.struct(upto(i + 1).alias("qualified_name"), x["line_start"].alias("line_start")))
+    own = F.when(F.col("name") != "", F.array(F.struct(F.col("owner").alias("qualified_name"), F.col("n").alias("line_start")))).otherwise(F.array().cast("array<struct<qualified_name:string,line_start:int>>"))
+    per = rows.select(*KEY, points.alias("points"), F.explode(F.concat(around, own)).alias("d")).groupBy(*KEY, "d.qualified_name", "d.line_start").agg((F.sum("points") + 1).alias("complexity"))
+    found = definitions(rows).filter(F.col("kind").isin("function", "method")).select(*KEY, "qualified_name", "line_start")
+    return per.join(found, [*KEY, "qualified_name", "line_start"], "left_semi").select("path", "qualified_name", "complexity")
 
 
 def class_complexity(code: DataFrame) -> DataFrame:
     """The greatest complexity of a class's methods, 1 if it has none."""
+    code = analysed(code)
     found = definitions(code)
     methods = found.filter("kind = 'method'").select("path", "parent", "qualified_name").join(cyclomatic_complexity(code), ["path", "qualified_name"])
     most = methods.groupBy("path", F.col("parent").alias("qualified_name")).agg(F.max("complexity").alias("m"))
     return found.filter("kind = 'class'").select("path", "qualified_name").join(most, ["path", "qualified_name"], "left").select("path", "qualified_name", F.coalesce("m", F.lit(1)).alias("complexity"))
 
 
-def owned(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (with n) and their innermost definition's qualified name (empty at module level)."""
-    spans = found.select(*KEY, "qualified_name", F.col("line_start").alias("s"), F.col("line_end").alias("e"))
-    inside = rows.join(spans, KEY).filter("s <= n AND n <= e").groupBy(*KEY, "n").agg(F.max(F.struct("s", "qualified_name")).alias("o"))
-    return rows.join(inside, [*KEY, "n"], "left").withColumn("owner", F.coalesce("o.qualified_name", F.lit(""))).drop("o")
-
-
 def extract_calls(code: DataFrame) -> DataFrame:
     """Call sites as written with their line and innermost owner; the definition's own head is none."""
-    rows = lines(code)
-    found = named(heads(rows))
-    starts = found.select(*KEY, F.col("line_start").alias("n"), F.col("name").alias("head"))
-    body = owned(rows, found).join(starts, [*KEY, "n"], "left")
-    names = F.regexp_extract_all("code", F.lit(r"(?<![\w.])([A-Za-z_][\w.]*)\s*\("), 1)
-    calls = body.select("path", F.col("owner").alias("caller"), F.col("n").alias("line"), "head", F.explode(names).alias("callee_name"))
-    return calls.filter(~F.col("callee_name").isin(*NOT_CALLS) & (F.col("head").isNull() | (F.col("callee_name") != F.col("head")))).select("path", "caller", "callee_name", "line")
+    names = F.regexp_extract_all("code", F.lit(r"(?<![\w.@])([A-Za-z_][\w.]*)\s*\("), 1)
+    calls = analysed(code).select("path", F.col("owner").alias("caller"), F.col("n").alias("line"), F.col("name").alias("head"), F.explode(names).alias("callee_name"))
+    return calls.filter(~F.col("callee_name").isin(*NOT_CALLS) & (F.col("callee_name") != F.col("head"))).select("path", "caller", "callee_name", "line")
 
 
 def dynamic_call_flag(code: DataFrame) -> DataFrame:
     """Lines with a call that no name resolves: ``getattr(...)`` or ``obj[key](...)``."""
-    rows = lines(code)
-    return owned(rows.filter(F.col("code").rlike(r"\bgetattr\(|\w\[[^\]]+\]\(")), named(heads(rows))).select("path", F.col("owner").alias("caller"), F.col("n").alias("line"))
+    return analysed(code).filter(F.col("code").rlike(r"\bgetattr\(|\w\[[^\]]+\]\(")).select("path", F.col("owner").alias("caller"), F.col("n").alias("line"))
 
 
 def extract_imports(code: DataFrame) -> DataFrame:
     """(path, module, local_name, kind, line) of ``import``, ``from .. import`` and Java imports."""
-    rows = lines(code)
+    rows = analysed(code)
     py = rows.filter("language = 'python'")
     plain = (py.filter(F.col("code").rlike(r"^\s*import\s"))
              .select(*KEY, "n", F.explode(F.split(F.regexp_extract("code", r"^\s*import\s+(.*)$", 1), ",")).alias("p"))
@@ -137,64 +166,80 @@ def extract_imports(code: DataFrame) -> DataFrame:
     named_ = (py.filter(F.col("code").rlike(r"^\s*from\s")).select(*KEY, "n", F.regexp_extract("code", r"^\s*from\s+([\w.]+)\s+import", 1).alias("module"), F.explode(F.split(F.regexp_extract("code", r"import\s+(.*)$", 1), ",")).alias("p"))
               .select("path", "module", F.when(F.col("p").contains(" as "), F.regexp_extract("p", r" as (\w+)", 1)).otherwise(F.regexp_extract("p", r"(\w+)", 1)).alias("local_name"), F.lit("normal").alias("kind"), F.col("n").alias("line")))
     java = rows.filter("language = 'java'").filter(F.col("code").rlike(r"^\s*import\s"))
-    name = F.regexp_extract("code", r"^\s*import\s+(?:static\s+)?([\w.]+)", 1)
+    name = F.regexp_extract("code", r"^\s*import\s+(?:static\s+)?([\w.]+(?:\*)?)", 1)
     java = java.select("path", name.alias("module"), F.substring_index(name, ".", -1).alias("local_name"), F.when(F.col("code").rlike(r"import\s+static\s"), "static").otherwise("normal").alias("kind"), F.col("n").alias("line"))
     return plain.unionByName(named_).unionByName(java)
 
 
 def extract_inheritance(code: DataFrame) -> DataFrame:
-    """(path, entity, parent_name, kind, line) of base classes, ``extends`` and ``implements``."""
-    rows = heads(lines(code)).filter(F.col("kind").isin("class", "interface", "enum", "record"))
+    """(path, entity, parent_name, kind, line) of base classes, ``extends`` and ``implements``; type arguments stay with their name."""
+    rows = definitions(code).filter(F.col("kind").isin("class", "interface", "enum", "record"))
     py, java = F.col("language") == "python", F.col("language") == "java"
-    split = lambda text: F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != "")
-    ext = F.when(py, split(F.regexp_extract("code", r"class\s+\w+\(([^)]*)\)", 1))).otherwise(split(F.regexp_extract("code", r"\bextends\s+(.*?)(?:\bimplements\b|\{|$)", 1)))
-    imp = F.when(java, split(F.regexp_extract("code", r"\bimplements\s+(.*?)(?:\{|$)", 1))).otherwise(F.array().cast("array<string>"))
+    plain = F.regexp_replace("code", r"\b(class|interface|record)\s+(\w+)\s*<(?:[^<>]|<[^<>]*>)*>", "$1 $2")  # bounds of the type's own parameters are no parents
+    split = lambda text: F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: (p != "") & ~p.contains("="))
+    types = lambda text: F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w.]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>)?)"), 1)
+    ext = F.when(py, split(F.regexp_extract("code", r"class\s+\w+\(([^)]*)\)", 1))).otherwise(types(F.regexp_extract(plain, r"\bextends\s+(.*?)(?:\bimplements\b|\{|$)", 1)))
+    imp = F.when(java, types(F.regexp_extract("code", r"\bimplements\s+(.*?)(?:\{|$)", 1))).otherwise(F.array().cast("array<string>"))
     tag = lambda names, kind: F.transform(names, lambda p: F.struct(p.alias("parent_name"), F.lit(kind).alias("kind")))
     return rows.select("path", F.col("name").alias("entity"), F.explode(F.concat(tag(ext, "extends"), tag(imp, "implements"))).alias("p"), F.col("line_start").alias("line")).select("path", "entity", "p.parent_name", "p.kind", "line")
 
 
 def globals_used(code: DataFrame) -> DataFrame:
-    """Python: module-level upper-case names used in a function. Java: fields of a class used in its methods."""
-    rows = lines(code)
-    found = named(heads(rows))
-    py = rows.filter("language = 'python' AND indent = 0").select(*KEY, F.regexp_extract("code", r"^([A-Za-z_]\w*)\s*=(?!=)", 1).alias("global_name"))
-    java = rows.filter("language = 'java'").select(*KEY, F.regexp_extract("code", r"^\s+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\]]+\s+(\w+)\s*(?:=.*)?;", 1).alias("global_name"))
+    """Python: names that a module assigns at its level, used in a function that does not assign them. Java: fields of a class used in its methods."""
+    rows = analysed(code)
+    py = rows.filter("language = 'python' AND indent = 0").select(*KEY, F.regexp_extract("code", r"^([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)", 1).alias("global_name"))
+    java = rows.filter("language = 'java'").select(*KEY, F.regexp_extract("code", r"^\s+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+\s+(\w+)\s*(?:=.*)?;", 1).alias("global_name"))
     declared = py.unionByName(java).filter("global_name <> ''").distinct()
-    used = owned(rows, found).select(*KEY, "owner", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<![\w.])([A-Za-z_]\w*)"), 1))).alias("global_name"))
-    functions = found.filter(F.col("kind").isin("function", "method")).select(*KEY, F.col("qualified_name").alias("owner"))
-    return used.join(functions, [*KEY, "owner"], "left_semi").join(declared, [*KEY, "global_name"]).select("path", F.col("owner").alias("qualified_name"), "global_name").distinct()
+    in_function = F.coalesce(F.try_element_at("chain", F.lit(-1))["kind"].isin("function", "method"), F.lit(False)) & (F.col("name") == "")
+    body = rows.filter(in_function)
+    used = body.select(*KEY, "owner", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<![\w.])([A-Za-z_]\w*)"), 1))).alias("global_name")).distinct()
+    local = body.filter("language = 'python'").select(*KEY, "owner", F.regexp_extract("code", r"^\s*(?:for\s+)?([A-Za-z_]\w*)\s*(?:=(?!=)|in\b)", 1).alias("global_name"))
+    global_ = body.filter("language = 'python'").select(*KEY, "owner", F.explode(F.regexp_extract_all("code", F.lit(r"(?<=global )\s*([A-Za-z_]\w*)"), 1)).alias("global_name"))
+    local = local.filter("global_name <> ''").distinct().join(global_, [*KEY, "owner", "global_name"], "left_anti")
+    return used.join(local, [*KEY, "owner", "global_name"], "left_anti").join(declared, [*KEY, "global_name"]).select("path", F.col("owner").alias("qualified_name"), "global_name").distinct()
 
 
 def semantic_facts(code: DataFrame, k: int = 10) -> DataFrame:
     """First k raises, assignments, branch conditions and returns of each function, in order, up to 200 signs each."""
-    rows = lines(code)
-    found = named(heads(rows))
     facts = F.array(
         F.struct(F.lit("raise").alias("fact"), F.regexp_extract("raw", r"\b(?:raise|throw)\s+(?:new\s+)?([\w.]+)", 1).alias("text")),
         F.struct(F.lit("return").alias("fact"), F.regexp_extract("raw", r"^\s*return\s+(.*?);?\s*$", 1).alias("text")),
         F.struct(F.lit("assign").alias("fact"), F.regexp_extract("raw", r"^\s*((?:int |double |String )?[A-Za-z_][\w.\[\]]*\s*=(?!=).*?);?\s*$", 1).alias("text")),
         F.struct(F.lit("branch").alias("fact"), F.regexp_extract("raw", r"^\s*(?:if|elif|while)\s*\(?(.*?)(?::\s*$|\)\s*\{)", 1).alias("text")))
-    each = owned(rows, found).select("path", F.col("owner").alias("qualified_name"), "n", F.explode(facts).alias("f")).select("path", "qualified_name", "n", "f.fact", F.substring("f.text", 1, 200).alias("text")).filter("text <> '' AND qualified_name <> ''")
+    each = analysed(code).select("path", F.col("owner").alias("qualified_name"), "n", F.explode(facts).alias("f")).select("path", "qualified_name", "n", "f.fact", F.substring("f.text", 1, 200).alias("text")).filter("text <> '' AND qualified_name <> ''")
     w = W.partitionBy("path", "qualified_name", "fact").orderBy("n")
     return each.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("path", "qualified_name", "fact", "pos", "text")
 
 
 def doc_comments(code: DataFrame) -> DataFrame:
-    """Docstring after a Python head, or the comment block before a Java head: (path, qualified_name, description, tag, tag_text)."""
-    rows = lines(code)
-    found = named(heads(rows))
-    nxt = rows.select(*KEY, (F.col("n") - 1).alias("line_start"), F.regexp_extract("raw", r'^\s*"""(.*?)"""', 1).alias("description"))
-    py = found.filter("language = 'python'").join(nxt, [*KEY, "line_start"]).filter("description <> ''").select("path", "qualified_name", "description", F.lit("").alias("tag"), F.lit("").alias("tag_text"))
-    block = rows.filter("language = 'java'").withColumn("stop", F.col("raw").rlike(r"^\s*\*/")).withColumn("go", F.col("raw").rlike(r"^\s*/\*\*"))
-    w = W.partitionBy(*KEY).orderBy("n")
-    inside = block.withColumn("b", F.sum(F.col("go").cast("int")).over(w)).withColumn("d", F.coalesce(F.sum(F.col("stop").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("b > d")
-    text = F.trim(F.regexp_replace("raw", r"^\s*/?\*+/?\s?", ""))
-    body = inside.withColumn("text", text).filter("NOT go AND NOT stop AND text <> ''").withColumn("tag", F.regexp_extract("text", r"^@(\w+)", 1))
-    ends = inside.filter("stop").select(*KEY, "b", (F.col("n") + 1).alias("line_start"))
-    java = body.join(ends, [*KEY, "b"]).join(found.select(*KEY, "line_start", "qualified_name"), [*KEY, "line_start"])
-    words = java.groupBy("path", "qualified_name", "b").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tag") == "", F.struct("n", "text")))), lambda x: x["text"]), " ").alias("description"))
-    tags = java.filter("tag <> ''").select("path", "qualified_name", "b", "tag", F.trim(F.regexp_replace("text", r"^@\w+\s*", "")).alias("tag_text"))
-    full = words.join(tags, ["path", "qualified_name", "b"], "left").select("path", "qualified_name", "description", F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("tag_text", F.lit("")).alias("tag_text"))
+    """Docstring after a Python head, or the comment block before a Java head: (path, qualified_name, description, tag, tag_text).
+
+    Lines of a docstring are trimmed; lines after a tag continue its text.
+    """
+    rows = analysed(code)
+    found = definitions(rows)
+    in_order = W.partitionBy(*KEY).orderBy("n")
+    py = rows.filter("language = 'python' AND (blocks % 2 = 1 OR quotes > 0)").withColumn("block", F.floor((F.col("blocks") + 1) / 2))
+    opens = py.filter(F.col("raw").rlike(r'^\s*[rRuU]?"""') & (F.col("blocks") % 2 == 0)).select(*KEY, "block", F.col("previous").alias("line_start"))
+    said = py.groupBy(*KEY, F.when(F.col("blocks") % 2 == 0, F.floor(F.col("blocks") / 2)).otherwise(F.floor((F.col("blocks") - 1) / 2)).alias("block")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.trim("raw").alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    said = said.withColumn("description", F.trim(F.regexp_replace(F.regexp_extract("t", r'(?s)^[rRuU]?"""(.*?)(?:"""|$)', 1), r"^\s+|\s+$", "")))
+    opens = opens.withColumn("block", F.col("block"))
+    heads_ = found.filter("language = 'python'").select(*KEY, "line_start", "qualified_name")
+    py = said.join(opens, [*KEY, "block"]).join(heads_, [*KEY, "line_start"]).filter("description <> ''").select("path", "qualified_name", "description", F.lit("").alias("tag"), F.lit("").alias("tag_text"))
+    block = rows.filter("language = 'java'").withColumn("stop", F.col("raw").rlike(r"\*/\s*$")).withColumn("go", F.col("raw").rlike(r"^\s*/\*\*"))
+    inside = (block.withColumn("b", F.sum(F.col("go").cast("int")).over(in_order)).withColumn("d", F.coalesce(F.sum(F.col("stop").cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("b > d"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"^\s*/?\*+/?\s?", ""), r"\s*\*+/\s*$", ""))
+    body = inside.withColumn("text", text).filter("text <> ''").withColumn("tag", F.regexp_extract("text", r"^@(\w+)", 1))
+    body = body.withColumn("part", F.sum((F.col("tag") != "").cast("int")).over(W.partitionBy(*KEY, "b").orderBy("n")))
+    # annotations may stand between a comment and its head
+    nxt = rows.filter("language = 'java'").withColumn("after", F.min(F.when(~F.col("raw").rlike(r"^\s*(@\w+(\([^)]*\))?\s*$|/?\*)"), F.col("n"))).over(in_order.rowsBetween(1, 6)))
+    ends = nxt.join(inside.filter("stop").select(*KEY, "n", "b"), [*KEY, "n"]).select(*KEY, "b", F.col("after").alias("line_start"))
+    parts = body.groupBy(*KEY, "b", "part").agg(F.max("tag").alias("tag"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
+    java = parts.join(ends, [*KEY, "b"]).join(found.select(*KEY, "line_start", "qualified_name"), [*KEY, "line_start"])
+    words = java.groupBy("path", "qualified_name", "b").agg(F.max(F.when(F.col("part") == 0, F.col("text"))).alias("description"))
+    tags = java.filter("part > 0").select("path", "qualified_name", "b", "tag", F.trim(F.regexp_replace("text", r"^@\w+\s*", "")).alias("tag_text"))
+    full = words.join(tags, ["path", "qualified_name", "b"], "left").select("path", "qualified_name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("tag_text", F.lit("")).alias("tag_text"))
     return py.unionByName(full)
 
 

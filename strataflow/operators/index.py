@@ -26,8 +26,9 @@ def _joined(names: str) -> F.Column:
 
 def module_chunks(code: DataFrame) -> DataFrame:
     """Text of each file: path, language, imported modules, top-level entities; empty parts are left out."""
-    imports = X.extract_imports(code).groupBy("path").agg(F.collect_set("module").alias("imports"))
-    tops = X.definitions(code).filter("parent = ''").groupBy("path").agg(F.collect_list("qualified_name").alias("tops"))
+    facts = cut(X.analysed(code))
+    imports = X.extract_imports(facts).groupBy("path").agg(F.collect_set("module").alias("imports"))
+    tops = X.definitions(facts).filter("parent = ''").groupBy("path").agg(F.collect_list("qualified_name").alias("tops"))
     rows = code.select("path", "language").join(imports, "path", "left").join(tops, "path", "left")
     part = lambda label, c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.sort_array(c), ", ")))
     return rows.select("path", F.concat_ws("\n", "path", F.concat(F.lit("language: "), "language"), part("imports", "imports"), part("entities", "tops")).alias("content"))
@@ -35,6 +36,7 @@ def module_chunks(code: DataFrame) -> DataFrame:
 
 def entity_chunks(code: DataFrame) -> DataFrame:
     """Text of each entity: signature, qualified name, arguments, called, inherited and global names."""
+    code = cut(X.analysed(code))
     found = X.definitions(code).select("path", "name", "qualified_name", F.regexp_replace(F.regexp_replace(F.trim("raw"), r"\).*$", ")"), r"\s*[{:]\s*$", "").alias("signature"))
     lists = lambda df, key, value, out: df.groupBy("path", F.col(key).alias("qualified_name")).agg(F.array_join(F.sort_array(F.collect_set(value)), ", ").alias(out))
     args = X.signature_arguments(code).groupBy("path", "qualified_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "argument"))), lambda x: x["argument"]), ", ").alias("args"))

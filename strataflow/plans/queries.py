@@ -395,7 +395,7 @@ STATIC_RISKS = "Behavior inferred from static analysis; verify against runtime s
 @query
 def explanation_fields(spark, sf_dir):
     """Ten fields per function from its facts: up to four of a kind, joined; a fixed text where there are none."""
-    code = graph.cut(bind(spark, sf_dir, "code"))
+    code = graph.cut(extract.analysed(bind(spark, sf_dir, "code")))
     key = ["path", "qualified_name"]
     listed = lambda value, order, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, value.alias("x")))), lambda s: s["x"]), sep)
     pick = lambda kind: F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("fact") == kind, F.struct("pos", "text")))), lambda s: s["text"]), 1, 4)
