@@ -515,8 +515,8 @@ def stream_stage_status(spark, sf_dir):
 
 @query
 def stream_duplicate_guard(spark, sf_dir):
-    e = status.read_stream(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase", "error"))
-    rows = e.select(F.col("user_id").alias("analysis_id"), "event_id", "ts", F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"))
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("purchase", "error"), "end").otherwise("progress")
+    rows = status.read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("analysis_id"), "event_id", "ts", kind.alias("kind"))
     return status.duplicate_guard(rows, scratch(spark, "guard"))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strataflow.functions.paths import line_count
 
@@ -23,19 +24,29 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, out: str, mode: str) -> DataFrame:
-    """Run to the end of what is there; each micro-batch replaces (complete) or joins (append) the table at ``out``."""
+    """Run to the end of what is there, from the checkpoint beside ``out`` if there is one; the table at ``out``.
+
+    Each micro-batch writes a folder of its own, named by its epoch, so a repeated epoch replaces what it wrote before.
+    ``append`` reads all of them; ``complete`` reads the newest, and those before the last two go, so readers of the newest
+    table are never overwritten.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        target = out if mode == "complete" else f"{out}/epoch={epoch}"  # a repeated epoch writes the same folder again
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if mode == "complete" and epoch > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = (stream.writeStream.outputMode("complete" if mode == "complete" else "append").option("checkpointLocation", f"{out}-checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", IntegerType())])).parquet(out)
+    if mode == "complete":
+        rows = rows.filter(F.col("epoch") == F.lit(rows.agg(F.max("epoch")).first()[0]))
+    return rows.select(*stream.columns)
 
 
 def stage_status(stages: DataFrame, out: str) -> DataFrame:
@@ -50,27 +61,38 @@ def latest_runs(cases: DataFrame, out: str) -> DataFrame:
     return _run(latest.select("repository_id", F.col("b.run_id").alias("run_id"), F.col("b.event_id").alias("event_id"), F.col("b.status").alias("status")), out, "complete")
 
 
-def _guard(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    open_ = state.get[0] if state.exists else False
-    rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"])
-    out = []
-    for event_id, kind in zip(rows["event_id"], rows["kind"], strict=True):
-        if kind == "start":
-            out.append((int(key[0]), int(event_id), not open_))
-            open_ = True
-        else:
-            open_ = False
-    state.update((open_,))
-    yield pd.DataFrame(out, columns=["analysis_id", "event_id", "accepted"])
-
-
-def duplicate_guard(events: DataFrame, out: str, delay: str = "1 day") -> DataFrame:
+def _guard(keep_ms: int):
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        open_, latest = state.get if state.exists else (False, 0)
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"])
+        out = []
+        for event_id, kind in zip(rows["event_id"], rows["kind"], strict=True):
+            if kind == "start":
+                out.append((int(key[0]), int(event_id), not open_))
+                open_ = True
+            elif kind == "end":
+                open_ = False
+        latest = max(latest, int(rows["ts"].max().timestamp() * 1000))
+        state.update((open_, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame(out, columns=["analysis_id", "event_id", "accepted"])
+
+    return judge
+
+
+def duplicate_guard(events: DataFrame, out: str, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
     """Starts of each key with whether no accepted start was still open; done and failed reopen the key.
 
-    Input: analysis_id, event_id, ts, kind (start or end). Redelivered events are dropped within ``delay``.
+    Input: analysis_id, event_id, ts, kind (start, end or anything else, which changes nothing). Redelivered events are
+    dropped within ``delay``. Events are judged in order of time within a micro-batch; a key that saw none for
+    ``keep_days`` is forgotten. A key's events of one micro-batch are held at once: bound it by the source's
+    ``maxFilesPerTrigger``.
     """
     once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    judged = once.groupBy("analysis_id").applyInPandasWithState(_guard, "analysis_id bigint, event_id bigint, accepted boolean", "open boolean", "append", GroupStateTimeout.NoTimeout)
+    judged = once.groupBy("analysis_id").applyInPandasWithState(_guard(keep_days * 86_400_000), "analysis_id bigint, event_id bigint, accepted boolean", "open boolean, latest bigint", "append", GroupStateTimeout.EventTimeTimeout)
     return _run(judged, out, "append")
 
 
