@@ -50,10 +50,15 @@ def high_risk_flag(calls: DataFrame, ent: DataFrame, k: int = 10, limit: int = 1
 
 
 def neighbor_lists(calls: DataFrame) -> DataFrame:
-    """Sorted distinct neighbours of each entity in both directions, as text."""
-    pairs = edges(calls).distinct()
-    both = pairs.select(F.col("target").alias("entity_id"), F.col("source").alias("i"), F.lit(None).cast("string").alias("o")).unionByName(pairs.select(F.col("source").alias("entity_id"), F.lit(None).cast("string").alias("i"), F.col("target").alias("o")))
-    return both.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("i")), ",").alias("callers"), F.array_join(F.sort_array(F.collect_set("o")), ",").alias("callees"))
+    """Distinct neighbours of each entity, a row each: direction (in: callers, out: callees), kind, calls between the two, and the entity's degree in that direction.
+
+    Rows instead of lists, so that an entity with very many neighbours fills no single value.
+    """
+    pairs = edges(calls).groupBy("source", "target").agg(F.count(F.lit(1)).alias("calls"))
+    side = lambda me, other, word: pairs.select(F.col(me).alias("entity_id"), F.lit(word).alias("direction"), F.col(other).alias("neighbor"), F.lit("call").alias("kind"), "calls")
+    both = side("target", "source", "in").unionByName(side("source", "target", "out"))
+    degree = both.groupBy("entity_id", "direction").agg(F.count(F.lit(1)).alias("degree"))
+    return both.join(degree, ["entity_id", "direction"])
 
 
 def capped_callers(calls: DataFrame, ent: DataFrame, k: int = 20) -> DataFrame:

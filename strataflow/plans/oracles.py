@@ -96,8 +96,8 @@ def graph(name: str, views: str, ctes: str, body: str) -> None:
 
 graph("caller_counts", "calls", EDGES, "SELECT repository_id, target AS entity_id, count(*) AS callers FROM e GROUP BY 1, 2")
 graph("fan_in_out", "calls", EDGES, "SELECT repository_id, id AS entity_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT repository_id, target AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT repository_id, source, 0, 1 FROM e) GROUP BY 1, 2")
-graph("neighbor_lists", "calls", EDGES, """SELECT coalesce(a.id, b.id) AS entity_id, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM (SELECT target AS id, array_to_string(list_sort(list(DISTINCT source)), ',') AS callers FROM e GROUP BY 1) a
-  FULL JOIN (SELECT source AS id, array_to_string(list_sort(list(DISTINCT target)), ',') AS callees FROM e GROUP BY 1) b ON a.id = b.id""")
+graph("neighbor_lists", "calls", f"{EDGES}, b AS (SELECT target AS entity_id, 'in' AS direction, source AS neighbor, count(*) AS calls FROM e GROUP BY ALL UNION ALL SELECT source, 'out', target, count(*) FROM e GROUP BY ALL)",
+      "SELECT entity_id, direction, neighbor, 'call' AS kind, calls, count(*) OVER (PARTITION BY entity_id, direction) AS degree FROM b")
 graph("risk_score", "calls ent", RISK, "SELECT * FROM risk")
 graph("top_risk", "calls ent", RISK, "SELECT repository_id, entity_id, complexity, risk, rank FROM top WHERE rank <= 10")
 graph("high_risk_listing", "calls ent", RISK, "SELECT repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY complexity DESC, callers DESC, name, entity_id) AS pos, entity_id, name, complexity, callers FROM top WHERE rank <= 10 AND type IN ('function', 'method', 'class')")
@@ -215,7 +215,8 @@ _probe = lambda n: [", ".join([p] * n) for p in ("1.0", "0.0", "1000.0", "5000.0
 facts("test_plan", "$qualified_name case_kind probe", ", ".join(f"('{q}', '{kind}', '{p}')" for q, n, kinds in (("P{n}.run", 2, ("main_branch", "exception_path")), ("compute_{n}", 2, ("main_branch",)), ("_scale", 1, ("main_branch",))) for kind in kinds for p in _probe(n)), "")
 facts("module_summary", "entity_count $purpose $responsibilities $dependencies", "(4, 'Module mod_{n} defines 4 entities.', 'P{n}, P{n}.run, compute_{n}, _scale', 'mod_{k}, os')", "(3, 'Module mod_{n} defines 3 entities.', 'P{n}, P{n}.charge, P{n}.scale', 'java.lang.Math.abs, java.util.List')")
 facts("register_extractor", "language $fact", "('python', 'def run(self, amount, rate=1):'), ('python', 'def compute_{n}(a, b):'), ('python', 'def _scale(x):')", "('java', 'import java.util.List;'), ('java', 'import static java.lang.Math.abs;')")
-add("case_to_entity", "code", "SELECT concat('test_compute_', file_id, '_main_branch') AS name, concat('compute_', file_id) AS target, concat('mod_', file_id, '.py::compute_', file_id) AS entity_id FROM code WHERE language = 'python'")
+add("case_to_entity", "code", """SELECT concat('test_compute_', file_id, '_main_branch') AS name, concat('compute_', file_id) AS target, concat('mod_', file_id, '.py::compute_', file_id) AS entity_id FROM code WHERE language = 'python'
+  UNION ALL SELECT concat('test_P', file_id, '_exception_path'), concat('P', file_id), concat('mod_', file_id, '.java::P', file_id) FROM code WHERE language = 'java'""")
 ORACLE_SQL["import_externality"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, NOT (module LIKE 'mod_%' AND concat(module, '.py') IN (SELECT path FROM code)) AS is_external FROM i"
 ORACLE_SQL["import_target"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, CASE WHEN concat(module, '.py') IN (SELECT path FROM code) THEN concat(module, '.py') END AS target_path FROM i"
 ORACLE_SQL["resolve_inheritance"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_inheritance'].split(_CODE + ' ', 1)[1]}) SELECT i.path, entity, parent_name, kind, CASE WHEN p.path IS NOT NULL THEN concat(p.path, '::', parent_name) END AS parent_id FROM i LEFT JOIN code p ON parent_name = concat('P', p.file_id)"

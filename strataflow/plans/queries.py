@@ -101,7 +101,8 @@ def resolve_calls_repo(spark, sf_dir):
 
 @query
 def case_to_entity(spark, sf_dir):
-    cases = bind(spark, sf_dir, "code").filter("language = 'python'").select(F.concat(F.lit("test_compute_"), F.col("file_id").cast("string"), F.lit("_main_branch")).alias("name"))
+    n = F.col("file_id").cast("string")
+    cases = bind(spark, sf_dir, "code").select(F.when(F.col("language") == "python", F.concat(F.lit("test_compute_"), n, F.lit("_main_branch"))).otherwise(F.concat(F.lit("test_P"), n, F.lit("_exception_path"))).alias("name"))
     found = extract.definitions(bind(spark, sf_dir, "code")).select(F.concat_ws("::", "path", "qualified_name").alias("entity_id"), "name")
     return resolve.case_to_entity(cases, found)
 
