@@ -97,15 +97,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     bound_batches(docs.sparkSession)
     known = stage(item_rows(items, k, percent).distinct(), "items")
-    searched = docs.sparkSession.sparkContext.broadcast(size_partitions(known))
+    # most shingles of a document are in no item: one bitmap of all ends them before the partitions are searched
+    searched = docs.sparkSession.sparkContext.broadcast((bitmap(known.select("h"), known.count()), size_partitions(known)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, (anywhere, partitions) = WordHashes(), searched.value
         for rows in parts:
             out = []
             for doc_id, text_hash, text in zip(rows["doc_id"], rows["text_hash"], rows["text"], strict=True):
                 s = shingle_stream(text, k, hashes)
-                for part, need, sketch, every in searched.value:
+                s = s[meets(anywhere, s)]
+                for part, need, sketch, every in partitions if len(s) else ():
                     of_part = s[meets(every, s)]
                     if len(of_part) and len(np.unique(of_part[meets(sketch, of_part)])) >= need:
                         out.append((doc_id, text_hash, part, np.unique(of_part).view(np.int64)))
