@@ -85,10 +85,26 @@ def containment(nodes: DataFrame) -> DataFrame:
     return top.distinct().unionByName(mid.distinct()).unionByName(low)
 
 
-def parent_link(nodes: DataFrame) -> DataFrame:
-    """Self join of a containment table: each child with its parent's own parent."""
-    up = nodes.select(F.col("child").alias("parent"), F.col("parent").alias("grandparent"))
-    return nodes.join(up, "parent", "left").select("child", "parent", "grandparent")
+def entity_id(name: str = "qualified_name") -> F.Column:
+    return F.concat_ws("::", "path", name)
+
+
+def containment_of_code(found: DataFrame) -> DataFrame:
+    """(parent, child, depth) of repository -> file -> definition -> definitions in it, as deep as they go."""
+    top = found.select(F.lit("root").alias("parent"), F.col("repository_id").alias("child"), F.lit(1).alias("depth")).distinct()
+    mid = found.select(F.col("repository_id").alias("parent"), F.col("path").alias("child"), F.lit(2).alias("depth")).distinct()
+    depth = F.when(F.col("parent") == "", 3).otherwise(F.size(F.split("parent", r"\.")) + 3)
+    low = found.select(F.when(F.col("parent") == "", F.col("path")).otherwise(entity_id("parent")).alias("parent"), entity_id().alias("child"), depth.alias("depth"))
+    return top.unionByName(mid).unionByName(low)
+
+
+def parent_link(found: DataFrame) -> DataFrame:
+    """Each definition with the one that holds it: the definition of that qualified name in the same file, the last one before it."""
+    inner = found.select("repository_id", "path", "qualified_name", "parent", "line_start")
+    outer = found.select(F.col("repository_id").alias("r"), F.col("path").alias("p"), F.col("qualified_name").alias("q"), F.col("line_start").alias("at"), F.col("line_end").alias("to"))
+    around = (F.col("r") == F.col("repository_id")) & (F.col("p") == F.col("path")) & (F.col("q") == F.col("parent")) & (F.col("at") < F.col("line_start")) & (F.col("line_start") <= F.col("to"))
+    held = inner.join(outer, around, "left")
+    return held.select(entity_id().alias("child"), F.when(F.col("at").isNotNull(), entity_id("parent")).alias("parent"), F.col("at").alias("parent_line"))
 
 
 def source_slice(files: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -130,8 +130,6 @@ _CYCLES = "p(start, tip, path) AS (SELECT src, dst, [src, dst] FROM modedge WHER
 ORACLE_SQL["module_cycles"] = with_views("modedge", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + f", {_CYCLES} SELECT * FROM cyc"
 ORACLE_SQL["cyclic_components"] = with_views("modedge", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + ", r(a, b) AS (SELECT src, dst FROM modedge WHERE src <> dst UNION SELECT a, dst FROM r JOIN modedge ON src = b), s AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT a AS node, min(b) AS component FROM s WHERE a IN (SELECT a FROM s WHERE a <> b) GROUP BY 1"
 TREE = "t AS (SELECT DISTINCT 'root' AS parent, repository_id AS child, 1 AS depth FROM ent UNION ALL SELECT DISTINCT repository_id, concat(repository_id, '/', module), 2 FROM ent UNION ALL SELECT concat(repository_id, '/', module), entity_id, 3 FROM ent)"
-graph("containment_tree", "ent", TREE, "SELECT * FROM t")
-graph("parent_link", "ent", TREE, "SELECT a.child, a.parent, b.parent AS grandparent FROM t a LEFT JOIN t b ON b.child = a.parent")
 ORACLE_SQL["cascade_delete"] = with_views("ent calls", "") + """SELECT 'ent' AS "table", count(*) AS remaining FROM ent WHERE repository_id NOT IN ('r1', 'r3') UNION ALL SELECT 'calls', count(*) FROM calls WHERE repository_id NOT IN ('r1', 'r3')
   UNION ALL SELECT 'calls_by_callee', count(*) FROM calls WHERE callee_id IS NOT NULL AND callee_id NOT IN (SELECT entity_id FROM ent WHERE repository_id IN ('r1', 'r3'))"""
 add("facts_equal", "calls", "SELECT 'left' AS side, count(*) AS n FROM calls WHERE NOT (call_line <> 7 OR dynamic) UNION ALL SELECT 'right', 0")
@@ -219,6 +217,10 @@ add("case_to_entity", "code", """SELECT concat('test_compute_', file_id, '_main_
   UNION ALL SELECT concat('test_P', file_id, '_exception_path'), concat('P', file_id), concat('mod_', file_id, '.java::P', file_id) FROM code WHERE language = 'java'""")
 ORACLE_SQL["import_externality"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, NOT (module LIKE 'mod_%' AND concat(module, '.py') IN (SELECT path FROM code)) AS is_external FROM i"
 ORACLE_SQL["import_target"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, CASE WHEN concat(module, '.py') IN (SELECT path FROM code) THEN concat(module, '.py') END AS target_path FROM i"
+_NAMES = ORACLE_SQL["qualified_names"].split(_CODE + " ", 1)[1]
+ORACLE_SQL["containment_tree"] = with_views("ent code", "").rstrip() + f""", {TREE}, {_CODE}, q AS ({_NAMES}) SELECT * FROM t UNION ALL SELECT DISTINCT 'root', repository_id, 1 FROM code UNION ALL SELECT repository_id, path, 2 FROM code
+  UNION ALL SELECT CASE parent WHEN '' THEN path ELSE concat(path, '::', parent) END, concat(path, '::', qualified_name), CASE parent WHEN '' THEN 3 ELSE 4 END FROM q"""
+ORACLE_SQL["parent_link"] = with_views("code", "").rstrip() + f", {_CODE}, q AS ({_NAMES}) SELECT concat(a.path, '::', a.qualified_name) AS child, b.path || '::' || b.qualified_name AS parent, b.line_start AS parent_line FROM q a LEFT JOIN q b ON b.path = a.path AND b.qualified_name = a.parent"
 ORACLE_SQL["resolve_inheritance"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_inheritance'].split(_CODE + ' ', 1)[1]}) SELECT i.path, entity, parent_name, kind, CASE WHEN p.path IS NOT NULL THEN concat(p.path, '::', parent_name) END AS parent_id FROM i LEFT JOIN code p ON parent_name = concat('P', p.file_id)"
 _GLOBALS = "SELECT repository_id, 'global_state' AS kind, 'medium' AS severity, detail FROM (SELECT repository_id, concat('mod_', n, CASE WHEN language = 'python' THEN '.CACHE' ELSE '.count' END) AS detail FROM c) QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY detail) <= 5"
 ORACLE_SQL["global_state_issues"] = with_views("code", "").rstrip() + f", {_CODE} {_GLOBALS}"
@@ -286,7 +288,7 @@ ORACLE_SQL["text_search"] = f"WITH {_EMBED}, sc AS (SELECT q.id AS query_id, c.i
 ORACLE_SQL["embed_incremental"] = "SELECT sha256(text) AS content_hash, bool_or(doc_id % 2 = 0) AS was_cached FROM documents GROUP BY 1"
 _COS = "sc AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score FROM chunks q JOIN chunks c ON c.chunk_id <> q.chunk_id WHERE q.chunk_id % 50 = 0), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)"
 graph("cosine_topk", "chunks", _COS, "SELECT * FROM hits")
-graph("search_enrich", "chunks ent", _COS, "SELECT query_id, h.chunk_id, level, coalesce(name, '') AS name, score, rank FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id LEFT JOIN ent ON level <> 'module' AND entity_id = concat('c', h.chunk_id)")
+graph("search_enrich", "chunks ent", _COS, "SELECT query_id, h.chunk_id, level, coalesce(name, '') AS name, coalesce(module, concat('chunk_', h.chunk_id)) AS path, score, rank FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id LEFT JOIN ent ON level <> 'module' AND entity_id = concat('c', h.chunk_id)")
 
 _DIFF = "p AS (SELECT *, list_filter(string_split(old_params, ','), lambda x: x NOT IN ('self', 'cls', '')) AS o, list_filter(string_split(new_params, ','), lambda x: x NOT IN ('self', 'cls', '')) AS w FROM versions), q AS (SELECT *, list_filter(o, lambda x: NOT list_contains(w, x)) AS gone FROM p)"
 graph("param_set_diff", "versions", _DIFF, "SELECT proposal_id, unnest(gone) AS removed FROM q")

@@ -109,12 +109,13 @@ def case_to_entity(spark, sf_dir):
 
 @query
 def containment_tree(spark, sf_dir):
-    return resolve.containment(bind(spark, sf_dir, "ent"))
+    found = extract.definitions(bind(spark, sf_dir, "code"))
+    return resolve.containment(bind(spark, sf_dir, "ent")).unionByName(resolve.containment_of_code(found))
 
 
 @query
 def parent_link(spark, sf_dir):
-    return resolve.parent_link(resolve.containment(bind(spark, sf_dir, "ent")))
+    return resolve.parent_link(extract.definitions(bind(spark, sf_dir, "code")))
 
 
 @query
