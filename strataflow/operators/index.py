@@ -150,7 +150,7 @@ def signed(rows: DataFrame, bits: int, seed: int) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, v array<double>, s array<bigint>")
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, bits: int = 256, share: float = 0.1, sample: int = 2000, seed: int = 11) -> DataFrame:
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, bits: int = 512, share: float = 0.1, sample: int = 2000, seed: int = 11) -> DataFrame:
     """Approximate neighbours by sign sketches of all chunks, ranked again by true cosine.
 
     Pairs whose sketches differ in few enough places are candidates; that number is the ``share`` quantile over at most
