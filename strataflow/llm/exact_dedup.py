@@ -8,7 +8,7 @@ A batch that is given twice counts twice.
 
 Defined cases: null text counts as empty; texts are equal when identical after deleting the ASCII white
 space ``[\\x20\\x09-\\x0D]``; of equal texts the longest original (in code points), then the smallest
-``doc_id`` (null first), stays; repeated rows with one ``doc_id`` and text count as copies of each other;
+``doc_id`` (null first), stays, as one row: repeated rows with one ``doc_id`` and text count as copies of each other;
 an empty table gives an empty result; extra columns are ignored by ``dedup_groups`` and kept by
 ``drop_copies``. ``drop_copies`` passes a text on once: what an earlier batch passed on does not pass again, even if a
 later copy is longer.
@@ -92,39 +92,55 @@ def reduced(rows: DataFrame) -> DataFrame:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_chars (code points) of every row; the only pass over the texts."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), F.length(text_of()).alias("n_chars"))
+    """doc_id, digest, n_chars (code points) and a number of its own of every row; the only pass over the texts. Stage it: the numbers are not drawn twice alike."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), F.length(text_of()).alias("n_chars"), F.monotonically_increasing_id().alias("row"))
 
 
 def digest_batch(digested: DataFrame) -> DataFrame:
     """One row per digest with the row that stays; hot digests are summed before the shuffle."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id")))
+    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id"), F.col("row")))
     return (digested.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.longest")).alias("n_chars"), "group_size"))
+            .select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.longest")).alias("n_chars"), "group_size", F.col("best.row").alias("row")))
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of an index of so many rows: about two million each, which sort within a task."""
+    return max(32, -(-rows // 2_000_000))
 
 
 def dedup_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """For every row: doc_id, keep_id, group_size, kept, text_sha256; groups count all batches that ``index`` has seen."""
-    index = index or DigestIndex(docs.sparkSession)
+    """For every row: doc_id, keep_id, group_size, kept, text_sha256; groups count all batches that ``index`` has seen.
+
+    One row of a group is kept at most: the best of this batch, unless an earlier batch has a better one.
+    """
     digested = stage(digest_rows(docs), "digests")
-    index.append(stage(digest_batch(digested), "digest-batch"))
-    found = index.rows().select("digest", "keep_id", "group_size")
+    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(digested.count()))
+    before = index.rows()
+    before = None if before.isEmpty() else stage(before.select("digest", F.struct((-F.col("n_chars")).alias("longest"), F.col("keep_id")).alias("old")), "digest-index-before")
+    batch = stage(digest_batch(digested), "digest-batch")
+    index.append(batch.drop("row"))
+    found = index.rows().select("digest", "keep_id", "group_size").join(batch.select("digest", "row", F.struct((-F.col("n_chars")).alias("longest"), F.col("keep_id")).alias("new")).hint("merge"), "digest")
+    best = F.lit(True)
+    if before is not None:
+        found, best = found.join(before.hint("merge"), "digest", "left"), F.col("old").isNull() | (F.col("new") <= F.col("old"))
+    found = found.select("digest", "keep_id", "group_size", F.when(best, F.col("row")).alias("kept_row"))
     return digested.join(found.hint("merge"), "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows that stay, one per distinct text, with all columns of ``docs``."""
-    index = index or DigestIndex(docs.sparkSession)
     digested = stage(digest_rows(docs), "digests")
-    batch = stage(digest_batch(digested), "digest-batch", done=(digested,))
+    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(digested.count()))
+    batch = stage(digest_batch(digested).drop("row"), "digest-batch", done=(digested,))
     fresh = stage(index.unseen(batch), "fresh-digests")
     index.append(batch)
-    key_id, key_digest = fresh_name(docs, "dedup_key"), fresh_name(docs, "dedup_digest")
-    stays = fresh.select(F.coalesce("keep_id", F.lit(NO_ID)).alias(key_id), F.col("digest").alias(key_digest))
-    keyed = docs.withColumns({key_id: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), key_digest: text_digest()})
-    return keyed.join(stays, [key_id, key_digest], "left_semi").dropDuplicates([key_id, key_digest]).select(*docs.columns)
+    key_id, key_digest, key_size = (fresh_name(docs, f"dedup_{c}") for c in ("key", "digest", "size"))
+    keys = [key_id, key_digest, key_size]
+    stays = fresh.select(F.coalesce("keep_id", F.lit(NO_ID)).alias(key_id), F.col("digest").alias(key_digest), F.col("n_chars").alias(key_size))
+    keyed = docs.withColumns({key_id: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), key_digest: text_digest(), key_size: F.length(text_of())})
+    return keyed.join(stays, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +155,7 @@ WITH d AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       row_number() OVER w = 1 AS kept,
        text_sha256
-FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """

@@ -27,6 +27,7 @@ kept; without candidates of both labels nothing is added; an empty table gives a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from bisect import bisect_left
@@ -261,16 +262,41 @@ def thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
     return out | {k: max(checked, default=2.0) for k in MORE if k not in labelled}
 
 
+def sample_limit(n: int, sample: int) -> int:
+    """The hashes (of 62 bits) below which about ``sample`` of ``n`` rows lie: all of them for small tables, never none."""
+    return 1 << 62 if n <= sample else (sample << 62) // n
+
+
+def free_spans(base: list[tuple[int, int, str]], more: list[dict]) -> list[tuple[int, int, str]]:
+    """``base`` and those of ``more``, likeliest first, that touch nothing taken before; by search in sorted starts."""
+    kept = list(base)
+    starts, ends = [], []
+    for a, b, _ in sorted(base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for x in sorted(more, key=lambda x: (-x["p"], x["s"], x["e"], x["kind"])):
+        i = bisect.bisect_right(starts, x["s"])
+        if (i == 0 or ends[i - 1] <= x["s"]) and (i == len(starts) or starts[i] >= x["e"]):
+            starts.insert(i, x["s"])
+            ends.insert(i, x["e"])
+            kept.append((x["s"], x["e"], x["kind"]))
+    return kept
+
+
 def find_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.99, trees: int = 12, depth: int = 4) -> DataFrame:
     """For every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     bound_batches(docs.sparkSession)
     scanned = stage(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = scanned.select("row", F.pmod(F.xxhash64("doc_id", "base_sha256"), F.lit(2)).alias("half"), "doc_id", F.explode("candidates").alias("c")).select("row", "half", "doc_id", "c.*")
-    each = each.withColumn("h", F.pmod(F.xxhash64("doc_id", "s", "e", "kind"), F.lit(1 << 20)))
+    # 62 bits of hash: the share of a sample is never rounded to nothing
+    at = F.xxhash64("doc_id", "s", "e", "kind")
+    each = each.withColumn("h", F.pmod(at, F.lit(1 << 20)) * F.lit(1 << 42) + F.pmod(F.shiftrightunsigned(at, 20), F.lit(1 << 42)))
     to_fit = each.filter("label IS NOT NULL AND half = 0")
     n = to_fit.count()
-    share = (1 << 20) * min(1.0, sample / max(n, 1))
-    fit_on = stage(to_fit.filter(F.col("h") < int(share)).select("label", array_to_vector("features").alias("vector")), "pii-fit")
+    fit_on = stage(to_fit.filter(F.col("h") < sample_limit(n, sample)).select("label", array_to_vector("features").alias("vector")), "pii-fit")
     columns = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
     if fit_on.select("label").distinct().count() < 2:
         ready = scanned.select("row", *columns, "base", F.array().cast("array<struct<p:double, s:int, e:int, kind:string>>").alias("added"))
@@ -287,14 +313,10 @@ def find_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.99, tre
         for part in parts:
             spans, added = [], []
             for base, more in zip(part["base"], part["added"], strict=True):
-                kept = [(x["s"], x["e"], x["kind"]) for x in base]
-                held = len(kept)
-                for x in sorted(more if more is not None else (), key=lambda x: (-x["p"], x["s"], x["e"], x["kind"])):
-                    if all(x["e"] <= a or x["s"] >= b for a, b, _ in kept):
-                        kept.append((x["s"], x["e"], x["kind"]))
+                kept = free_spans([(x["s"], x["e"], x["kind"]) for x in base], more if more is not None else [])
                 order = (*KINDS, *MORE)
                 spans.append(",".join(f"{k}:{a}:{b}" for a, b, k in sorted(kept, key=lambda x: (x[0], order.index(x[2]), x[1]))))
-                added.append(len(kept) - held)
+                added.append(len(kept) - len(base))
             out = part[columns].copy()
             yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"), spans=spans, n_added=added)
 

@@ -13,12 +13,14 @@ several results the earliest turn counts; results without call are left out; cal
 a null level and status ``cyclic``; references to unknown calls make status ``unresolved``; calls equal
 in all fields count once; other calls with one identifier all stay, with status ``ambiguous``, the level of their
 longest chain and the identifier's result; calls without identifier stay, with status ``no id`` and no result; a
-null conversation is one of its own; an empty table gives an empty result.
+null conversation is one of its own; arguments that are no JSON (NaN and infinite numbers are none) or nested deeper than the
+parser follows stay as text, with an error; lone surrogates are written as escapes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,8 +50,21 @@ def check_arguments(arguments: dict, schema: dict | None) -> list[str]:
     return found
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """The text with lone surrogates, which no UTF-8 can hold, as their JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no blanks; ValueError for NaN and infinite numbers, which are no JSON."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
@@ -112,13 +127,17 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for part in parts:
             lines, errors = [], []
             for call_id, name, raw, result in zip(part["id"], part["name"], part["arguments"], part["result"], strict=True):
+                line = lambda value: canonical({"call": {"arguments": value, "id": call_id, "name": name}, "result": result})  # noqa: B023, E731
                 try:
-                    arguments = json.loads(raw) if raw else {}
+                    arguments = json.loads(raw, parse_constant=_no_number) if raw else {}
                     found = check_arguments(arguments, schemas.get(name)) if isinstance(arguments, dict) else ["arguments are no object"]
+                    text = line(arguments)
                 except ValueError:
-                    arguments, found = raw, ["arguments are no JSON"]
-                lines.append(canonical({"call": {"arguments": arguments, "id": call_id, "name": name}, "result": result}))
-                errors.append("; ".join(found))
+                    text, found = line(raw), ["arguments are no JSON"]
+                except RecursionError:
+                    text, found = line(raw), ["arguments are nested too deep"]
+                lines.append(text)
+                errors.append(escaped("; ".join(found)))
             yield part.assign(line=lines, errors=errors)[[f.name for f in out.fields]]
 
     out = T.StructType([*(f for f in joined.schema.fields if f.name not in ("name", "arguments", "result")), T.StructField("errors", T.StringType()), T.StructField("line", T.StringType())])

@@ -26,7 +26,7 @@ def test_groups_of_equal_texts(odd):
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256[:4]) for r in dedup_groups(odd).collect())
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()[:4]
     assert got == [(1, 3, 3, False, h("")), (2, 3, 3, False, h("")), (3, 3, 3, True, h("")), (4, 6, 4, False, h("ab")), (5, 6, 4, False, h("ab")),
-                   (6, 6, 4, True, h("ab")), (6, 6, 4, True, h("ab")), (7, 7, 1, True, h("x" * 30_000)), (8, 8, 1, True, h("a b"))]
+                   (6, 6, 4, False, h("ab")), (6, 6, 4, True, h("ab")), (7, 7, 1, True, h("x" * 30_000)), (8, 8, 1, True, h("a b"))]
     assert dedup_groups(odd.limit(0)).count() == 0
 
 
@@ -35,6 +35,15 @@ def test_one_row_of_each_text_stays(odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [3, 6, 7, 8]
 
 
+def test_one_row_is_kept_where_a_doc_id_has_several_texts(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "ab"), (2, "ab"), (None, "x"), (None, "x"), (3, "x")], "doc_id bigint, text string")
+    index = DigestIndex(spark)
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in dedup_groups(rows, index).collect()) == [("1", 1, 3, False), ("1", 1, 3, True), ("2", 1, 3, False), ("3", None, 3, False), ("None", None, 3, False), ("None", None, 3, True)]
+    assert [(r.doc_id, r.text) for r in drop_copies(rows).orderBy("text").collect()] == [(1, "a b"), (None, "x")]
+    later = spark.createDataFrame([(1, "a b"), (9, " a  b"), (3, "x"), (4, "new")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup_groups(later, index).collect()) == [(1, 9, 5, False), (3, None, 4, False), (4, 4, 1, True), (9, 9, 5, True)]
+
+
 def test_later_batches_meet_the_index(spark, odd):
     index = DigestIndex(spark)
     assert drop_copies(odd, index).count() == 4
