@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataflow.operators import extract
 
 
 def embed_with(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
@@ -30,12 +33,17 @@ def respond_with(prompts: DataFrame, responder: Callable[[str, str], str]) -> Da
     return prompts.select("conv_id", "turn", "system", "prompt").mapInPandas(run, "conv_id bigint, turn bigint, system string, prompt string, response string")
 
 
-def extract_with(code: DataFrame, extractors: dict[str, Callable[[str], list[str]]]) -> DataFrame:
-    """(path, language, fact) by the extractor of each file's language; files without one give nothing."""
+def extract_with(code: DataFrame, extractors: dict[str, Callable[[str], list[str]]] | None = None) -> DataFrame:
+    """(repository_id, path, language, fact): by the extractor of each file's language; files of other languages give their qualified names."""
+    key = ("repository_id", "path", "language")
+    own = extractors or {}
+    found = extract.definitions(code.filter(~F.col("language").isin(*own)) if own else code).select(*key, F.col("qualified_name").alias("fact"))
+    if not own:
+        return found
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(p, lang, fact) for p, lang, text in zip(part["path"], part["language"], part["text"], strict=True) if lang in extractors for fact in extractors[lang](text or "")]
-            yield pd.DataFrame(rows, columns=["path", "language", "fact"], dtype="object")
+            rows = [(r, p, lang, fact) for r, p, lang, text in zip(part["repository_id"], part["path"], part["language"], part["text"], strict=True) for fact in own[lang](text or "")]
+            yield pd.DataFrame(rows, columns=[*key, "fact"], dtype="object")
 
-    return code.select("path", "language", "text").mapInPandas(run, "path string, language string, fact string")
+    return code.filter(F.col("language").isin(*own)).select(*key, "text").mapInPandas(run, "repository_id string, path string, language string, fact string").unionByName(found)

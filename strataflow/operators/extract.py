@@ -1,99 +1,48 @@
-"""Source facts at line grain: definitions, names, complexity, calls, imports, inheritance.
+"""Source facts: definitions, names, complexity, calls, imports, inheritance, used globals, documentation.
 
-``analysed`` explodes a files table to lines once and finds the definitions around each line; every fact is a projection
-of its result, which callers may store and hand to several of the functions below instead of the files. String literals and
-comments are blanked before code is matched. Supported: Python and Java in the usual layout (a body indented deeper
-than its head, one definition a line; signatures may span up to ``SIGNATURE_LINES`` lines).
+Every fact is a projection of the token rows of ``tokens``: which tokens stand for it, which definition owns them, and,
+where a fact quotes the source, the span it covers. ``facts=`` takes a stored analysis, which several facts can share. All facts are keyed by repository and path.
 """
 
 from __future__ import annotations
 
+import builtins
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-KEY = ["repository_id", "path"]
-SIGNATURE_LINES = 6
-PY_DEF = r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"
-_MODIFIERS = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|sealed)\s+)*(?:<[^(){}]+>\s+)?"
-_TYPE = r"(?!(?:return|new|throw|else|case|assert)\b)[A-Za-z_][\w<>\[\]., ?]*"
-JAVA_TYPE = _MODIFIERS + r"(class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)"
-JAVA_METHOD = _MODIFIERS + rf"(?:{_TYPE}\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws [\w., ]+)?\{{"
-JAVA_ABSTRACT = _MODIFIERS + rf"{_TYPE}\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws [\w., ]+|default [^;]*)?;\s*$"
-NOT_METHODS = ("if", "for", "while", "switch", "catch", "return", "new", "else", "try", "synchronized", "do")
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "elif", "and", "or", "not", "in")
-QUOTES = '"""'
-
-
-def _one_line_signatures(text: str, language: str) -> F.Column:
-    """The text with signatures that span lines on their first line; as many empty lines follow, so that numbers stay."""
-    out = F.col(text)
-    for lang, start in (("python", r"^[ \t]*(?:async +)?(?:def|class) +\w+\("), ("java", r"^[ \t]*(?:@\w+(?:\([^)\n]*\))? +)*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]*\(")):
-        broken = rf"(?m)({start}[^()\n]*)(\n+)([^\n]+)"
-        joined = F.col(text)
-        for _ in range(SIGNATURE_LINES - 1):
-            joined = F.regexp_replace(joined, broken, "$1 $3$2")
-        out = F.when((F.col(language) == lang) & F.col(text).rlike(broken), joined).otherwise(out)
-    return out
-
-
-def lines(code: DataFrame) -> DataFrame:
-    """One row per line: n from 1, raw text, code without literals and comments, indent, and the number of text blocks opened or closed before."""
-    rows = code.select(*KEY, "file_id", "language", F.posexplode(F.split(_one_line_signatures("text", "language"), "\n")).alias("i", "raw")).repartition(*KEY)
-    quotes = (F.length("raw") - F.length(F.replace("raw", F.lit(QUOTES), F.lit("")))) / 3
-    rows = rows.withColumn("quotes", quotes.cast("int"))
-    rows = rows.withColumn("blocks", F.coalesce(F.sum("quotes").over(W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside, odd = F.col("blocks") % 2 == 1, F.col("quotes") % 2 == 1
-    seen = (F.when(inside & odd, F.regexp_replace("raw", r'^.*?"""', "")).when(inside, "").when(odd, F.regexp_replace("raw", r'"""(?!.*""").*$', '""')).otherwise(F.col("raw")))
-    bare = F.regexp_replace(F.regexp_replace(seen, r'"""[^"]*"""|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'', '""'), r"(#|//).*$|^\s*/?\*.*$", "")
-    return rows.select(*KEY, "file_id", "language", (F.col("i") + 1).alias("n"), "raw", bare.alias("code"), (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"), "blocks", "quotes")
-
-
-def analysed(code: DataFrame) -> DataFrame:
-    """Lines with what they define (name, kind, line_end; empty and null elsewhere) and the chain of open definitions around them.
-
-    A line closes every definition that is indented as deep or deeper. For each indent at which a file has definitions,
-    one window finds the last closing line before each line (a definition there is still open) and the next one after, so
-    the work grows with the lines of a file times its few indents. ``code`` that is analysed already comes back.
-    """
-    if "chain" in code.columns:
-        return code
-    rows = lines(code)
-    py, java = F.col("language") == "python", F.col("language") == "java"
-    t, m, bare_ = F.regexp_extract("code", JAVA_TYPE, 2), F.regexp_extract("code", JAVA_METHOD, 1), F.regexp_extract("code", JAVA_ABSTRACT, 1)
-    word, kind = F.regexp_extract("code", PY_DEF, 1), F.regexp_extract("code", JAVA_TYPE, 1)
-    name = F.when(py, F.regexp_extract("code", PY_DEF, 2)).when(java & (t != ""), t).when(java & (m != "") & ~m.isin(*NOT_METHODS), m).when(java & ~bare_.isin(*NOT_METHODS), bare_).otherwise("")
-    what = F.when(py, F.when(word == "class", "class").otherwise("function")).when(t != "", F.when(kind == "@interface", "annotation").otherwise(kind)).otherwise("method")
-    rows = rows.withColumn("name", name).withColumn("kind", F.when(F.col("name") != "", what)).withColumn("bodiless", java & (t == "") & (m == "") & (F.col("name") != ""))
-    file, in_order = W.partitionBy(*KEY), W.partitionBy(*KEY).orderBy("n")
-    solid = rows.filter((F.trim("code") != "") | (F.col("blocks") % 2 == 1) | (F.col("quotes") > 0) | F.col("raw").rlike(r"^\s*/?\*"))
-    text = (F.trim("code") != "") | (F.col("blocks") % 2 == 1) | (F.col("quotes") > 0)  # a comment ends nothing and belongs to nothing
-    solid = (solid.withColumn("previous", F.last(F.when(text, F.col("n")), True).over(in_order.rowsBetween(W.unboundedPreceding, -1))).withColumn("last", F.max(F.when(text, F.col("n"))).over(file))
-             .withColumn("levels", F.collect_set(F.when(F.col("name") != "", F.col("indent"))).over(file)))
-    each = solid.withColumn("level", F.explode_outer("levels")).drop("levels")
-    by = W.partitionBy(*KEY, "level")
-    closes, heads_here = (F.trim("code") != "") & (F.col("indent") <= F.col("level")), (F.col("name") != "") & (F.col("indent") == F.col("level"))
-    opened = F.last(F.when(closes, F.struct(heads_here.alias("is_open"), "level", F.col("n").alias("line_start"), "name", "kind")), True).over(by.orderBy("n").rowsBetween(W.unboundedPreceding, -1))
-    closed = F.last(F.when(closes, F.struct("n", F.trim("code").alias("c"), "previous")), True).over(by.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
-    each = each.withColumn("around", opened).withColumn("next", F.when(heads_here, closed))
-    one = lambda c: F.first(c).alias(c)
-    link = F.when(F.col("around.is_open") & (F.col("indent") > F.col("level")), F.struct("around.level", "around.line_start", "around.name", "around.kind"))
-    out = each.groupBy(*KEY, "n").agg(*map(one, ("file_id", "language", "raw", "code", "indent", "blocks", "quotes", "name", "kind", "bodiless", "previous", "last")), F.max("next").alias("next"), F.sort_array(F.collect_list(link)).alias("chain"))
-    # without a body, only members of interfaces and annotations and abstract methods are definitions
-    top = F.try_element_at("chain", F.lit(-1))["kind"]
-    real = ~F.col("bodiless") | top.isin("interface", "annotation") | top.isin("class", "enum", "record") & F.col("code").rlike(r"\babstract\b")
-    end = F.when(F.col("bodiless"), F.col("n")).when((F.col("language") == "java") & F.col("next.c").startswith("}"), F.col("next.n")).otherwise(F.coalesce("next.previous", "last"))
-    is_head = (F.col("name") != "") & F.coalesce(real, F.lit(False))
-    return (out.withColumn("line_end", F.when(is_head, end)).withColumn("name", F.when(is_head, F.col("name")).otherwise("")).withColumn("kind", F.when(is_head, F.col("kind")))
-            .withColumn("owner", F.concat_ws(".", F.transform("chain", lambda x: x["name"]), F.when(F.col("name") != "", F.col("name")))).drop("bodiless", "last", "next"))
-
-
-def definitions(code: DataFrame) -> DataFrame:
+from strataflow.operators import tokens as T
+from strataflow.operators.store import cut
+from strataflow.operators.tokens import KEY
+
+FUNCTIONS = ("function", "method")
+NAME = [*KEY, "qualified_name"]
+
+
+class Analysis(NamedTuple):
+    """Stored token rows of files, the definitions that own them, and comments."""
+
+    tokens: DataFrame
+    found: DataFrame
+    comments: DataFrame
+
+
+def analyse(code: DataFrame) -> Analysis:
+    """Lex the files once and store what all facts are read from."""
+    rows = cut(T.analysed(code))
+    tokens = rows.filter("what <> 'comment'")
+    return Analysis(tokens, cut(T.definitions(tokens)), rows.filter("what = 'comment'"))
+
+
+def _all(code: DataFrame, facts: Analysis | None) -> Analysis:
+    return analyse(code) if facts is None else facts
+
+
+def definitions(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
     """Definitions with parent and dotted qualified name; a function right under a class is a method."""
-    rows = analysed(code).filter("name <> ''")
-    top = F.try_element_at("chain", F.lit(-1))
-    return rows.select(*KEY, "file_id", "language", "name", F.when((F.col("kind") == "function") & (top["kind"] == "class"), "method").otherwise(F.col("kind")).alias("kind"), "indent", F.col("n").alias("line_start"), "line_end",
-                       "code", "raw", F.col("owner").alias("qualified_name"), F.concat_ws(".", F.transform("chain", lambda x: x["name"])).alias("parent"))
+    return _all(code, facts).found.filter("counts").drop("counts")
 
 
 def extract_definitions(code: DataFrame) -> DataFrame:
@@ -104,147 +53,297 @@ def qualified_names(code: DataFrame) -> DataFrame:
     return definitions(code).select(*KEY, "kind", "qualified_name", "parent", "line_start")
 
 
-def signature_arguments(code: DataFrame) -> DataFrame:
-    """(path, qualified_name, signature, pos, argument) of functions and methods."""
-    rows = definitions(code).filter(F.col("kind").isin("function", "method"))
-    inside = F.regexp_extract("raw", r"\(([^)]*)\)", 1)
-    parts = F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda p: p != "")
-    # Python: the word before an annotation or default; Java: the last word
-    name = lambda p: F.when(F.col("language") == "python", F.regexp_extract(p, r"^([*\w]+)", 1)).otherwise(F.regexp_extract(p, r"(\w+)$", 1))
-    return rows.select("path", "qualified_name", F.regexp_replace(F.trim("raw"), r"\).*$", ")").alias("signature"), F.posexplode(F.transform(parts, name)).alias("pos", "argument"))
-
-
 def visibility_flag(code: DataFrame) -> DataFrame:
-    head = F.regexp_extract("raw", r"^\s*((?:(?:public|private|protected|static|final|abstract)\s+)*)", 1)
-    public = F.when(F.col("language") == "python", ~F.col("name").startswith("_")).otherwise((head == "") | head.contains("public"))
-    return definitions(code).select("path", "qualified_name", public.alias("is_public"))
-
-
-def cyclomatic_complexity(code: DataFrame) -> DataFrame:
-    """1 + decisions in the lines of a function, those of functions in it included: branches, loops, handlers, conditional and logical operators."""
-    rows = analysed(code)
-    py = F.regexp_count("code", F.lit(r"\b(if|elif|for|while|except|and|or|case)\b"))
-    java = F.regexp_count("code", F.lit(r"\b(if|for|while|do|catch|case|switch)\b|&&|\|\||\?"))
-    points = F.when(F.col("language") == "python", py).otherwise(java)
-    # each line counts for every definition around it and for the one that it opens
-    upto = lambda i: F.concat_ws(".", F.transform(F.slice("chain", F.lit(1), i), lambda x: x["name"]))
-    around = F.transform("chain", lambda x, i: F.struct(upto(i + 1).alias("qualified_name"), x["line_start"].alias("line_start")))
-    own = F.when(F.col("name") != "", F.array(F.struct(F.col("owner").alias("qualified_name"), F.col("n").alias("line_start")))).otherwise(F.array().cast("array<struct<qualified_name:string,line_start:int>>"))
-    per = rows.select(*KEY, points.alias("points"), F.explode(F.concat(around, own)).alias("d")).groupBy(*KEY, "d.qualified_name", "d.line_start").agg((F.sum("points") + 1).alias("complexity"))
-    found = definitions(rows).filter(F.col("kind").isin("function", "method")).select(*KEY, "qualified_name", "line_start")
-    return per.join(found, [*KEY, "qualified_name", "line_start"], "left_semi").select("path", "qualified_name", "complexity")
-
-
-def class_complexity(code: DataFrame) -> DataFrame:
+    """Python: names without a leading underscore. Java: members with ``public`` or without any modifier or annotation."""
+    return definitions(code).select(*NAME, "is_public")
+
+
+def _mine(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """Tokens with the columns of the definition that owns them; tokens of definitions that are not reported go."""
+    return T.owned(tokens, found).filter(F.col("owner").isNull() | F.col("owner.counts"))
+
+
+def _items(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (direct tokens of a list, with ``language``) numbered by the commas before them outside of type arguments."""
+    order = W.partitionBy(*KEY, *by).orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    angle = F.sum(F.when((F.col("language") == "java") & (F.col("tok") == "<"), 1).when((F.col("language") == "java") & (F.col("tok") == ">"), -1).otherwise(0)).over(order)
+    comma = (F.col("tok") == ",") & (F.col("angle") == 0)
+    rows = rows.withColumn("angle", angle).withColumn("comma", comma)
+    return rows.withColumn("item", F.sum(F.col("comma").cast("int")).over(order)).filter("NOT comma")
+
+
+def _parameters(code: DataFrame, tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """Parameters of functions: (lo of the definition, item, name, stars, text)."""
+    functions = found.filter(F.col("kind").isin(*FUNCTIONS))
+    rows = _mine(tokens.filter("box > 0"), functions).filter("box = owner.name_i + 1 AND (owner.body IS NULL OR box <> owner.body)")
+    rows = _items(rows.withColumn("lo", F.col("owner.lo")), ["lo"])
+    each = rows.groupBy(*KEY, "language", "lo", "item").agg(
+        F.min(F.struct("i", "line", "pos", "tok")).alias("a"), F.max(F.struct("i", F.coalesce("other.line", "ends").alias("line"), F.coalesce("other.end_pos", "end_pos").alias("end_pos"))).alias("z"),
+        F.min(F.when(F.col("what") == "word", F.struct("i", "tok"))).alias("first_word"), F.max(F.when(F.col("what") == "word", F.struct("i", "tok"))).alias("last_word"), F.bool_or(F.col("tok") == "...").alias("spread"))
+    py = F.col("language") == "python"
+    name = F.when(py, F.col("first_word.tok")).otherwise(F.col("last_word.tok"))
+    stars = F.when(py & (F.col("a.tok") == "*"), 1).when(py & (F.col("a.tok") == "**"), 2).otherwise(0)
+    each = each.withColumns({"name": name, "stars": stars}).filter(F.col("name").isNotNull() | py).filter(~(~py & F.coalesce("spread", F.lit(False))))
+    text = T.spans(code, each.select(*KEY, F.concat_ws(":", "lo", "item").alias("sid"), "language", "lo", "item", "name", "stars", F.col("a.line").alias("lo_line"), F.col("a.pos").alias("lo_pos"), F.col("z.line").alias("hi_line"), F.col("z.end_pos").alias("hi_pos")))
+    tidy = F.regexp_replace(F.regexp_replace("span", r" ?= ?", "="), r" ?: ?", ": ")
+    return text.withColumn("text", F.when(F.col("language") == "python", tidy).otherwise(F.col("span"))).drop("span", "sid")
+
+
+def signatures(code: DataFrame, facts: Analysis | None = None, parameters: DataFrame | None = None) -> DataFrame:
+    """(repository_id, path, lo, qualified_name, signature): name, parameters and result of functions; name and bases of classes; the qualified name of Java types."""
+    tokens, found, _ = _all(code, facts)
+    found = found.filter("counts")
+    parameters = _parameters(code, tokens, found) if parameters is None else parameters
+    inside = parameters.groupBy(*KEY, "lo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"]), ", ").alias("inside"))
+    opening = _mine(tokens.filter("tok = '('"), found).filter("i = owner.name_i + 1")
+    bases = opening.filter("owner.kind = 'class' AND language = 'python'").select(*KEY, F.col("owner.lo").alias("lo"), F.lit("base").alias("part"), F.col("line").alias("lo_line"), (F.col("pos") + 1).alias("lo_pos"), F.col("other.line").alias("hi_line"), F.col("other.pos").alias("hi_pos"))
+    # The result: after the arrow up to the colon that opens the body, or before the name of a method.
+    colon = _mine(tokens.filter("language = 'python' AND depth = 0 AND tok IN (':', '->')"), found).filter(F.col("owner.kind").isin(*FUNCTIONS) & (F.col("i") > F.col("owner.name_i")))
+    after = W.partitionBy(*KEY).orderBy("i")
+    arrow = colon.withColumn("to", F.lead(F.struct("i", "line", "pos", "tok", "owner.lo")).over(after)).filter("tok = '->' AND to.tok = ':' AND to.lo = owner.lo")
+    arrow = arrow.select(*KEY, F.col("owner.lo").alias("lo"), F.lit("result").alias("part"), F.col("line").alias("lo_line"), F.col("end_pos").alias("lo_pos"), F.col("to.line").alias("hi_line"), F.col("to.pos").alias("hi_pos"))
+    named = _mine(tokens.filter("language = 'java' AND what = 'word'"), found).filter("owner.kind = 'method' AND i = owner.name_i")
+    typed = named.select(*KEY, F.col("owner.lo").alias("lo"), F.lit("result").alias("part"), F.col("owner.line_start").alias("lo_line"), F.lit(None).cast("bigint").alias("lo_pos"), F.col("line").alias("hi_line"), F.col("pos").alias("hi_pos"))
+    typed = typed.drop("lo_pos").join(found.select(*KEY, "lo", F.col("head_pos").cast("bigint").alias("lo_pos")), [*KEY, "lo"])
+    texts = T.spans(code, bases.unionByName(arrow).unionByName(typed).withColumn("sid", F.concat_ws(":", "lo", "part")))
+    words = "|".join(m for m in ("public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "strictfp", "default"))
+    bare = F.regexp_replace(F.regexp_replace("span", rf"^(?:(?:@[\w.]+(?:\s*\([^()]*\))?|{words})(?:\s+|$))*", ""), r"^<(?:[^<>]|<[^<>]*>)*>\s*", "")
+    texts = texts.join(found.select(*KEY, "lo", "language"), [*KEY, "lo"]).groupBy(*KEY, "lo").agg(
+        F.max(F.when(F.col("part") == "base", F.col("span"))).alias("bases"), F.max(F.when(F.col("part") == "result", F.when(F.col("language") == "java", bare).otherwise(F.col("span")))).alias("result"))
+    rows = found.join(inside, [*KEY, "lo"], "left").join(texts, [*KEY, "lo"], "left")
+    result = F.when(F.coalesce("result", F.lit("")) != "", F.concat(F.lit(" -> "), "result")).otherwise("")
+    signature = (F.when(F.col("kind").isin(*FUNCTIONS), F.concat("name", F.lit("("), F.coalesce("inside", F.lit("")), F.lit(")"), result))
+                 .when(F.col("language") == "java", F.col("qualified_name")).when(F.coalesce("bases", F.lit("")) != "", F.concat("name", F.lit("("), "bases", F.lit(")"))).otherwise(F.col("name")))
+    return rows.select(*KEY, "lo", "qualified_name", "kind", signature.alias("signature"))
+
+
+def signature_arguments(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, qualified_name, signature, pos, argument) of functions; starred parameters of Python come last, spread ones of Java are none."""
+    facts = _all(code, facts)
+    parameters = cut(_parameters(code, facts.tokens, facts.found.filter("counts")))
+    named = parameters.filter("name IS NOT NULL").withColumn("pos", F.row_number().over(W.partitionBy(*KEY, "lo").orderBy("stars", "item")) - 1)
+    return named.join(signatures(code, facts, parameters), [*KEY, "lo"]).select(*NAME, "signature", "pos", F.col("name").alias("argument"))
+
+
+def _points(tokens: DataFrame) -> DataFrame:
+    """Tokens that add to complexity, each by one.
+
+    Python: branches, loops and their ``else``, handlers, assertions, cases but the open one, logical and conditional operators.
+    Java: branches, loops, handlers, switches and their labels, conditional and logical operators; question marks of type arguments are none.
+    """
+    py = F.col("language") == "python"
+    word = py & F.col("tok").isin("if", "elif", "for", "while", "except", "and", "or", "assert") & (F.col("what") == "word")
+    case = py & (F.col("tok") == "case") & (F.col("seg.i") == F.col("i")) & F.coalesce(~F.col("n1").isin("=", ".", ":", ",", ")"), F.lit(False)) & ~((F.col("n1") == "_") & (F.col("n2") == ":"))
+    ends_do = (F.col("tok") == "while") & (F.col("p1") == "}") & (F.col("opened.p1") == "do")
+    label = (F.col("tok") == "default") & F.col("n1").isin(":", "->")
+    wild = (F.col("tok") == "?") & F.coalesce(F.col("p1").isin("<", ","), F.lit(True))
+    java = ~py & (F.col("tok").isin("if", "for", "while", "do", "catch", "case", "switch", "&&", "||", "?") | F.coalesce(label, F.lit(False))) & ~F.coalesce(ends_do, F.lit(False)) & ~F.coalesce(wild, F.lit(False))
+    plain = tokens.filter(F.coalesce(word | case | java, F.lit(False)))
+    # An ``else`` adds where it ends a loop or a try.
+    ends = T.logical_lines(tokens).filter(F.col("tok").isin("else") & F.col("same").isin("for", "while", "except", "async", "try"))
+    return plain.unionByName(ends.select(*plain.columns))
+
+
+def cyclomatic_complexity(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """1 + decisions of a function; those of a function defined in it are its own."""
+    tokens, found, _ = _all(code, facts)
+    functions = found.filter(F.col("counts") & F.col("kind").isin(*FUNCTIONS)).select(*KEY, "lo", "qualified_name")
+    points = _mine(_points(tokens), found).filter("owner IS NOT NULL AND i > owner.name_i").groupBy(*KEY, F.col("owner.lo").alias("lo")).agg(F.count(F.lit(1)).alias("points"))
+    return functions.join(points, [*KEY, "lo"], "left").select(*NAME, (F.coalesce("points", F.lit(0)) + 1).alias("complexity"), "lo").drop("lo")
+
+
+def class_complexity(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
     """The greatest complexity of a class's methods, 1 if it has none."""
-    code = analysed(code)
-    found = definitions(code)
-    methods = found.filter("kind = 'method'").select("path", "parent", "qualified_name").join(cyclomatic_complexity(code), ["path", "qualified_name"])
-    most = methods.groupBy("path", F.col("parent").alias("qualified_name")).agg(F.max("complexity").alias("m"))
-    return found.filter("kind = 'class'").select("path", "qualified_name").join(most, ["path", "qualified_name"], "left").select("path", "qualified_name", F.coalesce("m", F.lit(1)).alias("complexity"))
-
-
-def extract_calls(code: DataFrame) -> DataFrame:
-    """Call sites as written with their line and innermost owner; the definition's own head is none."""
-    names = F.regexp_extract_all("code", F.lit(r"(?<![\w.@])([A-Za-z_][\w.]*)\s*\("), 1)
-    calls = analysed(code).select("path", F.col("owner").alias("caller"), F.col("n").alias("line"), F.col("name").alias("head"), F.explode(names).alias("callee_name"))
-    return calls.filter(~F.col("callee_name").isin(*NOT_CALLS) & (F.col("callee_name") != F.col("head"))).select("path", "caller", "callee_name", "line")
+    facts = _all(code, facts)
+    found = definitions(code, facts)
+    most = cyclomatic_complexity(code, facts).join(found.filter("kind = 'method'").select(*NAME, "parent").distinct(), NAME).groupBy(*KEY, F.col("parent").alias("qualified_name")).agg(F.max("complexity").alias("m"))
+    return found.filter(F.col("kind").isin(*T.TYPES)).select(*NAME).join(most, NAME, "left").select(*NAME, F.coalesce("m", F.lit(1)).alias("complexity"))
+
+
+def _call_sites(code: DataFrame, tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """(repository_id, path, caller, callee_name, line, dynamic, i)."""
+    py = F.col("language") == "python"
+    before = F.col("pw") == "word"
+    reserved = F.when(py, F.col("p1").isin(*T.PY_WORDS)).otherwise(F.col("p1").isin(*T.JAVA_WORDS))
+    python = py & (F.col("valued") | before & ~reserved) & ~F.coalesce(F.col("p2").isin("def", "class"), F.lit(False))
+    built = (F.col("start.tok") == "new") & (F.coalesce("opened.i", F.lit(0)) < F.col("start.i"))
+    declared = F.coalesce(F.col("n2").isin("{", "throws"), F.lit(False))
+    java = ~py & before & ~reserved & ~built & ~declared & ~F.coalesce(F.col("p2") == "@", F.lit(False))
+    rows = tokens.filter("tok = '(' AND p1 IS NOT NULL AND start IS NOT NULL").filter(F.coalesce(F.when(py, python).otherwise(java), F.lit(False)))
+    rows = _mine(rows, found).filter((F.col("language") == "python") | (F.col("owner.kind") == "method") & (F.col("i") > F.col("owner.body")))
+    # Calls that no name resolves: of getattr, of its result, or of a subscript.
+    getattr_ = py & (F.col("p1") == "getattr") & F.coalesce(F.col("p2") != ".", F.lit(True))
+    rows = rows.withColumn("getattr", getattr_)
+    return T.spans(code, rows.select(*KEY, F.col("i").alias("sid"), "language", F.coalesce("owner.qualified_name", F.lit("")).alias("caller"), F.col("start.line").alias("line"), "getattr", (py & (F.col("p1") == "]")).alias("subscript"),
+                                     F.col("start.line").alias("lo_line"), F.col("start.pos").alias("lo_pos"), F.when(F.col("getattr"), F.col("other.line")).otherwise(F.col("line")).alias("hi_line"), F.when(F.col("getattr"), F.col("other.end_pos")).otherwise(F.col("pos")).alias("hi_pos")))
+
+
+def extract_calls(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """Calls as written (the text before their brackets) with the line they begin in and their innermost owner.
+
+    Python: all calls, those outside of definitions with an empty caller; calls of ``getattr``, of its result and of subscripts are ``dynamic``.
+    Java: method calls in bodies of methods and constructors; ``new``, ``this(...)`` and ``super(...)`` are none.
+    """
+    tokens, found, _ = _all(code, facts)
+    rows = _call_sites(code, tokens, found)
+    dynamic = (F.col("language") == "python") & (F.col("getattr") | F.col("subscript") | F.col("span").rlike(r"^getattr\s*\((?s:.*)\)$"))
+    return rows.select(*KEY, "caller", F.regexp_replace("span", r" ?\. ?", ".").alias("callee_name"), "line", dynamic.alias("dynamic"))
 
 
 def dynamic_call_flag(code: DataFrame) -> DataFrame:
-    """Lines with a call that no name resolves: ``getattr(...)`` or ``obj[key](...)``."""
-    return analysed(code).filter(F.col("code").rlike(r"\bgetattr\(|\w\[[^\]]+\]\(")).select("path", F.col("owner").alias("caller"), F.col("n").alias("line"))
-
-
-def extract_imports(code: DataFrame) -> DataFrame:
-    """(path, module, local_name, kind, line) of ``import``, ``from .. import`` and Java imports."""
-    rows = analysed(code)
-    py = rows.filter("language = 'python'")
-    plain = (py.filter(F.col("code").rlike(r"^\s*import\s"))
-             .select(*KEY, "n", F.explode(F.split(F.regexp_extract("code", r"^\s*import\s+(.*)$", 1), ",")).alias("p"))
-             .select("path", F.regexp_extract("p", r"^\s*([\w.]+)", 1).alias("module"), F.when(F.col("p").contains(" as "), F.regexp_extract("p", r" as (\w+)", 1)).otherwise(F.regexp_extract("p", r"^\s*(\w+)", 1)).alias("local_name"), F.lit("normal").alias("kind"), F.col("n").alias("line")))
-    named_ = (py.filter(F.col("code").rlike(r"^\s*from\s")).select(*KEY, "n", F.regexp_extract("code", r"^\s*from\s+([\w.]+)\s+import", 1).alias("module"), F.explode(F.split(F.regexp_extract("code", r"import\s+(.*)$", 1), ",")).alias("p"))
-              .select("path", "module", F.when(F.col("p").contains(" as "), F.regexp_extract("p", r" as (\w+)", 1)).otherwise(F.regexp_extract("p", r"(\w+)", 1)).alias("local_name"), F.lit("normal").alias("kind"), F.col("n").alias("line")))
-    java = rows.filter("language = 'java'").filter(F.col("code").rlike(r"^\s*import\s"))
-    name = F.regexp_extract("code", r"^\s*import\s+(?:static\s+)?([\w.]+(?:\*)?)", 1)
-    java = java.select("path", name.alias("module"), F.substring_index(name, ".", -1).alias("local_name"), F.when(F.col("code").rlike(r"import\s+static\s"), "static").otherwise("normal").alias("kind"), F.col("n").alias("line"))
-    return plain.unionByName(named_).unionByName(java)
-
-
-def extract_inheritance(code: DataFrame) -> DataFrame:
-    """(path, entity, parent_name, kind, line) of base classes, ``extends`` and ``implements``; type arguments stay with their name."""
-    rows = definitions(code).filter(F.col("kind").isin("class", "interface", "enum", "record"))
-    py, java = F.col("language") == "python", F.col("language") == "java"
-    plain = F.regexp_replace("code", r"\b(class|interface|record)\s+(\w+)\s*<(?:[^<>]|<[^<>]*>)*>", "$1 $2")  # bounds of the type's own parameters are no parents
-    split = lambda text: F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: (p != "") & ~p.contains("="))
-    types = lambda text: F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w.]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>)?)"), 1)
-    ext = F.when(py, split(F.regexp_extract("code", r"class\s+\w+\(([^)]*)\)", 1))).otherwise(types(F.regexp_extract(plain, r"\bextends\s+(.*?)(?:\bimplements\b|\{|$)", 1)))
-    imp = F.when(java, types(F.regexp_extract("code", r"\bimplements\s+(.*?)(?:\{|$)", 1))).otherwise(F.array().cast("array<string>"))
-    tag = lambda names, kind: F.transform(names, lambda p: F.struct(p.alias("parent_name"), F.lit(kind).alias("kind")))
-    return rows.select("path", F.col("name").alias("entity"), F.explode(F.concat(tag(ext, "extends"), tag(imp, "implements"))).alias("p"), F.col("line_start").alias("line")).select("path", "entity", "p.parent_name", "p.kind", "line")
-
-
-def globals_used(code: DataFrame) -> DataFrame:
-    """Python: names that a module assigns at its level, used in a function that does not assign them. Java: fields of a class used in its methods."""
-    rows = analysed(code)
-    py = rows.filter("language = 'python' AND indent = 0").select(*KEY, F.regexp_extract("code", r"^([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)", 1).alias("global_name"))
-    java = rows.filter("language = 'java'").select(*KEY, F.regexp_extract("code", r"^\s+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+\s+(\w+)\s*(?:=.*)?;", 1).alias("global_name"))
-    declared = py.unionByName(java).filter("global_name <> ''").distinct()
-    in_function = F.coalesce(F.try_element_at("chain", F.lit(-1))["kind"].isin("function", "method"), F.lit(False)) & (F.col("name") == "")
-    body = rows.filter(in_function)
-    used = body.select(*KEY, "owner", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<![\w.])([A-Za-z_]\w*)"), 1))).alias("global_name")).distinct()
-    local = body.filter("language = 'python'").select(*KEY, "owner", F.regexp_extract("code", r"^\s*(?:for\s+)?([A-Za-z_]\w*)\s*(?:=(?!=)|in\b)", 1).alias("global_name"))
-    global_ = body.filter("language = 'python'").select(*KEY, "owner", F.explode(F.regexp_extract_all("code", F.lit(r"(?<=global )\s*([A-Za-z_]\w*)"), 1)).alias("global_name"))
-    local = local.filter("global_name <> ''").distinct().join(global_, [*KEY, "owner", "global_name"], "left_anti")
-    return used.join(local, [*KEY, "owner", "global_name"], "left_anti").join(declared, [*KEY, "global_name"]).select("path", F.col("owner").alias("qualified_name"), "global_name").distinct()
-
-
-def semantic_facts(code: DataFrame, k: int = 10) -> DataFrame:
-    """First k raises, assignments, branch conditions and returns of each function, in order, up to 200 signs each."""
+    """Calls that no name resolves, by caller and line."""
+    return extract_calls(code).filter("dynamic").select(*KEY, "caller", "line")
+
+
+def extract_imports(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, module, local_name, kind, line) of ``import``, ``from .. import`` and Java imports, over as many lines as they take."""
+    tokens = _all(code, facts).tokens
+    heads = tokens.filter("depth = 0 AND seg.i = i").withColumn("next", F.lead(F.struct("before_ends", "pos")).over(W.partitionBy(*KEY).orderBy("i")))
+    last = tokens.groupBy(*KEY).agg(F.max(F.struct("i", "ends", "end_pos")).alias("last"))
+    heads = heads.filter(F.col("tok").isin("import", "from")).join(last, KEY)
+    span = T.spans(code, heads.select(*KEY, F.col("i").alias("sid"), "language", F.col("line").alias("at"), "line", F.col("line").alias("lo_line"), F.col("pos").alias("lo_pos"), F.coalesce("next.before_ends", "last.ends").alias("hi_line"), F.coalesce("next.pos", "last.end_pos").alias("hi_pos")).drop("at"))
+    # Comments and the signs of continued lines go; what is left is one line.
+    span = span.withColumn("span", F.trim(F.regexp_replace("span", r"[()\;]", " ")))
+    py, java = span.filter("language = 'python'"), span.filter("language = 'java'")
+    local = lambda p: F.when(p.rlike(r"\sas\s"), F.regexp_extract(p, r"\sas\s+(\w+)", 1))
+    part = F.trim("p")
+    plain = py.filter(F.col("span").startswith("import")).select(*KEY, "line", F.explode(F.split(F.regexp_replace("span", r"^import\s+", ""), ",")).alias("p")).select(
+        *KEY, F.regexp_extract(part, r"^([\w.]+)", 1).alias("module"), F.coalesce(local(part), F.regexp_extract(part, r"^(\w+)", 1)).alias("local_name"), F.lit("normal").alias("kind"), "line")
+    rest = F.regexp_extract("span", r"^from\s*[.\s]*[\w.]*\s*import\s+(.*)$", 1)
+    named = py.filter(F.col("span").startswith("from")).select(*KEY, "line", F.regexp_replace(F.regexp_extract("span", r"^from\s*([.\s]*[\w.]*?)\s*\bimport\b", 1), r"\s", "").alias("module"), F.explode(F.split(rest, ",")).alias("p")).filter(F.trim("p") != "").select(
+        *KEY, "module", F.coalesce(local(part), F.regexp_extract(part, r"^(\w+|\*)", 1)).alias("local_name"), F.lit("normal").alias("kind"), "line")
+    name = F.regexp_replace(F.regexp_extract("span", r"^import\s+(?:static\s+)?([\w.*\s]+)", 1), r"\s", "")
+    java = java.select(*KEY, name.alias("module"), F.substring_index(name, ".", -1).alias("local_name"), F.when(F.col("span").rlike(r"^import\s+static\s"), "static").otherwise("normal").alias("kind"), "line").filter("module <> ''")
+    return plain.filter("module <> ''").unionByName(named).unionByName(java)
+
+
+def extract_inheritance(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, entity, parent_name, kind, line) of base classes, ``extends`` and ``implements``; type arguments stay with their name. ``entity`` is the qualified name."""
+    tokens, found, _ = _all(code, facts)
+    classes = found.filter(F.col("counts") & F.col("kind").isin(*T.TYPES))
+    rows = _mine(tokens, classes).filter("owner IS NOT NULL").withColumn("lo", F.col("owner.lo")).withColumn("group", F.lit(0).cast("bigint"))
+    py = _items(rows.filter("language = 'python' AND box = owner.name_i + 1"), ["lo"]).withColumn("relation", F.lit("extends"))
+    java = rows.filter("language = 'java' AND i > owner.name_i AND i < owner.body AND depth = owner.depth")
+    order = W.partitionBy(*KEY, "lo").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    java = java.withColumn("angle", F.sum(F.when(F.col("tok") == "<", 1).when(F.col("tok") == ">", -1).otherwise(0)).over(order))
+    clause = (F.col("angle") == 0) & F.col("tok").isin("extends", "implements", "permits")
+    java = java.withColumn("clause", F.last(F.when(clause, F.struct("i", "tok")), True).over(order)).filter(~clause & F.col("clause").isNotNull() & (F.col("clause.tok") != "permits"))
+    java = _items(java.withColumn("group", F.col("clause.i").cast("bigint")).withColumn("relation", F.col("clause.tok")).drop("clause", "angle"), ["lo", "group"])
+    each = py.select(*java.columns).unionByName(java).groupBy(*KEY, "language", "lo", "group", "item", "relation").agg(
+        F.first("owner").alias("owner"), F.min(F.struct("i", "line", "pos")).alias("a"), F.max(F.struct("i", F.coalesce("other.line", "ends").alias("line"), F.coalesce("other.end_pos", "end_pos").alias("end_pos"))).alias("z"), F.bool_or(F.col("tok").isin("=", "**", "*")).alias("keyword"))
+    each = each.filter("NOT (keyword AND language = 'python')")
+    text = T.spans(code, each.select(*KEY, F.concat_ws(":", "lo", "group", "item").alias("sid"), F.col("owner.qualified_name").alias("entity"), "relation", F.col("owner.line_start").alias("line"), F.col("a.line").alias("lo_line"), F.col("a.pos").alias("lo_pos"), F.col("z.line").alias("hi_line"), F.col("z.end_pos").alias("hi_pos")))
+    return text.filter("span <> ''").select(*KEY, "entity", F.col("span").alias("parent_name"), F.col("relation").alias("kind"), "line")
+
+
+def _python_names(tokens: DataFrame) -> DataFrame:
+    """Words of Python that may name something: no attributes, names of definitions, imports or handlers; ``keyword`` where a keyword of a call looks the same."""
+    rows = tokens.filter("language = 'python' AND what = 'word'").filter(~F.col("tok").isin(*T.PY_WORDS) & F.coalesce(F.col("p1") != ".", F.lit(True)))
+    keyword_ = (F.col("box") > 0) & (F.col("n1") == "=") & F.coalesce(F.col("p1").isin("(", ","), F.col("p1").isNull())
+    imported = F.coalesce(F.col("seg.tok").isin("import", "from", "global", "nonlocal"), F.lit(False))
+    handled = (F.col("p1") == "as") & (F.col("seg.tok") == "except")
+    no_name = F.coalesce(F.col("p1").isin("def", "class"), F.lit(False)) | F.coalesce(handled, F.lit(False)) | imported
+    return rows.filter(~no_name).withColumn("keyword", F.coalesce(keyword_, F.lit(False)))
+
+
+
+def globals_used(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, qualified_name, global_name).
+
+    Python: names that a definition loads, less those it stores or has as parameters, less built-in ones; definitions in it have their own.
+    Java: fields of the class around a method, or of types in it, whose name occurs in the method's body.
+    """
+    tokens, found, _ = _all(code, facts)
+    names = found.filter("counts").select(*KEY, "lo", "qualified_name", "kind", "name_i")
+    # The last '=' of a statement tells targets from values; the last 'for' without its 'in' tells loop targets.
+    stream = W.partitionBy(*KEY, "box").orderBy("i")
+    before, down = stream.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*KEY, "box").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
+    py = tokens.filter("language = 'python'")
+    py = py.withColumn("loop", F.last(F.when(F.col("tok").isin("for", "in"), F.col("tok")), True).over(before)).withColumn("next_eq", F.last(F.when(F.col("tok") == "=", F.col("seg.i")), True).over(down))
+    # Brackets right inside a loop's targets hold targets too.
+    inner = py.filter("loop = 'for' AND tok IN ('(', '[')").select(*KEY, F.col("i").alias("box"), F.lit(True).alias("in_loop"))
+    words = _python_names(py).join(inner, [*KEY, "box"], "left")
+    op = F.col("n1").rlike(r"^(?:[+\-*/%&|^@]|//|\*\*)=$")
+    assigned = (F.col("depth") == 0) & (F.col("next_eq") == F.col("seg.i")) & ((F.col("i") == F.col("seg.i")) | F.col("p1").isin(",", "*", "=")) & F.col("n1").isin("=", ",")
+    typed = (F.col("i") == F.col("seg.i")) & ((F.col("n1") == ":") & (F.col("depth") == 0) | op)
+    held = (F.col("p1") == "as") & F.col("seg.tok").isin("with", "async")
+    loop = ((F.col("loop") == "for") | F.coalesce("in_loop", F.lit(False))) & F.coalesce(F.col("p1").isin("for", ",", "*"), F.col("in_loop")) & F.coalesce(~F.col("n1").isin(".", "[", "("), F.lit(True))
+    store = F.coalesce(assigned, F.lit(False)) | F.coalesce(typed, F.lit(False)) | F.coalesce(held, F.lit(False)) | F.coalesce(loop, F.lit(False)) | F.coalesce(F.col("n1") == ":=", F.lit(False))
+    words = words.withColumn("store", store).drop("in_loop", "loop", "next_eq")
+    mine = _mine(words, found).filter("owner IS NOT NULL")
+    # The names of parameters are stores; what stands in their annotations and defaults is loaded.
+    parameter = F.col("owner.kind").isin(*FUNCTIONS) & (F.col("box") == F.col("owner.name_i") + 1) & F.coalesce(F.col("p1").isin(",", "*", "**"), F.lit(True))
+    seen = mine.withColumn("parameter", F.coalesce(parameter, F.lit(False))).filter("parameter OR NOT keyword").select(*KEY, F.col("owner.lo").alias("lo"), F.col("tok").alias("global_name"), (F.col("store") | F.col("parameter")).alias("store"))
+    python = seen.groupBy(*KEY, "lo", "global_name").agg(F.bool_or("store").alias("store")).filter("NOT store").filter(~F.col("global_name").isin(*dir(builtins))).join(names, [*KEY, "lo"]).select(*NAME, "global_name")
+
+    jv = tokens.filter("language = 'java' AND what = 'word'").filter(~F.col("tok").isin(*T.JAVA_WORDS))
+    jv = _mine(jv, found.filter("language = 'java'")).filter("owner IS NOT NULL")
+    declares = F.col("owner.kind").isin(*T.TYPES) & (F.col("box") == F.col("owner.body")) & F.col("n1").isin("=", ";", ",", "[") & (F.coalesce(F.col("eq"), F.lit(0)) < F.col("seg.i")) & (F.col("i") > F.col("seg.i")) & ~F.col("p1").isin(".", "<", "@")
+    several = F.col("owner.kind").isin(*T.TYPES) & (F.col("box") == F.col("owner.body")) & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",") & (F.col("i") > F.col("seg.i"))
+    holders = F.concat(F.col("owner.outer"), F.array(F.col("owner.qualified_name")))
+    fields = jv.filter(declares | several).select(*KEY, F.explode(holders).alias("holder"), F.col("tok").alias("global_name")).distinct()
+    used = jv.filter("owner.kind = 'method' AND i > owner.body").select(*KEY, F.col("owner.qualified_name").alias("qualified_name"), F.try_element_at("owner.outer", F.lit(-1)).alias("holder"), F.col("tok").alias("global_name")).distinct()
+    java = used.join(fields, [*KEY, "holder", "global_name"]).select(*NAME, "global_name").distinct()
+    return python.unionByName(java)
+
+
+def semantic_facts(code: DataFrame, k: int = 10, facts: Analysis | None = None) -> DataFrame:
+    """First k raises, assignments, branch conditions and returns of each function, in order; texts over 200 signs are none.
+
+    A fact is found in the line it begins with; the line's first token tells whose it is, so lines inside texts have none.
+    """
+    tokens, found, _ = _all(code, facts)
+    lines = code.select(*KEY, "language", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "raw"))
     facts = F.array(
         F.struct(F.lit("raise").alias("fact"), F.regexp_extract("raw", r"\b(?:raise|throw)\s+(?:new\s+)?([\w.]+)", 1).alias("text")),
         F.struct(F.lit("return").alias("fact"), F.regexp_extract("raw", r"^\s*return\s+(.*?);?\s*$", 1).alias("text")),
         F.struct(F.lit("assign").alias("fact"), F.regexp_extract("raw", r"^\s*((?:int |double |String )?[A-Za-z_][\w.\[\]]*\s*=(?!=).*?);?\s*$", 1).alias("text")),
         F.struct(F.lit("branch").alias("fact"), F.regexp_extract("raw", r"^\s*(?:if|elif|while)\s*\(?(.*?)(?::\s*$|\)\s*\{)", 1).alias("text")))
-    each = analysed(code).select("path", F.col("owner").alias("qualified_name"), "n", F.explode(facts).alias("f")).select("path", "qualified_name", "n", "f.fact", F.substring("f.text", 1, 200).alias("text")).filter("text <> '' AND qualified_name <> ''")
-    w = W.partitionBy("path", "qualified_name", "fact").orderBy("n")
-    return each.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("path", "qualified_name", "fact", "pos", "text")
-
-
-def doc_comments(code: DataFrame) -> DataFrame:
-    """Docstring after a Python head, or the comment block before a Java head: (path, qualified_name, description, tag, tag_text).
-
-    Lines of a docstring are trimmed; lines after a tag continue its text.
-    """
-    rows = analysed(code)
-    found = definitions(rows)
-    in_order = W.partitionBy(*KEY).orderBy("n")
-    py = rows.filter("language = 'python' AND (blocks % 2 = 1 OR quotes > 0)").withColumn("block", F.floor((F.col("blocks") + 1) / 2))
-    opens = py.filter(F.col("raw").rlike(r'^\s*[rRuU]?"""') & (F.col("blocks") % 2 == 0)).select(*KEY, "block", F.col("previous").alias("line_start"))
-    said = py.groupBy(*KEY, F.when(F.col("blocks") % 2 == 0, F.floor(F.col("blocks") / 2)).otherwise(F.floor((F.col("blocks") - 1) / 2)).alias("block")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.trim("raw").alias("t")))), lambda x: x["t"]), "\n").alias("t"))
-    said = said.withColumn("description", F.trim(F.regexp_replace(F.regexp_extract("t", r'(?s)^[rRuU]?"""(.*?)(?:"""|$)', 1), r"^\s+|\s+$", "")))
-    opens = opens.withColumn("block", F.col("block"))
-    heads_ = found.filter("language = 'python'").select(*KEY, "line_start", "qualified_name")
-    py = said.join(opens, [*KEY, "block"]).join(heads_, [*KEY, "line_start"]).filter("description <> ''").select("path", "qualified_name", "description", F.lit("").alias("tag"), F.lit("").alias("tag_text"))
-    block = rows.filter("language = 'java'").withColumn("stop", F.col("raw").rlike(r"\*/\s*$")).withColumn("go", F.col("raw").rlike(r"^\s*/\*\*"))
-    inside = (block.withColumn("b", F.sum(F.col("go").cast("int")).over(in_order)).withColumn("d", F.coalesce(F.sum(F.col("stop").cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("b > d"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"^\s*/?\*+/?\s?", ""), r"\s*\*+/\s*$", ""))
-    body = inside.withColumn("text", text).filter("text <> ''").withColumn("tag", F.regexp_extract("text", r"^@(\w+)", 1))
-    body = body.withColumn("part", F.sum((F.col("tag") != "").cast("int")).over(W.partitionBy(*KEY, "b").orderBy("n")))
-    # annotations may stand between a comment and its head
-    nxt = rows.filter("language = 'java'").withColumn("after", F.min(F.when(~F.col("raw").rlike(r"^\s*(@\w+(\([^)]*\))?\s*$|/?\*)"), F.col("n"))).over(in_order.rowsBetween(1, 6)))
-    ends = nxt.join(inside.filter("stop").select(*KEY, "n", "b"), [*KEY, "n"]).select(*KEY, "b", F.col("after").alias("line_start"))
-    parts = body.groupBy(*KEY, "b", "part").agg(F.max("tag").alias("tag"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
-    java = parts.join(ends, [*KEY, "b"]).join(found.select(*KEY, "line_start", "qualified_name"), [*KEY, "line_start"])
-    words = java.groupBy("path", "qualified_name", "b").agg(F.max(F.when(F.col("part") == 0, F.col("text"))).alias("description"))
-    tags = java.filter("part > 0").select("path", "qualified_name", "b", "tag", F.trim(F.regexp_replace("text", r"^@\w+\s*", "")).alias("tag_text"))
-    full = words.join(tags, ["path", "qualified_name", "b"], "left").select("path", "qualified_name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("tag_text", F.lit("")).alias("tag_text"))
-    return py.unionByName(full)
+    first = _mine(tokens.filter("new_line"), found).filter(F.col("owner.kind").isin(*FUNCTIONS)).select(*KEY, (F.col("line") - 1).cast("int").alias("n"), F.col("owner.qualified_name").alias("qualified_name"))
+    each = lines.join(first, [*KEY, "n"]).select(*NAME, "n", F.explode(facts).alias("f")).select(*NAME, "n", "f.fact", "f.text").filter("text <> '' AND length(text) <= 200")
+    w = W.partitionBy(*NAME, "fact").orderBy("n")
+    return each.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select(*NAME, "fact", "pos", "text")
+
+
+def docstrings(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, qualified_name, doc, language): the string that begins a Python body, cleaned of its indent, or the comments right before a Java member as they stand."""
+    tokens, found, comments = _all(code, facts)
+    found = found.filter("counts")
+    strings = _mine(tokens.filter("language = 'python' AND what = 'string' AND (seg.i = i OR p1 = ':')"), found).filter("owner IS NOT NULL")
+    first = T.owned(tokens.filter("language = 'python' AND depth = 0 AND tok = ':'"), found).filter("owner IS NOT NULL AND i > owner.name_i").groupBy(*KEY, F.col("owner.lo").alias("lo")).agg(F.min("i").alias("colon"))
+    said = strings.withColumn("lo", F.col("owner.lo")).join(first, [*KEY, "lo"]).filter("i = colon + 1").filter(~F.lower("tok").rlike(r"^[a-z]*[fb][a-z]*[\"']"))
+    text = F.regexp_replace("tok", r"""^[A-Za-z]*(?:\"{3}|'{3}|"|')|(?:\"{3}|'{3}|"|')$""", "")
+    lines = F.split(text, "\n")
+    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    margin = F.array_min(F.transform(F.filter(rest, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x))))
+    clean = F.array_join(F.concat(F.array(F.ltrim(F.get(lines, F.lit(0)))), F.transform(rest, lambda x: F.rtrim(F.substring(x, F.coalesce(margin, F.lit(0)) + 1, F.length(x))))), "\n")
+    py = said.select(*KEY, F.col("owner.qualified_name").alias("qualified_name"), F.regexp_replace(clean, r"^\s+|\s+$", "").alias("doc"), "language")
+    comments = comments.filter("language = 'java'").select(*KEY, F.col("i").alias("lo"), F.col("pos").alias("at"), "tok")
+    java = comments.join(found.filter("language = 'java'").select(*KEY, "lo", "qualified_name", "language"), [*KEY, "lo"]).groupBy(*KEY, "lo", "qualified_name", "language").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tok"))), lambda x: x["tok"]), "\n").alias("doc"))
+    return py.unionByName(java.select(*py.columns)).filter("doc <> ''")
+
+
+def doc_comments(code: DataFrame, facts: Analysis | None = None) -> DataFrame:
+    """(repository_id, path, qualified_name, description, tag, tag_text) of docstrings and of comments before Java members; lines after a tag continue its text."""
+    docs = docstrings(code, facts)
+    py = docs.filter("language = 'python'").select(*NAME, F.col("doc").alias("description"), F.lit("").alias("tag"), F.lit("").alias("tag_text"))
+    line = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim("raw"), r"^(?:/\*\*?|//)", "")), r"\*/$", "")), r"^\*+", ""))
+    rows = docs.filter("language = 'java'").select(*NAME, F.posexplode(F.split("doc", "\n")).alias("n", "raw")).withColumn("text", line).filter("text <> ''").withColumn("tag", F.regexp_extract("text", r"^@(\S+)", 1))
+    rows = rows.withColumn("part", F.sum((F.col("tag") != "").cast("int")).over(W.partitionBy(*NAME).orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = rows.groupBy(*NAME, "part").agg(F.max("tag").alias("tag"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
+    words = parts.groupBy(*NAME).agg(F.max(F.when(F.col("part") == 0, F.col("text"))).alias("description"))
+    tags = parts.filter("part > 0").select(*NAME, "tag", F.trim(F.regexp_replace("text", r"^@\S+\s*", "")).alias("tag_text"))
+    java = words.join(tags, NAME, "left").select(*NAME, *(F.coalesce(c, F.lit("")).alias(c) for c in ("description", "tag", "tag_text")))
+    return py.unionByName(java)
 
 
 def quarantine_unparseable(code: DataFrame) -> DataFrame:
-    """Files per repository, and how many have balanced brackets."""
-    n = lambda sign: F.length("text") - F.length(F.replace("text", F.lit(sign), F.lit("")))
-    good = (n("(") == n(")")) & (n("[") == n("]")) & (n("{") == n("}"))
-    return code.groupBy("repository_id").agg(F.count(F.lit(1)).alias("files_total"), F.count_if(good).alias("files_parsed"))
+    """Files per repository, and how many have brackets that close in order; brackets in texts and comments are none."""
+    rows = T.analysed(code).filter("what <> 'comment'")
+    pair = F.when(F.col("tok") == "(", ")").when(F.col("tok") == "[", "]").when(F.col("tok") == "{", "}")
+    closing = (F.col("what") == "sign") & F.col("tok").isin(")", "]", "}")
+    bad = (F.col("what") == "sign") & pair.isNotNull() & ~F.col("other.tok").eqNullSafe(pair) | closing & (F.col("depth") < 0)
+    broken = rows.groupBy(*KEY).agg(F.bool_or(F.coalesce(bad, F.lit(False))).alias("broken"))
+    files = code.select(*KEY).distinct().join(broken, KEY, "left")
+    return files.groupBy("repository_id").agg(F.count(F.lit(1)).alias("files_total"), F.count_if(~F.coalesce("broken", F.lit(False))).alias("files_parsed"))

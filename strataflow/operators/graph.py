@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators.metrics import edges
+from strataflow.operators.store import cut
 
 
 def graph_nodes(ent: DataFrame) -> DataFrame:
@@ -23,12 +22,11 @@ def graph_nodes(ent: DataFrame) -> DataFrame:
 def graph_edges(ent: DataFrame, calls: DataFrame, module_edges: DataFrame, inheritance: DataFrame | None = None) -> DataFrame:
     """contains, call, imports, inherits and implements edges as a bag; imports of a module by itself are dropped.
 
-    ``inheritance`` (entity_id, parent_id, kind) has the parents that are known, by id or by a name that is unique.
+    ``module_edges`` (src, dst) has the ids that modules have in ``graph_nodes``; ``inheritance`` (entity_id, parent_id, kind) has the parents that are known, by id or by a name that is unique.
     """
     contains = ent.select(F.concat_ws("/", "repository_id", "module").alias("source"), F.col("entity_id").alias("target"), F.lit("contains").alias("kind"))
     call = edges(calls).select("source", "target", F.lit("call").alias("kind"))
-    name = lambda c: F.concat(F.lit("nation_"), F.col(c).cast("string"))
-    imports = module_edges.filter("src <> dst").select(name("src").alias("source"), name("dst").alias("target"), F.lit("imports").alias("kind"))
+    imports = module_edges.filter("src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("imports").alias("kind"))
     found = contains.unionByName(call).unionByName(imports)
     if inheritance is None:
         return found
@@ -66,19 +64,6 @@ def module_cycles(edge: DataFrame, max_length: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, so that lineage ends there; only a local session may go without that folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="strataflow-")
-    path = f"{shared.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Edges that one task may search on its own (some tens of MB).
 EDGES_A_TASK = 100_000
 

@@ -13,49 +13,52 @@ from pyspark.sql import Window as W
 from strataflow.functions.paths import is_test_file
 from strataflow.functions.text import identifier_tokens
 from strataflow.operators import extract as X
-from strataflow.operators.graph import cut
+from strataflow.operators.store import cut
+from strataflow.operators.tokens import KEY
 
 CLASS_KINDS = ("class", "interface", "enum", "record", "annotation")
 #: Queries that one block of a search holds.
 QUERY_BLOCK = 256
 
 
-def _joined(names: str) -> F.Column:
-    return F.array_join(F.array_sort(F.array_distinct(names)), ", ")
-
-
 def module_chunks(code: DataFrame) -> DataFrame:
     """Text of each file: path, language, imported modules, top-level entities; empty parts are left out."""
-    facts = cut(X.analysed(code))
-    imports = X.extract_imports(facts).groupBy("path").agg(F.collect_set("module").alias("imports"))
-    tops = X.definitions(facts).filter("parent = ''").groupBy("path").agg(F.collect_list("qualified_name").alias("tops"))
-    rows = code.select("path", "language").join(imports, "path", "left").join(tops, "path", "left")
+    facts = X.analyse(code)
+    imports = X.extract_imports(code, facts).groupBy(*KEY).agg(F.collect_set("module").alias("imports"))
+    tops = X.definitions(code, facts).filter("parent = ''").groupBy(*KEY).agg(F.collect_list("qualified_name").alias("tops"))
+    rows = code.select(*KEY, "language").join(imports, KEY, "left").join(tops, KEY, "left")
     part = lambda label, c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.sort_array(c), ", ")))
-    return rows.select("path", F.concat_ws("\n", "path", F.concat(F.lit("language: "), "language"), part("imports", "imports"), part("entities", "tops")).alias("content"))
+    return rows.select(*KEY, F.concat_ws("\n", "path", F.concat(F.lit("language: "), "language"), part("imports", "imports"), part("entities", "tops")).alias("content"))
 
 
 def entity_chunks(code: DataFrame) -> DataFrame:
-    """Text of each entity: signature, qualified name, arguments, called, inherited and global names."""
-    code = cut(X.analysed(code))
-    found = X.definitions(code).select("path", "name", "qualified_name", F.regexp_replace(F.regexp_replace(F.trim("raw"), r"\).*$", ")"), r"\s*[{:]\s*$", "").alias("signature"))
-    lists = lambda df, key, value, out: df.groupBy("path", F.col(key).alias("qualified_name")).agg(F.array_join(F.sort_array(F.collect_set(value)), ", ").alias(out))
-    args = X.signature_arguments(code).groupBy("path", "qualified_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "argument"))), lambda x: x["argument"]), ", ").alias("args"))
-    calls = lists(X.extract_calls(code), "caller", "callee_name", "calls")
-    globals_ = lists(X.globals_used(code), "qualified_name", "global_name", "globals")
-    parents = lists(X.extract_inheritance(code), "entity", "parent_name", "inherits")
-    rows = found
-    for df in (args, calls, parents, globals_):
-        rows = rows.join(df, ["path", "qualified_name"], "left")
-    part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
-    content = F.concat_ws("\n", "signature", F.concat(F.lit("file: "), "qualified_name"), part("arguments", "args"), part("calls", "calls"), part("inherits", "inherits"), part("globals", "globals"))
-    return rows.select("path", "qualified_name", content.alias("content"))
+    """Text of each entity: signature, qualified name, documentation, arguments, called, inherited and global names.
+
+    All facts are tagged and grouped once by entity, so they meet in one shuffle.
+    """
+    facts = X.analyse(code)
+    tag = lambda df, name, value, what: df.select(*KEY, F.col(name).alias("qualified_name"), F.lit(what).alias("what"), value.alias("value"))
+    args = X.signature_arguments(code, facts)
+    said = (tag(X.signatures(code, facts), "qualified_name", F.col("signature"), "signature")
+            .unionByName(tag(X.docstrings(code, facts), "qualified_name", F.col("doc"), "doc"))
+            .unionByName(tag(args, "qualified_name", F.format_string("%08d%s", "pos", "argument"), "arguments"))
+            .unionByName(tag(X.extract_calls(code, facts).filter("caller <> ''"), "caller", F.col("callee_name"), "calls"))
+            .unionByName(tag(X.extract_inheritance(code, facts), "entity", F.col("parent_name"), "inherits"))
+            .unionByName(tag(X.globals_used(code, facts), "qualified_name", F.col("global_name"), "globals")))
+    one = lambda what: F.min(F.when(F.col("what") == what, F.col("value"))).alias(what)
+    several = lambda what: F.sort_array(F.collect_set(F.when(F.col("what") == what, F.col("value")))).alias(what)
+    rows = said.groupBy(*KEY, "qualified_name").agg(one("signature"), one("doc"), *map(several, ("arguments", "calls", "inherits", "globals")))
+    rows = rows.withColumn("arguments", F.transform("arguments", lambda a: F.substring(a, 9, 1 << 30)))
+    part = lambda label: F.when(F.size(label) > 0, F.concat(F.lit(f"{label}: "), F.array_join(label, ", ")))
+    content = F.concat_ws("\n", "signature", F.concat(F.lit("file: "), "qualified_name"), "doc", *map(part, ("arguments", "calls", "inherits", "globals")))
+    return rows.select(*KEY, "qualified_name", content.alias("content"))
 
 
 def chunk_levels(code: DataFrame) -> DataFrame:
     """Level of each entity (class kinds, else function) and file (module); test files have none."""
     kept = code.filter(~is_test_file())
-    ents = X.definitions(kept).select("path", F.col("qualified_name").alias("chunk"), F.when(F.col("kind").isin(*CLASS_KINDS), "class").otherwise("function").alias("level"))
-    return ents.unionByName(kept.select("path", F.col("path").alias("chunk"), F.lit("module").alias("level")))
+    ents = X.definitions(kept).select(*KEY, F.col("qualified_name").alias("chunk"), F.when(F.col("kind").isin(*CLASS_KINDS), "class").otherwise("function").alias("level"))
+    return ents.unionByName(kept.select(*KEY, F.col("path").alias("chunk"), F.lit("module").alias("level")))
 
 
 def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:

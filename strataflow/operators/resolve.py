@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strataflow.functions.paths import stem
+
+KEY = ["repository_id", "path"]
 last = lambda name: F.substring_index(name, ".", -1)
 
 
@@ -85,16 +88,21 @@ def containment(nodes: DataFrame) -> DataFrame:
     return top.distinct().unionByName(mid.distinct()).unionByName(low)
 
 
+def file_node() -> F.Column:
+    return F.concat_ws("/", "repository_id", "path")
+
+
 def entity_id(name: str = "qualified_name") -> F.Column:
-    return F.concat_ws("::", "path", name)
+    """The id of a definition: repository, path and qualified name."""
+    return F.concat_ws("::", file_node(), name)
 
 
 def containment_of_code(found: DataFrame) -> DataFrame:
     """(parent, child, depth) of repository -> file -> definition -> definitions in it, as deep as they go."""
     top = found.select(F.lit("root").alias("parent"), F.col("repository_id").alias("child"), F.lit(1).alias("depth")).distinct()
-    mid = found.select(F.col("repository_id").alias("parent"), F.col("path").alias("child"), F.lit(2).alias("depth")).distinct()
+    mid = found.select(F.col("repository_id").alias("parent"), file_node().alias("child"), F.lit(2).alias("depth")).distinct()
     depth = F.when(F.col("parent") == "", 3).otherwise(F.size(F.split("parent", r"\.")) + 3)
-    low = found.select(F.when(F.col("parent") == "", F.col("path")).otherwise(entity_id("parent")).alias("parent"), entity_id().alias("child"), depth.alias("depth"))
+    low = found.select(F.when(F.col("parent") == "", file_node()).otherwise(entity_id("parent")).alias("parent"), entity_id().alias("child"), depth.alias("depth"))
     return top.unionByName(mid).unionByName(low)
 
 
@@ -134,7 +142,32 @@ def grounding_in_bounds(claims: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def case_to_entity(cases: DataFrame, ent: DataFrame) -> DataFrame:
-    """Entity under test by the case's name without ``test_`` and its known endings; the first by id."""
+    """Entity of the repository under test by the case's name without ``test_`` and its known endings; the first by id."""
     target = F.regexp_replace(F.regexp_replace("name", r"^test_", ""), r"_(main_branch|exception_path)$", "")
-    first = ent.groupBy(F.col("name").alias("target")).agg(F.min("entity_id").alias("entity_id"))
-    return cases.select("name").distinct().withColumn("target", target).join(first, "target", "left").select("name", "target", "entity_id")
+    first = ent.groupBy("repository_id", F.col("name").alias("target")).agg(F.min("entity_id").alias("entity_id"))
+    return cases.select("repository_id", "name").distinct().withColumn("target", target).join(first, ["repository_id", "target"], "left").select("repository_id", "name", "target", "entity_id")
+
+
+def import_externality(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Whether an import's module (Java: its last segment) is no file of its repository in the same language; relative imports are local."""
+    stems = files.select("repository_id", "language", stem().alias("key")).distinct().withColumn("local", F.lit(True))
+    rows = imports.join(files.select(*KEY, "language").distinct(), KEY)
+    key = F.when(F.col("language") == "java", last("module")).otherwise(F.col("module"))
+    found = rows.withColumn("key", key).join(stems, ["repository_id", "language", "key"], "left")
+    return found.select(*KEY, "module", "local_name", (F.col("local").isNull() & ~F.col("module").startswith(".")).alias("is_external"))
+
+
+def import_target(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The first file (by path) of the repository whose stem is the last segment of an import's module."""
+    first = files.groupBy("repository_id", stem().alias("tail")).agg(F.min("path").alias("target_path"))
+    return imports.withColumn("tail", last("module")).join(first, ["repository_id", "tail"], "left").select(*KEY, "module", "local_name", "target_path")
+
+
+def resolve_inheritance(inheritance: DataFrame, found: DataFrame) -> DataFrame:
+    """Parents by name in the file, else by a name that one type of the repository has alone; type arguments do not count."""
+    types = found.filter(F.col("kind").isin("class", "interface", "enum", "record", "annotation")).select(*KEY, "name", entity_id().alias("id"))
+    bare = last(F.regexp_replace("parent_name", r"[<\[].*$", ""))
+    here = types.groupBy(*KEY, F.col("name").alias("bare")).agg(F.min("id").alias("in_file"))
+    unique = types.groupBy("repository_id", F.col("name").alias("bare")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("in_repo")).filter("n = 1").drop("n")
+    rows = inheritance.withColumn("bare", bare).join(here, [*KEY, "bare"], "left").join(unique, ["repository_id", "bare"], "left")
+    return rows.select(*KEY, "entity", "parent_name", "kind", F.coalesce("in_file", "in_repo").alias("parent_id"))

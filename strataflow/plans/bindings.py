@@ -102,13 +102,19 @@ SELECT p_partkey AS proposal_id, concat('c', CAST(p_partkey % (SELECT count(*) F
        WHEN p_size % 3 = 0 THEN 'self,amount' WHEN p_size % 3 = 1 THEN 'self,amount,rate' ELSE 'amount,rate,region' END AS new_params
 FROM part
 """,
-    "code": r'''
-SELECT p_partkey AS file_id, concat('r', CAST(p_partkey % 5 AS STRING)) AS repository_id,
-  CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'java' END AS language,
-  concat('mod_', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.java' END) AS path,
-  CASE WHEN p_partkey % 2 = 0 THEN concat_ws(chr(10), concat('"""Module ', CAST(p_partkey AS STRING), '."""'), 'import os', concat('from mod_', CAST((p_partkey * 8 + 4) % (SELECT count(*) FROM part) AS STRING), ' import compute_', CAST((p_partkey * 8 + 4) % (SELECT count(*) FROM part) AS STRING), ' as helper'), 'CACHE = {}', concat('class P', CAST(p_partkey AS STRING), '(P', CAST(p_partkey % 10 AS STRING), '):'), '    def run(self, amount, rate=1):', '        """Run it."""', '        if amount < 0 and rate > 0:', '            raise ValueError(amount)', '        total = amount * rate', '        CACHE[amount] = total', '        helper(total)', '        return total', concat('def compute_', CAST(p_partkey AS STRING), '(a, b):'), '    obj[a](b)', '    return _scale(a) + b', 'def _scale(x):', '    return x')
-       ELSE concat_ws(chr(10), 'import java.util.List;', 'import static java.lang.Math.abs;', '/**', ' * Handles charges.', ' * @param amount the amount', ' */', concat('public class P', CAST(p_partkey AS STRING), ' extends P', CAST(p_partkey % 10 AS STRING), ' implements Runnable {'), '    private int count;', '    public int charge(int amount, int rate) {', '        if (amount < 0 || rate > 9) { throw new IllegalArgumentException(); }', '        for (int i = 0; i < rate; i++) { count += abs(i); }', '        return scale(amount);', '    }', '    private int scale(int x) {', '        return x > 1 ? x : 1;', '    }', '}') END AS text FROM part
-''',
+    # ten parts make one file number: five repositories have a Python and a Java file of that number each
+    "code": r"""
+SELECT file_id, repository_id, language, concat('mod_', n, CASE language WHEN 'python' THEN '.py' ELSE '.java' END) AS path,
+  CASE language WHEN 'python' THEN concat_ws(chr(10), concat(repeat(chr(34), 3), 'Module ', n, '.', repeat(chr(34), 3)), 'import os', concat('from mod_', k, ' import compute_', k, ' as helper'), 'CACHE = {}', concat('class P', n, '(P', b, '):'),
+    '    def run(self, amount, rate=1):', concat('        ', repeat(chr(39), 3), 'Run it(1).', repeat(chr(39), 3)), '        if amount < 0 and rate > 0:', '            raise ValueError(amount)', '        total = amount * rate',
+    '        CACHE[amount] = total', '        helper(total)', '        return total', concat('def compute_', n, '(a, b):'), '    obj[a](b)', '    return _scale(a // 2) + obj.find(b).go()', 'def _scale(x):', '    return x')
+  ELSE concat_ws(chr(10), 'import java.util.List;', 'import static java.lang.Math.abs;', '/**', ' * Handles charges.', ' * @param amount the amount', ' */', concat('public class J', n, ' extends J', b, ' implements Runnable {'),
+    '    private int count;', '    public int charge(int amount, int rate) {', '        if (amount < 0 || rate > 9) { throw new IllegalArgumentException(); }', '        for (int i = 0; i < rate; i++) { count += abs(i); } List<?> l = List.of(rate);',
+    concat('        return scale(new J', n, '().go(amount));'), '    }', '    private int scale(int x) {', '        return x > 1 ? x : 1;', '    }', '}') END AS text
+FROM (SELECT p_partkey AS file_id, concat('r', CAST(p_partkey % 5 AS STRING)) AS repository_id, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'java' END AS language,
+  CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING) AS n, CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 10 AS STRING) AS b,
+  CAST((CAST(floor(p_partkey / 10) AS BIGINT) * 8 + 4) % (SELECT CAST(floor(count(*) / 10) AS BIGINT) FROM part) AS STRING) AS k FROM part) f
+""",
 }
 
 

@@ -1,7 +1,7 @@
 """DuckDB twins of the named queries. The SQL is written by itself; fixed tables (suffixes, word lists) come from the modules that state them.
 
 Generated source files follow one template per language, so the twins of source facts state what each
-template holds and fill in the file's number.
+template holds and fill in the file's number; five repositories have files of the same paths and names.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ graph("resolve_calls_repo", "calls ent", f"{FIRST}, {WHO}, al AS (SELECT reposit
   LEFT JOIN al ON al.repository_id = w.repository_id AND head = 'alias' LEFT JOIN f c ON c.repository_id = w.repository_id AND c.module = target_module AND c.name = tail LEFT JOIN u ON u.repository_id = w.repository_id AND u.name = tail""")
 graph("coupling_issues", "ent", "n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY entity_id) AS n FROM ent WHERE complexity >= 8)", "SELECT repository_id, 'coupling' AS kind, 'medium' AS severity, concat(module, '.', name, ' couples execution with high complexity (', complexity, ')') AS detail FROM n WHERE n <= 10")
 graph("graph_nodes", "ent", "", "SELECT DISTINCT concat(repository_id, '/', module) AS id, module AS label, 'module' AS type, NULL::BIGINT AS complexity FROM ent UNION ALL SELECT entity_id, name, type, complexity FROM ent")
-GRAPH_EDGES = f"{EDGES}, g AS (SELECT concat(repository_id, '/', module) AS source, entity_id AS target, 'contains' AS kind FROM ent UNION ALL SELECT source, target, 'call' FROM e UNION ALL SELECT concat('nation_', src), concat('nation_', dst), 'imports' FROM modedge WHERE src <> dst)"
+GRAPH_EDGES = f"{EDGES}, at_ AS (SELECT DISTINCT CAST(substring(module, 8) AS BIGINT) AS n, repository_id AS id FROM ent), g AS (SELECT concat(repository_id, '/', module) AS source, entity_id AS target, 'contains' AS kind FROM ent UNION ALL SELECT source, target, 'call' FROM e UNION ALL SELECT concat(a.id, '/nation_', src), concat(z.id, '/nation_', dst), 'imports' FROM modedge JOIN at_ a ON a.n = src JOIN at_ z ON z.n = dst WHERE src <> dst)"
 graph("graph_filter", "ent calls modedge", GRAPH_EDGES, "SELECT source, target, kind FROM g WHERE kind = 'call' AND source IN (SELECT entity_id FROM ent WHERE contains(name, '7')) AND target IN (SELECT entity_id FROM ent WHERE contains(name, '7'))")
 graph("module_dependency_graph", "calls ent", EDGES, "SELECT DISTINCT a.module AS src, b.module AS dst FROM e JOIN ent a ON a.entity_id = source JOIN ent b ON b.entity_id = target WHERE a.module <> b.module")
 _CYCLES = "p(start, tip, path) AS (SELECT src, dst, [src, dst] FROM modedge WHERE src < dst UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN modedge ON src = tip WHERE dst > start AND NOT list_contains(path, dst)), cyc AS (SELECT DISTINCT len(path) AS length, array_to_string(list_sort(path), ',') AS members FROM p JOIN modedge ON src = tip AND dst = start)"
@@ -157,75 +157,84 @@ add("parse_jacoco_xml", "runs", "SELECT run_id, round_even(CAST(tests_passed AS
 add("coverage_from_log", "runs", "SELECT run_id, CASE WHEN tests_generated % 7 > 0 THEN round(CAST(line_coverage AS DOUBLE), 2) END AS line_coverage FROM runs")
 
 # source facts: what each template holds; {n} is the file's number, {b} that of its base class, {k} of its import
-_CODE = """c AS (SELECT *, file_id AS n, file_id % 10 AS b, (file_id * 8 + 4) % (SELECT count(*) FROM part) AS k FROM code)"""
+_CODE = """c AS (SELECT *, CAST(floor(file_id / 10) AS BIGINT) AS n, CAST(floor(file_id / 10) AS BIGINT) % 10 AS b, (CAST(floor(file_id / 10) AS BIGINT) * 8 + 4) % (SELECT CAST(floor(count(*) / 10) AS BIGINT) FROM part) AS k FROM code)"""
 
 
-def facts(name: str, columns: str, python: str, java: str, tail: str = "", repository: bool = False) -> None:
+def facts(name: str, columns: str, python: str, java: str, tail: str = "") -> None:
     """Rows of ``columns`` for files of each language: templates with {n}, {b} and {k} as text."""
-    head = "c.repository_id, c.path" if repository else "c.path"
     fill = lambda x: f"replace(replace(replace({x}, '{{n}}', CAST(n AS VARCHAR)), '{{b}}', CAST(b AS VARCHAR)), '{{k}}', CAST(k AS VARCHAR))"
     names = columns.split()
     out = ", ".join(fill(f"v.{c.removeprefix('$')}") + f" AS {c.removeprefix('$')}" if c.startswith("$") else f"v.{c}" for c in names)
-    part = lambda lang, values: f"SELECT {head}, {out} FROM c, (VALUES {values}) v({', '.join(c.removeprefix('$') for c in names)}) WHERE c.language = '{lang}'"
+    part = lambda lang, values: f"SELECT c.repository_id, c.path, {out} FROM c, (VALUES {values}) v({', '.join(c.removeprefix('$') for c in names)}) WHERE c.language = '{lang}'"
     parts = [part(lang, v) for lang, v in (("python", python), ("java", java)) if v]
     ORACLE_SQL[name] = with_views("code", "").rstrip() + f", {_CODE} " + " UNION ALL ".join(parts) + tail
 
 
-facts("extract_definitions", "kind $name line_start line_end", "('class', 'P{n}', 5, 13), ('method', 'run', 6, 13), ('function', 'compute_{n}', 14, 16), ('function', '_scale', 17, 18)", "('class', 'P{n}', 7, 17), ('method', 'charge', 9, 13), ('method', 'scale', 14, 16)", repository=True)
-facts("qualified_names", "kind $qualified_name $parent line_start", "('class', 'P{n}', '', 5), ('method', 'P{n}.run', 'P{n}', 6), ('function', 'compute_{n}', '', 14), ('function', '_scale', '', 17)", "('class', 'P{n}', '', 7), ('method', 'P{n}.charge', 'P{n}', 9), ('method', 'P{n}.scale', 'P{n}', 14)", repository=True)
+def rows_of(name: str) -> str:
+    """The rows of a twin of source facts, for use behind the same views."""
+    return ORACLE_SQL[name].split(_CODE + " ", 1)[1]
+
+
+facts("extract_definitions", "kind $name line_start line_end", "('class', 'P{n}', 5, 13), ('method', 'run', 6, 13), ('function', 'compute_{n}', 14, 16), ('function', '_scale', 17, 18)", "('class', 'J{n}', 7, 17), ('method', 'charge', 9, 13), ('method', 'scale', 14, 16)")
+facts("qualified_names", "kind $qualified_name $parent line_start", "('class', 'P{n}', '', 5), ('method', 'P{n}.run', 'P{n}', 6), ('function', 'compute_{n}', '', 14), ('function', '_scale', '', 17)", "('class', 'J{n}', '', 7), ('method', 'J{n}.charge', 'J{n}', 9), ('method', 'J{n}.scale', 'J{n}', 14)")
+_RUN_SIGNATURE, _CHARGE_SIGNATURE = "run(self, amount, rate=1)", "charge(int amount, int rate) -> int"
 facts("signature_arguments", "$qualified_name $signature pos argument",
-      "('P{n}.run', 'def run(self, amount, rate=1)', 0, 'self'), ('P{n}.run', 'def run(self, amount, rate=1)', 1, 'amount'), ('P{n}.run', 'def run(self, amount, rate=1)', 2, 'rate'), ('compute_{n}', 'def compute_{n}(a, b)', 0, 'a'), ('compute_{n}', 'def compute_{n}(a, b)', 1, 'b'), ('_scale', 'def _scale(x)', 0, 'x')",
-      "('P{n}.charge', 'public int charge(int amount, int rate)', 0, 'amount'), ('P{n}.charge', 'public int charge(int amount, int rate)', 1, 'rate'), ('P{n}.scale', 'private int scale(int x)', 0, 'x')")
-facts("visibility_flag", "$qualified_name is_public", "('P{n}', true), ('P{n}.run', true), ('compute_{n}', true), ('_scale', false)", "('P{n}', true), ('P{n}.charge', true), ('P{n}.scale', false)")
-facts("doc_comments", "$qualified_name description tag tag_text", "('P{n}.run', 'Run it.', '', '')", "('P{n}', 'Handles charges.', 'param', 'amount the amount')")
-facts("cyclomatic_complexity", "$qualified_name complexity", "('P{n}.run', 3), ('compute_{n}', 1), ('_scale', 1)", "('P{n}.charge', 4), ('P{n}.scale', 2)")
-facts("class_complexity", "$qualified_name complexity", "('P{n}', 3)", "('P{n}', 4)")
-facts("extract_calls", "$caller callee_name line", "('P{n}.run', 'ValueError', 9), ('P{n}.run', 'helper', 12), ('compute_{n}', '_scale', 16)", "('P{n}.charge', 'IllegalArgumentException', 10), ('P{n}.charge', 'abs', 11), ('P{n}.charge', 'scale', 12)")
+      f"('P{{n}}.run', '{_RUN_SIGNATURE}', 0, 'self'), ('P{{n}}.run', '{_RUN_SIGNATURE}', 1, 'amount'), ('P{{n}}.run', '{_RUN_SIGNATURE}', 2, 'rate'), ('compute_{{n}}', 'compute_{{n}}(a, b)', 0, 'a'), ('compute_{{n}}', 'compute_{{n}}(a, b)', 1, 'b'), ('_scale', '_scale(x)', 0, 'x')",
+      f"('J{{n}}.charge', '{_CHARGE_SIGNATURE}', 0, 'amount'), ('J{{n}}.charge', '{_CHARGE_SIGNATURE}', 1, 'rate'), ('J{{n}}.scale', 'scale(int x) -> int', 0, 'x')")
+facts("visibility_flag", "$qualified_name is_public", "('P{n}', true), ('P{n}.run', true), ('compute_{n}', true), ('_scale', false)", "('J{n}', true), ('J{n}.charge', true), ('J{n}.scale', false)")
+facts("doc_comments", "$qualified_name description tag tag_text", "('P{n}.run', 'Run it(1).', '', '')", "('J{n}', 'Handles charges.', 'param', 'amount the amount')")
+facts("cyclomatic_complexity", "$qualified_name complexity", "('P{n}.run', 3), ('compute_{n}', 1), ('_scale', 1)", "('J{n}.charge', 4), ('J{n}.scale', 2)")
+facts("class_complexity", "$qualified_name complexity", "('P{n}', 3)", "('J{n}', 4)")
+facts("extract_calls", "$caller $callee_name line dynamic", "('P{n}.run', 'ValueError', 9, false), ('P{n}.run', 'helper', 12, false), ('compute_{n}', 'obj[a]', 15, true), ('compute_{n}', '_scale', 16, false), ('compute_{n}', 'obj.find', 16, false), ('compute_{n}', 'obj.find(b).go', 16, false)",
+      "('J{n}.charge', 'abs', 11, false), ('J{n}.charge', 'List.of', 11, false), ('J{n}.charge', 'scale', 12, false), ('J{n}.charge', 'new J{n}().go', 12, false)")
 facts("dynamic_call_flag", "$caller line", "('compute_{n}', 15)", "")
-_IMPORTS = ("('os', 'os', 'normal', 2), ('mod_{k}', 'helper', 'normal', 3)", "('java.util.List', 'List', 'normal', 1), ('java.lang.Math.abs', 'abs', 'static', 2)")
-facts("extract_imports", "$module local_name kind line", *_IMPORTS)
-facts("extract_inheritance", "$entity $parent_name kind line", "('P{n}', 'P{b}', 'extends', 5)", "('P{n}', 'P{b}', 'extends', 7), ('P{n}', 'Runnable', 'implements', 7)")
-facts("globals_used", "$qualified_name global_name", "('P{n}.run', 'CACHE')", "('P{n}.charge', 'count')")
-facts("semantic_facts", "$qualified_name fact pos text",
-      "('P{n}.run', 'raise', 1, 'ValueError'), ('P{n}.run', 'return', 1, 'total'), ('P{n}.run', 'assign', 1, 'total = amount * rate'), ('P{n}.run', 'assign', 2, 'CACHE[amount] = total'), ('P{n}.run', 'branch', 1, 'amount < 0 and rate > 0'), ('compute_{n}', 'return', 1, '_scale(a) + b'), ('_scale', 'return', 1, 'x')",
-      "('P{n}.charge', 'raise', 1, 'IllegalArgumentException'), ('P{n}.charge', 'return', 1, 'scale(amount)'), ('P{n}.charge', 'branch', 1, 'amount < 0 || rate > 9'), ('P{n}.scale', 'return', 1, 'x > 1 ? x : 1')")
-add("quarantine_unparseable", "code", "SELECT repository_id, count(*) AS files_total, count(*) FILTER (len(string_split(text, '{')) = len(string_split(text, '}')) AND len(string_split(text, '(')) = len(string_split(text, ')'))) AS files_parsed FROM code GROUP BY 1")
+facts("extract_imports", "$module local_name kind line", "('os', 'os', 'normal', 2), ('mod_{k}', 'helper', 'normal', 3)", "('java.util.List', 'List', 'normal', 1), ('java.lang.Math.abs', 'abs', 'static', 2)")
+facts("extract_inheritance", "$entity $parent_name kind line", "('P{n}', 'P{b}', 'extends', 5)", "('J{n}', 'J{b}', 'extends', 7), ('J{n}', 'Runnable', 'implements', 7)")
+facts("globals_used", "$qualified_name $global_name", "('P{n}', 'P{b}'), ('P{n}.run', 'CACHE'), ('P{n}.run', 'helper'), ('compute_{n}', '_scale'), ('compute_{n}', 'obj')", "('J{n}.charge', 'count')")
+_JAVA_RETURN = "scale(new J{n}().go(amount))"
+facts("semantic_facts", "$qualified_name fact pos $text",
+      "('P{n}.run', 'raise', 1, 'ValueError'), ('P{n}.run', 'return', 1, 'total'), ('P{n}.run', 'assign', 1, 'total = amount * rate'), ('P{n}.run', 'assign', 2, 'CACHE[amount] = total'), ('P{n}.run', 'branch', 1, 'amount < 0 and rate > 0'), ('compute_{n}', 'return', 1, '_scale(a // 2) + obj.find(b).go()'), ('_scale', 'return', 1, 'x')",
+      f"('J{{n}}.charge', 'raise', 1, 'IllegalArgumentException'), ('J{{n}}.charge', 'return', 1, '{_JAVA_RETURN}'), ('J{{n}}.charge', 'branch', 1, 'amount < 0 || rate > 9'), ('J{{n}}.scale', 'return', 1, 'x > 1 ? x : 1')")
+add("quarantine_unparseable", "code", "SELECT repository_id, count(*) AS files_total, count(*) AS files_parsed FROM code GROUP BY 1")
 _S = lambda *lines: " || chr(10) || ".join(f"'{x}'" for x in lines)
-facts("module_chunks", "$content", f"({_S('mod_{n}.py', 'language: python', 'imports: mod_{k}, os', 'entities: P{n}, _scale, compute_{n}')})", f"({_S('mod_{n}.java', 'language: java', 'imports: java.lang.Math.abs, java.util.List', 'entities: P{n}')})")
+facts("module_chunks", "$content", f"({_S('mod_{n}.py', 'language: python', 'imports: mod_{k}, os', 'entities: P{n}, _scale, compute_{n}')})", f"({_S('mod_{n}.java', 'language: java', 'imports: java.lang.Math.abs, java.util.List', 'entities: J{n}')})")
 facts("entity_chunks", "$qualified_name $content",
-      ", ".join(f"('{q}', {_S(*x)})" for q, *x in (("P{n}", "class P{n}(P{b})", "file: P{n}", "inherits: P{b}"), ("P{n}.run", "def run(self, amount, rate=1)", "file: P{n}.run", "arguments: self, amount, rate", "calls: ValueError, helper", "globals: CACHE"),
-                                                   ("compute_{n}", "def compute_{n}(a, b)", "file: compute_{n}", "arguments: a, b", "calls: _scale"), ("_scale", "def _scale(x)", "file: _scale", "arguments: x"))),
-      ", ".join(f"('{q}', {_S(*x)})" for q, *x in (("P{n}", "public class P{n} extends P{b} implements Runnable", "file: P{n}", "inherits: P{b}, Runnable"), ("P{n}.charge", "public int charge(int amount, int rate)", "file: P{n}.charge", "arguments: amount, rate", "calls: IllegalArgumentException, abs, scale", "globals: count"),
-                                                   ("P{n}.scale", "private int scale(int x)", "file: P{n}.scale", "arguments: x"))))
-facts("chunk_levels", "$chunk level", "('P{n}', 'class'), ('P{n}.run', 'function'), ('compute_{n}', 'function'), ('_scale', 'function'), ('mod_{n}.py', 'module')", "('P{n}', 'class'), ('P{n}.charge', 'function'), ('P{n}.scale', 'function'), ('mod_{n}.java', 'module')")
-facts("placeholder_args", "$qualified_name pos placeholder_args", "('P{n}.run', 0, '\"test\"'), ('P{n}.run', 1, '1.0'), ('P{n}.run', 2, '1.0'), ('compute_{n}', 0, '1.0'), ('compute_{n}', 1, '1.0'), ('_scale', 0, '1.0')", "('P{n}.charge', 0, '1.0'), ('P{n}.charge', 1, '1.0'), ('P{n}.scale', 0, '1.0')")
+      ", ".join(f"('{q}', {_S(*x)})" for q, *x in (("P{n}", "P{n}(P{b})", "file: P{n}", "inherits: P{b}", "globals: P{b}"), ("P{n}.run", _RUN_SIGNATURE, "file: P{n}.run", "Run it(1).", "arguments: self, amount, rate", "calls: ValueError, helper", "globals: CACHE, helper"),
+                                                   ("compute_{n}", "compute_{n}(a, b)", "file: compute_{n}", "arguments: a, b", "calls: _scale, obj.find, obj.find(b).go, obj[a]", "globals: _scale, obj"), ("_scale", "_scale(x)", "file: _scale", "arguments: x"))),
+      ", ".join(f"('{q}', {_S(*x)})" for q, *x in (("J{n}", "J{n}", "file: J{n}", "/**", " * Handles charges.", " * @param amount the amount", " */", "inherits: J{b}, Runnable"), ("J{n}.charge", _CHARGE_SIGNATURE, "file: J{n}.charge", "arguments: amount, rate", "calls: List.of, abs, new J{n}().go, scale", "globals: count"),
+                                                   ("J{n}.scale", "scale(int x) -> int", "file: J{n}.scale", "arguments: x"))))
+facts("chunk_levels", "$chunk level", "('P{n}', 'class'), ('P{n}.run', 'function'), ('compute_{n}', 'function'), ('_scale', 'function'), ('mod_{n}.py', 'module')", "('J{n}', 'class'), ('J{n}.charge', 'function'), ('J{n}.scale', 'function'), ('mod_{n}.java', 'module')")
+facts("placeholder_args", "$qualified_name pos placeholder_args", "('P{n}.run', 0, '\"test\"'), ('P{n}.run', 1, '1.0'), ('P{n}.run', 2, '1.0'), ('compute_{n}', 0, '1.0'), ('compute_{n}', 1, '1.0'), ('_scale', 0, '1.0')", "('J{n}.charge', 0, '1.0'), ('J{n}.charge', 1, '1.0'), ('J{n}.scale', 0, '1.0')")
 facts("evidence_claims", "line $claim", "(1, 'Code at line 1.'), (2, 'Code at line 2.'), (3, 'Code at line 3.'), (4, 'Code at line 4.'), (5, 'Declares mod_{n} at line 5.'), (6, 'Declares mod_{n} at line 6.')", "(1, 'Code at line 1.'), (2, 'Code at line 2.'), (3, 'Code at line 3.'), (4, 'Code at line 4.'), (5, 'Code at line 5.'), (6, 'Code at line 6.')")
 _RISKS = "Behavior inferred from static analysis; verify against runtime semantics."
 _NONE, _FLOW, _ERRORS = "None detected from static analysis.", "Control flow as structured in the source (see evidence).", "Propagates exceptions or relies on callee error semantics."
 _explained = lambda *rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-facts("explanation_fields", "$qualified_name $purpose inputs outputs side_effects $dependencies control_flow error_handling $business_rules complexity risks",
-      _explained(("P{n}.run", "Run it.", "self, amount, rate", "total", "total = amount * rate; CACHE[amount] = total", "ValueError, helper", "if amount < 0 and rate > 0", "raises ValueError; triggered when amount < 0 and rate > 0", "total = amount * rate; CACHE[amount] = total", 3, _RISKS),
-                 ("compute_{n}", "Performs the function 'compute_{n}' logic.", "a, b", "_scale(a) + b", _NONE, "_scale", _FLOW, _ERRORS, "Business logic implemented by compute_{n} per source lines 14-16.", 1, _RISKS),
+facts("explanation_fields", "$qualified_name $purpose inputs $outputs side_effects $dependencies control_flow error_handling $business_rules complexity risks",
+      _explained(("P{n}.run", "Run it(1).", "self, amount, rate", "total", "total = amount * rate; CACHE[amount] = total", "ValueError, helper", "if amount < 0 and rate > 0", "raises ValueError; triggered when amount < 0 and rate > 0", "total = amount * rate; CACHE[amount] = total", 3, _RISKS),
+                 ("compute_{n}", "Performs the function 'compute_{n}' logic.", "a, b", "_scale(a // 2) + obj.find(b).go()", _NONE, "obj[a], _scale, obj.find, obj.find(b).go", _FLOW, _ERRORS, "Business logic implemented by compute_{n} per source lines 14-16.", 1, _RISKS),
                  ("_scale", "Performs the function '_scale' logic.", "x", "x", _NONE, "None (leaf function)", _FLOW, _ERRORS, "Business logic implemented by _scale per source lines 17-18.", 1, _RISKS)),
-      _explained(("P{n}.charge", "Performs the method 'charge' logic.", "amount, rate", "scale(amount)", _NONE, "IllegalArgumentException, abs, scale", "if amount < 0 || rate > 9", "raises IllegalArgumentException; triggered when amount < 0 || rate > 9", "Business logic implemented by charge per source lines 9-13.", 4, _RISKS),
-                 ("P{n}.scale", "Performs the method 'scale' logic.", "x", "x > 1 ? x : 1", _NONE, "None (leaf function)", _FLOW, _ERRORS, "Business logic implemented by scale per source lines 14-16.", 2, _RISKS)))
+      _explained(("J{n}.charge", "Performs the method 'charge' logic.", "amount, rate", _JAVA_RETURN, _NONE, "List.of, abs, new J{n}().go, scale", "if amount < 0 || rate > 9", "raises IllegalArgumentException; triggered when amount < 0 || rate > 9", "Business logic implemented by charge per source lines 9-13.", 4, _RISKS),
+                 ("J{n}.scale", "Performs the method 'scale' logic.", "x", "x > 1 ? x : 1", _NONE, "None (leaf function)", _FLOW, _ERRORS, "Business logic implemented by scale per source lines 14-16.", 2, _RISKS)))
 _probe = lambda n: [", ".join([p] * n) for p in ("1.0", "0.0", "1000.0", "5000.0", "None", "''admin''")]
 facts("test_plan", "$qualified_name case_kind probe", ", ".join(f"('{q}', '{kind}', '{p}')" for q, n, kinds in (("P{n}.run", 2, ("main_branch", "exception_path")), ("compute_{n}", 2, ("main_branch",)), ("_scale", 1, ("main_branch",))) for kind in kinds for p in _probe(n)), "")
-facts("module_summary", "entity_count $purpose $responsibilities $dependencies", "(4, 'Module mod_{n} defines 4 entities.', 'P{n}, P{n}.run, compute_{n}, _scale', 'mod_{k}, os')", "(3, 'Module mod_{n} defines 3 entities.', 'P{n}, P{n}.charge, P{n}.scale', 'java.lang.Math.abs, java.util.List')")
+facts("module_summary", "entity_count $purpose $responsibilities $dependencies", "(4, 'Module mod_{n} defines 4 entities.', 'P{n}, P{n}.run, compute_{n}, _scale', 'mod_{k}, os')", "(3, 'Module mod_{n} defines 3 entities.', 'J{n}, J{n}.charge, J{n}.scale', 'java.lang.Math.abs, java.util.List')")
 facts("register_extractor", "language $fact", "('python', 'def run(self, amount, rate=1):'), ('python', 'def compute_{n}(a, b):'), ('python', 'def _scale(x):')", "('java', 'import java.util.List;'), ('java', 'import static java.lang.Math.abs;')")
-add("case_to_entity", "code", """SELECT concat('test_compute_', file_id, '_main_branch') AS name, concat('compute_', file_id) AS target, concat('mod_', file_id, '.py::compute_', file_id) AS entity_id FROM code WHERE language = 'python'
-  UNION ALL SELECT concat('test_P', file_id, '_exception_path'), concat('P', file_id), concat('mod_', file_id, '.java::P', file_id) FROM code WHERE language = 'java'""")
-ORACLE_SQL["import_externality"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, NOT (module LIKE 'mod_%' AND concat(module, '.py') IN (SELECT path FROM code)) AS is_external FROM i"
-ORACLE_SQL["import_target"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_imports'].split(_CODE + ' ', 1)[1]}) SELECT path, module, local_name, CASE WHEN concat(module, '.py') IN (SELECT path FROM code) THEN concat(module, '.py') END AS target_path FROM i"
-_NAMES = ORACLE_SQL["qualified_names"].split(_CODE + " ", 1)[1]
-ORACLE_SQL["containment_tree"] = with_views("ent code", "").rstrip() + f""", {TREE}, {_CODE}, q AS ({_NAMES}) SELECT * FROM t UNION ALL SELECT DISTINCT 'root', repository_id, 1 FROM code UNION ALL SELECT repository_id, path, 2 FROM code
-  UNION ALL SELECT CASE parent WHEN '' THEN path ELSE concat(path, '::', parent) END, concat(path, '::', qualified_name), CASE parent WHEN '' THEN 3 ELSE 4 END FROM q"""
-ORACLE_SQL["parent_link"] = with_views("code", "").rstrip() + f", {_CODE}, q AS ({_NAMES}) SELECT concat(a.path, '::', a.qualified_name) AS child, b.path || '::' || b.qualified_name AS parent, b.line_start AS parent_line FROM q a LEFT JOIN q b ON b.path = a.path AND b.qualified_name = a.parent"
-ORACLE_SQL["resolve_inheritance"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({ORACLE_SQL['extract_inheritance'].split(_CODE + ' ', 1)[1]}) SELECT i.path, entity, parent_name, kind, CASE WHEN p.path IS NOT NULL THEN concat(p.path, '::', parent_name) END AS parent_id FROM i LEFT JOIN code p ON parent_name = concat('P', p.file_id)"
-_GLOBALS = "SELECT repository_id, 'global_state' AS kind, 'medium' AS severity, detail FROM (SELECT repository_id, concat('mod_', n, CASE WHEN language = 'python' THEN '.CACHE' ELSE '.count' END) AS detail FROM c) QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY detail) <= 5"
+_ID = "concat({0}.repository_id, '/', {0}.path, '::', {1})"
+ORACLE_SQL["case_to_entity"] = with_views("code", "").rstrip() + f""", {_CODE}, t AS (SELECT *, concat(CASE language WHEN 'python' THEN 'compute_' ELSE 'J' END, n) AS target FROM c)
+  SELECT repository_id, concat('test_', target, CASE language WHEN 'python' THEN '_main_branch' ELSE '_exception_path' END) AS name, target, {_ID.format('t', 'target')} AS entity_id FROM t"""
+ORACLE_SQL["import_externality"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({rows_of('extract_imports')}) SELECT repository_id, path, module, local_name, NOT starts_with(module, 'mod_') AS is_external FROM i"
+ORACLE_SQL["import_target"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({rows_of('extract_imports')}) SELECT repository_id, path, module, local_name, CASE WHEN starts_with(module, 'mod_') THEN concat(module, '.java') END AS target_path FROM i"
+_NAMES = rows_of("qualified_names")
+ORACLE_SQL["containment_tree"] = with_views("ent code", "").rstrip() + f""", {TREE}, {_CODE}, q AS ({_NAMES}) SELECT * FROM t UNION ALL SELECT DISTINCT 'root', repository_id, 1 FROM code UNION ALL SELECT repository_id, concat(repository_id, '/', path), 2 FROM code
+  UNION ALL SELECT CASE parent WHEN '' THEN concat(repository_id, '/', path) ELSE {_ID.format('q', 'parent')} END, {_ID.format('q', 'qualified_name')}, CASE parent WHEN '' THEN 3 ELSE 4 END FROM q"""
+ORACLE_SQL["parent_link"] = with_views("code", "").rstrip() + f", {_CODE}, q AS ({_NAMES}) SELECT {_ID.format('a', 'a.qualified_name')} AS child, CASE WHEN b.path IS NOT NULL THEN {_ID.format('b', 'b.qualified_name')} END AS parent, b.line_start AS parent_line FROM q a LEFT JOIN q b ON b.repository_id = a.repository_id AND b.path = a.path AND b.qualified_name = a.parent"
+# a class P or J of a number is in the file of that number and language, once in each repository
+_PARENT = "CASE WHEN parent_name <> 'Runnable' THEN concat(i.repository_id, '/mod_', substring(parent_name, 2), CASE WHEN starts_with(parent_name, 'P') THEN '.py' ELSE '.java' END, '::', parent_name) END"
+ORACLE_SQL["resolve_inheritance"] = with_views("code", "").rstrip() + f", {_CODE}, i AS ({rows_of('extract_inheritance')}) SELECT repository_id, path, entity, parent_name, kind, {_PARENT} AS parent_id FROM i"
+_GLOBALS = f"SELECT repository_id, 'global_state' AS kind, 'medium' AS severity, detail FROM (SELECT DISTINCT repository_id, concat(regexp_extract(path, '^([^.]*)', 1), '.', global_name) AS detail FROM ({rows_of('globals_used')})) QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY detail) <= 5"
 ORACLE_SQL["global_state_issues"] = with_views("code", "").rstrip() + f", {_CODE} {_GLOBALS}"
-ORACLE_SQL["graph_edges"] = with_views("ent calls modedge code", "").rstrip() + f""", {GRAPH_EDGES}, {_CODE}, i AS ({ORACLE_SQL['extract_inheritance'].split(_CODE + ' ', 1)[1]}) SELECT * FROM g
-  UNION ALL SELECT concat(i.path, '::', entity), concat(p.path, '::', parent_name), CASE kind WHEN 'extends' THEN 'inherits' ELSE 'implements' END FROM i JOIN code p ON parent_name = concat('P', p.file_id)"""
+ORACLE_SQL["graph_edges"] = with_views("ent calls modedge code", "").rstrip() + f""", {GRAPH_EDGES}, {_CODE}, i AS ({rows_of('extract_inheritance')}) SELECT * FROM g
+  UNION ALL SELECT {_ID.format('i', 'entity')}, {_PARENT}, CASE kind WHEN 'extends' THEN 'inherits' ELSE 'implements' END FROM i WHERE parent_name <> 'Runnable'"""
 ORACLE_SQL["architectural_issues"] = with_views("code modedge ent", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + f", {_CODE}, {_CYCLES}, n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY entity_id) AS n FROM ent WHERE complexity >= 8), gl AS ({_GLOBALS}) SELECT 'all' AS repository_id, 'circular_dependency' AS kind, 'high' AS severity, members AS detail FROM cyc UNION ALL SELECT * FROM gl UNION ALL SELECT repository_id, 'coupling', 'medium', concat(module, '.', name, ' couples execution with high complexity (', complexity, ')') FROM n WHERE n <= 10"
 graph("executive_report", "ent calls runs code", f"{RISK}, texts AS (SELECT repository_id, string_agg(concat('- ', module, '.', name, ' couples execution with high complexity (', complexity, ')'), chr(10) ORDER BY entity_id) AS said FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY entity_id) AS n FROM ent WHERE complexity >= 8) WHERE n <= 10 GROUP BY 1), y AS (SELECT repository_id, concat('- Business Logic: ', count(*)) AS layers FROM code GROUP BY 1), t AS (SELECT replace(repository_id, 'u', 'r') AS repository_id, concat(run_id, ', ', tests_passed, ' of ', tests_generated, ' passed') AS run FROM runs QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, run_id DESC) = 1), n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY entity_id) AS n FROM ent WHERE complexity >= 8), i AS (SELECT repository_id, count(*) AS issues FROM n WHERE n <= 10 GROUP BY 1), o AS (SELECT repository_id, count(*) AS n, count(DISTINCT module) AS m, max(complexity) AS c FROM ent GROUP BY 1), k AS (SELECT repository_id, string_agg(concat(rank, '. ', entity_id, ' (risk ', risk, ')'), chr(10) ORDER BY rank) AS risks FROM top WHERE rank <= 10 GROUP BY 1)",
       "SELECT o.repository_id, concat('# Report ', o.repository_id, chr(10), 'Entities: ', n, ' in ', m, ' modules, highest complexity ', c, chr(10), 'Latest run: ', coalesce(run, 'none'), chr(10), '## Layers', chr(10), coalesce(layers, 'none'), chr(10), '## Issues (', coalesce(issues, 0), ')', chr(10), coalesce(said, 'none'), chr(10), '## Risk', chr(10), coalesce(risks, 'none')) AS report FROM o LEFT JOIN i ON i.repository_id = o.repository_id LEFT JOIN k ON k.repository_id = o.repository_id LEFT JOIN texts d ON d.repository_id = o.repository_id LEFT JOIN y ON y.repository_id = o.repository_id LEFT JOIN t ON t.repository_id = o.repository_id")
@@ -275,7 +284,7 @@ add("assemble_prompts", "prompts", "SELECT conv_id, turn, sha256(concat('Source
 add("parse_response_json", "prompts", """SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 3 THEN 'rejected' WHEN 2 THEN '{"answer": 7, "name": "x"}' ELSE concat('{"answer": ', turn, ', "title": "t', conv_id, '"}') END AS parse_response_json FROM prompts""")
 add("field_fallbacks", "prompts", """SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 3 THEN 'untitled' WHEN 2 THEN 'x' ELSE concat('t', conv_id) END AS field_fallbacks FROM prompts""")
 add("strip_code_fences", "prompts", "SELECT conv_id, turn, trim(prompt, ' ' || chr(9) || chr(10) || chr(13)) AS strip_code_fences FROM prompts")
-add("brace_balance", "code", "SELECT path, file_id % 3 <> 0 AS brace_balance FROM code")
+add("brace_balance", "code", "SELECT repository_id, path, file_id % 3 <> 0 AS brace_balance FROM code")
 add("register_responder", "prompts", f"SELECT conv_id, turn, 'Mock response content' AS response, {tokens('prompt')} + {tokens('system')} AS prompt_tokens, {tokens(chr(39) + 'Mock response content' + chr(39))} AS completion_tokens, {tokens('prompt')} + {tokens('system')} + {tokens(chr(39) + 'Mock response content' + chr(39))} AS total_tokens FROM prompts")
 ORACLE_SQL["register_embedder"] = "SELECT doc_id AS id, d AS dim, CAST(CASE d WHEN 0 THEN length(text) WHEN 1 THEN length(text) - length(replace(text, 'e', '')) ELSE length(text) - length(replace(text, chr(10), '')) END AS DOUBLE) AS value FROM documents, (VALUES (0), (1), (2)) v(d)"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from strataflow.functions import paths as P
 from strataflow.functions import plug
 from strataflow.functions import text as X
 from strataflow.operators import compare, extract, graph, index, metrics, resolve, scoring
+from strataflow.operators.store import scratch
 from strataflow.plans.bindings import bind, table
 from strataflow.sources import files as S
 from strataflow.sources import reports
@@ -32,14 +31,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's own tables: shared between executors, or local in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='strataflow-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 for _name in ("ignored_path_filter", "detect_language", "scan_files", "unsupported_breakdown", "count_loc", "content_hash", "language_counts", "language_flags", "scan_warnings",
               "repository_rollup", "collapse_top_dir", "ordered_listing", "test_file_filter", "architecture_layers", "analysis_stats", "majority_language"):
     register(_name, getattr(S, _name), "files")
@@ -101,9 +92,10 @@ def resolve_calls_repo(spark, sf_dir):
 
 @query
 def case_to_entity(spark, sf_dir):
-    n = F.col("file_id").cast("string")
-    cases = bind(spark, sf_dir, "code").select(F.when(F.col("language") == "python", F.concat(F.lit("test_compute_"), n, F.lit("_main_branch"))).otherwise(F.concat(F.lit("test_P"), n, F.lit("_exception_path"))).alias("name"))
-    found = extract.definitions(bind(spark, sf_dir, "code")).select(F.concat_ws("::", "path", "qualified_name").alias("entity_id"), "name")
+    code = bind(spark, sf_dir, "code")
+    number = F.regexp_extract("path", r"mod_(\d+)", 1)
+    cases = code.select("repository_id", F.when(F.col("language") == "python", F.concat(F.lit("test_compute_"), number, F.lit("_main_branch"))).otherwise(F.concat(F.lit("test_J"), number, F.lit("_exception_path"))).alias("name"))
+    found = extract.definitions(code).select("repository_id", resolve.entity_id().alias("entity_id"), "name")
     return resolve.case_to_entity(cases, found)
 
 
@@ -120,38 +112,34 @@ def parent_link(spark, sf_dir):
 
 @query
 def import_externality(spark, sf_dir):
-    """Whether an import's module (Java: its last segment) is no file of the repository."""
     code = bind(spark, sf_dir, "code")
-    stems = code.select("language", P.stem().alias("key")).distinct().withColumn("local", F.lit(True))
-    rows = extract.extract_imports(code).join(code.select("path", "language"), "path")
-    key = F.when(F.col("language") == "java", F.substring_index("module", ".", -1)).otherwise(F.col("module"))
-    return rows.withColumn("key", key).join(stems, ["language", "key"], "left").select("path", "module", "local_name", (F.col("local").isNull() & ~F.col("module").startswith(".")).alias("is_external"))
+    return resolve.import_externality(extract.extract_imports(code), code)
 
 
 @query
 def import_target(spark, sf_dir):
-    """The first file whose stem is the last segment of an import's module."""
     code = bind(spark, sf_dir, "code")
-    first = code.groupBy(P.stem().alias("tail")).agg(F.min("path").alias("target_path"))
-    rows = extract.extract_imports(code).withColumn("tail", F.substring_index("module", ".", -1))
-    return rows.join(first, "tail", "left").select("path", "module", "local_name", "target_path")
+    return resolve.import_target(extract.extract_imports(code), code)
 
 
 @query
 def resolve_inheritance(spark, sf_dir):
-    """Parents by name in the file, else by a name that is unique in all files."""
     code = bind(spark, sf_dir, "code")
-    found = extract.definitions(code).filter(F.col("kind").isin(*index.CLASS_KINDS)).select("path", "name", F.concat_ws("::", "path", "qualified_name").alias("id"))
-    here = found.groupBy("path", F.col("name").alias("parent_name")).agg(F.min("id").alias("in_file"))
-    unique = found.groupBy(F.col("name").alias("parent_name")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("in_repo")).filter("n = 1").drop("n")
-    rows = extract.extract_inheritance(code).join(here, ["path", "parent_name"], "left").join(unique, "parent_name", "left")
-    return rows.select("path", "entity", "parent_name", "kind", F.coalesce("in_file", "in_repo").alias("parent_id"))
+    facts = extract.analyse(code)
+    return resolve.resolve_inheritance(extract.extract_inheritance(code, facts), extract.definitions(code, facts))
 
 
 @query
 def graph_edges(spark, sf_dir):
-    named = resolve_inheritance(spark, sf_dir).select(F.concat_ws("::", "path", "entity").alias("entity_id"), "parent_id", "kind")
-    return graph.graph_edges(bind(spark, sf_dir, "ent"), bind(spark, sf_dir, "calls"), bind(spark, sf_dir, "modedge"), named)
+    named = resolve_inheritance(spark, sf_dir).select(resolve.entity_id("entity").alias("entity_id"), "parent_id", "kind")
+    return graph.graph_edges(bind(spark, sf_dir, "ent"), bind(spark, sf_dir, "calls"), _module_edges(spark, sf_dir), named)
+
+
+def _module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module edges by the ids of ``graph_nodes``."""
+    ent = bind(spark, sf_dir, "ent").select("module", F.concat_ws("/", "repository_id", "module").alias("id")).distinct()
+    at = lambda end: ent.select(F.substring_index("module", "_", -1).cast("bigint").alias(end), F.col("id").alias(f"{end}_id"))
+    return bind(spark, sf_dir, "modedge").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
 
 @query
@@ -240,8 +228,7 @@ def uncovered_lines_by_file(spark, sf_dir):
 def global_state_issues(spark, sf_dir):
     """First five distinct ``stem.global`` names of each repository, dunder names left out."""
     code = bind(spark, sf_dir, "code")
-    names = (extract.globals_used(code).filter(~F.col("global_name").startswith("__")).join(code.select("path", "repository_id"), "path")
-             .select("repository_id", F.concat_ws(".", P.stem(), "global_name").alias("detail")).distinct())
+    names = extract.globals_used(code).filter(~F.col("global_name").startswith("__")).select("repository_id", F.concat_ws(".", P.stem(), "global_name").alias("detail")).distinct()
     from pyspark.sql import Window as W
 
     w = W.partitionBy("repository_id").orderBy("detail")
@@ -259,9 +246,10 @@ def architectural_issues(spark, sf_dir):
 def module_summary(spark, sf_dir):
     """Per file: entity count, purpose, first five responsibilities and dependencies."""
     code = bind(spark, sf_dir, "code")
-    ents = extract.definitions(code).groupBy("path").agg(F.count(F.lit(1)).alias("entity_count"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name"))), lambda x: x["qualified_name"]), 1, 5), ", ").alias("responsibilities"))
-    deps = extract.extract_imports(code).groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("module")), ", ").alias("dependencies"))
-    return ents.join(deps, "path", "left").select("path", "entity_count", F.format_string("Module %s defines %d entities.", P.stem(), "entity_count").alias("purpose"), "responsibilities", F.coalesce("dependencies", F.lit("")).alias("dependencies"))
+    facts, key = extract.analyse(code), extract.KEY
+    ents = extract.definitions(code, facts).groupBy(*key).agg(F.count(F.lit(1)).alias("entity_count"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name"))), lambda x: x["qualified_name"]), 1, 5), ", ").alias("responsibilities"))
+    deps = extract.extract_imports(code, facts).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("module")), ", ").alias("dependencies"))
+    return ents.join(deps, key, "left").select(*key, "entity_count", F.format_string("Module %s defines %d entities.", P.stem(), "entity_count").alias("purpose"), "responsibilities", F.coalesce("dependencies", F.lit("")).alias("dependencies"))
 
 
 @query
@@ -286,7 +274,7 @@ def executive_report(spark, sf_dir):
 @query
 def graph_filter(spark, sf_dir):
     ent, calls = bind(spark, sf_dir, "ent"), bind(spark, sf_dir, "calls")
-    return graph.graph_filter(graph.graph_nodes(ent), graph.graph_edges(ent, calls, bind(spark, sf_dir, "modedge")), "call", "7")
+    return graph.graph_filter(graph.graph_nodes(ent), graph.graph_edges(ent, calls, _module_edges(spark, sf_dir)), "call", "7")
 
 
 @query
@@ -371,19 +359,19 @@ def field_fallbacks(spark, sf_dir):
 @query
 def brace_balance(spark, sf_dir):
     cut = F.when(F.col("file_id") % 3 == 0, F.concat("text", F.lit("{"))).otherwise(F.col("text"))
-    return bind(spark, sf_dir, "code").select("path", X.brace_balance(cut).alias("brace_balance"))
+    return bind(spark, sf_dir, "code").select("repository_id", "path", X.brace_balance(cut).alias("brace_balance"))
 
 
 @query
 def placeholder_args(spark, sf_dir):
-    return extract.signature_arguments(bind(spark, sf_dir, "code")).select("path", "qualified_name", "pos", X.placeholder_argument("argument").alias("placeholder_args"))
+    return extract.signature_arguments(bind(spark, sf_dir, "code")).select(*extract.NAME, "pos", X.placeholder_argument("argument").alias("placeholder_args"))
 
 
 @query
 def evidence_claims(spark, sf_dir):
     """Claims on the first six lines of each file, blank lines skipped."""
-    rows = bind(spark, sf_dir, "code").select("path", F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("i", "raw")).withColumn("line", F.trim("raw")).filter("line <> ''")
-    return rows.select("path", (F.col("i") + 1).alias("line"), X.claim(F.col("line"), F.col("i") + 1, P.stem()).alias("claim"))
+    rows = bind(spark, sf_dir, "code").select("repository_id", "path", F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("i", "raw")).withColumn("line", F.trim("raw")).filter("line <> ''")
+    return rows.select("repository_id", "path", (F.col("i") + 1).alias("line"), X.claim(F.col("line"), F.col("i") + 1, P.stem()).alias("claim"))
 
 
 # The texts of fields without facts.
@@ -397,17 +385,20 @@ STATIC_RISKS = "Behavior inferred from static analysis; verify against runtime s
 @query
 def explanation_fields(spark, sf_dir):
     """Ten fields per function from its facts: up to four of a kind, joined; a fixed text where there are none."""
-    code = graph.cut(extract.analysed(bind(spark, sf_dir, "code")))
-    key = ["path", "qualified_name"]
-    listed = lambda value, order, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, value.alias("x")))), lambda s: s["x"]), sep)
-    pick = lambda kind: F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("fact") == kind, F.struct("pos", "text")))), lambda s: s["text"]), 1, 4)
-    facts = extract.semantic_facts(code).groupBy(*key).agg(*(pick(kind).alias(kind) for kind in ("assign", "branch", "raise")), listed(F.when(F.col("fact") == "return", F.col("text")), "pos", ", ").alias("outputs"))
-    docs = extract.doc_comments(code).groupBy(*key).agg(F.min("description").alias("said"))
-    args = extract.signature_arguments(code).groupBy(*key).agg(listed(F.col("argument"), "pos", ", ").alias("inputs"))
-    calls = extract.extract_calls(code).groupBy("path", F.col("caller").alias("qualified_name")).agg(listed(F.col("callee_name"), "line", ", ").alias("dependencies"))
-    rows = extract.definitions(code).filter(F.col("kind").isin("function", "method")).select(*key, "kind", "name", "line_start", "line_end")
-    for more in (facts, docs, args, calls, extract.cyclomatic_complexity(code)):
-        rows = rows.join(more, key, "left")
+    code, key = bind(spark, sf_dir, "code"), extract.NAME
+    done = extract.analyse(code)
+    # All facts are tagged and grouped once by function: (what, order, text).
+    tag = lambda df, name, what, order, value: df.select(*extract.KEY, F.col(name).alias("qualified_name"), F.lit(what).alias("what") if isinstance(what, str) else what.alias("what"), order.cast("bigint").alias("at"), value.alias("x"))
+    no = F.lit(0)
+    facts = (tag(extract.semantic_facts(code, facts=done), "qualified_name", F.col("fact"), F.col("pos"), F.col("text"))
+             .unionByName(tag(extract.doc_comments(code, done), "qualified_name", "said", no, F.col("description")))
+             .unionByName(tag(extract.signature_arguments(code, done), "qualified_name", "inputs", F.col("pos"), F.col("argument")))
+             .unionByName(tag(extract.extract_calls(code, done), "caller", "calls", F.col("line"), F.col("callee_name")))
+             .unionByName(tag(extract.cyclomatic_complexity(code, done), "qualified_name", "complexity", no, F.col("complexity").cast("string"))))
+    of = lambda what: F.transform(F.sort_array(F.collect_list(F.when(F.col("what") == what, F.struct("at", "x")))), lambda s: s["x"])
+    facts = facts.groupBy(*key).agg(*(F.slice(of(kind), 1, 4).alias(kind) for kind in ("assign", "branch", "raise")), F.array_join(of("return"), ", ").alias("outputs"), F.array_join(of("inputs"), ", ").alias("inputs"),
+                                    F.array_join(of("calls"), ", ").alias("dependencies"), F.min(F.when(F.col("what") == "said", F.col("x"))).alias("said"), F.max(F.when(F.col("what") == "complexity", F.col("x"))).cast("bigint").alias("complexity"))
+    rows = extract.definitions(code, done).filter(F.col("kind").isin("function", "method")).select(*key, "kind", "name", "line_start", "line_end").join(facts, key, "left")
     filled = lambda c, default: F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(c)
     rules, led = F.array_join("assign", "; "), lambda c, word: F.array_join(F.transform(c, lambda x: F.concat(F.lit(word), x)), "; ")
     raised = led("raise", "raises ")
@@ -424,15 +415,17 @@ PROBES = ("0.0", "1000.0", "5000.0", "None", "'admin'")
 
 @query
 def test_plan(spark, sf_dir):
-    """Main-branch case per public Python function, an exception case where it raises, and six argument probes each."""
-    code = bind(spark, sf_dir, "code").filter("language = 'python'").filter(~P.is_test_file())
-    args = extract.signature_arguments(code).filter(~F.col("argument").isin("self", "cls"))
-    typed = args.groupBy("path", "qualified_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", X.placeholder_argument("argument").alias("a")))), lambda x: x["a"]), ", ").alias("typed"), F.count(F.lit(1)).alias("n"))
-    raises = extract.semantic_facts(code).filter("fact = 'raise'").select("path", "qualified_name").distinct().withColumn("raises", F.lit(True))
-    rows = typed.join(raises, ["path", "qualified_name"], "left")
+    """Main-branch case per Python function, an exception case where it raises, and six argument probes each (one without arguments for functions that take none)."""
+    code, key = bind(spark, sf_dir, "code").filter("language = 'python'").filter(~P.is_test_file()), extract.NAME
+    done = extract.analyse(code)
+    functions = extract.definitions(code, done).filter(F.col("kind").isin("function", "method")).select(*key)
+    args = extract.signature_arguments(code, done).filter(~F.col("argument").isin("self", "cls"))
+    typed = args.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", X.placeholder_argument("argument").alias("a")))), lambda x: x["a"]), ", ").alias("typed"), F.count(F.lit(1)).alias("n"))
+    raises = extract.semantic_facts(code, facts=done).filter("fact = 'raise'").select(*key).distinct().withColumn("raises", F.lit(True))
+    rows = functions.join(typed, key, "left").join(raises, key, "left").withColumns({"typed": F.coalesce("typed", F.lit("")), "n": F.coalesce("n", F.lit(0))})
     kinds = F.filter(F.array(F.lit("main_branch"), F.when(F.col("raises"), "exception_path")), lambda k: k.isNotNull())
-    probes = F.concat(F.array("typed"), *(F.array(F.array_join(F.array_repeat(F.lit(p), F.col("n").cast("int")), ", ")) for p in PROBES))
-    return rows.select("path", "qualified_name", F.explode(kinds).alias("case_kind"), probes.alias("probes")).select("path", "qualified_name", "case_kind", F.explode("probes").alias("probe"))
+    probes = F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(F.concat(F.array("typed"), *(F.array(F.array_join(F.array_repeat(F.lit(p), F.col("n").cast("int")), ", ")) for p in PROBES)))
+    return rows.select(*key, F.explode(kinds).alias("case_kind"), probes.alias("probes")).select(*key, "case_kind", F.explode("probes").alias("probe"))
 
 
 # 2.9 index and search

@@ -284,30 +284,31 @@ def test_nested_and_modern_sources(spark):
     """Known answers on sources that no template of the twins has; from the files and from their stored analysis."""
     files = spark.createDataFrame([("r", "p.py", 1, "python", PYTHON_NESTED), ("r", "P.java", 2, "java", JAVA_MODERN), ("r", "e.py", 3, "python", ""), ("s", "p.py", 4, "python", None)],
                                   "repository_id string, path string, file_id int, language string, text string")
-    code = graph.cut(extract.analysed(files))
-    got = {(r.path, r.qualified_name): (r.kind, r.parent, r.line_start, r.line_end) for r in extract.definitions(code).collect()}
+    stored = extract.analyse(files)
+    got = {(r.path, r.qualified_name): (r.kind, r.parent, r.line_start, r.line_end) for r in extract.definitions(files, stored).collect()}
     assert {k[1]: v for k, v in got.items() if k[0] == "p.py"} == {
         "around": ("function", "", 10, 21), "around.within": ("function", "around", 17, 18), "other": ("function", "", 24, 27), "Box": ("class", "", 30, 40), "Box.Lid": ("class", "Box", 31, 37),
         "Box.Lid.shut": ("method", "Box.Lid", 33, 34), "Box.Lid._turn": ("method", "Box.Lid", 36, 37), "Box.open": ("method", "Box", 39, 40)}
     assert {k[1]: v[:3] for k, v in got.items() if k[0] == "P.java"} == {
-        "Plan": ("class", "", 15), "Plan.Plan": ("method", "Plan", 18), "Plan.all": ("method", "Plan", 22), "Plan.cost": ("method", "Plan", 28), "Plan.Part": ("class", "Plan", 30), "Plan.Part.name": ("method", "Plan.Part", 31),
+        "Plan": ("class", "", 14), "Plan.Plan": ("method", "Plan", 18), "Plan.all": ("method", "Plan", 22), "Plan.cost": ("method", "Plan", 28), "Plan.Part": ("class", "Plan", 30), "Plan.Part.name": ("method", "Plan.Part", 31),
         "Shape": ("interface", "", 35), "Shape.area": ("method", "Shape", 36), "Color": ("enum", "", 39), "Color.hex": ("method", "Color", 42), "Point": ("record", "", 47), "Point.sum": ("method", "Point", 48), "Mark": ("annotation", "", 51), "Mark.value": ("method", "Mark", 52)}
     assert got["P.java", "Plan"][3] == 33 and got["P.java", "Plan.all"][3] == 26 and got["P.java", "Plan.cost"][3] == 28
-    calls = {(r.path, r.caller, r.callee_name) for r in extract.extract_calls(code).collect()}
-    assert {c[1:] for c in calls if c[0] == "p.py"} == {("around", "within"), ("around", "other"), ("Box.Lid.shut", "self._turn"), ("Box.Lid._turn", "getattr"), ("Box.open", "Box.Lid")}
+    calls = {(r.path, r.caller, r.callee_name) for r in extract.extract_calls(files, stored).collect()}
+    assert {c[1:] for c in calls if c[0] == "p.py"} == {("around", "within"), ("around", "other"), ("Box.Lid.shut", "wrapped"), ("Box.Lid.shut", "self._turn"), ("Box.Lid._turn", 'getattr(self, "x")'), ("Box.open", "Box.Lid")}
     assert ("P.java", "Plan.all", "copy") in calls and not any(c[2] == "y" for c in calls)
-    assert {(r.caller, r.line) for r in extract.dynamic_call_flag(code).collect()} == {("Box.Lid._turn", 37)}
-    assert {(r.entity, r.parent_name, r.kind) for r in extract.extract_inheritance(code).collect()} == {
+    assert {(r.caller, r.line) for r in extract.dynamic_call_flag(files).collect()} == {("Box.Lid._turn", 37)}
+    assert {(r.entity, r.parent_name, r.kind) for r in extract.extract_inheritance(files, stored).collect()} == {
         ("Box", "Base", "extends"), ("Plan", "Base<T, List<T>>", "extends"), ("Plan", "Serializable", "implements"), ("Plan", "Comparable<Plan>", "implements"), ("Shape", "Cloneable", "extends"), ("Shape", "Sized", "extends"),
         ("Color", "Named", "implements"), ("Point", "Serializable", "implements")}
-    assert {(r.qualified_name, r.global_name) for r in extract.globals_used(code).collect()} == {("around.within", "LIMIT"), ("Plan.all", "SEEN")}
-    args = [(r.qualified_name, r.argument) for r in extract.signature_arguments(code).orderBy("path", "qualified_name", "pos").collect()]
+    assert {(r.qualified_name, r.global_name) for r in extract.globals_used(files, stored).collect()} == {
+        ("around", "other"), ("around", "within"), ("around.within", "LIMIT"), ("Box", "Base"), ("Box", "Meta"), ("Box.Lid.shut", "wrapped"), ("Box.open", "Box"), ("Plan.all", "SEEN")}
+    args = [(r.qualified_name, r.argument) for r in extract.signature_arguments(files, stored).orderBy("path", "qualified_name", "pos").collect()]
     assert [a for q, a in args if q == "Plan.all"] == ["from", "to"] and [a for q, a in args if q == "around"][:2] == ["first", "second"]
-    docs = {(r.qualified_name, r.description, r.tag, r.tag_text) for r in extract.doc_comments(code).collect()}
+    docs = {(r.qualified_name, r.description, r.tag, r.tag_text) for r in extract.doc_comments(files, stored).collect()}
     assert docs == {("around", "Keep it.\n\nSecond line.", "", ""), ("Plan", "A plan with a price.", "param", "tier the tier of the plan"), ("Plan", "A plan with a price.", "return", "the price")}
-    assert {(r.module, r.kind) for r in extract.extract_imports(code).collect()} == {("java.io.*", "normal"), ("java.util.Collections.emptyList", "static")}
-    assert {(r.qualified_name, r.complexity) for r in extract.cyclomatic_complexity(code).collect() if r.qualified_name in ("Point.sum", "other", "around")} == {("Point.sum", 2), ("other", 2), ("around", 1)}
-    assert {tuple(r) for r in extract.extract_calls(files).collect()} == {tuple(r) for r in extract.extract_calls(code).collect()}
+    assert {(r.module, r.kind) for r in extract.extract_imports(files, stored).collect()} == {("java.io.*", "normal"), ("java.util.Collections.emptyList", "static")}
+    assert {(r.qualified_name, r.complexity) for r in extract.cyclomatic_complexity(files, stored).collect() if r.qualified_name in ("Point.sum", "other", "around")} == {("Point.sum", 2), ("other", 2), ("around", 1)}
+    assert {tuple(r) for r in extract.extract_calls(files).collect()} == {tuple(r) for r in extract.extract_calls(files, stored).collect()}
 
 
 def test_large_files_take_no_quadratic_time(spark):
