@@ -72,10 +72,14 @@ files("archive_admission", """SELECT repository_id, sum(size) AS total_bytes, co
 files("replace_facts", "SELECT repository_id, count(*) AS rows_after_second_run FROM seen WHERE ok AND language IS NOT NULL GROUP BY 1", SEEN)
 ORACLE_SQL["url_admission"] = r"""
 WITH u AS (SELECT page_id, trim(coalesce(url, '')) AS url FROM pages),
-h AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM u),
+h AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '[]')) AS host FROM u),
+o AS (SELECT *, CASE WHEN regexp_full_match(host, '([0-9]{1,3}\.){3}[0-9]{1,3}') THEN list_transform(string_split(host, '.'), lambda x: CAST(x AS INTEGER)) END AS o FROM h),
+v AS (SELECT *, o[1] * 16777216::BIGINT + o[2] * 65536 + o[3] * 256 + o[4] AS v4 FROM o),
 r AS (SELECT page_id, CASE WHEN url = '' THEN 'empty' WHEN scheme NOT IN ('http', 'https') THEN 'scheme'
   WHEN host = '' OR host IN ('localhost', '127.0.0.1', '0.0.0.0', '::1', 'local', 'internal') OR host LIKE '%.local' OR host LIKE '%.internal' THEN 'host'
-  WHEN regexp_matches(host, '^(0|10|127|22[4-9]|2[3-5][0-9])(\.[0-9]{1,3}){3}$') OR regexp_matches(host, '^172\.(1[6-9]|2[0-9]|3[01])(\.[0-9]{1,3}){2}$') OR regexp_matches(host, '^(192\.168|169\.254)(\.[0-9]{1,3}){2}$') THEN 'address' ELSE 'ok' END AS reason FROM h)
+  WHEN contains(host, ':') AND NOT regexp_matches(host, '^[23][0-9a-f]{3}:') THEN 'address'
+  WHEN EXISTS (FROM (VALUES ('0.0.0.0', 8), ('10.0.0.0', 8), ('127.0.0.0', 8), ('169.254.0.0', 16), ('172.16.0.0', 12), ('192.0.0.0', 24), ('192.0.2.0', 24), ('192.168.0.0', 16), ('198.18.0.0', 15), ('198.51.100.0', 24), ('203.0.113.0', 24), ('224.0.0.0', 3)) n(net, bits)
+    WHERE v4 >> (32 - bits) = list_reduce(list_transform(string_split(net, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b) >> (32 - bits)) THEN 'address' ELSE 'ok' END AS reason FROM v)
 SELECT page_id, CASE WHEN reason = 'ok' THEN 'accept' ELSE 'reject' END AS verdict, reason FROM r"""
 ORACLE_SQL["repository_name"] = r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(coalesce(url, ''), '/+$', ''), '([^/]*)$', 1), '\.git$', ''), ''), 'repository') AS name FROM pages"""
 
@@ -153,7 +157,7 @@ add("parse_test_report", "cases", "SELECT run_id, count(*) OVER (PARTITION BY ru
 _COVER = "c AS (SELECT run_id, round_even(round(CAST(line_coverage AS DOUBLE), 4), 2) AS line_coverage, CAST(tests_generated % 101 AS DOUBLE) AS branch_coverage, concat('f', tests_generated % 3, '.py') AS file, unnest(CASE WHEN tests_failed > 0 THEN range(1, CAST(tests_failed AS BIGINT) + 1) ELSE [NULL] END) AS line FROM runs)"
 graph("parse_coverage_json", "runs", _COVER, "SELECT * FROM c")
 graph("uncovered_lines_by_file", "runs", _COVER, "SELECT file, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM c WHERE line IS NOT NULL GROUP BY 1")
-add("parse_jacoco_xml", "runs", "SELECT run_id, round_even(CAST(tests_passed AS DOUBLE) * 100 / (tests_passed + tests_failed), 2) AS line_coverage, 100.0 AS branch_coverage, CASE WHEN tests_failed > 0 THEN '1,3' ELSE '3' END AS uncovered FROM runs")
+add("parse_jacoco_xml", "runs", "SELECT run_id, round_even(CAST(tests_passed AS DOUBLE) * 100 / (tests_passed + tests_failed), 2) AS line_coverage, 100.0::DOUBLE AS branch_coverage, v.file, v.line FROM runs, (VALUES ('A.java', 1), ('B.java', 3)) v(file, line) WHERE tests_failed > 0 OR line = 3")
 add("coverage_from_log", "runs", "SELECT run_id, CASE WHEN tests_generated % 7 > 0 THEN round(CAST(line_coverage AS DOUBLE), 2) END AS line_coverage FROM runs")
 
 # source facts: what each template holds; {n} is the file's number, {b} that of its base class, {k} of its import

@@ -186,8 +186,8 @@ def facts_equal(spark, sf_dir):
 
 def _case_xml(cases: DataFrame) -> DataFrame:
     ms = F.format_string("%.3f", F.col("duration_ms") / 1000.0)
-    one = F.concat(F.lit('<testcase name="'), "name", F.lit("#"), F.col("event_id").cast("string"), F.lit('" time="'), ms, F.lit('"'), F.when(F.col("status") == "failed", '><failure>no</failure></testcase>').otherwise("/>"))
-    return cases.groupBy("run_id").agg(F.concat(F.lit('<testsuite tests="'), F.count(F.lit(1)).cast("string"), F.lit('">'), F.array_join(F.sort_array(F.collect_list(one)), ""), F.lit("</testsuite>")).alias("report"))
+    one = F.concat(F.lit('<testcase name="'), "name", F.lit("#"), F.col("event_id").cast("string"), F.lit('" time="'), ms, F.lit('"'), F.when(F.col("status") == "failed", '><failure message="m">no</failure></testcase>').otherwise("/>"))
+    return cases.groupBy("run_id").agg(F.concat(F.lit('<?xml version="1.0"?><testsuites><testsuite tests="'), F.count(F.lit(1)).cast("string"), F.lit('">'), F.array_join(F.sort_array(F.collect_list(one)), ""), F.lit('</testsuite><testsuite tests="0"/></testsuites>')).alias("report"))
 
 
 @query
@@ -208,7 +208,7 @@ def parse_coverage_json(spark, sf_dir):
 @query
 def parse_jacoco_xml(spark, sf_dir):
     r = bind(spark, sf_dir, "runs")
-    text = F.format_string('<report><counter type="LINE" missed="%d" covered="%d"/><counter type="BRANCH" missed="0" covered="0"/><line nr="1" mi="%d"/><line nr="2" mi="0"/><line nr="3" mi="2"/></report>', "tests_failed", "tests_passed", "tests_failed")
+    text = F.format_string('<?xml version="1.0"?><!DOCTYPE report PUBLIC "-//JACOCO//DTD" "report.dtd"><report name="r"><package name="p"><sourcefile name="A.java"><line nr="1" mi="%d"/><line nr="2" mi="0"/><counter type="LINE" missed="9" covered="9"/></sourcefile><sourcefile name="B.java"><line nr="3" mi="2"/></sourcefile></package><counter type="LINE" missed="%d" covered="%d"/></report>', "tests_failed", "tests_failed", "tests_passed")
     return reports.parse_jacoco_xml(r.select("run_id", text.alias("report")))
 
 

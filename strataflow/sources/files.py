@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from strataflow.functions import paths as P
+from strataflow.sources.versions import VersionedTable
 
 
 def read_tree(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
@@ -112,18 +115,34 @@ def collapse_top_dir(files: DataFrame) -> DataFrame:
 BLOCKED_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "local", "internal")
 
 
+# IPv4 networks for private, local, reserved, documentation and group use, as (address, bits).
+CLOSED_IPV4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3))
+
+
+def closed_address(host: str) -> F.Column:
+    """Whether a host is a literal address outside of public use; null for names.
+
+    IPv4: ``CLOSED_IPV4``. IPv6 is public in 2000::/3 only, without 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20; what is no address but has a colon is closed too.
+    """
+    part = lambda i: F.regexp_extract(host, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("bigint")
+    v4 = part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * (1 << 8) + part(4)
+    number = lambda net: reduce(lambda a, b: a * 256 + int(b), net.split("."), 0)
+    closed = reduce(lambda a, b: a | b, (F.shiftright(v4, 32 - bits) == number(net) >> (32 - bits) for net, bits in CLOSED_IPV4))
+    group = lambda i: F.conv(F.regexp_extract(host, r"^([0-9a-f]{1,4}):(?:([0-9a-f]{1,4}))?", i), 16, 10).try_cast("bigint")
+    first, second = F.coalesce(group(1), F.lit(0)), F.coalesce(group(2), F.lit(0))
+    public = first.between(0x2000, 0x3FFF) & ~((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) & (first != 0x2002) & ~((first == 0x3FFF) & (second < 0x1000)) & ~F.col(host).rlike(r"[^0-9a-f:.]")
+    return F.when(F.contains(F.col(host), F.lit(":")), ~public).otherwise(closed | (F.greatest(*(part(i) for i in range(1, 5))) > 255))
+
+
 def url_admission(links: DataFrame) -> DataFrame:
-    """Verdict of a clone URL: scheme, host names and literal private or reserved IPv4 addresses."""
+    """Verdict of a clone URL: scheme, host names and literal addresses outside of public use."""
     url = F.trim(F.coalesce("url", F.lit("")))
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    octet = lambda i: F.regexp_extract("host", r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("int")
-    a, b = F.col("o1"), F.col("o2")
-    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    parsed = links.select("page_id", url.alias("url"), scheme.alias("scheme"), host.alias("host")).withColumn("o1", octet(1)).withColumn("o2", octet(2))
+    host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), r"^\[|\]$", ""))
+    parsed = links.select("page_id", url.alias("url"), scheme.alias("scheme"), host.alias("host"))
     reason = (F.when(F.col("url") == "", "empty").when(~F.col("scheme").isin("http", "https"), "scheme")
               .when((F.col("host") == "") | F.col("host").isin(*BLOCKED_HOSTS) | F.col("host").endswith(".local") | F.col("host").endswith(".internal"), "host")
-              .when(F.coalesce(private, F.lit(False)), "address").otherwise("ok"))
+              .when(F.coalesce(closed_address("host"), F.lit(False)), "address").otherwise("ok"))
     return parsed.select("page_id", F.when(reason == "ok", "accept").otherwise("reject").alias("verdict"), reason.alias("reason"))
 
 
@@ -182,9 +201,12 @@ def facts_equal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def replace_facts(facts: DataFrame, path: str) -> DataFrame:
-    """Write facts by repository, replacing only the partitions of repositories that occur in them."""
-    (facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path))
-    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+    """Facts of whole repositories as one commit to the versioned table at ``path``: those of repositories that occur replace the older ones; the live rows."""
+    table = VersionedTable(facts.sparkSession, path, facts.schema, "repository_id")
+    batch = 1 + max((b for c in table.manifest() for b in c["batches"]), default=-1)
+    table.stage(batch, facts)
+    table.commit([batch], replace=True)
+    return table.read()
 
 
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> DataFrame:

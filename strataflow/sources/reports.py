@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-JUNIT = "_tests bigint, testcase array<struct<_name: string, _time: double, failure: string, error: string>>"
-JACOCO = "counter array<struct<_type: string, _missed: bigint, _covered: bigint>>, line array<struct<_nr: int, _mi: int>>"
+_MARK = "struct<_message: string, _type: string, _VALUE: string>"
+_CASE = f"struct<_name: string, _time: string, failure: array<{_MARK}>, error: array<{_MARK}>>"
+JACOCO = """counter array<struct<_type: string, _missed: double, _covered: double>>,
+  package array<struct<_name: string, sourcefile: array<struct<_name: string, line: array<struct<_nr: int, _mi: int>>>>>>"""
+
+
+def junit_schema(nesting: int) -> str:
+    """A root that holds suites, ``nesting`` of them inside each other, and groups of suites."""
+    suite = f"struct<_tests: string, testcase: array<{_CASE}>>"
+    for _ in range(nesting - 1):
+        suite = f"struct<_tests: string, testcase: array<{_CASE}>, testsuite: array<{suite}>>"
+    return f"testsuite array<{suite}>, testsuites array<struct<testsuite: array<{suite}>>>"
+
+
+def _xml(report: str) -> F.Column:
+    """The documents of a text, without declarations, under one root."""
+    return F.concat(F.lit("<root>"), F.regexp_replace(F.coalesce(report, F.lit("")), r"<\?xml[^>]*\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", ""), F.lit("</root>"))
 
 
-def parse_test_report(reports: DataFrame) -> DataFrame:
-    """Cases of JUnit texts (run_id, report): name, status (failure or error: failed), duration in ms, and the suite's declared number of tests (its cases where none is declared).
+def parse_test_report(reports: DataFrame, nesting: int = 4) -> DataFrame:
+    """Cases of JUnit texts (run_id, report): name, status (failure or error: failed), duration in ms, and the number of tests that the suites declare (of cases where none is declared).
 
-    A report without cases has one row without name.
+    A report is any number of documents with ``<testsuites>`` or ``<testsuite>`` roots, suites inside each other up to ``nesting`` deep; a suite
+    whose number of tests is no number is left out. A report without cases, or one that is no XML, has one row without name.
     """
-    x = reports.select("run_id", F.from_xml("report", JUNIT).alias("x"))
-    declared = F.when(F.col("x._tests") > 0, F.col("x._tests")).otherwise(F.greatest(F.size("x.testcase"), F.lit(0)).cast("bigint"))
-    case = x.select("run_id", declared.alias("generated"), F.explode_outer("x.testcase").alias("c"))
-    bad = F.col("c.failure").isNotNull() | F.col("c.error").isNotNull()
-    return case.select("run_id", "generated", F.col("c._name").alias("name"), F.when(F.col("c").isNull(), None).when(bad, "failed").otherwise("passed").alias("status"), F.bround(F.col("c._time") * 1000).cast("bigint").alias("duration_ms"))
+    x = reports.select("run_id", F.from_xml(_xml("report"), junit_schema(nesting)).alias("x"))
+    empty = lambda c: F.coalesce(c, F.array())
+    level = F.concat(empty(F.col("x.testsuite")), empty(F.flatten(F.transform("x.testsuites", lambda g: empty(g["testsuite"])))))
+    rows, found = x.select("run_id", level.alias("suites")), []
+    for depth in range(nesting):
+        found.append(rows.select("run_id", F.explode("suites").alias("s")).select("run_id", F.coalesce("s._tests", F.lit("0")).try_cast("bigint").alias("tests"), F.col("s.testcase").alias("cases")))
+        if depth + 1 < nesting:
+            rows = rows.select("run_id", F.flatten(F.transform("suites", lambda s: empty(s["testsuite"]))).alias("suites"))
+    suites = reduce(DataFrame.unionByName, found).filter("tests IS NOT NULL")
+    sums = suites.groupBy("run_id").agg(F.sum("tests").alias("declared"), F.sum(F.greatest(F.size("cases"), F.lit(0))).alias("cases_found"))
+    cases = suites.select("run_id", F.explode("cases").alias("c"))
+    ms = F.bround(F.coalesce(F.coalesce("c._time", F.lit("0")).try_cast("double"), F.lit(0.0)) * 1000).cast("bigint")
+    failed = (F.size("c.failure") > 0) | (F.size("c.error") > 0)
+    cases = cases.select("run_id", F.coalesce("c._name", F.lit("unknown")).alias("name"), F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise("passed").alias("status"), ms.alias("duration_ms"))
+    generated = F.when(F.col("declared") > 0, F.col("declared")).otherwise(F.coalesce("cases_found", F.lit(0))).cast("bigint")
+    return reports.select("run_id").distinct().join(sums, "run_id", "left").join(cases, "run_id", "left").select("run_id", generated.alias("generated"), "name", "status", "duration_ms")
+
+
+def read_test_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(report, name, status, duration_ms) of all cases of JUnit files, by Spark's XML source: a large file is split between its cases, at any nesting."""
+    rows = spark.read.format("xml").option("rowTag", "testcase").schema(f"_name string, _time string, failure array<{_MARK}>, error array<{_MARK}>").load(path)
+    failed = (F.size("failure") > 0) | (F.size("error") > 0)
+    ms = F.bround(F.coalesce(F.col("_time").try_cast("double"), F.lit(0.0)) * 1000).cast("bigint")
+    return rows.select(F.input_file_name().alias("report"), F.coalesce("_name", F.lit("unknown")).alias("name"), F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise("passed").alias("status"), ms.alias("duration_ms"))
 
 
 def parse_coverage_json(reports: DataFrame) -> DataFrame:
@@ -29,11 +66,19 @@ def parse_coverage_json(reports: DataFrame) -> DataFrame:
 
 
 def parse_jacoco_xml(reports: DataFrame) -> DataFrame:
-    """(run_id, line_coverage, branch_coverage, uncovered): percentages from counters (100 for nothing to cover), lines with missed instructions."""
-    x = reports.select("run_id", F.from_xml("report", JACOCO).alias("x"))
-    one = lambda kind: F.filter("x.counter", lambda c: c["_type"] == kind)[0]
-    pct = lambda c: F.when(c["_missed"] + c["_covered"] == 0, 100.0).otherwise(F.bround(100.0 * c["_covered"] / (c["_missed"] + c["_covered"]), 2))
-    return x.select("run_id", pct(one("LINE")).alias("line_coverage"), pct(one("BRANCH")).alias("branch_coverage"), F.array_join(F.transform(F.filter("x.line", lambda n: n["_mi"] > 0), lambda n: n["_nr"]), ",").alias("uncovered"))
+    """(run_id, line_coverage, branch_coverage, file, line) of JaCoCo texts: percentages of the report's own counters (100 for nothing to cover or no counter), a row per line with missed instructions.
+
+    A report that misses no line, or is no XML, has one row without file and line.
+    """
+    bare = F.regexp_replace(F.coalesce("report", F.lit("")), r"<\?xml[^>]*\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", "")
+    x = reports.select("run_id", F.from_xml(bare, JACOCO).alias("x"))
+    one = lambda kind: F.element_at(F.filter("x.counter", lambda c: c["_type"] == kind), -1)
+    last = lambda kind: F.when(F.size(F.filter("x.counter", lambda c: c["_type"] == kind)) > 0, one(kind))
+    pct = lambda c: F.when(F.coalesce(c["_missed"] + c["_covered"], F.lit(0.0)) == 0, 100.0).otherwise(F.bround(100.0 * c["_covered"] / (c["_missed"] + c["_covered"]), 2))
+    missed = x.select("run_id", F.explode("x.package").alias("p")).select("run_id", F.explode("p.sourcefile").alias("f")).select("run_id", F.col("f._name").alias("file"), F.explode("f.line").alias("n"))
+    missed = missed.filter("n._mi > 0").select("run_id", "file", F.col("n._nr").alias("line"))
+    totals = x.select("run_id", pct(last("LINE")).alias("line_coverage"), pct(last("BRANCH")).alias("branch_coverage"))
+    return totals.join(missed, "run_id", "left").select("run_id", "line_coverage", "branch_coverage", "file", "line")
 
 
 def coverage_from_log(logs: DataFrame) -> DataFrame:

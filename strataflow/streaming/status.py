@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strataflow.functions.paths import line_count
+from strataflow.sources.versions import VersionedTable
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -96,16 +97,22 @@ def duplicate_guard(events: DataFrame, out: str, delay: str = "1 day", keep_days
     return _run(judged, out, "append")
 
 
-def ingest_files(documents: DataFrame, out: str) -> DataFrame:
-    """New files replace their repository's facts (dynamic partition overwrite, safe to repeat); totals per repository."""
-    facts = documents.select(F.col("source").alias("repository_id"), F.col("doc_id").alias("file_id"), line_count().alias("loc"), F.sha2("text", 256).alias("sha256"))
+FACTS = "repository_id string, file_id bigint, loc bigint, sha256 string"
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(out)
 
-    query = facts.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+def ingest_files(documents: DataFrame, out: str) -> DataFrame:
+    """New files replace their repository's facts; totals per repository.
+
+    Micro-batches are staged by their number; when the stream has come to its end, all that is staged becomes one version, so a
+    repository whose files come in several micro-batches is replaced once, by all of them. A run that is killed leaves the old version; the
+    next one commits what both have staged.
+    """
+    facts = documents.select(F.col("source").alias("repository_id"), F.col("doc_id").cast("bigint").alias("file_id"), line_count().cast("bigint").alias("loc"), F.sha2("text", 256).alias("sha256"))
+    table = VersionedTable(documents.sparkSession, out, FACTS, "repository_id")
+    query = (facts.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
+             .foreachBatch(lambda batch, epoch: table.stage(epoch, batch)).start())
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    written = documents.sparkSession.read.schema(facts.schema).parquet(out)
-    return written.groupBy("repository_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("loc").alias("loc"))
+    table.commit(table.staged(), replace=True)
+    return table.read().groupBy("repository_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("loc").alias("loc"))
