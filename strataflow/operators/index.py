@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,12 +14,11 @@ from pyspark.sql import Window as W
 from strataflow.functions.paths import is_test_file
 from strataflow.functions.text import identifier_tokens
 from strataflow.operators import extract as X
-from strataflow.operators.store import cut
+from strataflow.operators import ivf
+from strataflow.operators.store import cut, scratch
 from strataflow.operators.tokens import KEY
 
 CLASS_KINDS = ("class", "interface", "enum", "record", "annotation")
-#: Queries that one block of a search holds.
-QUERY_BLOCK = 256
 
 
 def module_chunks(code: DataFrame) -> DataFrame:
@@ -109,82 +109,127 @@ def _unit(v: str = "embedding") -> F.Column:
     return F.transform(x, lambda e: e / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def _dealt(queries: DataFrame, rows: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with (block, salt): blocks of queries, and salts that spread the rows over all tasks.
+#: Rows of a tile, rows of a group of tiles, and queries of a block.
+TILE, GROUP_ROWS, BLOCK_QUERIES = 1024, 1 << 16, 1024
+TILE_ROWS = "grp int, ids binary, m binary"
+SCORED = "query_id bigint, row_id bigint, score double"
 
-    Each row meets each block of queries once; a query goes to every salt of its block, so no task holds more than
-    a block of queries and its share of the rows, whatever the sizes.
-    """
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = rows.withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return q, c
 
+def _dense(buckets: list, weights: list, dims: int) -> np.ndarray:
+    """A matrix of sparse vectors, given as lists of buckets and weights; a vector without buckets is dense already."""
+    out = np.zeros((len(weights), dims))
+    for row, b, w in zip(out, buckets, weights, strict=True):
+        row[np.asarray(b, np.int64) if b is not None else slice(0, len(w))] = w
+    return out
 
-def _best(scored: DataFrame, row_id: str, k: int) -> DataFrame:
-    """The k best rows per query, ties by id: first within each salt, then over all."""
-    order = [F.desc("score"), F.col(row_id)]
-    some = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "salt").orderBy(*order))).filter(F.col("rank") <= k)
-    return some.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).drop("salt")
 
+def _tiles(vectors: DataFrame, dims: int, groups: int) -> DataFrame:
+    """Packed tiles of vectors (id, b, w), ``groups`` groups by hash; rows of a group lie by their greatest coordinate, so that tiles differ in what they can score."""
 
-def _dot(a: str, b: str) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
+        def tile() -> pa.RecordBatch:
+            ids, b, w, grp = zip(*held, strict=True)
+            return pa.RecordBatch.from_pydict({"grp": pa.array([grp[0]], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "m": [_dense(b, w, dims).tobytes()]})
 
-def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The k chunks of greatest cosine per query, ties by id: every query against every chunk, in blocks."""
-    q, c = _dealt(queries.select(F.col("chunk_id").alias("query_id"), _unit().alias("q")), chunks.select("chunk_id", _unit().alias("c")), "chunk_id")
-    scored = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").select("query_id", "salt", "chunk_id", F.round(_dot("q", "c"), 4).alias("score"))
-    return _best(scored, "chunk_id", k)
+        for part in parts:
+            for row in zip(*(part.column(c).to_pylist() for c in ("id", "b", "w", "grp")), strict=True):
+                if held and (len(held) == TILE or held[0][3] != row[3]):
+                    yield tile()
+                    held = []
+                held.append(row)
+        if held:
+            yield tile()
 
+    top = F.array_position("w", F.array_max("w"))
+    spread = vectors.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("top", F.when(F.col("b").isNull(), top).otherwise(F.get("b", (top - 1).cast("int"))))
+    return spread.repartition(groups, "grp").sortWithinPartitions("grp", "top", "id").select("id", "b", "w", "grp").mapInArrow(pack, TILE_ROWS)
 
-def signed(rows: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(id, v, s): unit vectors and the signs of their products with ``bits`` random directions, 64 to a number."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            v = np.stack(part["v"].to_numpy())
-            directions = np.random.default_rng(seed).standard_normal((v.shape[1], bits))
-            packed = np.packbits(v @ directions > 0, axis=1).reshape(len(v), -1).view(">i8").astype(np.int64)
-            yield part.assign(s=list(packed))
+def _best_rows(queries: DataFrame, vectors: DataFrame, k: int, dims: int, linked: bool) -> DataFrame:
+    """(query_id, row_id, score, rank): the k rows of greatest product per query, scores rounded to four digits, ties by id; a row is none for itself.
 
-    return rows.mapInPandas(run, "id bigint, v array<double>, s array<bigint>")
+    Queries go in blocks and rows in groups of tiles, and each block meets each group in one bounded task. Before a tile is
+    multiplied, the greatest and least value of each coordinate in it bound what a query can score there; only queries whose
+    k-th score so far is not above the bound are multiplied with it. ``linked``: rows that share no coordinate with a query are none for it.
+    """
+    n_rows, n_queries = vectors.count(), queries.count()
+    groups = max(1, -(-n_rows // GROUP_ROWS), min(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TILE)))
+    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    tiles = cut(_tiles(vectors, dims, groups))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame({"query_id": np.empty(0, np.int64), "row_id": np.empty(0, np.int64), "score": np.empty(0)})
+        if not len(left) or not len(right):
+            return found
+        q, q_ids = _dense(left["b"], left["w"], dims), left["id"].to_numpy(np.int64)
+        best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+        least = np.full(len(q_ids), -np.inf)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        packed = [(np.frombuffer(i, np.int64), np.frombuffer(m).reshape(-1, dims)) for i, m in zip(right["ids"], right["m"], strict=True)]
+        bounds = np.stack([up @ m.max(axis=0) + down @ m.min(axis=0) for _, m in packed], axis=1)
+        for t in np.argsort(-bounds.max(axis=0)):
+            ids, m = packed[t]
+            near = np.nonzero(bounds[:, t] + 1e-4 >= least)[0]
+            if not len(near):
+                continue
+            raw = q[near] @ m.T
+            scores = np.copysign(np.floor(np.abs(raw) * 1e4 + 0.5) / 1e4, raw) + 0.0
+            apart = (q[near] != 0).astype(np.float32) @ (m != 0).T.astype(np.float32) == 0 if linked and (scores == 0).any() else None
+            for row, x in enumerate(near):
+                s = scores[row]
+                take = (s >= least[x]) & (ids != q_ids[x])
+                if apart is not None:
+                    take &= ~apart[row]
+                at = np.nonzero(take)[0]
+                if len(at) > k:
+                    at = at[s[at] >= np.partition(s[at], -k)[-k]]
+                best[x] = sorted(best[x] + [(-a, int(b)) for a, b in zip(s[at], ids[at], strict=True)])[:k]
+                if len(best[x]) == k:
+                    least[x] = -best[x][-1][0]
+        rows = [(int(i), r, -s) for i, found_ in zip(q_ids, best, strict=True) for s, r in found_]
+        return pd.DataFrame(rows, columns=list(found.columns)) if rows else found
+
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    held = tiles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = asked.groupBy("block", "grp").cogroup(held.groupBy("block", "grp")).applyInPandas(search, SCORED)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _vectors(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("embedding IS NOT NULL").select(F.col("chunk_id").alias("id"), F.lit(None).cast("array<int>").alias("b"), _unit().alias("w"))
+
+
+def _dims(vectors: DataFrame) -> int:
+    return vectors.agg(F.coalesce(F.max(F.size("w")), F.lit(1))).first()[0] or 1
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, bits: int = 512, share: float = 0.1, sample: int = 2000, seed: int = 11) -> DataFrame:
-    """Approximate neighbours by sign sketches of all chunks, ranked again by true cosine.
+def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The k chunks of greatest cosine per query, ties by id: every query against every chunk, in blocks."""
+    rows = _vectors(chunks)
+    return _best_rows(_vectors(queries), rows, k, _dims(rows), linked=False).select("query_id", F.col("row_id").alias("chunk_id"), "score", "rank")
 
-    Pairs whose sketches differ in few enough places are candidates; that number is the ``share`` quantile over at most
-    about ``sample`` chunks (by hash) and as many queries. A query with less than k candidates is searched in full.
-    """
-    unit = lambda df: signed(df.filter("embedding IS NOT NULL").select(F.col("chunk_id").alias("id"), _unit().alias("v")), bits, seed)
-    words = range(bits // 64)
-    apart = sum((F.bit_count(F.col("qs")[i].bitwiseXOR(F.col("cs")[i])) for i in words), F.lit(0))
-    q_rows = cut(unit(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("s").alias("qs")))
-    c_rows = cut(unit(chunks).select(F.col("id").alias("chunk_id"), F.col("v").alias("c"), F.col("s").alias("cs")))
-    few = lambda df, key: df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(df.count(), 1))))
-    q, c = _dealt(few(q_rows, "query_id").select("query_id", "qs"), few(c_rows, "chunk_id").select("chunk_id", "cs"), "chunk_id")
-    limit = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").agg(F.percentile_approx(apart, share, 1000)).first()[0]
-    q, c = _dealt(q_rows, c_rows, "chunk_id")
-    near = q.join(c, ["block", "salt"]).filter("query_id <> chunk_id").filter(apart <= F.lit(limit if limit is not None else bits))
-    best = cut(_best(near.select("query_id", "salt", "chunk_id", F.round(_dot("q", "c"), 4).alias("score")), "chunk_id", k))
-    short = queries.join(best.filter(F.col("rank") == k).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_anti")
-    full = short.select(F.col("chunk_id").alias("query_id")).distinct()
-    if full.isEmpty():
+
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, path: str | None = None, again: int = 10) -> DataFrame:
+    """Approximate neighbours by an inverted file with product-quantised codes (``ivf``), built at ``path`` or in a scratch folder; a query with fewer than k of them is searched in full."""
+    spark, vectors, asked = chunks.sparkSession, cut(_vectors(chunks)), cut(_vectors(queries))
+    index = ivf.IvfIndex.create(vectors, path or scratch(spark, "ivf"), k=k)
+    best = cut(ivf.search(index, asked, vectors, k, again))
+    short = asked.join(best.filter(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    if short.isEmpty():
         return best
-    return best.join(full, "query_id", "left_anti").unionByName(cosine_topk(short, chunks, k))
+    exact = _best_rows(short, vectors, k, _dims(vectors), linked=False).select("query_id", F.col("row_id").alias("chunk_id"), "score", "rank")
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
 
 
 def text_search(queries: DataFrame, texts: DataFrame, k: int = 10, dims: int = 256) -> DataFrame:
     """Top k texts per query text by the dot product of hashed embeddings; texts that share no bucket are none."""
-    vectors = lambda df: hash_embed(df, dims).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.try_element_at("m", i))
-    q, c = _dealt(vectors(queries).select(F.col("id").alias("query_id"), dense.alias("q")), vectors(texts).select(F.col("id").alias("file_id"), F.map_entries("m").alias("c")), "file_id")
-    products = F.transform("c", lambda x: F.get("q", x["key"]) * x["value"])
-    pairs = q.join(c, ["block", "salt"]).filter("query_id <> file_id").select("query_id", "salt", "file_id", F.filter(products, lambda x: x.isNotNull()).alias("p")).filter("size(p) > 0")
-    return _best(pairs.select("query_id", "salt", "file_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 4).alias("score")), "file_id", k)
+    both = texts.select("id", "text").unionByName(queries.select("id", "text")).dropDuplicates(["id"])
+    vectors = cut(hash_embed(both, dims).groupBy("id").agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), "weight")).alias("v")).select("id", F.col("v.b").alias("b"), F.col("v.weight").alias("w")))
+    of = lambda df: vectors.join(df.select("id").distinct(), "id", "left_semi")
+    return _best_rows(of(queries), of(texts), k, dims, linked=True).select("query_id", F.col("row_id").alias("file_id"), "score", "rank")
 
 
 def search_enrich(hits: DataFrame, chunks: DataFrame, ent: DataFrame) -> DataFrame:
