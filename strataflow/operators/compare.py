@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def line_diff(versions: DataFrame) -> DataFrame:
-    """(id, change, line_no, line_sha256) of lines only in the old text, only in the new, or in both (old numbers)."""
+    """(id, change, line_no, line_sha256) of an ordered walk over both texts.
+
+    Lines that only one text has are removed (old numbers) or added (new numbers). The others are paired in order: equal ones are
+    common (old numbers), and of others the old one is removed and the new one added, so a moved line is both. Common and added lines
+    in the order of the new text are the new text.
+    """
     side = lambda c: versions.select("id", F.posexplode(F.split(c, "\n")).alias("i", "line")).select("id", (F.col("i") + 1).alias("line_no"), "line")
+
+    def placed(lines: DataFrame, other: DataFrame) -> DataFrame:
+        """Lines with their place among those that the other text has too; null for lines that it lacks."""
+        known = lines.join(other.select("id", "line").distinct().withColumn("shared", F.lit(1)), ["id", "line"], "left")
+        rank = F.sum("shared").over(W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow))
+        return known.withColumn("place", F.when(F.col("shared") == 1, rank)).select("id", "line_no", "line", "place")
+
     old, new = side("old_text"), side("new_text")
-    keys = lambda df: df.select("id", "line").distinct()
+    a, b = placed(old, new), placed(new, old)
     tag = lambda df, what: df.select("id", F.lit(what).alias("change"), "line_no", F.sha2("line", 256).alias("line_sha256"))
-    return (tag(old.join(keys(new), ["id", "line"], "left_anti"), "removed").unionByName(tag(new.join(keys(old), ["id", "line"], "left_anti"), "added"))
-            .unionByName(tag(old.join(keys(new), ["id", "line"], "left_semi"), "common")))
+    pairs = a.filter("place IS NOT NULL").join(b.filter("place IS NOT NULL").select("id", "place", F.col("line_no").alias("new_no"), F.col("line").alias("new_line")), ["id", "place"], "full")
+    same = F.col("line").eqNullSafe(F.col("new_line"))
+    changed = pairs.filter(~same)
+    return (tag(a.filter("place IS NULL"), "removed").unionByName(tag(b.filter("place IS NULL"), "added")).unionByName(tag(pairs.filter(same), "common"))
+            .unionByName(tag(changed.filter("line_no IS NOT NULL"), "removed"))
+            .unionByName(tag(changed.filter("new_no IS NOT NULL").select("id", F.col("new_no").alias("line_no"), F.col("new_line").alias("line")), "added")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataflow.functions.paths import is_test_file
-from strataflow.functions.text import identifier_tokens
+from strataflow.functions.text import token_set
 from strataflow.operators import extract as X
 from strataflow.operators import ivf
 from strataflow.operators.store import cut, scratch
@@ -67,7 +67,7 @@ def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
     Each distinct token (identifiers and their parts) adds a signed one to its bucket: the first four bytes of its
     MD5 name the bucket, an odd fifth byte adds, an even one takes away.
     """
-    token = texts.select("id", F.explode(F.array_distinct(identifier_tokens("text"))).alias("token"))
+    token = texts.select("id", F.explode(token_set("text")).alias("token"))
     h = F.md5("token")
     bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dims
     sign = F.when(F.substring(h, 10, 1).isin(*"13579bdf"), 1).otherwise(-1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataflow.operators.resolve import callees_of, callers_of
+from strataflow.operators.resolve import callees_of, caller_totals
 
 
 def edges(calls: DataFrame) -> DataFrame:
@@ -72,11 +72,12 @@ def capped_callers(calls: DataFrame, ent: DataFrame, k: int = 20) -> DataFrame:
 def impact_report(calls: DataFrame, ent: DataFrame) -> DataFrame:
     """Callers, distinct caller modules, callees, impact level and reason of every entity."""
     made = callees_of(calls, ent).groupBy("repository_id", "entity_id").agg(F.count(F.lit(1)).alias("callees"))
-    per = callers_of(calls, ent).groupBy("repository_id", "entity_id").agg(F.count(F.lit(1)).alias("callers"), F.count_distinct("caller_module").alias("modules"))
+    per = caller_totals(calls, ent)
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     all_ = ent.join(per, ["repository_id", "entity_id"], "left").join(made, ["repository_id", "entity_id"], "left").select("repository_id", "entity_id", "complexity", none("callers"), none("modules"), none("callees"))
     high = (F.col("callers") >= 3) | (F.col("modules") >= 2) | (F.col("callers") >= 1) & (F.col("complexity") >= 10)
     medium = (F.col("callers") >= 1) | (F.col("complexity") >= 5)
+    # The texts of the three levels.
     reason = (F.when(high, F.format_string("%d callers across %d modules depend on this function's behavior and error semantics.", "callers", "modules"))
               .when(medium, F.concat(F.format_string("%d caller in %d ", "callers", "modules"), F.when(F.col("modules") == 1, "module").otherwise("modules"), F.lit(" depends on this function.")))
               .otherwise("No callers in this repository depend on this function; low impact risk."))
@@ -84,7 +85,7 @@ def impact_report(calls: DataFrame, ent: DataFrame) -> DataFrame:
 
 
 def distinct_modules(calls: DataFrame, ent: DataFrame) -> DataFrame:
-    return callers_of(calls, ent).groupBy("repository_id", "entity_id").agg(F.count_distinct("caller_module").alias("modules"))
+    return caller_totals(calls, ent).select("repository_id", "entity_id", "modules")
 
 
 def impact_level(calls: DataFrame, ent: DataFrame) -> DataFrame:

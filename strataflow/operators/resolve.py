@@ -73,6 +73,28 @@ def callers_of(calls: DataFrame, ent: DataFrame) -> DataFrame:
     return by_id.unionByName(by_name).distinct()
 
 
+def caller_totals(calls: DataFrame, ent: DataFrame) -> DataFrame:
+    """(repository_id, entity_id, callers, modules): sizes of what ``callers_of`` lists, for entities with callers.
+
+    Calls by name are counted once per (repository, name) and by id once per entity, less those that the entity's name has already; a name of many calls
+    and many entities thus costs the sum of both, not the product.
+    """
+    at = ["caller", "caller_module", "call_line"]
+    who = calls.join(ent.select(F.col("entity_id").alias("caller_id"), F.col("name").alias("caller"), F.col("module").alias("caller_module")), "caller_id")
+    named = who.select("repository_id", last("callee_name").alias("name"), *at).distinct()
+    by_name = named.groupBy("repository_id", "name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("caller_module").alias("m"))
+    target = ent.select("repository_id", "entity_id", "name").distinct()
+    by_id = who.filter("callee_id IS NOT NULL").select("repository_id", F.col("callee_id").alias("entity_id"), *at).distinct().join(target, ["repository_id", "entity_id"], "left")
+    null_safe = lambda left, right, keys: [left[k].eqNullSafe(right[k]) for k in keys]
+    more = by_id.join(named, null_safe(by_id, named, ["repository_id", "name", *at]), "left_anti").groupBy("repository_id", "entity_id").agg(F.count(F.lit(1)).alias("more_n"))
+    at_module, in_module = by_id.select("repository_id", "entity_id", "name", "caller_module").distinct(), named.select("repository_id", "name", "caller_module").distinct()
+    more_modules = at_module.join(in_module, null_safe(at_module, in_module, ["repository_id", "name", "caller_module"]), "left_anti").groupBy("repository_id", "entity_id").agg(F.count("caller_module").alias("more_m"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    all_ = target.join(by_name, ["repository_id", "name"], "left").join(more, ["repository_id", "entity_id"], "full").join(more_modules, ["repository_id", "entity_id"], "left")
+    rows = all_.select("repository_id", "entity_id", (zero("n") + zero("more_n")).alias("callers"), (zero("m") + zero("more_m")).alias("modules"))
+    return rows.filter("callers > 0")
+
+
 def callees_of(calls: DataFrame, ent: DataFrame) -> DataFrame:
     """Callees of every caller with their module where the id is known; once per (name, module)."""
     target = ent.select(F.col("entity_id").alias("callee_id"), F.col("name").alias("target"), "module")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataflow.functions import paths as P
 from strataflow.functions import plug
 from strataflow.functions import text as X
-from strataflow.operators import compare, extract, graph, index, metrics, resolve, scoring
+from strataflow.operators import compare, extract, facts, graph, index, metrics, resolve, scoring
 from strataflow.operators.store import scratch
 from strataflow.plans.bindings import bind, table
 from strataflow.sources import files as S
@@ -55,7 +55,6 @@ register("graph_nodes", graph.graph_nodes, "ent")
 register("module_dependency_graph", graph.module_dependency_graph, "calls", "ent")
 register("module_cycles", graph.module_cycles, "modedge")
 register("cyclic_components", graph.cyclic_components, "modedge")
-register("facts_json_roundtrip", S.facts_json_roundtrip, "code")
 for _name in ("extract_definitions", "qualified_names", "signature_arguments", "visibility_flag", "doc_comments", "cyclomatic_complexity", "class_complexity", "extract_calls", "dynamic_call_flag",
               "extract_imports", "extract_inheritance", "globals_used", "semantic_facts", "quarantine_unparseable"):
     register(_name, getattr(extract, _name), "code")
@@ -82,6 +81,16 @@ def api_compatibility(spark, sf_dir):
     return scoring.api_compatibility(versions, reported.unionByName(reported))
 
 
+@query
+def facts_json_roundtrip(spark, sf_dir):
+    """Trees of facts that a round trip through JSON text changes, by side and number, and texts that are rejected."""
+    trees = facts.file_facts(bind(spark, sf_dir, "code"))
+    back = facts.from_json(facts.to_json(trees), trees.schema)
+    text = lambda df: df.select(F.to_json(F.struct(*trees.columns)).alias("json"))
+    same = S.facts_equal(text(trees), text(back.filter("reason IS NULL").select("facts.*")))
+    return same.unionByName(back.filter("reason IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("side"), "n"))
+
+
 @query
 def resolve_calls_repo(spark, sf_dir):
     # the alias of every module names the module of its least supplier, as an import would
@@ -125,8 +134,8 @@ def import_target(spark, sf_dir):
 @query
 def resolve_inheritance(spark, sf_dir):
     code = bind(spark, sf_dir, "code")
-    facts = extract.analyse(code)
-    return resolve.resolve_inheritance(extract.extract_inheritance(code, facts), extract.definitions(code, facts))
+    done = extract.analyse(code)
+    return resolve.resolve_inheritance(extract.extract_inheritance(code, done), extract.definitions(code, done))
 
 
 @query
@@ -246,9 +255,9 @@ def architectural_issues(spark, sf_dir):
 def module_summary(spark, sf_dir):
     """Per file: entity count, purpose, first five responsibilities and dependencies."""
     code = bind(spark, sf_dir, "code")
-    facts, key = extract.analyse(code), extract.KEY
-    ents = extract.definitions(code, facts).groupBy(*key).agg(F.count(F.lit(1)).alias("entity_count"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name"))), lambda x: x["qualified_name"]), 1, 5), ", ").alias("responsibilities"))
-    deps = extract.extract_imports(code, facts).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("module")), ", ").alias("dependencies"))
+    done, key = extract.analyse(code), extract.KEY
+    ents = extract.definitions(code, done).groupBy(*key).agg(F.count(F.lit(1)).alias("entity_count"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name"))), lambda x: x["qualified_name"]), 1, 5), ", ").alias("responsibilities"))
+    deps = extract.extract_imports(code, done).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("module")), ", ").alias("dependencies"))
     return ents.join(deps, key, "left").select(*key, "entity_count", F.format_string("Module %s defines %d entities.", P.stem(), "entity_count").alias("purpose"), "responsibilities", F.coalesce("dependencies", F.lit("")).alias("dependencies"))
 
 
@@ -340,8 +349,8 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parse_response_json(spark, sf_dir):
-    j = X.response_json("response")
-    return _responses(spark, sf_dir).select("conv_id", "turn", F.coalesce(j, F.lit("rejected")).alias("parse_response_json"))
+    rows = _responses(spark, sf_dir).withColumn("j", X.checked_json("response", {"answer": "number", "title": "string"}))
+    return rows.select("conv_id", "turn", F.coalesce("j.json", F.lit("rejected")).alias("parse_response_json"), F.coalesce("j.reason", F.lit("")).alias("reason"))
 
 
 @query

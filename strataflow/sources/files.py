@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from strataflow.functions import paths as P
@@ -184,16 +183,6 @@ def majority_language(files: DataFrame) -> DataFrame:
     return best.select("repository_id", F.col("b.language").alias("language"), F.when(F.col("b.n_main") > 0, F.col("b.n_main")).otherwise(F.col("b.n_rest")).alias("n"))
 
 
-FILE_FACTS = T.StructType([T.StructField("repository_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("language", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))])
-
-
-def facts_json_roundtrip(code: DataFrame) -> DataFrame:
-    """Rows that a round trip through JSON text changes, by side and number (none: zeros)."""
-    facts = code.select("repository_id", "path", "language", F.split("text", "\n").alias("lines"))
-    back = facts.select(F.from_json(F.to_json(F.struct("*")), FILE_FACTS).alias("f")).select("f.*")
-    return facts_equal(facts, back)
-
-
 def facts_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, n): rows of each table, with repeats, that the other lacks; zeros for equal tables."""
     count = lambda x, y, side: x.exceptAll(y).agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")

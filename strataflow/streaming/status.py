@@ -24,42 +24,55 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def _run(stream: DataFrame, out: str, mode: str) -> DataFrame:
-    """Run to the end of what is there, from the checkpoint beside ``out`` if there is one; the table at ``out``.
+def _run(stream: DataFrame, out: str) -> DataFrame:
+    """Run to the end of what is there, from the checkpoint beside ``out`` if there is one; the rows of all micro-batches.
 
     Each micro-batch writes a folder of its own, named by its epoch, so a repeated epoch replaces what it wrote before.
-    ``append`` reads all of them; ``complete`` reads the newest, and those before the last two go, so readers of the newest
-    table are never overwritten.
     """
     spark = stream.sparkSession
+    query = (stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True)
+             .foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start())
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", IntegerType())])).parquet(out).select(*stream.columns)
+
+
+#: Versions after which the live rows are written as one folder.
+COMPACT = 20
+
+
+def _upsert(stream: DataFrame, out: str, key: list[str]) -> DataFrame:
+    """Run a keyed aggregation in update mode: each micro-batch writes only the keys it changed, as one commit that replaces their older rows.
+
+    The commit bears the batch's number, so a repeated batch changes nothing; a killed one leaves the version before it.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    keyed = stream.withColumn("_row_key", F.to_json(F.struct(*key)))
+    table = VersionedTable(spark, out, keyed.schema, "_row_key")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        if mode == "complete" and epoch > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={epoch - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        table.stage(epoch, batch)
+        if table.commit([epoch], replace=True) % COMPACT == 0:
+            table.compact()
 
-    query = (stream.writeStream.outputMode("complete" if mode == "complete" else "append").option("checkpointLocation", f"{out}-checkpoint")
-             .trigger(availableNow=True).foreachBatch(write).start())
+    query = keyed.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", IntegerType())])).parquet(out)
-    if mode == "complete":
-        rows = rows.filter(F.col("epoch") == F.lit(rows.agg(F.max("epoch")).first()[0]))
-    return rows.select(*stream.columns)
+    return table.read().select(*columns)
 
 
 def stage_status(stages: DataFrame, out: str) -> DataFrame:
     """Latest state per (analysis, stage), kept up to date by a stateful aggregation."""
     latest = stages.groupBy("analysis_id", "stage").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
-    return _run(latest, out, "complete")
+    return _upsert(latest, out, ["analysis_id", "stage"])
 
 
 def latest_runs(cases: DataFrame, out: str) -> DataFrame:
     """Newest case per repository: its run, name and status."""
     latest = cases.groupBy("repository_id").agg(F.max(F.struct("ts", "event_id", "run_id", "status")).alias("b"))
-    return _run(latest.select("repository_id", F.col("b.run_id").alias("run_id"), F.col("b.event_id").alias("event_id"), F.col("b.status").alias("status")), out, "complete")
+    return _upsert(latest.select("repository_id", F.col("b.run_id").alias("run_id"), F.col("b.event_id").alias("event_id"), F.col("b.status").alias("status")), out, ["repository_id"])
 
 
 def _guard(keep_ms: int):
@@ -94,7 +107,7 @@ def duplicate_guard(events: DataFrame, out: str, delay: str = "1 day", keep_days
     """
     once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     judged = once.groupBy("analysis_id").applyInPandasWithState(_guard(keep_days * 86_400_000), "analysis_id bigint, event_id bigint, accepted boolean", "open boolean, latest bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return _run(judged, out, "append")
+    return _run(judged, out)
 
 
 FACTS = "repository_id string, file_id bigint, loc bigint, sha256 string"
