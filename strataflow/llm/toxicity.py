@@ -316,14 +316,15 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibration: int = 4) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibration: int = 4, row: str | None = None) -> DataFrame:
     """For every row: doc_id, held_out, score, predicted.
 
     Labels are read only where crc32(doc_id) % 5 is not 0; of these rows one in ``for_calibration`` fits
-    the logistic regression and the others the models.
+    the logistic regression and the others the models. ``row`` names a bigint column that tells rows apart; the result then has it too.
     """
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    also = [] if row is None else [row]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), *also)
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & (fold() % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = stage(known.withColumn("part", F.floor(fold() / 5) % for_calibration), "labels")
@@ -331,8 +332,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibra
     few = for_counts.count() <= BROADCAST_LABELS
     train = texts.join(F.broadcast(for_counts) if few else for_counts.hint("merge"), "doc_id").select("text", "toxic")
     rows = evidence_rows(count_grams(train, order), order)
-    scored = evidence(texts, keyed_model(rows, order), order) if rows.count() <= MAX_KEYS else evidence_by_join(texts, rows, order)
+    asked = texts if row is None else texts.select(F.col(row).alias("doc_id"), "text")
+    scored = evidence(asked, keyed_model(rows, order), order) if rows.count() <= MAX_KEYS else evidence_by_join(asked, rows, order)
     found = stage(scored, "evidence")
+    if row is not None:
+        found = stage(found.withColumnRenamed("doc_id", row).join(texts.select(row, "doc_id").hint("merge"), row), "evidence-rows", done=(found,))
     fit_on = found.join(known.filter("part = 0").select("doc_id", "toxic").hint("merge"), "doc_id")
     found = found.withColumn("held_out", F.coalesce(fold() % 5 == 0, F.lit(False)))
     vector, score = "features_vector", F.col("score")
@@ -342,14 +346,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, for_calibra
         found = fitted.transform(assemble.transform(found)).withColumn("score", vector_to_array("probability")[1])
     else:
         found = found.withColumn("score", 1 / (1 + F.exp(PRIOR - F.col("best1"))))
-    return found.select("doc_id", "held_out", "score", (score >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", "held_out", "score", (score >= 0.5).cast("int").alias("predicted"), *also)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows that score below ``threshold``, with all columns of ``docs``; rows without doc_id stay."""
-    key = fresh_name(docs, "toxic_key")
-    bad = stage(toxicity(docs, labels).filter(F.col("score") >= threshold).select(F.col("doc_id").alias(key)).distinct(), "toxic")
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad[key], "left_anti").select(*docs.columns)
+    """The rows that score below ``threshold``, with all columns of ``docs``; each row is judged by its own text, whatever its doc_id."""
+    key = fresh_name(docs, "toxic_row")
+    numbered = stage(docs.withColumn(key, F.monotonically_increasing_id()), "toxic-rows")
+    bad = stage(toxicity(numbered, labels, row=key).filter(F.col("score") >= threshold).select(key), "toxic")
+    return numbered.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

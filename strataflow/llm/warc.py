@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,25 +48,45 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
         payload.alias("payload"), F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("payload_digest"))
 
 
-#: A record as Spark's text reader gives it: what separates records ends in the middle of the next version line.
+#: What separates records for Spark's text reader: it ends in the middle of the next version line.
 SEPARATOR = f"{CRLF}{CRLF}WARC/1."
-_RECORD = re.compile(r"\A(?P<head>.*?)\r\n\r\n(?P<block>.*)\Z", re.S)
 
 
-def parse_record(raw: str) -> dict | None:
-    """The fields of one response record (without its version line); None if it is of another type or broken."""
-    m = _RECORD.match(raw)
-    if not m:
+def parse_record(raw: bytes) -> dict | None:
+    """The fields of one response record (without its version line); None if it is of another type or broken. What is no UTF-8 is replaced."""
+    head, found, block = raw.partition(b"\r\n\r\n")
+    fields = header_of(head)
+    if not found or fields.get("warc-type", "").lower() != "response":
         return None
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in unfolded(m["head"]))}
-    if fields.get("warc-type", "").lower() != "response":
-        return None
-    block = m["block"].encode("utf-8", "surrogatepass")
     if fields.get("content-length", "").isdigit():
         block = block[: int(fields["content-length"])]
-    headers, _, payload = block.decode("utf-8", "replace").partition("\r\n\r\n")
+    headers, _, body = block.partition(b"\r\n\r\n")
+    text = lambda part: part.decode("utf-8", "replace")
     return {"record_id": fields.get("warc-record-id", "").strip("<>"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "date": fields.get("warc-date"),
-            "http_headers": headers, "payload": payload, "payload_digest": fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(payload.encode("utf-8", "surrogatepass")).hexdigest()}
+            "http_headers": text(headers), "payload": text(body), "payload_digest": fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()}
+
+
+def header_of(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in unfolded(head.decode("utf-8", "replace")))}
+
+
+def whole_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Records (without version line) of the pieces between separators; a separator inside a block, by its Content-Length, is put back."""
+    held: bytes | None = None
+    missing = 0
+    for piece in pieces:
+        if held is not None and missing > 0:
+            held += SEPARATOR.encode() + piece
+            missing -= len(SEPARATOR) + len(piece)
+            continue
+        if held is not None:
+            yield held
+        held = piece.partition(CRLF.encode())[2]
+        head, found, block = held.partition(b"\r\n\r\n")
+        size = header_of(head).get("content-length", "") if found else ""
+        missing = int(size) - len(block) if size.isdigit() else 0
+    if held is not None:
+        yield held
 
 
 def unfolded(head: str) -> list[str]:
@@ -74,19 +95,27 @@ def unfolded(head: str) -> list[str]:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of uncompressed WARC/1.0 or 1.1 files in UTF-8, as ``response_records`` gives them; page_id is null.
+    """The response records of WARC/1.0 or 1.1 files, gzipped or not, as ``response_records`` gives them; page_id is null.
 
-    Spark splits the files between records, so a large file is read by several tasks. A payload that holds
-    two line ends and a version line ends there.
+    Records are bytes: a block is as long as its Content-Length says, whatever it holds, and bytes that are no UTF-8 are replaced. Gzipped files
+    are a task each; Spark splits plain ones between records, and there only a block that holds a separator right where Spark splits is cut.
     """
     schema = "page_id bigint, record_id string, url string, date string, http_headers string, payload string, payload_digest string"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [r for raw in part["value"] if (r := parse_record(raw.partition(CRLF)[2]))]
-            yield pd.DataFrame([{"page_id": None} | r for r in found], columns=[c.split()[0] for c in schema.split(", ")]).astype({"page_id": "Int64"})
-
-    return spark.read.option("lineSep", SEPARATOR).text(path).mapInPandas(run, schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for record in whole_records(piece.as_py() for part in parts for piece in part.column(0)):
+            if r := parse_record(record):
+                held.append({"page_id": None} | r)
+            if len(held) == 100:
+                yield pa.RecordBatch.from_pylist(held, SCHEMA)
+                held = []
+        yield pa.RecordBatch.from_pylist(held, SCHEMA)
+
+    SCHEMA = pa.schema([(c, pa.int64() if c == "page_id" else pa.string()) for c in columns])
+    bound_batches(spark)
+    return spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary")).mapInArrow(run, schema)
 
 
 def page_title(page: str) -> str:

@@ -37,3 +37,39 @@ def test_spans_by_search_are_those_by_comparison():
             if all(x["e"] <= a or x["s"] >= b for a, b, _ in kept):
                 kept.append((x["s"], x["e"], x["kind"]))
         assert free_spans(base, more) == kept
+
+
+def test_records_are_read_by_their_length(spark, tmp_path):
+    import gzip
+
+    from strataflow.llm.warc import read_responses
+
+    def record(kind: str, url: str, block: bytes, length: int | None = None) -> bytes:
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <urn:{url}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    bodies = [b"one\r\n\r\nWARC/1.0 two\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nthree", "caf\xe9".encode("latin-1"), b"", "漢".encode()]
+    data = record("warcinfo", "w", b"software: x") + b"".join(record("response", f"u{i}", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b) for i, b in enumerate(bodies)) + record("request", "q", b"GET /")
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(data[i : i + 300]) for i in range(0, len(data), 300)))
+    for name in ("a.warc", "b.warc.gz"):
+        got = {r.url: (r.payload, r.http_headers, r.record_id) for r in read_responses(spark, f"file://{tmp_path}/{name}").collect()}
+        assert got == {f"u{i}": (b.decode("utf-8", "replace"), "HTTP/1.1 200 OK\r\nA: b", f"urn:u{i}") for i, b in enumerate(bodies)}
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    from strataflow.llm.toxicity import drop_toxic
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id").select("text").orderBy("text").limit(40)
+    clean = docs.join(labels.filter("toxic = 0"), "doc_id").select("text").orderBy("text").limit(40)
+    more = toxic.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "'no id' AS source").unionByName(toxic.selectExpr("900001L AS doc_id", "text", "'shared' AS source")).unionByName(clean.selectExpr("900001L AS doc_id", "text", "'clean' AS source"))
+    kept = drop_toxic(docs.select("doc_id", "text", "source").unionByName(more), labels)
+    left: dict[str, set] = {}
+    for r in kept.collect():
+        left.setdefault(r.source if r.source in ("no id", "shared", "clean") else "given", set()).add(r.text)
+    # one text has one score: what goes of the given rows goes of the added ones, and nothing else does
+    asked, good = {r.text for r in toxic.collect()}, {r.text for r in clean.collect()}
+    assert kept.columns == ["doc_id", "text", "source"] and left["no id"] == left["shared"] == left["given"] & asked and left["clean"] == left["given"] & good
+    assert len(left["no id"]) < len(asked) / 2 and len(left["clean"]) > 0.9 * len(good)
