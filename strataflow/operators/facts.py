@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators import extract as X
+from strataflow.operators.store import cut
 from strataflow.operators.tokens import KEY
 
 
@@ -34,6 +35,7 @@ def file_facts(code: DataFrame) -> DataFrame:
     rows = found.select(*names, "line_start", "line_end", "name", "kind", "parent", "is_public")
     for part in parts:
         rows = rows.join(part, names, "left")
+    rows = cut(rows)  # so many joins are planned once
     none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
     entity = ["line_start", "line_end", "name", "kind", "parent", "qualified_name", "signature", "is_public", "docstring", "complexity", *map(none, ("arguments", "globals_used", "calls", "inheritances"))]
     entities = listed(rows, KEY, entity, "entities")

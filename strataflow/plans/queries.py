@@ -11,7 +11,7 @@ from strataflow.functions import paths as P
 from strataflow.functions import plug
 from strataflow.functions import text as X
 from strataflow.operators import compare, extract, facts, graph, index, metrics, resolve, scoring
-from strataflow.operators.store import scratch
+from strataflow.operators.store import cut, scratch
 from strataflow.plans.bindings import bind, table
 from strataflow.sources import files as S
 from strataflow.sources import reports
@@ -84,8 +84,8 @@ def api_compatibility(spark, sf_dir):
 @query
 def facts_json_roundtrip(spark, sf_dir):
     """Trees of facts that a round trip through JSON text changes, by side and number, and texts that are rejected."""
-    trees = facts.file_facts(bind(spark, sf_dir, "code"))
-    back = facts.from_json(facts.to_json(trees), trees.schema)
+    trees = cut(facts.file_facts(bind(spark, sf_dir, "code")))
+    back = cut(facts.from_json(facts.to_json(trees), trees.schema))
     text = lambda df: df.select(F.to_json(F.struct(*trees.columns)).alias("json"))
     same = S.facts_equal(text(trees), text(back.filter("reason IS NULL").select("facts.*")))
     return same.unionByName(back.filter("reason IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("side"), "n"))
