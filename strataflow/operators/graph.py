@@ -114,14 +114,70 @@ def _trimmed(left: DataFrame) -> DataFrame:
     return cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
 
 
+def _doubled(links: DataFrame, rounds: int) -> DataFrame:
+    """(node, ptr, lo) of chains: ``links`` (node, next) followed to the first node that is in no link, by doubling; lo is the least node on the way.
+
+    ``rounds`` doublings cover 2^rounds nodes. A row whose ``ptr`` is still in a link lies on a ring, and its lo is the ring's least node.
+    """
+    rows = cut(links.select("node", F.col("next").alias("ptr"), F.col("node").alias("lo")))
+    for _ in range(rounds):
+        ahead = rows.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("lo").alias("far_lo"))
+        rows = cut(rows.join(ahead, "ptr", "left").select("node", F.coalesce("far", "ptr").alias("ptr"), F.least("lo", F.coalesce("far_lo", "lo")).alias("lo"), F.col("far").isNotNull().alias("moved")), done=(rows,))
+        if rows.filter("moved").isEmpty():
+            break
+    return rows.select("node", "ptr", "lo")
+
+
+def contracted(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, chains, rings) of a graph without loops, with chains contracted by pointer doubling.
+
+    A node with one way in and one way out is on a cycle exactly if the edge that its whole chain makes from the node before it to the node after
+    it lies in one strong component. ``edges`` has those edges instead of the chains (an edge to itself where a chain leaves and enters one node);
+    ``chains`` (node, a, b) has the ends of the chain around each such node, ``rings`` (node, component) the nodes of cycles without any other node.
+    """
+    into, out = left.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("prev")), left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("next"))
+    inside = cut(into.join(out, "node").filter("n_in = 1 AND n_out = 1").select("node", "prev", "next"))
+    rounds = max(1, inside.count()).bit_length() + 1
+    links = lambda way: inside.select("node", F.col(way).alias("next"))
+    after, before = _doubled(links("next"), rounds), _doubled(links("prev"), rounds)
+    ends = after.select("node", F.col("ptr").alias("b"), "lo").join(before.select("node", F.col("ptr").alias("a")), "node")
+    on_ring = ends.join(inside.select(F.col("node").alias("b"), F.lit(True).alias("ring")), "b", "left")
+    rows = cut(on_ring.select("node", "a", "b", "lo", F.coalesce("ring", F.lit(False)).alias("ring")))
+    known = inside.select("node")
+    kept = left.join(known.withColumnRenamed("node", "src"), "src", "left_anti").join(known.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    chains = rows.filter("NOT ring").select("node", "a", "b")
+    edges_ = cut(kept.unionByName(chains.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct())
+    return edges_, chains, rows.filter("ring").select("node", F.col("lo").alias("component"))
+
+
 def cyclic_components(edge: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(node, component) of every node on a cycle of any length; component is the least node of its strong component.
 
-    A graph of at most ``edges_a_task`` edges is searched in one task. A larger one loses, round by round, the edges that
-    are entered or left by nothing, and is coloured: the least node that reaches each node spreads forward, then what
-    reaches its colour's root backwards inside the colour is that root's strong component and leaves the graph.
+    A graph of at most ``edges_a_task`` edges is searched in one task. Of a larger one, chains are contracted to single edges first, so that its
+    rounds do not grow with their length; the rest is searched by ``_rounds``, and a chain whose edge lies in a component joins it.
     """
     left = cut(edge.filter("src <> dst").select("src", "dst").distinct())
+    if left.count() <= edges_a_task:
+        return _rounds(left, edges_a_task)
+    edges_, chains, rings = contracted(left)
+    found = cut(_rounds(cut(edges_.filter("src <> dst")), edges_a_task))
+    # A node with a chain back to itself is a component even if it is in no other.
+    loops = edges_.filter("src = dst").select(F.col("src").alias("node")).distinct().join(found, "node", "left_anti").withColumn("component", F.col("node"))
+    core = cut(found.unionByName(loops))
+    at = lambda end: core.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    joined = chains.join(at("a"), "a").join(at("b"), "b").filter("a_part = b_part").select("node", F.col("a_part").alias("component"))
+    both = core.unionByName(joined)
+    least = both.groupBy("component").agg(F.min("node").alias("least"))
+    return both.join(least, "component").select("node", F.col("least").alias("component")).unionByName(rings)
+
+
+def _rounds(left: DataFrame, edges_a_task: int) -> DataFrame:
+    """``cyclic_components`` of distinct edges without loops.
+
+    A graph of more than ``edges_a_task`` edges loses, round by round, the edges that are entered or left by nothing, and is coloured: the
+    least node that reaches each node spreads forward, then what reaches its colour's root backwards inside the colour is that root's
+    strong component and leaves the graph.
+    """
     kind = left.schema["src"].dataType.simpleString()
     out = []
     while left.count() > edges_a_task:

@@ -114,12 +114,25 @@ def test_chains_and_long_cycles(spark):
     assert [(r.length, r.members) for r in graph.module_cycles(edge).collect()] == [(7, ",".join(str(100 + i) for i in range(7)))]
     assert graph.module_cycles(spark.createDataFrame(chain, "src int, dst int")).count() == 0
     pairs = [(rng.randrange(14), rng.randrange(14)) for _ in range(20)] + [(20, 21), (21, 22), (22, 23)]
+    pairs += [(30, 31), (31, 32), (32, 30), (40, 43), (43, 42), (42, 40), (40, 44), (44, 45), (50, 40)]  # a ring, and a node with a chain back to itself
     frame = spark.createDataFrame(pairs, "src int, dst int")
     want = strong([p for p in pairs if p[0] != p[1]])
     for most in (0, 100_000):
         assert {(r.node, r.component) for r in graph.cyclic_components(frame, most).collect()} == want
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Twenty thousand edges in a row, a long cycle and a ring: rounds grow with the logarithm, where one layer a round would take thousands."""
+    edge = (spark.range(20_000).selectExpr("id AS src", "id + 1 AS dst").unionByName(spark.range(3_000).selectExpr("30000 + id AS src", "30000 + (id + 1) % 3000 AS dst"))
+            .unionByName(spark.createDataFrame([(20_000, 10_000), (40_001, 40_002), (40_002, 40_001), (20_000, 40_001)], "src bigint, dst bigint")))
+    cuts = []
+    plain = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, done=(): cuts.append(1) or plain(df, done))
+    got = {r.component: (r.n, r.a, r.b) for r in graph.cyclic_components(edge, 100).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).collect()}
+    assert got == {10_000: (10_001, 10_000, 20_000), 30_000: (3_000, 30_000, 32_999), 40_001: (2, 40_001, 40_002)}
+    assert len(cuts) < 80
+
+
 def test_hashed_vectors_of_known_tokens(spark):
     """md5("get") = b5eda0a74558a342..., md5("user") = ee11cbb19052e40b..., md5("getuser") and md5("id") are worked out here from the digests."""
     tokens = ["getuser", "get", "user", "id", "user_id"]
