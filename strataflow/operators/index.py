@@ -233,7 +233,7 @@ def text_search(queries: DataFrame, texts: DataFrame, k: int = 10, dims: int = 2
 
 
 def search_enrich(hits: DataFrame, chunks: DataFrame, ent: DataFrame) -> DataFrame:
-    """Hits with their level, entity and the module it is in; module chunks have no entity and are their own place."""
-    named = hits.join(chunks.select("chunk_id", "repository_id", "level"), "chunk_id", "left")
-    key = F.when(F.col("level") != "module", F.concat(F.lit("c"), F.col("chunk_id").cast("string")))
-    return named.withColumn("entity_id", key).join(ent.select("entity_id", "name", "module"), "entity_id", "left").select("query_id", "chunk_id", "level", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("module", F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string"))).alias("path"), "score", "rank")
+    """Hits with their level, entity and the module it is in; ``chunks`` (chunk_id, level, entity_id) have no entity where they are modules, which are their own place."""
+    named = hits.join(chunks.select("chunk_id", "level", "entity_id"), "chunk_id", "left")
+    found = named.join(ent.select("entity_id", "name", "module"), "entity_id", "left")
+    return found.select("query_id", "chunk_id", "level", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("module", F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string"))).alias("path"), "score", "rank")

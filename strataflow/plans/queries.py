@@ -477,7 +477,8 @@ def text_search(spark, sf_dir):
 
 @query
 def search_enrich(spark, sf_dir):
-    return index.search_enrich(cosine_topk(spark, sf_dir), bind(spark, sf_dir, "chunks"), bind(spark, sf_dir, "ent"))
+    chunks = bind(spark, sf_dir, "chunks").withColumn("entity_id", F.when(F.col("level") != "module", F.concat(F.lit("c"), F.col("chunk_id").cast("string"))))
+    return index.search_enrich(cosine_topk(spark, sf_dir), chunks, bind(spark, sf_dir, "ent"))
 
 
 # 2.11 slots
