@@ -18,7 +18,7 @@
    ``sample`` (taken by hash); one threshold per kind comes from the scores of all labelled candidates of the other half
    that pass their check: the least score from which on ``precision`` of them are positive; kinds without labels use
    the greatest of the base kinds. Candidates of any document that reach it and pass their check are
-   added where they overlap nothing stronger, unless they are labelled negative.
+   added where they overlap nothing stronger; a label counts in fitting and calibration only and vetoes nothing.
 
 Defined cases: null text counts as empty; documents without spans have zeros and the digest of the empty
 string; matches that fail their check are dropped and not tried again from a later start; repeated rows are
@@ -306,7 +306,7 @@ def find_pii(docs: DataFrame, sample: int = 20_000, precision: float = 0.99, tre
         scored = stage(scored, "pii-scored")
         limit = thresholds(scored.filter("half = 1 AND passed"), precision)
         table = F.create_map(*(x for k, v in limit.items() for x in (F.lit(k), F.lit(float(v)))))
-        taken = scored.filter("NOT accepted AND passed AND coalesce(label, 1) > 0").filter(F.col("p") >= table[F.col("kind")]).groupBy("row").agg(F.collect_list(F.struct("p", "s", "e", "kind")).alias("added"))
+        taken = scored.filter("NOT accepted AND passed").filter(F.col("p") >= table[F.col("kind")]).groupBy("row").agg(F.collect_list(F.struct("p", "s", "e", "kind")).alias("added"))
         ready = scanned.select("row", *columns, "base").join(taken, "row", "left")
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
