@@ -1,7 +1,8 @@
 """Token counts through a digest cache.
 
 The cache is a table of (tokenizer version, text digest) -> count. Texts are joined to it by digest; only
-distinct misses are encoded, once each, and appended. A tokenizer's version is the SHA-256 of its file,
+distinct misses are encoded, once each, and appended. Jobs that append the same miss at the same time leave
+several rows of it, which are read as one. A tokenizer's version is the SHA-256 of its file,
 and the normalisation is one that leaves counts alone: null becomes empty.
 
 Counts are those of the ``tokenizers`` library. Texts whose characters all lie in the ASCII and Latin
@@ -126,7 +127,8 @@ def token_counts(docs: DataFrame, version: str, count: Callable[[list[str]], lis
             yield pd.DataFrame({"version": version, "digest": part["miss"], "n_tokens": count(part["text"].tolist())})
 
     cache.append(texts.mapInPandas(encode, CACHE_SCHEMA).dropDuplicates(["digest"]))
-    counts = cache.rows(version).select("digest", "n_tokens")
+    # writers that missed the same text at the same time leave a row each, with the same count; staged, so that a hot text's rows can still be split
+    counts = stage(cache.rows(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return digested.join(counts.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -12,7 +12,7 @@ import pytest
 from strataflow.llm.decontaminate import contained_items, drop_contaminated, sketch_need, sketch_size
 from strataflow.llm.exact_dedup import DigestIndex, dedup_groups, drop_copies
 from strataflow.llm.source_mix import mix
-from strataflow.llm.token_counts import TokenCache, json_counter, token_counts, tokenizer_version
+from strataflow.llm.token_counts import CACHE_SCHEMA, TokenCache, json_counter, token_counts, tokenizer_version
 
 ODD = [(1, None, "b"), (2, "", "b"), (3, " \n\t", None), (4, "a b", "a"), (5, "ab", "a"), (6, "a  b ", "a"), (6, "a  b ", "a"), (7, "x " * 30_000, "c"), (8, "a b", "")]
 
@@ -125,6 +125,9 @@ def test_cache_encodes_only_misses(spark, odd):
         raise AssertionError("nothing is left to encode")
 
     assert token_counts(odd, version, fail, cache).count() == len(ODD)
+    cache.append(spark.createDataFrame(cache.rows(version).collect(), CACHE_SCHEMA))  # a second writer had the same misses
+    again = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(odd, version, fail, cache).collect()}
+    assert again == got and token_counts(odd, version, fail, cache).count() == len(ODD)
     assert token_counts(odd.limit(0), version, count).count() == 0
 
 
