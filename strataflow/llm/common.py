@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +89,18 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, small)
 
 
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for ``mapInPandas``, after which the worker hands back to the system what ``run`` has freed: workers live on, through other stages."""
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(parts)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return whole
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import NO_ID, bound_batches, fresh_name, stage, text_of
+from strataflow.llm.common import NO_ID, bound_batches, fresh_name, lean, stage, text_of
 from strataflow.llm.shingles import WordHashes, shingle_set, shingle_stream
 
 MOST_BITS = 26  # of a bitmap's address
@@ -116,7 +116,7 @@ def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
                 n = [len(x) for x in found]
                 yield pd.DataFrame({"doc_id": np.repeat(ids, n), "text_hash": np.repeat(texts, n), "part": np.repeat(of, n), "h": np.concatenate(found)})
 
-    hits = keyed(docs).mapInPandas(run, "doc_id bigint, text_hash bigint, part int, h bigint").join(known, ["part", "h"])
+    hits = keyed(docs).mapInPandas(lean(run), "doc_id bigint, text_hash bigint, part int, h bigint").join(known, ["part", "h"])
     in_sketch = F.count_distinct(F.when(F.col("in_sketch"), F.col("h")))
     return (hits.groupBy("doc_id", "text_hash", "item_id", "n_item", "need").agg(in_sketch.alias("met"), F.count_distinct("h").alias("n_common"))
             .filter((F.col("met") >= F.col("need")) & (F.col("n_common") * 100 >= F.col("n_item") * percent)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import bound_batches, fresh_name, stage, text_of
+from strataflow.llm.common import bound_batches, fresh_name, lean, stage, text_of
 from strataflow.llm.components import components
 from strataflow.llm.shingles import WordHashes, mix64, shingle_set, similar
 
@@ -273,14 +273,14 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, known: DataFrame, k: int,
     pairs_type, n_blocks = "a bigint, b bigint", F.ceil(F.col("members") / LEAF)
     first = small.select("tree", "node", F.lit(0).alias("block"), "rep").unionByName(
         large.select("tree", "node", F.pmod(F.xxhash64("rep", "tree"), n_blocks).cast("int").alias("block"), "rep")).filter(F.col("tree") < FIRST_TREES)
-    tried = stage(_gather(first, ["node", "block"], reps, []).mapInPandas(_forest(percent), pairs_type).distinct(), "tried")
+    tried = stage(_gather(first, ["node", "block"], reps, []).mapInPandas(lean(_forest(percent)), pairs_type).distinct(), "tried")
     # any further candidate may join two of these or others, so texts are kept for all that share a node
     shared = small.select("rep").union(large.select("rep")).distinct()
     texts = stage(texts_of.join(shared.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "texts")  # repeated rows are alike
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(_verified(k, percent), pairs_type)
+        return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(lean(_verified(k, percent)), pairs_type)
 
     links = stage(verify(tried).unionByName(known), "links")
     labels = components(links)
@@ -304,9 +304,9 @@ def link_classes(reps: DataFrame, texts_of: DataFrame, known: DataFrame, k: int,
         twos = parts.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), other.alias("other"), "rep", "label", F.lit(2).alias("side"))
         rows = rows.unionByName(ones).unionByName(twos)
     rows = stage(rows, "mixed", done=(*held, labels))
-    samples = texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInPandas(_thin(k), "rep bigint, sample binary")
+    samples = texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInPandas(lean(_thin(k)), "rep bigint, sample binary")
     members = stage(reps.join(samples.hint("merge"), "rep"), "members")
-    more = _gather(rows, ["node", "block", "other"], members, ["label", "side", "sample"]).mapInPandas(_across(percent), pairs_type).distinct()
+    more = _gather(rows, ["node", "block", "other"], members, ["label", "side", "sample"]).mapInPandas(lean(_across(percent)), pairs_type).distinct()
     more = stage(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more", done=(tried, rows, members))
     added = stage(verify(more), "links", done=(more, texts))
     return components(links.unionByName(added))
@@ -318,7 +318,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
     text = text_of()
     # rows without doc_id sort last, so a class has the least doc_id of its rows if there is any
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    features = stage(rows.mapInPandas(_features(k), FEATURES), "features")
+    features = stage(rows.mapInPandas(lean(_features(k)), FEATURES), "features")
     full = features.filter("n_shingles > 0")
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("least"))
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")

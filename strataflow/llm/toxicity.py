@@ -36,7 +36,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import bound_batches, fresh_name, stage, text_of
+from strataflow.llm.common import bound_batches, fresh_name, lean, stage, text_of
 from strataflow.llm.shingles import mix64
 
 ORDER, DISCOUNT = 6, 0.75
@@ -108,7 +108,7 @@ def count_grams(train: DataFrame, order: int) -> DataFrame:
             if held[y]:
                 yield flush(y)
 
-    rows = train.mapInPandas(run, "g string, toxic int, c bigint")
+    rows = train.mapInPandas(lean(run), "g string, toxic int, c bigint")
     return rows.groupBy("g").agg(F.sum(F.col("c") * F.col("toxic")).alias("c1"), F.sum(F.col("c") * (1 - F.col("toxic"))).alias("c0"))
 
 
@@ -161,8 +161,8 @@ def evidence_rows(grams: DataFrame, order: int) -> DataFrame:
     return stage(known.union(unknown), "evidence")
 
 
-def hashed(evidence: DataFrame, order: int) -> DataFrame:
-    """(k, v): the evidence by 64-bit key."""
+def hashed(evidence: DataFrame, order: int, packed: bool = False) -> DataFrame:
+    """(k, v): the evidence by 64-bit key; ``packed`` gives a batch as one row of two arrays' bytes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -172,20 +172,17 @@ def hashed(evidence: DataFrame, order: int) -> DataFrame:
             place = np.arange(len(signs)) - np.repeat(ends + 1 - lengths, lengths)
             h = _gram_hashes(signs, place, order)[0][ends]
             h = np.where(part["is_context"].to_numpy(), mix64(h ^ _A), h)
-            yield pd.DataFrame({"k": h.view(np.int64), "v": part["v"].to_numpy(np.float32)})
+            k, v = h.view(np.int64), part["v"].to_numpy(np.float32)
+            yield pd.DataFrame({"k": [k.tobytes()], "v": [v.tobytes()]} if packed else {"k": k, "v": v})
 
-    return evidence.mapInPandas(run, "k bigint, v float")
+    return evidence.mapInPandas(run, "k binary, v binary" if packed else "k bigint, v float")
 
 
 def keyed_model(evidence: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, values), sorted by key; for evidence of at most ``MAX_KEYS`` rows."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"k": [part["k"].to_numpy(np.int64).tobytes()], "v": [part["v"].to_numpy(np.float32).tobytes()]})
-
-    # a batch comes as one row of two packed arrays: 12 bytes a key on the driver
-    packed = hashed(evidence, order).mapInPandas(run, "k binary, v binary").collect()
+    # a batch comes as one row of two packed arrays: 12 bytes a key on the driver. Packed by the worker that hashes: a second
+    # one per task would live on beside it, in all later stages
+    packed = hashed(evidence, order, packed=True).collect()
     keys, values = np.frombuffer(b"".join(r.k for r in packed), np.uint64), np.frombuffer(b"".join(r.v for r in packed), np.float32)
     order_ = np.argsort(keys)
     return keys[order_], values[order_]
@@ -260,7 +257,7 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], order: int)
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy() if part["doc_id"].notna().all() else pd.array(part["doc_id"], dtype="Int64"))
             yield out
 
-    return docs.mapInPandas(run, "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.mapInPandas(lean(run), "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def evidence_by_join(docs: DataFrame, rows: DataFrame, order: int) -> DataFrame:
