@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators import extract as X
-from strataflow.operators.store import cut
+from strataflow.operators.store import cut, sorted_join
 from strataflow.operators.tokens import KEY
 
 
@@ -20,7 +20,7 @@ def file_facts(code: DataFrame) -> DataFrame:
     listed = lambda df, by, fields, out: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
     found = X.definitions(code, done)
     local = found.select(*KEY, F.col("name").alias("tail")).distinct().withColumn("resolved", F.lit(True))
-    calls = X.extract_calls(code, done).withColumn("tail", F.substring_index("callee_name", ".", -1)).join(local, [*KEY, "tail"], "left")
+    calls = X.extract_calls(code, done).withColumn("tail", F.substring_index("callee_name", ".", -1)).join(sorted_join(local), [*KEY, "tail"], "left")
     calls = calls.select(*KEY, F.col("caller").alias("qualified_name"), "line", F.col("callee_name").alias("name"), (F.coalesce("resolved", F.lit(False)) & ~F.col("dynamic")).alias("resolved"), "dynamic")
     call = ("line", "name", "resolved", "dynamic")
     parts = (
@@ -34,7 +34,7 @@ def file_facts(code: DataFrame) -> DataFrame:
     )
     rows = found.select(*names, "line_start", "line_end", "name", "kind", "parent", "is_public")
     for part in parts:
-        rows = rows.join(part, names, "left")
+        rows = rows.join(sorted_join(part), names, "left")
     rows = cut(rows)  # so many joins are planned once
     none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
     entity = ["line_start", "line_end", "name", "kind", "parent", "qualified_name", "signature", "is_public", "docstring", "complexity", *map(none, ("arguments", "globals_used", "calls", "inheritances"))]
@@ -43,7 +43,7 @@ def file_facts(code: DataFrame) -> DataFrame:
     outside = listed(calls.filter("qualified_name = ''"), KEY, call, "module_calls")
     out = code.select(*KEY, "language")
     for part in (entities, imports, outside):
-        out = out.join(part, KEY, "left")
+        out = out.join(sorted_join(part), KEY, "left")
     return out.select(*KEY, "language", *(F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("entities", "imports", "module_calls")))
 
 
