@@ -19,9 +19,14 @@ from strataflow.sources.versions import VersionedTable
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a folder as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The Parquet table ``name`` of a folder as a stream; the table is one file or a folder of files."""
+    at = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(at).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(at)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _run(stream: DataFrame, out: str) -> DataFrame:

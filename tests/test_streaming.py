@@ -76,3 +76,12 @@ def test_many_batches_are_compacted(spark, feed, tmp_path, monkeypatch):
     for i in range(5):
         want[str(i % 3)] = (str(10 + i), f"s{i}")
         assert runs(feed((i % 3, 10 + i, i, f"s{i}"))) == want
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    """A table is one file or a folder of files; a stream of a folder read nothing before."""
+    from strataflow.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "a\nb", "en", "s", 3), (2, "c", "en", "s", 1), (3, "d", "en", "t", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["stream_ingest_files"](spark, str(tmp_path)).collect()} == {("s", 2, 3), ("t", 1, 1)}
