@@ -60,3 +60,9 @@ def test_responses_need_their_keys(spark):
     got = spark.createDataFrame(rows, "k string, t string").select("k", X.checked_json("t", {"x": "number", "y": "string"}).alias("j")).collect()
     assert {r.k: r.j.reason for r in got} == {"a": None, "b": "x is no number", "c": None, "d": "missing x", "e": "no JSON object", "f": "missing x", "g": "y is no string", "h": "no JSON object"}
     assert all((r.j.json is None) == (r.j.reason is not None) for r in got)
+
+
+def test_diff_deals_lines_once(spark):
+    """Lines of both texts are shuffled once, as digests."""
+    rows = compare.line_diff(spark.createDataFrame([(1, "a\nb", "b\nc")], "id bigint, old_text string, new_text string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
