@@ -23,3 +23,10 @@ def test_a_part_is_a_part_of_all_tokens(part):
         assert all(of[c] == r[c] for c in r)
     ends = {p: max(i for q, c, i in whole if q == p and not c) for p in TEXTS}
     assert {p: max(r["i"] for r in some if r["path"] == p and r["what"] != "comment") for p in TEXTS} == ends
+
+
+@pytest.mark.parametrize("text", ["", "# Only a comment.\n"])
+def test_a_batch_without_tokens(text):
+    held = T.Tokens()
+    held.fold({"repository_id": "r", "path": "p", "file_id": 1, "language": "python"}, text)
+    assert [r["what"] for b in held.batches(tuple(T.PARTS)) for r in b.to_pylist()] == ["comment"] * bool(text)
