@@ -63,3 +63,10 @@ def test_a_round_trip_tells_what_changes(spark, code, monkeypatch):
     lossy = lambda texts, schema: read(texts.withColumn("json", queries.F.when(queries.F.col("path") == "0.java", "[]").when(queries.F.col("path") == "1.python", queries.F.replace("json", queries.F.lit("Doc."), queries.F.lit("Dog."))).otherwise(queries.F.col("json"))), schema)
     monkeypatch.setattr(facts, "from_json", lambda texts, schema: lossy(texts.withColumn("json0", queries.F.col("json")), schema).withColumn("json", queries.F.col("json0")))
     assert {(r.side, r.n) for r in queries.facts_json_roundtrip(spark, "").collect()} == {("left", 2), ("right", 1), ("rejected", 1)}
+
+
+def test_explanations_of_copies(spark, code, work, monkeypatch):
+    monkeypatch.setattr(queries, "bind", lambda *a: code)
+    rows = queries.explanation_fields(spark, "").collect()
+    assert work == ([3], [1])
+    assert sorted((r.repository_id, r.path, r.inputs, r.dependencies, r.complexity) for r in rows) == sorted((f"r{i}", f"{i}.{x}", *y) for i in range(4) for x, y in (("python", ("self, a", "g", 2)), ("java", ("x", "g", 2))))
